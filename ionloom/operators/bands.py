@@ -162,25 +162,9 @@ def _reduce_hot(hot_rows: DataFrame, keys: list[str], bands: list[Band], prefer:
     group = keys + mode_cols
     data_cols = [c for c in hot_rows.columns if c != "_n"]
     deciding = [(b.point, b.tie) for b in bands]
-    prefer_items = list(prefer.items())
     schema = T.StructType([f for f in rows.schema.fields if f.name != "_n"] + [T.StructField("_chunk", T.IntegerType())])
 
-    def undominated(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = []
-        for mode_col, (point, tie) in zip(mode_cols, deciding):
-            mode = pdf[mode_col].iloc[0]
-            if mode == _INSIDE:
-                continue
-            by = (pdf[point],) if tie is None else (pdf[tie], pdf[point])
-            rank = _dense_rank(by)
-            columns.append(rank if mode == _ABOVE_LO else -rank)
-        for name, end in prefer_items:
-            values = pdf[name].to_numpy(dtype=float)
-            columns.append(values if end == "high" else -values)
-        if not columns:
-            return pdf.iloc[:1]
-        return pdf.iloc[_front(np.column_stack(columns))]
-
+    undominated = _undominated(mode_cols, deciding, list(prefer.items()))
     previous = None
     while True:
         chunks = F.ceil(F.col("_n") / F.lit(CHUNK_ROWS)).cast("int")
@@ -195,31 +179,52 @@ def _reduce_hot(hot_rows: DataFrame, keys: list[str], bands: list[Band], prefer:
         rows = rows.join(sizes.drop("_c"), group)
 
 
-def _dense_rank(by: tuple) -> np.ndarray:
-    """Rank of rows under lexicographic order of the reversed key tuple (last key first)."""
-    arrays = [np.asarray(b) for b in by]
-    order = np.lexsort(arrays)
-    changed = np.zeros(len(order), dtype=bool)
-    for a in arrays:
-        s = a[order]
-        changed[1:] |= s[1:] != s[:-1]
-    rank = np.empty(len(order), dtype=float)
-    rank[order] = np.cumsum(changed)
-    return rank
-
-
-def _front(score: np.ndarray) -> np.ndarray:
-    """Positions of the rows not beaten (<= on every column) by another row; larger is better."""
-    order = np.lexsort(score.T[::-1])[::-1]
-    remaining = score[order]
-    index = order
-    kept = []
-    while len(index):
-        best = remaining[0]
-        kept.append(index[0])
-        alive = (remaining > best).any(axis=1)
-        remaining, index = remaining[alive], index[alive]
-    return np.array(kept, dtype=int)
+def _undominated(mode_cols: list[str], deciding: list[tuple], prefer: list[tuple]):
+    """The group function of `_reduce_hot`; self-contained, so that it travels to the workers by value."""
+    inside, above_lo = _INSIDE, _ABOVE_LO
+
+    def dense_rank(by: tuple) -> np.ndarray:
+        """Rank of rows under lexicographic order of the reversed key tuple (last key first)."""
+        arrays = [np.asarray(b) for b in by]
+        order = np.lexsort(arrays)
+        changed = np.zeros(len(order), dtype=bool)
+        for a in arrays:
+            s = a[order]
+            changed[1:] |= s[1:] != s[:-1]
+        rank = np.empty(len(order), dtype=float)
+        rank[order] = np.cumsum(changed)
+        return rank
+
+    def front(score: np.ndarray) -> np.ndarray:
+        """Positions of the rows not beaten (<= on every column) by another row; larger is better."""
+        order = np.lexsort(score.T[::-1])[::-1]
+        remaining = score[order]
+        index = order
+        kept = []
+        while len(index):
+            best = remaining[0]
+            kept.append(index[0])
+            alive = (remaining > best).any(axis=1)
+            remaining, index = remaining[alive], index[alive]
+        return np.array(kept, dtype=int)
+
+    def undominated(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = []
+        for mode_col, (point, tie) in zip(mode_cols, deciding):
+            mode = pdf[mode_col].iloc[0]
+            if mode == inside:
+                continue
+            by = (pdf[point],) if tie is None else (pdf[tie], pdf[point])
+            rank = dense_rank(by)
+            columns.append(rank if mode == above_lo else -rank)
+        for name, end in prefer:
+            values = pdf[name].to_numpy(dtype=float)
+            columns.append(values if end == "high" else -values)
+        if not columns:
+            return pdf.iloc[:1]
+        return pdf.iloc[front(np.column_stack(columns))]
+
+    return undominated
 
 
 def band_exists_1d(

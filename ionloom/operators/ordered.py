@@ -133,16 +133,18 @@ def neighbours(
         )
         # At most (#partitions + #groups) rows, so it is joined, not broadcast, when there are keys.
         edge = chunked.select(*keys, "_chunk").distinct().join(edge, [*keys, "_chunk"], "left")
-        w = Window.partitionBy(*keys).orderBy("_chunk")
+        up, down = Window.partitionBy(*keys).orderBy("_chunk"), Window.partitionBy(*keys).orderBy(F.desc("_chunk"))
         entry = edge.select(
             *keys,
             "_chunk",
-            F.last("_hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-            F.first("_lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+            F.last("_hi", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.last("_lo", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
         )
-    ordered = Window.partitionBy(*scope).orderBy("_v", "_side")
-    after = F.first("_point", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last("_point", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    # Both directions look back over what was passed, as growing frames cost one step per row.
+    up = Window.partitionBy(*scope).orderBy("_v", "_side")
+    down = Window.partitionBy(*scope).orderBy(F.desc("_v"), F.desc("_side"))
+    after = F.last("_point", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("_point", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1))
     scanned = chunked.withColumns({"above": after, "below": before}).where("_probe IS NOT NULL")
     if entry is not None:
         scanned = scanned.join(entry, scope, "left").withColumns(
