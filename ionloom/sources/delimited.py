@@ -39,7 +39,7 @@ def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         layouts.setdefault((detect_separator(header), header), []).append(path)
     frames = []
     for (sep, _), files in layouts.items():
-        frame = spark.read.csv(files, header=True, sep=sep, enforceSchema=False)
+        frame = spark.read.csv(files, header=True, sep=sep)
         frames.append(frame.toDF(*[c.strip() for c in frame.columns]).withColumn("source_file", F.input_file_name()))
     stacked = frames[0]
     for frame in frames[1:]:
