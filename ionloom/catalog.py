@@ -386,7 +386,7 @@ def dup_components(fx):
 def dup_merge(fx):
     groups = cut_lineage(cleanup.duplicate_groups(fx.feature, 15.0, 2.0, 0.5))
     kept, _ = cleanup.merge_duplicates(fx.feature, fx.exp_intensity, groups)
-    return kept.select("feature_id", *[scaled(c, c) for c in ("mz", "rt", "ccs", "dt")], F.size("members").cast("long").alias("members"))
+    return kept.select("feature_id", *[scaled(c, c) for c in ("mz", "rt", "ccs", "dt")], "members")
 
 
 @query(

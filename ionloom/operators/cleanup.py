@@ -19,6 +19,7 @@ from ionloom.operators.bands import (
 )
 from ionloom.operators.components import box_components
 from ionloom.operators.ordered import anchored_windows, with_previous, with_running_sum
+from ionloom.operators.skew import spread_join
 from ionloom.session import cut_and_count, cut_lineage
 
 SMEAR_FACTOR = 50.0
@@ -136,7 +137,7 @@ def remove_adducts(report: DataFrame, ppm: float = 10.0) -> DataFrame:
     """Drops unmatched and tentative rows at a mass that is an adduct of a lower one."""
     matched = adduct_status(report, ppm).where("matched").select("mz")
     removable = F.col("class").isin(CLASS_UNMATCHED, CLASS_TENTATIVE)
-    return report.where(~removable).unionByName(report.where(removable).join(matched, "mz", "left_anti"))
+    return report.where(~removable).unionByName(spread_join(report.where(removable), matched, ["mz"], "left_anti"))
 
 
 def duplicate_groups(
@@ -172,31 +173,35 @@ def duplicate_groups(
 def merge_duplicates(features: DataFrame, intensity: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One feature per duplicate group: mean coordinates, highest id, highest intensity per sample.
 
-    Returns features (with the sorted ids they stand for) and intensities keyed by the kept id.
+    Returns features (with the number of those they stand for) and intensities keyed by the kept id;
+    `duplicate_members` lists which feature went where.
     """
     keyed = features.join(groups, "feature_id", "left")
-    single = keyed.where("component IS NULL").select(
-        "feature_id", "mz", "rt", "dt", "ccs", F.array("feature_id").alias("members")
-    )
+    single = keyed.where("component IS NULL").select("feature_id", "mz", "rt", "dt", "ccs", F.lit(1).cast("long").alias("members"))
     merged = (
         keyed.where("component IS NOT NULL")
         .groupBy("component")
         .agg(
             F.max("feature_id").alias("feature_id"),
             *[F.avg(c).alias(c) for c in ("mz", "rt", "dt", "ccs")],
-            F.array_sort(F.collect_list("feature_id")).alias("members"),
+            F.count(F.lit(1)).alias("members"),
         )
     )
     kept = single.unionByName(merged.drop("component"))
-    target = groups.join(merged.select("component", F.col("feature_id").alias("kept_id")), "component").select("feature_id", "kept_id")
     moved = (
-        intensity.join(target, "feature_id", "left")
+        intensity.join(duplicate_members(groups), "feature_id", "left")
         .groupBy(F.coalesce("kept_id", "feature_id").alias("feature_id"), "sample")
         .agg(F.max("value").alias("value"))
     )
     return kept, moved
 
 
+def duplicate_members(groups: DataFrame) -> DataFrame:
+    """(feature_id, kept_id) of the features that are merged, the kept one included."""
+    kept = groups.groupBy("component").agg(F.max("feature_id").alias("kept_id"))
+    return spread_join(groups, kept, ["component"]).select("feature_id", "kept_id")
+
+
 def crowd_elimination(report: DataFrame, ppm: float = 50.0, crowd: int = 3) -> DataFrame:
     """Drops non-likely rows in greedy mass windows holding at least `crowd` of them."""
     others = report.where((F.col("class") != CLASS_LIKELY) & F.col("mz").isNotNull())
@@ -205,7 +210,7 @@ def crowd_elimination(report: DataFrame, ppm: float = 50.0, crowd: int = 3) -> D
     crowded = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= crowd)
     masses = windows.join(crowded, "anchor", "left_semi").select("mz")
     is_likely = F.col("class") == CLASS_LIKELY
-    return report.where(is_likely).unionByName(report.where(~is_likely).join(masses, "mz", "left_anti"))
+    return report.where(is_likely).unionByName(spread_join(report.where(~is_likely), masses, ["mz"], "left_anti"))
 
 
 def isotope_children(
@@ -245,7 +250,7 @@ def deisotope(features: DataFrame, **settings) -> DataFrame:
 def mass_windows(features: DataFrame, ppm: float = 10.0) -> DataFrame:
     """Features with `mz_anchor`, the lowest mass of their greedy ppm window."""
     windows = anchored_windows(features, [], "mz", lambda a: a + a * ppm * 1e-6)
-    return features.join(windows.withColumnRenamed("anchor", "mz_anchor"), "mz")
+    return spread_join(features, windows.withColumnRenamed("anchor", "mz_anchor"), ["mz"])
 
 
 def tolerance_split(df: DataFrame, keys: list[str], value: str, tol: float, percent: bool, name: str) -> DataFrame:
@@ -257,7 +262,7 @@ def tolerance_split(df: DataFrame, keys: list[str], value: str, tol: float, perc
         windows = anchored_windows(df, keys, value, lambda a: a * (1 + tol / 100))
     else:
         windows = anchored_windows(df, keys, value, lambda a: a + tol)
-    return df.join(windows.withColumnRenamed("anchor", name), [*keys, value])
+    return spread_join(df, windows.withColumnRenamed("anchor", name), [*keys, value])
 
 
 def nested_groups(features: DataFrame, ppm: float = 10.0, ccs_pct: float = 2.0, rt_tol: float = 0.5) -> DataFrame:
@@ -274,9 +279,8 @@ def merge_nested_groups(grouped: DataFrame, intensity: DataFrame) -> tuple[DataF
     merged = grouped.groupBy(*keys).agg(
         first.alias("feature_id"), *[F.avg(c).alias(c) for c in ("mz", "rt", "dt", "ccs")]
     )
-    target = grouped.select("feature_id", *keys).join(
-        merged.select(F.col("feature_id").alias("kept_id"), *keys), keys
-    ).select("feature_id", "kept_id")
+    kept = merged.select(F.col("feature_id").alias("kept_id"), *keys)
+    target = spread_join(grouped.select("feature_id", *keys), kept, keys).select("feature_id", "kept_id")
     moved = intensity.join(target, "feature_id").groupBy(F.col("kept_id").alias("feature_id"), "sample").agg(
         F.max("value").alias("value")
     )

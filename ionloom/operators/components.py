@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.operators import bands as B
+from ionloom.operators.skew import spread_join
 from ionloom.session import cut_and_count, cut_lineage
 
 
@@ -22,30 +23,32 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     start = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     start = start.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     live, left = cut_and_count(start)
+    bound = 2 * left
     roots = None
     while left:
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         best = F.least(_rank("u"), F.min(_rank("v")))
         hook = both.groupBy("u").agg(best.alias("best")).select("u", F.col("best.id").alias("p"))
         step = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        hook = hook.join(step, "p").select("u", F.col("pp").alias("p"))
-        hook = cut_lineage(hook)
+        # A live edge has two ends, so twice its number bounds every table of this round.
+        hook = cut_lineage(spread_join(hook, step, ["p"], total=2 * left).select("u", F.col("pp").alias("p")))
         if roots is None:
             roots = hook.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
             moved = hook.select(F.col("u").alias("root"), "p")
-            roots = roots.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+            roots = spread_join(roots, moved, ["root"], "left", total=bound)
+            roots = roots.select("node", F.coalesce("p", "root").alias("root"))
         to_u = hook.select("u", F.col("p").alias("pu"))
         to_v = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         live, left = cut_and_count(
-            live.join(to_u, "u").join(to_v, "v").where("pu <> pv")
+            spread_join(spread_join(live, to_u, ["u"], total=left), to_v, ["v"], total=left).where("pu <> pv")
             .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
         )
     if roots is None:
         return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = cut_lineage(roots)
     label = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return roots.join(label, "root").select("node", "component")
+    return spread_join(roots, label, ["root"], total=bound).select("node", "component")
 
 
 def _rank(name: str):
@@ -84,7 +87,7 @@ def box_components(
         spread = F.lit(True).alias("clique")
     summary = cells.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("_n"), spread)
     located = B.cut_lineage(
-        cells.join(summary, keys).withColumn("node", F.when(F.col("clique"), F.col("cell_id")).otherwise(F.col("id")))
+        spread_join(cells, summary, keys).withColumn("node", F.when(F.col("clique"), F.col("cell_id")).otherwise(F.col("id")))
     )
     any_hot = not located.where(F.col("_n") > limit).isEmpty()
     probe = located.select(
@@ -115,7 +118,9 @@ def box_components(
         edges = edges.unionByName(located.where("id <> node").select(F.col("id").alias("src"), F.col("node").alias("dst")))
     linked = connected_components(edges)
     weights = located.groupBy("node").agg(F.count(F.lit(1)).alias("_w"))
-    parts = weights.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = cut_lineage(
+        weights.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    )
     sizes = parts.groupBy("component").agg(F.sum("_w").alias("size"))
-    labels = parts.select("node", "component").join(sizes, "component")
-    return located.select(F.col("id").alias(key), "node").join(labels, "node").select(key, "component", "size")
+    labels = spread_join(parts.select("node", "component"), sizes, ["component"])
+    return spread_join(located.select(F.col("id").alias(key), "node"), labels, ["node"]).select(key, "component", "size")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ionloom.functions.numeric import half_even, ppm_of
 from ionloom.operators.bands import Band, band_join, ppm_band
 from ionloom.operators.components import box_components
+from ionloom.operators.skew import spread_join
 from ionloom.session import cut_lineage
 
 NATURAL_C13 = 0.011145
@@ -25,7 +26,7 @@ def multi_peak_compounds(peaks: DataFrame) -> DataFrame:
     """Peaks of compounds with more than one peak of known mass."""
     keys = ["source_file", "compound"]
     many = peaks.groupBy(*keys).agg(F.count("peak_mz").alias("n")).where("n > 1")
-    return peaks.join(many.select(*keys), keys, "left_semi")
+    return spread_join(peaks, many.select(*keys), keys, "left_semi")
 
 
 def first_peaks(peaks: DataFrame) -> DataFrame:
@@ -120,13 +121,15 @@ def sample_report(anchors: DataFrame, peaks: DataFrame) -> DataFrame:
     """Anchors with every peak of their compound and the compound's isotope metrics."""
     kept = distinct_anchors(anchors)
     named = with_sample(peaks)
-    wanted = named.join(kept.select("sample", "compound").distinct(), ["sample", "compound"], "left_semi")
+    pair = ["sample", "compound"]
+    wanted = cut_lineage(spread_join(named, kept.select(*pair).distinct(), pair, "left_semi"))
     metrics = with_sample(carbon_estimate(wanted.drop("sample"))).drop("source_file")
     detail = wanted.select(
         "sample", "compound", F.col("rt").alias("peak_rt"), F.col("dt").alias("peak_dt"), F.col("ccs").alias("peak_ccs"),
         "peak_mz", "peak_intensity",
     )
-    return kept.join(detail, ["sample", "compound"], "left").join(metrics, ["sample", "compound"], "left")
+    # Anchors come from peaks, so none is lost by starting from the peaks, the side that can be large.
+    return spread_join(spread_join(detail, kept, pair), metrics, pair, "left")
 
 
 def anchors_with_metrics(anchors: DataFrame, peaks: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def align(rows: DataFrame, ppm: float = 10.0, ccs_pct: float = 2.0, hot_cell: in
     points = keyed.where("mz > 0 AND ccs > 0").select("_key", "mz", "ccs", "sample").distinct()
     groups = box_components(points, "_key", ["mz", "ccs"], [outward, inward], sample="sample", hot_cell=hot_cell)
     ids = groups.select("_key", F.col("component").alias("alignment_id")).distinct()
-    return keyed.join(ids, "_key", "left").withColumn("alignment_id", F.coalesce("alignment_id", "_key")).drop("_key")
+    return spread_join(keyed, ids, ["_key"], "left").withColumn("alignment_id", F.coalesce("alignment_id", "_key")).drop("_key")
 
 
 _MEANS = [

@@ -17,6 +17,7 @@ from ionloom.operators.bands import (
     ppm_band,
     ppm_band_of_build,
 )
+from ionloom.operators.skew import spread_join
 
 
 def _pct_band_of_build(point: str, value, pct: float) -> Band:
@@ -93,7 +94,7 @@ def suspects_by_mass(features: DataFrame, suspects: DataFrame, ppm: float = 10.0
 def match_level5(features: DataFrame, suspects: DataFrame, ppm: float = 10.0) -> DataFrame:
     """Features with suspects in their mass window, one row each, class `tentative`."""
     found = suspects_by_mass(features, suspects, ppm)
-    return features.join(found, "mz").select(
+    return spread_join(features, found, ["mz"]).select(
         *features.columns,
         "match",
         F.lit("Suspects Library").alias("match_source"),
@@ -112,7 +113,7 @@ def annotate(
         return likely.unionByName(rest, allowMissingColumns=True).withColumn("mass_errors_ppm", F.lit(None).cast("array<double>"))
     found = suspects_by_mass(rest, level5, ppm).withColumnRenamed("match", "_match")
     tentative = F.col("_match").isNotNull()
-    rest = rest.join(found, "mz", "left").select(
+    rest = spread_join(rest, found, ["mz"], "left").select(
         *features.columns,
         F.coalesce("_match", "match").alias("match"),
         F.when(tentative, "Suspects Library").otherwise(F.col("match_source")).alias("match_source"),
@@ -217,7 +218,7 @@ def remove_neutral_losses(report: DataFrame, ppm: float = 15.0) -> DataFrame:
         F.col("target") + window,
         F.col("mz"),
     )
-    return report.join(hits.where("hit").select("mz"), "mz", "left_anti")
+    return spread_join(report, hits.where("hit").select("mz"), ["mz"], "left_anti")
 
 
 def remove_halogen_isotopes(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ionloom.functions.numeric import pinball
 from ionloom.operators.ordered import with_rank
+from ionloom.operators.skew import spread_join
 from ionloom.session import cut_and_count, cut_lineage
 
 EXACT_ROWS = 5_000
@@ -188,14 +189,14 @@ def group_trends(
         trial = lines.groupBy("group_id").agg(F.collect_set("line").alias("lines"))
         miss = F.abs(F.col("ccs") - (F.col("line.slope") * F.col("mz") + F.col("line.intercept")))
         scored = (
-            pool.join(trial, "group_id").withColumn("line", F.explode("lines")).withColumn("miss", miss)
+            spread_join(pool, trial, ["group_id"], total=left).withColumn("line", F.explode("lines")).withColumn("miss", miss)
             .where(F.col("miss") <= F.col("_limit"))
             .groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n_in"), F.sum(F.rint(F.col("miss") * 1e6)).alias("loss"))
         )
         score = F.struct("n_in", -F.col("loss"), -F.col("line.slope"))
         best = scored.groupBy("group_id").agg(F.max_by("line", score).alias("line"))
         tagged = cut_lineage(
-            pool.join(best, "group_id", "left")
+            spread_join(pool, best, ["group_id"], "left", total=left)
             .withColumn("_in", F.coalesce(miss <= F.col("_limit"), F.lit(False)))
             .withColumn("_stop", F.col("line").isNull())
         )
@@ -203,7 +204,7 @@ def group_trends(
             F.count(F.lit(1)).alias("n_in"), F.coalesce(F.regr_r2("ccs", "mz"), F.lit(0.0)).alias("r_squared")
         )
         enough = (F.col("n_in") >= min_inliers) & (F.col("n_in") > 0)
-        judged = tagged.join(fit, "group_id", "left").withColumn("_stop", F.col("_stop") | ~F.coalesce(enough, F.lit(False)))
+        judged = spread_join(tagged, fit, ["group_id"], "left", total=left).withColumn("_stop", F.col("_stop") | ~F.coalesce(enough, F.lit(False)))
         good = F.col("_in") & ~F.col("_stop") & (F.col("r_squared") >= min_r2)
         leaving = judged.where(F.col("_stop") | F.col("_in")).select(
             *columns,

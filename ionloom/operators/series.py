@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ionloom.model import CLASS_STANDARD
 from ionloom.operators.components import connected_components
 from ionloom.operators.ordered import anchored_windows, neighbours, with_previous
+from ionloom.operators.skew import spread_join
 from ionloom.session import cut_lineage
 
 SPACING = 10.0
@@ -74,7 +75,7 @@ def series_groups(
     first = rows.groupBy("mz").agg(F.min("row_id").alias("first_row"))
     nodes = linked.join(sources, "mz", "left").join(first, "mz")
     member = F.coalesce("has_target", F.lit(False)) | (F.col("row_id") == F.col("first_row"))
-    members = cut_lineage(rows.join(nodes, "mz").where(member).select(*rows.columns, "component"))
+    members = cut_lineage(spread_join(rows, nodes, ["mz"]).where(member).select(*rows.columns, "component"))
     spaced = anchored_windows(members, ["component"], "mz", lambda a: a + SPACING, closed=False)
     points = spaced.groupBy("component").agg(F.count_distinct("anchor").alias("points"))
     valid = (
@@ -86,7 +87,7 @@ def series_groups(
         .join(points, "component")
         .where((F.col("size") >= min_points) & (F.col("points") >= min_points) & F.col("has_feature"))
     )
-    return members.join(valid.select("component", "group_id"), "component").select(
+    return spread_join(members, valid.select("component", "group_id"), ["component"]).select(
         *rows.columns, "group_id", F.lit(next(iter(units))).alias("repeating_unit")
     )
 
@@ -105,7 +106,7 @@ def refine_groups(groups: DataFrame, min_points: int = 3) -> DataFrame:
     kept = cut_lineage(seen.where(~drop).select(*groups.columns))
     again = with_previous(kept, ["group_id"], order, ["mz"])
     enough = again.groupBy("group_id").agg(_well_spaced().alias("n")).where(F.col("n") >= min_points)
-    return kept.join(enough.select("group_id"), "group_id", "left_semi")
+    return spread_join(kept, enough.select("group_id"), ["group_id"], "left_semi")
 
 
 def validate_trends(
@@ -124,7 +125,7 @@ def validate_trends(
     if min_r2 is not None:
         checks.append(good.groupBy("group_id").agg(F.min("r_squared").alias("n")).where(F.col("n") >= min_r2))
     for passed in checks:
-        result = result.join(passed.select("group_id", F.lit(True).alias("_ok")), "group_id", "left").withColumn(
+        result = spread_join(result, passed.select("group_id", F.lit(True).alias("_ok")), ["group_id"], "left").withColumn(
             "is_outlier", F.col("is_outlier") | F.col("_ok").isNull()
         ).drop("_ok")
     return result

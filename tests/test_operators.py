@@ -177,7 +177,8 @@ def test_merge_takes_means_and_maxima(spark):
     i = spark.createDataFrame([(1, "A", 5.0), (2, "A", 7.0), (2, "B", None), (3, "A", 1.0)], "feature_id long, sample string, value double")
     kept, moved = cleanup.merge_duplicates(f, i, groups)
     rows = {r.feature_id: r for r in kept.collect()}
-    assert set(rows) == {2, 3} and rows[2].rt == 2.0 and rows[2].members == [1, 2]
+    assert set(rows) == {2, 3} and rows[2].rt == 2.0 and rows[2].members == 2
+    assert {(r.feature_id, r.kept_id) for r in cleanup.duplicate_members(groups).collect()} == {(1, 2), (2, 2)}
     assert {(r.feature_id, r.sample): r.value for r in moved.collect()} == {(2, "A"): 7.0, (2, "B"): None, (3, "A"): 1.0}
 
 

@@ -144,3 +144,15 @@ def test_neighbours(spark, group_rows):
     }
     strict = {r.t: r.above for r in neighbours(p, t, [], "x", "t", True, group_rows).collect()}
     assert strict == {x: min((v for v in points if v > x), default=None) for x in probes}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join_equals_join(spark, how):
+    from ionloom.operators.skew import spread_join
+
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(200)], "id long, k long")
+    table = spark.createDataFrame([(7, "a"), (7, "b"), (9, "c")], "k long, t string")
+    columns = rows.join(table, "k", how).columns
+    want = sorted(str(r) for r in rows.join(table, "k", how).select(*columns).collect())
+    got = sorted(str(r) for r in spread_join(rows, table, ["k"], how, block=20).select(*columns).collect())
+    assert got == want
