@@ -120,6 +120,7 @@ def band_semi(
     on: tuple[str, ...] = (),
     prefer: dict[str, str] | None = None,
     hot_cell: int | None = None,
+    may_be_hot: bool = True,
 ) -> DataFrame:
     """`ids` of the probe rows that have at least one partner (an id may repeat, once per cell).
 
@@ -129,7 +130,7 @@ def band_semi(
     keys = [*on, *[f"_k{i}" for i in range(len(bands))]]
     prefer = prefer or {}
     cells = _build_cells(build, bands)
-    hot = _hot_cells(cells, keys, HOT_CELL if hot_cell is None else hot_cell)
+    hot = _hot_cells(cells, keys, HOT_CELL if hot_cell is None else hot_cell) if may_be_hot else None
     left = _probe_cells(probe, bands, with_modes=hot is not None)
     if hot is None:
         return _keyed_join(left, cells, keys, residual, "left_semi").select(*ids)
@@ -141,6 +142,11 @@ def band_semi(
     return from_cold.unionByName(from_hot)
 
 
+def has_hot_cells(build: DataFrame, bands: list[Band], on: tuple[str, ...] = (), hot_cell: int | None = None) -> bool:
+    keys = [*on, *[f"_k{i}" for i in range(len(bands))]]
+    return _hot_cells(_build_cells(build, bands), keys, HOT_CELL if hot_cell is None else hot_cell) is not None
+
+
 def _hot_cells(cells: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     hot = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     return None if hot.isEmpty() else cut_lineage(hot)

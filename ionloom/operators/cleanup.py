@@ -14,6 +14,7 @@ from ionloom.operators.bands import (
     band_exists_1d,
     band_join,
     band_semi,
+    has_hot_cells,
     ppm_band,
     ppm_band_of_build,
 )
@@ -60,6 +61,9 @@ def smearing(
         Band("j_ccs", F.col("ccs") * F.lit(1 - f), F.col("ccs") * F.lit(1 + f), float(np.log1p(f) - np.log1p(-f)), log=True),
         abs_band("j_rt", F.col("rt"), rt_tol),
     ]
+    # A level's cells hold a part of all rows' cells: if none of those is crowded, none ever is.
+    everywhere = rows.select("sample", F.col("mz").alias("j_mz"), F.col("ccs").alias("j_ccs"), F.col("rt").alias("j_rt"))
+    crowded = has_hot_cells(everywhere, bands, ("sample",), hot_cell)
     settled = None
     smeared = None
     for value in levels:
@@ -71,7 +75,7 @@ def smearing(
             )
             hits = band_semi(
                 current, strong, bands, ok, ["feature_id", "sample"], on=("sample",), prefer={"j_value": "high"},
-                hot_cell=hot_cell,
+                hot_cell=hot_cell, may_be_hot=crowded,
             )
             hits = cut_lineage(hits.distinct())
             smeared = hits if smeared is None else smeared.unionByName(hits)
@@ -113,12 +117,12 @@ def adduct_status(features: DataFrame, ppm: float = 10.0) -> DataFrame:
             open_masses, targets, band, F.col("target") - window, F.col("target") + window, F.col("mz"),
             build_flags={"by_free": ~F.col("is_open"), "by_open": F.col("is_open")},
         )
-        seen = cut_lineage(seen)
+        seen, left = cut_and_count(seen, "NOT by_free AND by_open")
         hit = seen.where("by_free").select("mz")
         quiet = seen.where("NOT by_free AND NOT by_open").select("mz")
         matched = hit if matched is None else matched.unionByName(hit)
         free = quiet if free is None else free.unionByName(quiet)
-        open_masses, left = cut_and_count(seen.where("NOT by_free AND by_open").select("mz"))
+        open_masses = seen.where("NOT by_free AND by_open").select("mz")
     if matched is None:
         return open_masses.withColumn("matched", F.lit(False))
     return matched.withColumn("matched", F.lit(True)).unionByName(free.withColumn("matched", F.lit(False)))

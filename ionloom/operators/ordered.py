@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,7 +168,7 @@ def anchored_windows(
     `closed` says whether a value equal to reach(anchor) is taken; `reach` is plain arithmetic, so it
     takes a Column or an array. Returns the distinct values with their `anchor`.
 
-    Groups proven small are walked one group per task. Otherwise the walk from anchor to anchor is a linked list over the distinct values; its
+    Groups proven small are walked in sorted partitions. Otherwise the walk from anchor to anchor is a linked list over the distinct values; its
     members are found by pointer doubling from the values that are anchors for sure (those with a
     gap before them), so the rounds grow with the logarithm of the longest gap-free chain.
     """
@@ -200,19 +199,36 @@ def anchored_windows(
 
 
 def _walk_small(values: DataFrame, keys: list[str], value: str, reach: Callable, closed: bool) -> DataFrame:
+    """One sorted pass per partition; the open window is carried from batch to batch."""
     fields = [f for f in values.schema.fields if f.name in keys]
     schema = T.StructType([*fields, T.StructField(value, T.DoubleType()), T.StructField("anchor", T.DoubleType())])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_x")
-        x = pdf["_x"].to_numpy()
-        following = np.searchsorted(x, reach(x), side="right" if closed else "left")
-        starts, i = [], 0
-        while i < len(x):
-            starts.append(i)
-            i = following[i]
-        anchors = x[starts]
-        pdf["anchor"] = anchors[np.searchsorted(anchors, x, side="right") - 1]
-        return pdf.rename(columns={"_x": value})[[*keys, value, "anchor"]]
-
-    return values.groupBy(*keys).applyInPandas(walk, schema)
+    side = "right" if closed else "left"
+
+    def scan(batches):
+        open_key = anchor = None
+        for pdf in batches:
+            x = pdf["_x"].to_numpy()
+            if not len(x):
+                continue
+            parts = [pdf[k].to_numpy() for k in keys]
+            fresh = np.zeros(len(x), dtype=bool)
+            for part in parts:
+                fresh[1:] |= part[1:] != part[:-1]
+            fresh[0] = open_key is None or open_key != tuple(part[0] for part in parts)
+            starts = np.union1d([0], np.flatnonzero(fresh))
+            limit, anchors = reach(x), np.empty(len(x))
+            for start, end in zip(starts, [*starts[1:], len(x)]):
+                i = start
+                if not fresh[start]:
+                    i += np.searchsorted(x[start:end], reach(anchor), side=side)
+                    anchors[start:i] = anchor
+                while i < end:
+                    anchor = x[i]
+                    following = i + max(1, np.searchsorted(x[i:end], limit[i], side=side))
+                    anchors[i:following] = anchor
+                    i = following
+            open_key = tuple(part[-1] for part in parts)
+            yield pdf.assign(anchor=anchors).rename(columns={"_x": value})[[*keys, value, "anchor"]]
+
+    placed = values.repartition(*keys) if keys else values.coalesce(1)
+    return placed.sortWithinPartitions(*keys, "_x").mapInPandas(scan, schema)

@@ -52,8 +52,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint that also counts the rows on their way out."""
+def cut_and_count(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """Checkpoint that also counts the rows meeting a condition on their way out."""
     seen = Observation()
-    kept = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    kept = cut_lineage(df.observe(seen, F.count_if(F.expr(condition)).alias("rows")))
     return kept, seen.get["rows"]

@@ -114,6 +114,17 @@ def test_anchored_windows(spark, group_rows, closed):
     assert got == want
 
 
+def test_small_walk_carries_its_window_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        values = [100.0 + i * 0.03 for i in range(200)]
+        df = spark.createDataFrame([(g, v) for g in (1, 2, 3) for v in values], "g long, x double")
+        got = {(r.g, r.x): r.anchor for r in anchored_windows(df, ["g"], "x", lambda a: a + 0.5).collect()}
+        assert got == {(g, v): a for g in (1, 2, 3) for v, a in _walk(values, lambda a: a + 0.5, True).items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_ordered_scans_agree_in_both_regimes(spark):
     rng = np.random.default_rng(13)
     rows = [(int(k), float(v), i) for i, (k, v) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], 500), np.round(rng.uniform(0, 50, 500), 1)))]
