@@ -654,10 +654,9 @@ def align_summary(fx):
 
 def mesh(spark: SparkSession) -> DataFrame:
     """A plane on a regular mesh with one corner left empty, in place of a measured ratio grid."""
-    y = spark.range(62).select((F.col("id") * 0.002 - 0.06).alias("y"), F.col("id").alias("i"))
-    x = spark.range(64).select((F.col("id") * 2.0 + 2.0).alias("x"), F.col("id").alias("j"))
-    full = y.crossJoin(F.broadcast(x)).select("y", "x", "i", "j", (F.lit(0.5) + F.col("x") / 40 + F.col("y") * 20).alias("z"))
-    return full.where("i + j < 110").select("y", "x", "z")
+    nodes = spark.range(62 * 64).select(F.expr("id div 64").alias("i"), F.expr("id % 64").alias("j")).where("i + j < 110")
+    placed = nodes.select((F.col("i") * 0.002 - 0.06).alias("y"), (F.col("j") * 2.0 + 2.0).alias("x"))
+    return placed.select("y", "x", (F.lit(0.5) + F.col("x") / 40 + F.col("y") * 20).alias("z"))
 
 
 GRID = """
@@ -747,9 +746,8 @@ def qreg_rt(fx):
     _pair_fit("(SELECT ln(mz) AS x, ccs AS y FROM library_l2)", [0.1, 0.9]),
 )
 def band_filter(fx):
-    lines = cut_lineage(regress.ccs_band(fx.library_l2))
-    kept = filters.regression_band(fx.feature, "ccs", lines.where("q = 0.1D"), lines.where("q = 0.9D"))
-    return kept.select("feature_id")
+    low, high = [(r.slope, r.intercept) for r in regress.ccs_band(fx.library_l2).orderBy("q").collect()]
+    return filters.regression_band(fx.feature, "ccs", low, high).select("feature_id")
 
 
 @query(

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ionloom.operators.skew import spread_join
 from ionloom.session import cut_lineage
 
 HOT_CELL = 256
@@ -242,13 +243,15 @@ def band_exists_1d(
     value: Column,
     on: tuple[str, ...] = (),
     build_flags: dict[str, Column] | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Existence on one axis from per-cell extremes: no pairs, and one summary row per cell.
 
     The predicate is lo_of_build(point) <= value <= hi_of_build(point), both bounds growing with
     the point. Because a cell is no wider than the band, the first cell of a probe is decided by
     its largest point, the last one by its smallest, and cells between them by being there.
-    Returns the probe's rows with one boolean per entry of `build_flags`.
+    Returns the probe's rows with one boolean per entry of `build_flags`. `total` bounds the number of
+    probe rows times the cells each looks into, if known.
     """
     flags = build_flags or {"hit": F.lit(True)}
     aggs = []
@@ -262,7 +265,7 @@ def band_exists_1d(
         .agg(*aggs)
     )
     left = _probe_cells(probe, [band], with_modes=True)
-    joined = left.join(summary, [*on, "_k0"], "left")
+    joined = spread_join(left, summary, [*on, "_k0"], "left", total)
     hits = {}
     for name in flags:
         first = F.col(f"_hi_{name}") >= value

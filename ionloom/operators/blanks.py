@@ -34,24 +34,24 @@ def common_features(blank: DataFrame, experimental: DataFrame) -> tuple[DataFram
     )
 
 
-def detection(intensity: DataFrame, samples: DataFrame, pct_places: int | None = None) -> DataFrame:
+def detection(intensity: DataFrame, samples: DataFrame) -> DataFrame:
     """Per feature: detection frequency in percent of all samples, and the mean of the known values."""
-    n = samples.agg(F.count_distinct("sample").cast("double").alias("_n"))
+    n = samples.agg(F.count_distinct("sample").cast("double")).scalar()
     per_feature = intensity.groupBy("feature_id").agg(
         F.count_if(F.col("value") > 0).alias("_hits"), F.avg("value").alias("average_abundance")
     )
-    return per_feature.join(F.broadcast(n)).select(
+    return per_feature.select(
         "feature_id",
-        (F.col("_hits") / F.col("_n") * F.lit(100.0)).alias("detection_frequency"),
+        (F.col("_hits") / n * F.lit(100.0)).alias("detection_frequency"),
         "average_abundance",
     )
 
 
 def filter_by_frequency(features: DataFrame, intensity: DataFrame, samples: DataFrame, pct: float) -> DataFrame:
     """Features seen (value > 0) in at least `pct` percent of all samples."""
-    n = samples.agg(F.count_distinct("sample").cast("double").alias("_n"))
+    n = samples.agg(F.count_distinct("sample").cast("double")).scalar()
     hits = intensity.groupBy("feature_id").agg(F.count_if(F.col("value") > 0).alias("_hits"))
-    frequent = hits.join(F.broadcast(n)).where(F.col("_hits") / F.col("_n") >= F.lit(pct / 100.0))
+    frequent = hits.where(F.col("_hits") / n >= F.lit(pct / 100.0))
     kept = features.join(frequent.select("feature_id"), "feature_id", "left_semi")
     return features if pct <= 0 else kept
 

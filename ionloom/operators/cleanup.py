@@ -115,7 +115,7 @@ def adduct_status(features: DataFrame, ppm: float = 10.0) -> DataFrame:
         targets = _adduct_targets(sources).join(sources.withColumnRenamed("mz", "mz1"), "mz1")
         seen = band_exists_1d(
             open_masses, targets, band, F.col("target") - window, F.col("target") + window, F.col("mz"),
-            build_flags={"by_free": ~F.col("is_open"), "by_open": F.col("is_open")},
+            build_flags={"by_free": ~F.col("is_open"), "by_open": F.col("is_open")}, total=4 * left,
         )
         seen, left = cut_and_count(seen, "NOT by_free AND by_open")
         hit = seen.where("by_free").select("mz")

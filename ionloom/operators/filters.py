@@ -40,11 +40,11 @@ def drop_unsaturated_chains(features: DataFrame, ppm: float = 50.0, max_carbons:
     return features.where(~F.coalesce(hit, F.lit(False)))
 
 
-def regression_band(features: DataFrame, value: str, low: DataFrame, high: DataFrame) -> DataFrame:
-    """Keeps rows with low(ln m/z) <= value <= high(ln m/z); each line is one (slope, intercept) row."""
-    lines = low.select(F.col("slope").alias("_s0"), F.col("intercept").alias("_i0")).crossJoin(
-        high.select(F.col("slope").alias("_s1"), F.col("intercept").alias("_i1"))
-    )
+def regression_band(
+    features: DataFrame, value: str, low: tuple[float, float], high: tuple[float, float]
+) -> DataFrame:
+    """Keeps rows with low(ln m/z) <= value <= high(ln m/z); each line is (slope, intercept)."""
     x = F.ln("mz")
-    inside = (F.col(value) >= F.col("_s0") * x + F.col("_i0")) & (F.col(value) <= F.col("_s1") * x + F.col("_i1"))
-    return features.join(F.broadcast(lines), inside, "inner").drop("_s0", "_i0", "_s1", "_i1")
+    above = F.col(value) >= F.lit(low[0]) * x + F.lit(low[1])
+    below = F.col(value) <= F.lit(high[0]) * x + F.lit(high[1])
+    return features.where(above & below)

@@ -195,12 +195,10 @@ def alignment_summary(aligned: DataFrame, samples: list[str] | None = None) -> D
     spread = [F.stddev_samp(c).alias(f"{c}_sd") for c in ("carbon_estimate", "m_over_c", "mass_defect") if c in aligned.columns]
     summary = aligned.groupBy("alignment_id").agg(*texts, *means, *spread)
     per_sample = aligned.groupBy("alignment_id", "sample").agg(F.avg("intensity").alias("value"))
-    n = aligned.agg(F.count_distinct("sample").cast("double").alias("_n"))
+    n = aligned.agg(F.count_distinct("sample").cast("double")).scalar()
     totals = per_sample.groupBy("alignment_id").agg(
         F.sum("value").alias("_sum"), F.count("value").alias("detection_count")
-    ).join(F.broadcast(n)).select(
-        "alignment_id", (F.coalesce("_sum", F.lit(0.0)) / F.col("_n")).alias("mean_intensity"), "detection_count"
-    )
+    ).select("alignment_id", (F.coalesce("_sum", F.lit(0.0)) / n).alias("mean_intensity"), "detection_count")
     result = summary.join(totals, "alignment_id", "left")
     if samples:
         wide = per_sample.groupBy("alignment_id").pivot("sample", samples).agg(F.avg("value")).na.fill(0.0)
@@ -214,11 +212,11 @@ def grid_ratio(rows: DataFrame, grid: DataFrame) -> DataFrame:
     NULL outside the grid or next to an empty node. `ratio` is rounded to one place and NULL when out
     of bounds (no value, or below 0.8); `ratio_status` says which.
     """
-    axes = grid.agg(F.array_sort(F.collect_set("y")).alias("_ys"), F.array_sort(F.collect_set("x")).alias("_xs"))
     largest = grid.agg(F.greatest(F.count_distinct("y"), F.count_distinct("x"))).first()[0]
     if largest > GRID_NODES:
         raise ValueError(f"grid axis with {largest} nodes; at most {GRID_NODES} are looked up in place")
-    placed = rows.join(F.broadcast(axes))
+    axes = {"_ys": "y", "_xs": "x"}
+    placed = rows.withColumns({n: grid.agg(F.array_sort(F.collect_set(c))).scalar() for n, c in axes.items()})
     for value, axis, lo, hi in (("md_over_c", "_ys", "_y0", "_y1"), ("m_over_c", "_xs", "_x0", "_x1")):
         v, a = F.col(value), F.col(axis)
         inside = (v >= F.get(a, 0)) & (v <= F.element_at(a, -1))

@@ -98,8 +98,5 @@ def screen(
 
 
 def _band(rows: DataFrame, value: str, lines: DataFrame) -> DataFrame:
-    lines = cut_lineage(lines)
-    q = lines.agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
-    low = lines.join(F.broadcast(q), F.col("q") == F.col("lo")).select("slope", "intercept")
-    high = lines.join(F.broadcast(q), F.col("q") == F.col("hi")).select("slope", "intercept")
-    return filters.regression_band(rows, value, low, high)
+    fitted = [(r.slope, r.intercept) for r in lines.orderBy("q").collect()]
+    return filters.regression_band(rows, value, fitted[0], fitted[-1]) if fitted else rows
