@@ -768,6 +768,12 @@ def pinball_cv(fx):
     return rows.select("model", *[scaled(c, c) for c in ("loss_lo", "loss_mid", "loss_hi", "coverage")], scaled("width", "width", 1e3))
 
 
+@query()
+def pinball_cv_spline(fx):
+    rows = regress.cross_validate_spline(fx.seed.where("fam % 4 = 0"), "id", "ccs", 0.1, 0.9)
+    return rows.select("model", *[scaled(c, c, 1e2) for c in ("loss_lo", "loss_mid", "loss_hi", "coverage", "width")])
+
+
 # --- whole plans --------------------------------------------------------------------------------
 
 def _screening(fx: Fixtures) -> screen_plan.Screening:

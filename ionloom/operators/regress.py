@@ -72,40 +72,93 @@ def _solver(group: list[str], quantiles: list[float], columns: list[str]):
 
 
 def _reweighted_lines(points: DataFrame, group: list[str], quantiles: list[float]) -> DataFrame:
+    design = points.withColumn("_one", F.lit(1.0))
+    curves = _reweighted(design, group, ["_one", "_x"], quantiles)
+    lines = curves.select(*group, "q", F.get("beta", 1).alias("slope"), F.get("beta", 0).alias("intercept"))
+    delta = pinball(F.col("_y"), F.col("slope") * F.col("_x") + F.col("intercept"), F.col("q"))
+    expanded = points.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+    joined = expanded.join(F.broadcast(lines), [*group, "q"])
+    return joined.groupBy(*group, "q", "slope", "intercept").agg(F.sum(delta).alias("loss"))
+
+
+def _reweighted(points: DataFrame, group: list[str], columns: list[str], quantiles: list[float]) -> DataFrame:
+    """(group..., q, beta) by iteratively reweighted least squares of `_y` on the columns.
+
+    Every round is one aggregate over all groups and quantiles; the small systems are solved on the
+    driver, so groups must be few (models times folds).
+    """
     spark = points.sparkSession
+    p = len(columns)
     expanded = points.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
-    lines = None
-    previous: dict = {}
+    fields = [f for f in points.schema.fields if f.name in group]
+    schema = T.StructType([*fields, T.StructField("q", T.DoubleType()), T.StructField("beta", T.ArrayType(T.DoubleType()))])
+    curves, previous = None, {}
     for _ in range(_IRLS_ROUNDS):
-        if lines is None:
-            weighted = expanded.withColumn("w", F.lit(1.0))
+        if curves is None:
+            weighted = expanded.withColumns({"_w": F.lit(1.0), "_loss": F.lit(0.0)})
         else:
-            joined = expanded.join(F.broadcast(lines), [*group, "q"])
-            delta = F.col("_y") - (F.col("slope") * F.col("_x") + F.col("intercept"))
+            fitted = sum((F.get("beta", i) * F.col(c) for i, c in enumerate(columns)), F.lit(0.0))
+            delta = F.col("_y") - fitted
             side = F.when(delta < 0, 1 - F.col("q")).otherwise(F.col("q"))
-            weighted = joined.withColumn("w", side / F.greatest(F.abs(delta), F.lit(1e-6)))
-        w, px, py = F.col("w"), F.col("_x"), F.col("_y")
+            weighted = expanded.join(F.broadcast(curves), [*group, "q"]).withColumns(
+                {"_w": side / F.greatest(F.abs(delta), F.lit(1e-6)), "_loss": pinball(F.col("_y"), fitted, F.col("q"))}
+            )
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
         sums = weighted.groupBy(*group, "q").agg(
-            F.sum(w).alias("w"), F.sum(w * px).alias("wx"), F.sum(w * py).alias("wy"),
-            F.sum(w * px * px).alias("wxx"), F.sum(w * px * py).alias("wxy"),
+            *[F.sum(F.col("_w") * F.col(columns[i]) * F.col(columns[j])).alias(f"m{i}_{j}") for i, j in pairs],
+            *[F.sum(F.col("_w") * F.col(columns[i]) * F.col("_y")).alias(f"v{i}") for i in range(p)],
+            F.sum("_loss").alias("loss"),
         ).collect()
+        losses = {(*[r[g] for g in group], r.q): r.loss for r in sums}
+        settled = curves is not None and all(abs(previous.get(k, np.inf) - v) <= 1e-6 * v for k, v in losses.items())
+        if settled:
+            break
+        previous = losses if curves is not None else {}
         current = {}
         for r in sums:
-            det = r.w * r.wxx - r.wx * r.wx
-            slope = (r.w * r.wxy - r.wx * r.wy) / det if det else 0.0
-            current[(*[r[g] for g in group], r.q)] = (slope, (r.wy - slope * r.wx) / r.w)
-        fields = [f for f in points.schema.fields if f.name in group]
-        schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in ("q", "slope", "intercept")])
-        lines = spark.createDataFrame([(*k, *v) for k, v in current.items()], schema)
-        moved = max((abs(a - b) for k in current for a, b in zip(current[k], previous.get(k, (np.inf, np.inf)))), default=0)
-        previous = current
-        if moved < 1e-6:
-            break
-    delta = pinball(F.col("_y"), F.col("slope") * F.col("_x") + F.col("intercept"), F.col("q"))
-    return (
-        expanded.join(F.broadcast(lines), [*group, "q"])
-        .groupBy(*group, "q", "slope", "intercept").agg(F.sum(delta).alias("loss"))
-    )
+            m = np.empty((p, p))
+            for i, j in pairs:
+                m[i, j] = m[j, i] = r[f"m{i}_{j}"]
+            beta = np.linalg.lstsq(m, np.array([r[f"v{i}"] for i in range(p)]), rcond=None)[0]
+            current[(*[r[g] for g in group], r.q)] = [float(x) for x in beta]
+        curves = spark.createDataFrame([(*k, v) for k, v in current.items()], schema)
+    return curves
+
+
+def quantile_curves(
+    points: DataFrame, group: list[str], columns: list[str], y: str, quantiles: list[float], task_rows: int | None = None
+) -> DataFrame:
+    """Quantile regression of y on several columns per group: (group..., q, beta).
+
+    Iteratively reweighted least squares: within one task for groups proven small, else one aggregate
+    per round.
+    """
+    points = cut_lineage(points.where(F.col(y).isNotNull()).select(*group, *columns, F.col(y).cast("double").alias("_y")))
+    limit = EXACT_ROWS if task_rows is None else task_rows
+    largest = points.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > limit:
+        return _reweighted(points, group, columns, quantiles)
+    fields = [f for f in points.schema.fields if f.name in group]
+    schema = T.StructType([*fields, T.StructField("q", T.DoubleType()), T.StructField("beta", T.ArrayType(T.DoubleType()))])
+    rounds = _IRLS_ROUNDS
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, actual = pdf[columns].to_numpy(), pdf["_y"].to_numpy()
+        out = []
+        for q in quantiles:
+            beta = np.linalg.lstsq(x, actual, rcond=None)[0]
+            for _ in range(rounds):
+                delta = actual - x @ beta
+                w = np.where(delta < 0, 1 - q, q) / np.maximum(np.abs(delta), 1e-6)
+                step = np.linalg.lstsq((x * w[:, None]).T @ x, (x * w[:, None]).T @ actual, rcond=None)[0]
+                done = np.max(np.abs(step - beta)) < 1e-6
+                beta = step
+                if done:
+                    break
+            out.append([*[pdf[g].iloc[0] for g in group], q, [float(b) for b in beta]])
+        return pd.DataFrame(out, columns=[*group, "q", "beta"])
+
+    return points.groupBy(*group).applyInPandas(solve, schema)
 
 
 def ccs_band(library: DataFrame, low: float = 0.10, high: float = 0.90, bias: float = -5.0) -> DataFrame:
@@ -143,16 +196,44 @@ def cross_validate(
     def at(name: str) -> Column:
         return F.col(f"{name}.slope") * F.col("x") + F.col(f"{name}.intercept")
 
+    return _fold_scores(test, "y", qs, [at(n) for n in ("lo", "mid", "hi")])
+
+
+def _fold_scores(test: DataFrame, y: str, qs: list[float], predicted: list[Column]) -> DataFrame:
+    """Losses, coverage and width per model and fold, averaged over the folds."""
+    lo, _, hi = predicted
     # Lines pass through data points: those count as covered whatever the last bit of the line says.
-    edge = F.lit(1e-9) * F.abs(F.col("y"))
-    covered = (F.col("y") >= at("lo") - edge) & (F.col("y") <= at("hi") + edge)
+    edge = F.lit(1e-9) * F.abs(F.col(y))
+    covered = (F.col(y) >= lo - edge) & (F.col(y) <= hi + edge)
+    names = ["loss_lo", "loss_mid", "loss_hi"]
     per_fold = test.groupBy("model", "fold").agg(
-        *[F.avg(pinball(F.col("y"), at(n), q)).alias(f"loss_{n}") for q, n in zip(qs, ("lo", "mid", "hi"))],
+        *[F.avg(pinball(F.col(y), at, q)).alias(n) for n, q, at in zip(names, qs, predicted)],
         F.avg(covered.cast("double")).alias("coverage"),
-        F.avg(at("hi") - at("lo")).alias("width"),
+        F.avg(hi - lo).alias("width"),
+    )
+    return per_fold.groupBy("model").agg(*[F.avg(n).alias(n) for n in [*names, "coverage", "width"]])
+
+
+def cross_validate_spline(
+    library: DataFrame, key: str, y: str, low: float, high: float, folds: int = 5, task_rows: int | None = None
+) -> DataFrame:
+    """The same scores for a cubic spline without inner knots in ln m/z, that is a cubic polynomial."""
+    qs = [low, 0.5, high]
+    u = F.ln("mz") - F.lit(6.0)
+    basis = {"_b0": F.lit(1.0), "_b1": u, "_b2": u * u, "_b3": u * u * u}
+    rows = cut_lineage(
+        library.where(F.col(y).isNotNull() & (F.col("mz") > 0)).select(
+            F.pmod(F.col(key), F.lit(folds)).cast("int").alias("own_fold"), F.col(y).alias("y"), *[c.alias(n) for n, c in basis.items()]
+        )
+    )
+    train = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own_fold")
+    curves = quantile_curves(train, ["fold"], list(basis), "y", qs, task_rows)
+    wide = curves.groupBy("fold").agg(
+        *[F.max(F.when(F.col("q") == q, F.col("beta"))).alias(n) for q, n in zip(qs, ("lo", "mid", "hi"))]
     )
-    names = ["loss_lo", "loss_mid", "loss_hi", "coverage", "width"]
-    return per_fold.groupBy("model").agg(*[F.avg(n).alias(n) for n in names])
+    test = rows.withColumnRenamed("own_fold", "fold").join(wide, "fold").withColumn("model", F.lit("spline"))
+    predicted = [sum((F.get(n, i) * F.col(c) for i, c in enumerate(basis)), F.lit(0.0)) for n in ("lo", "mid", "hi")]
+    return _fold_scores(test, "y", qs, predicted)
 
 
 def group_trends(

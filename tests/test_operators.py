@@ -218,7 +218,8 @@ def test_sample_column_resolution(spark):
     assert got == {"S1": "run S10.d", "S10": "S10"}
 
 
-def test_exact_quantile_line_equals_pair_enumeration_and_irls_agrees(spark):
+def test_exact_quantile_line_equals_pair_enumeration_and_irls_agrees(spark, monkeypatch):
+    monkeypatch.setattr(regress, "_IRLS_ROUNDS", 40)
     rng = np.random.default_rng(29)
     x = rng.uniform(1, 5, 60)
     y = 3 * x + rng.exponential(1, 60)
@@ -234,6 +235,25 @@ def test_exact_quantile_line_equals_pair_enumeration_and_irls_agrees(spark):
         assert math.isclose(loose.loss, best, rel_tol=1e-3)
 
 
+def test_spline_scores_agree_between_task_and_aggregate_fits(spark, monkeypatch):
+    monkeypatch.setattr(regress, "_IRLS_ROUNDS", 40)
+    rng = np.random.default_rng(37)
+    mz = rng.uniform(100, 1500, 80)
+    rows = [(i, float(m), float(40 * np.log(m) ** 2 - 150 + rng.normal(0, 3))) for i, m in enumerate(mz)]
+    df = spark.createDataFrame(rows, "id long, mz double, ccs double")
+    inside = regress.cross_validate_spline(df, "id", "ccs", 0.1, 0.9, folds=2).first()
+    lines = {r.model: r for r in regress.cross_validate(df, "id", "ccs", 0.1, 0.9, folds=2).collect()}
+    assert inside.loss_mid < lines["logarithmic"].loss_mid < lines["linear"].loss_mid
+    u = F.ln("mz") - 6.0
+    design = df.withColumns({"g": F.lit(1), "a": F.lit(1.0), "b": u, "c": u * u})
+    one = regress.quantile_curves(design, ["g"], ["a", "b", "c"], "ccs", [0.5]).first().beta
+    many = regress.quantile_curves(design, ["g"], ["a", "b", "c"], "ccs", [0.5], task_rows=5).first().beta
+    x = np.column_stack([np.ones(80), np.log(mz) - 6, (np.log(mz) - 6) ** 2])
+    y = np.array([r[2] for r in rows])
+    losses = [np.abs(y - x @ np.array(beta)).sum() for beta in (one, many)]
+    assert math.isclose(*losses, rel_tol=1e-4)
+
+
 def test_group_trends_match_a_sequential_search(spark):
     rng = np.random.default_rng(31)
     rows = []
