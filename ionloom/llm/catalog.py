@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ionloom.llm import exact_dedup
+from ionloom.llm import exact_dedup, packing, sharding
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_sharding": sharding.op2_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
