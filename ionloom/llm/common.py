@@ -55,11 +55,11 @@ def heavy_keys(counts: DataFrame, key: str, total: int, block: int = BLOCK_ROWS)
 def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str, heavy: DataFrame | None, salt: Column) -> DataFrame:
     """`rows` joined with `table` on `key`; heavy keys are dealt over `_parts` tasks by the hash `salt`.
 
-    The list of heavy keys is small by construction (see `heavy_keys`) and is broadcast.
+    The list of heavy keys is small by construction (see `heavy_keys`) and is broadcast; the table is not, at any size.
     """
     if heavy is None:
-        return rows.join(table, key, how)
+        return rows.join(table.hint("shuffle_hash"), key, how)
     parts = F.coalesce("_parts", F.lit(1))
     dealt = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(salt, parts).cast("int")).drop("_parts")
     copies = table.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.join(copies.drop("_parts"), [key, "_salt"], how).drop("_salt")
+    return dealt.join(copies.drop("_parts").hint("shuffle_hash"), [key, "_salt"], how).drop("_salt")
