@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ionloom.llm import exact_dedup, packing, sharding
+from ionloom.llm import exact_dedup, near_dup, packing, sharding
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_sharding": sharding.op2_sharding,
+    "op8_minhash_near_dedup": near_dup.op8_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op8_minhash_near_dedup": near_dup.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
