@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from ionloom.llm import exact_dedup, near_dup, packing, sharding
+from ionloom.llm import exact_dedup, near_dup, packing, sharding, substrings
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_sharding": sharding.op2_sharding,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op8_minhash_near_dedup": near_dup.op8_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op5_substring_dedup": substrings.OP5_SQL,
     "op8_minhash_near_dedup": near_dup.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
