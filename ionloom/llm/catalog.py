@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ionloom.llm import exact_dedup, near_dup, packing, sharding, substrings
+from ionloom.llm import exact_dedup, near_dup, packing, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_minhash_near_dedup": near_dup.op8_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
