@@ -30,6 +30,7 @@ from ionloom.llm.labelled import held_out, training_labels
 SHRINK, POOL = 0.2, 0.1
 #: A log-density difference is divided by this before the logistic, which keeps scores from 0 and 1.
 SOFTEN = 4.0
+PRIOR_WORDS, PRIOR_BYTES = 30, 150
 
 _UPPER = np.arange(65, 91)
 _LOWER = np.arange(97, 123)
@@ -50,24 +51,31 @@ def _logit(share: float) -> float:
 
 
 def statistics(text: str | None) -> list[float]:
-    """The transformed statistics of a text, in the order of STATISTICS."""
+    """The transformed statistics of a text, in the order of STATISTICS.
+
+    Shares are drawn to those of usual prose by PRIOR_WORDS words and PRIOR_BYTES bytes, so that a text of a
+    few words is not odd for what few words must look like.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass")
     bins = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     words = raw.split()
-    n, size = max(1, len(words)), max(1, len(raw) - int(bins[_WHITE].sum()))
+    n, size = len(words), len(raw) - int(bins[_WHITE].sum())
     counts: dict[bytes, int] = {}
     for word in words:
         counts[word] = counts.get(word, 0) + 1
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    letters = max(1, int(bins[_UPPER].sum() + bins[_LOWER].sum()))
     again = sum(a == b for a, b in zip(words, words[1:]))
-    expected = 1 + np.log1p(len(words))  # the share of distinct words falls with length
+    w, b = n + PRIOR_WORDS, size + PRIOR_BYTES
+
+    def of_bytes(count: int, usual: float) -> float:
+        return _logit((count + usual * PRIOR_BYTES) / b)
+
     return [
-        float(np.log1p(len(words))), float(np.log(size / n)), _logit(bins[_UPPER].sum() / letters), _logit(bins[_DIGITS].sum() / size),
-        _logit(bins[_STOPS].sum() / size), _logit(bins[_SIGNS].sum() / size), _logit(bins[124] / size), _logit(bins[33] / size),
-        _logit(bins[128:].sum() / size), _logit(len(counts) / n) * float(np.sqrt(expected) / 2), _logit(max(counts.values(), default=0) / n),
-        _logit(again / n), float(np.log1p(n / max(1, len(lines)))), _logit(len(set(lines)) / max(1, len(lines))),
-        _logit(sum(w[:1].isupper() for w in words) / n),
+        float(np.log(w)), float(np.log(b / w)), of_bytes(bins[_UPPER].sum(), 0.02), of_bytes(bins[_DIGITS].sum(), 0.001),
+        of_bytes(bins[_STOPS].sum(), 0.02), of_bytes(bins[_SIGNS].sum(), 0.0), of_bytes(bins[124], 0.0), of_bytes(bins[33], 0.0),
+        of_bytes(bins[128:].sum(), 0.05), _logit((len(counts) + PRIOR_WORDS) / w) * float(np.sqrt(np.log(w)) / 2), _logit(max(counts.values(), default=0) / w),
+        _logit(again / w), float(np.log((n + PRIOR_WORDS) / (len(lines) + 1))), _logit((len(set(lines)) + 5) / (len(lines) + 5)),
+        _logit((sum(x[:1].isupper() for x in words) + 0.1 * PRIOR_WORDS) / w),
     ]
 
 
