@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ionloom.llm import exact_dedup, near_dup, packing, quality, sharding, substrings, toxicity
+from ionloom.llm import exact_dedup, fingerprint, near_dup, packing, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_quality": quality.op7_quality,
     "op8_minhash_near_dedup": near_dup.op8_minhash_near_dedup,
+    "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
