@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ionloom.llm import exact_dedup, fingerprint, near_dup, packing, quality, sharding, substrings, toxicity
+from ionloom.llm import chat, exact_dedup, fingerprint, near_dup, packing, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_sharding": sharding.op2_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality": quality.op7_quality,
     "op8_minhash_near_dedup": near_dup.op8_minhash_near_dedup,
     "op9_fingerprints": fingerprint.op9_fingerprints,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_chat_formatting": chat.OP6_SQL,
     "op5_substring_dedup": substrings.OP5_SQL,
     "op8_minhash_near_dedup": near_dup.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
