@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ionloom.llm import chat, exact_dedup, fingerprint, near_dup, packing, quality, sharding, substrings, toxicity
+from ionloom.llm import chat, exact_dedup, fingerprint, near_dup, packing, pieces, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_sharding": sharding.op2_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality": quality.op7_quality,
