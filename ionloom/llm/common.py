@@ -63,3 +63,14 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str, heavy: Da
     dealt = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(salt, parts).cast("int")).drop("_parts")
     copies = table.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(copies.drop("_parts").hint("shuffle_hash"), [key, "_salt"], how).drop("_salt")
+
+
+def sealed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that names an operator uses meet none of the input's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("string")).alias("_rest"))
+
+
+def unsealed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The `columns` that `sealed` put away, in their order."""
+    return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in columns])

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import documents, heavy_keys, salted_join, text_or_empty, written
+from ionloom.llm.common import documents, heavy_keys, salted_join, sealed, text_or_empty, unsealed, written
 
 #: Digests of one segment, and so of one filter: bounds the memory of a task.
 SEGMENT_KEYS = 250_000
@@ -247,12 +247,12 @@ def _by_text(docs: DataFrame, rows: DataFrame, alike: DataFrame, clashes: DataFr
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that an equal text displaces, columns as given; the pipeline's stage."""
     gone = written(exact_dedup(docs).where("not kept").select("doc_id", F.col("digest").alias("_digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same")), "gone")
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(), 256)))
+    marked = sealed(docs).withColumn("_digest", F.unhex(F.sha2(normalised(), 256)))
     losers = gone.where("not same").select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d")).distinct()
     left = marked.join(losers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_anti")
     if gone.where("same").head(1):  # whole rows that are repeated, with one doc_id
         left = left.dropDuplicates(["doc_id", "_digest"])
-    return left.select(*docs.columns)
+    return unsealed(left, docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import documents, text_or_empty, written
+from ionloom.llm.common import documents, sealed, text_or_empty, unsealed, written
 from ionloom.llm.shingles import min_hashes, permutations, shingle_set
 from ionloom.operators.components import connected_components
 
@@ -224,9 +224,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 def near_dedup_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each component, columns as given; the pipeline's stage."""
     losers = written(near_duplicates(docs, words, similarity).where("not kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct(), "losers")
-    marked = docs.withColumn("_row", F.xxhash64(text_or_empty()))
+    marked = sealed(docs).withColumn("_row", F.xxhash64(text_or_empty()))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
-    return marked.join(losers.hint("shuffle_hash"), same, "left_anti").select(*docs.columns)
+    return unsealed(marked.join(losers.hint("shuffle_hash"), same, "left_anti"), docs.columns)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

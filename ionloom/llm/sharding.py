@@ -139,32 +139,33 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int = 0) -> DataFr
 def shard(rows: DataFrame, key: list[str], shards: int = SHARDS, seed: int = 0, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """`rows` with shard and slot (gapless from 0 in each shard): a uniform shuffle with exact shard sizes.
 
-    `key`: columns that tell rows apart; rows that agree in them are ordered by all columns.
+    `key`: columns that tell rows apart; rows that agree in them are interchangeable. Columns of the input
+    named shard or slot are replaced.
     """
-    total = rows.count()
-    parts = max(1, math.ceil(total / partition_rows))
-    names = rows.columns
-    spread = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)).cast("long"))
+    parts = max(1, math.ceil(rows.count() / partition_rows))
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
+    keyed = rows.select(F.struct(*[f"`{c}`" for c in names]).alias("row"), F.struct(*key).alias("key"))
+    spread = keyed.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(parts)).cast("long"))
     matrix = communication_matrix(spread.groupBy("part").agg(F.count(F.lit(1)).alias("n")), shards, seed)
     ends = F.aggregate("sends", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
     matrix = matrix.select("part", ends.alias("ends"))
 
-    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 2), *key), *key)
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 2), "key"), "key")
     dealt = spread.withColumn("_rank", F.row_number().over(local)).join(matrix, "part")
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("_rank"))).cast("int"))
 
     # In a shard: by a random number, first roughly into blocks of bounded size, then exactly within each.
-    blocks = max(1, math.ceil(total / shards / partition_rows))
+    blocks = max(1, math.ceil(parts / shards))
     dealt = dealt.withColumn("_at", _uniform(seed + 3, F.col("part"), F.col("_rank")))
     dealt = dealt.withColumn("_block", F.floor(F.col("_at") * blocks).cast("int"))
     within = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_at", "part", "_rank")) - 1
     dealt = dealt.withColumn("_within", within.cast("long"))
     if blocks == 1:
-        return dealt.select(*names, "shard", F.col("_within").alias("slot"))
+        return dealt.select("row.*", "shard", F.col("_within").alias("slot"))
     sizes = dealt.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("shard", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    return dealt.join(sizes, ["shard", "_block"]).select(*names, "shard", (F.col("_before") + F.col("_within")).alias("slot"))
+    return dealt.join(sizes, ["shard", "_block"]).select("row.*", "shard", (F.col("_before") + F.col("_within")).alias("slot"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

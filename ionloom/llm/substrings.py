@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import documents, text_or_empty, written
+from ionloom.llm.common import documents, sealed, text_or_empty, written
 from ionloom.llm.shingles import run_hashes, word_hashes
 
 WINDOW = 50
@@ -255,7 +255,7 @@ def substring_dedup_documents(docs: DataFrame, window: int = WINDOW, minimiser:
     A removed word takes the white space after it along. n_chars is that of the new text. A document none of
     whose words are left goes; one that had no words from the start stays as it is.
     """
-    rows = _keyed(docs)
+    rows = _keyed(sealed(docs))
     suspects, spans = repeated_windows(rows, window, minimiser)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +271,16 @@ def substring_dedup_documents(docs: DataFrame, window: int = WINDOW, minimiser:
     cut = suspects.select("id", "row_key", "text").join(spans, ["id", "row_key"]).select("id", "row_key", "text", "spans")
     cut = written(cut.mapInArrow(rest, "id long, row_key long, new_text string").dropDuplicates(["id", "row_key"]), "cut")
     out = rows.join(cut.hint("shuffle_hash"), ["id", "row_key"], "left").where("new_text is null or new_text <> ''")
-    changed = {"text": F.coalesce("new_text", "text"), "n_chars": F.when(F.col("new_text").isNotNull(), F.char_length("new_text")).otherwise(F.col("n_chars")).cast("long")}
-    return out.withColumns(changed).select(*docs.columns)
+    fields = []
+    for c in docs.columns:
+        if c == "text":
+            fields.append(F.coalesce("new_text", "text").alias("text"))
+        elif c == "n_chars":
+            old = F.col("_rest").getField(c)
+            fields.append(F.when(F.col("new_text").isNotNull(), F.char_length("new_text")).otherwise(old).cast(docs.schema[c].dataType).alias(c))
+        else:
+            fields.append(F.col(c) if c == "doc_id" else F.col("_rest").getField(c).alias(c))
+    return out.select(*fields)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
