@@ -9,10 +9,11 @@ a similarity of exactly 0.8 fewer agree with a probability below 1e-9. So, with
 by how many classes share them, its MATCHES - 1 most frequent pairs can be skipped: two classes that agree in
 MATCHES pairs agree in one of the others. What is left are short lists, but for the lists of real near copies.
 
-Every list first tests its members against one of them, its hub; then only members that are not yet
-connected are tested with each other, so that a group of near copies costs about as many tests as it has
-members. Long lists are compared block by block on signatures, which emits survivors only. A candidate must
-agree in enough coordinates of the whole signature before its texts are compared.
+Every list first tests its members against one of them, its hub: the member whose pairs are shared most, which
+is the text that others are copies of. Then only members of a hub that are not yet connected are tested with
+each other, so that a group of near copies costs about as many tests as it has members. That is done block by
+block on signatures and emits survivors only. A candidate must agree in enough coordinates of the whole
+signature before its texts are compared.
 
 Null and empty texts have no shingles and are linked with nothing. Rows with a null doc_id take part; they
 never name a component that has another doc_id. An empty table gives no rows; columns other than doc_id and
@@ -41,8 +42,8 @@ MATCHES = 20
 SIGNATURE = 128
 #: Of the whole signature, at a similarity of 0.8 fewer agree with a probability below 1e-8.
 AGREEING = 74
-#: Members of a list that are compared in one block.
-BLOCK = 512
+#: Members of a hub that are compared in one block.
+BLOCK = 256
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -87,13 +88,13 @@ def _tokens(classes: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, cid) of the pairs that are not skipped, in lists of two members or more."""
+    """(token, cid, score) of the pairs that are not skipped; the score of a class is how often others share its pairs."""
     tokens = _tokens(classes)
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     common = tokens.join(shared.hint("shuffle_hash"), "token")
     own = F.sort_array(F.collect_list(F.struct("n", "token")), asc=False)  # COORDINATES at most
-    kept = common.groupBy("cid").agg(F.slice(own, MATCHES, COORDINATES).alias("own")).where(F.size("own") > 0)
-    return kept.select("cid", F.explode("own.token").alias("token"))
+    kept = common.groupBy("cid").agg(F.slice(own, MATCHES, COORDINATES).alias("own"), F.sum("n").alias("score")).where(F.size("own") > 0)
+    return kept.select("cid", "score", F.explode("own.token").alias("token"))
 
 
 def _agree(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -106,7 +107,7 @@ def _agree(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The distinct (a, b), a < b, of `pairs` whose set sizes and signatures allow the similarity."""
+    """The (a, b) of `pairs` whose set sizes and signatures allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,11 +115,11 @@ def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
                 keep = pa.array(_agree(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
                 yield batch.select(["a", "b"]).filter(keep)
 
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    side = {x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"sig{x}")).hint("shuffle_hash") for x in "ab"}
-    both = ordered.join(side["a"], "a").join(side["b"], "b")
+    size = {x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}")).hint("shuffle_hash") for x in "ab"}
+    sig = {x: classes.select(F.col("cid").alias(x), F.col("sig").alias(f"sig{x}")).hint("shuffle_hash") for x in "ab"}
     fits = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
-    return both.where(fits).select("a", "b", "siga", "sigb").mapInArrow(run, "a long, b long")
+    fitting = pairs.join(size["a"], "a").join(size["b"], "b").where(fits).select("a", "b")
+    return fitting.join(sig["b"], "b").join(sig["a"], "a").select("a", "b", "siga", "sigb").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -148,55 +149,104 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, lists: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) from different components in long lists, compared block by block; only pairs that pass are emitted."""
+def _in_blocks(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(hub, i, j, a, b): pairs around a hub from different components that pass, compared block by block.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[part["side"] == 0], part[part["side"] == 1]
-        sizes, comps, sigs = right["n_shingles"].to_numpy(), right["comp"].to_numpy(), right["sig"].to_list()
-        found = []
-        for cid, size, comp, sig in zip(left["cid"], left["n_shingles"], left["comp"], left["sig"]):
-            at = np.flatnonzero((comps != comp) & (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size) - 1e-9))
-            if len(at):
-                at = at[_agree([sig] * len(at), [sigs[i] for i in at])]
-                found.append(pd.DataFrame({"a": cid, "b": right["cid"].to_numpy()[at]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    `members` (hub, n, cid, comp): everything that shares a list with the hub, n of them. Every pair of blocks
+    of a hub is compared in one task and read as a stream, whatever the number of hubs.
+    """
+
+    def settle(key: tuple, cids, comps, sizes, blocks, sigs) -> list[tuple]:
+        out = []
+        cids, comps, sizes, blocks = (np.array(x) for x in (cids, comps, sizes, blocks))
+        right = np.flatnonzero(blocks == key[2])
+        for at in np.flatnonzero(blocks == key[1]):
+            near = right[(comps[right] != comps[at]) & (cids[right] != key[0])]
+            if key[1] == key[2]:
+                near = near[cids[near] > cids[at]]
+            near = near[np.minimum(sizes[near], sizes[at]) >= similarity * np.maximum(sizes[near], sizes[at]) - 1e-9]
+            if len(near) and cids[at] != key[0]:  # the hub itself has been tested with all of them
+                near = near[_agree([sigs[at]] * len(near), [sigs[i] for i in near])]
+                out += [(*key, int(cids[at]), int(c)) for c in cids[near]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hub", "i", "j", "a", "b"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        key, rows = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != key:
+                    out += settle(key, *zip(*rows)) if len(rows) > 1 else []
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+        out = settle(key, *zip(*rows)) if len(rows) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
-    long = members.join(lists, "token")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    long = long.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    sides = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
-        lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")),
-    )
-    dealt = long.select("token", "cid", "comp", "block", F.explode(sides).alias("p"))
-    # A member of block i meets those of j as the left side; within a block it is on both sides.
-    dealt = dealt.select("token", "cid", "comp", "p.i", "p.j", F.explode(F.when(F.col("p.i") == F.col("p.j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("block") == F.col("p.j")).cast("int")))).alias("side"))
+    placed = members.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
+    dealt = placed.select("hub", "cid", "comp", "block", F.explode(sides).alias("p"))
     dealt = dealt.join(classes.select("cid", "n_shingles", "sig").hint("shuffle_hash"), "cid")
-    return dealt.groupBy("token", "i", "j").applyInPandas(run, "a long, b long")
+    dealt = dealt.select("hub", "p.i", "p.j", "cid", "comp", "n_shingles", "block", "sig")
+    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "hub long, i int, j int, a long, b long")
+
+
+def _confirmed_in_blocks(crossing: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of `crossing` (hub, i, j, a, b) that reach the similarity; a block's texts travel once, not once per pair.
+
+    Pairs that confirmed links of the block already connect are left out.
+    """
+    percent = round(similarity * 100)
+
+    def run(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        sets = {c: shingle_set(t, words) for c, t in zip(held["cid"], held["text"])}
+        parent = {c: c for c in sets}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for a, b in zip(pairs["a"], pairs["b"]):
+            if root(a) != root(b):
+                x, y = sets[a], sets[b]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    parent[root(a)] = root(b)
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    block = [F.col(c).alias(c) for c in ("hub", "i", "j")]  # columns of their own, as both sides come from one table
+    involved = crossing.select(*block, F.explode(F.array("a", "b")).alias("cid")).distinct()
+    held = involved.join(texts.hint("shuffle_hash"), "cid")
+    return crossing.groupBy("hub", "i", "j").cogroup(held.groupBy("hub", "i", "j")).applyInPandas(run, "a long, b long")
 
 
 def links(classes: DataFrame, lists: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(cid, component) of classes linked with others, by tests against hubs and then between components."""
-    hubs = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("hub")).select("token", F.col("hub.cid").alias("hub"))
-    stars = lists.join(hubs.hint("shuffle_hash"), "token").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
-    tested = written(_promising(stars, classes, similarity), "tested")
-    first = written(_confirmed(tested, texts, words, similarity), "links")
+    """(cid, component) of classes linked with others, by tests against hubs and then between components.
+
+    The hub of a list is its member with the highest score: of a text and its near copies, the text.
+    """
+    top = F.max(F.struct("score", F.xxhash64("cid").alias("h"), "cid")).alias("hub")
+    hubs = lists.groupBy("token").agg(top, F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.col("hub.cid").alias("hub"))
+    stars = written(lists.join(hubs.hint("shuffle_hash"), "token").select("hub", "cid").distinct(), "stars")
+    tested = _promising(stars.where("hub <> cid").select(F.col("cid").alias("a"), F.col("hub").alias("b")), classes, similarity)
+    first = written(_confirmed(written(tested, "tested"), texts, words, similarity), "links")
     parts = connected_components(first, "a", "b")
 
-    members = lists.join(parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
-    members = written(members.select("token", "cid", F.coalesce("component", "cid").alias("comp")), "members")
-    mixed = members.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "n")
-    mixed = written(mixed, "mixed")
-    short = members.join(mixed.where(F.col("n") <= BLOCK).select("token"), "token")
-    other = short.select("token", F.col("cid").alias("b"), F.col("comp").alias("other"))
-    pairs = short.join(other, "token").where((F.col("cid") < F.col("b")) & (F.col("comp") != F.col("other"))).select(F.col("cid").alias("a"), "b")
-    pairs = _promising(pairs, classes, similarity)
-    if mixed.where(F.col("n") > BLOCK).head(1):
-        crossing = _block_pairs(members, mixed.where(F.col("n") > BLOCK), classes, similarity)
-        pairs = pairs.unionByName(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "crossing")
-    return connected_components(first.unionByName(_confirmed(pairs, texts, words, similarity)), "a", "b")
+    members = stars.join(parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
+    members = written(members.select("hub", "cid", F.coalesce("component", "cid").alias("comp")), "members")
+    mixed = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and n > 2")
+    around = members.join(mixed.select("hub", "n").hint("shuffle_hash"), "hub")
+    crossing = written(_in_blocks(around, classes, similarity), "crossing")
+    more = _confirmed_in_blocks(crossing, texts, words, similarity)
+    return connected_components(first.unionByName(more), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
