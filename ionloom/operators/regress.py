@@ -13,152 +13,155 @@ from ionloom.operators.ordered import with_rank
 from ionloom.operators.skew import spread_join
 from ionloom.session import cut_and_count, cut_lineage
 
-EXACT_ROWS = 5_000
-_IRLS_ROUNDS = 200
+#: Points near a line that one task solves for; grows with the two-thirds power of a group.
+NEAR_ROWS = 4_096
+_ROUNDS = 40
 
 
 def quantile_lines(
-    points: DataFrame, group: list[str], x: str, y: str, quantiles: list[float], exact_rows: int | None = None
+    points: DataFrame, group: list[str], x: str, y: str, quantiles: list[float], near_rows: int = NEAR_ROWS
 ) -> DataFrame:
-    """Quantile-regression line y ~ x per group and quantile: (group..., q, slope, intercept, loss).
+    """Quantile-regression line y ~ x per group and quantile: (group..., q, slope, intercept, loss)."""
+    design = points.select(*group, F.lit(1.0).alias("_one"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    curves = quantile_curves(design, group, ["_one", "_x"], "_y", quantiles, near_rows)
+    return curves.select(*group, "q", F.get("beta", 1).alias("slope"), F.get("beta", 0).alias("intercept"), "loss")
 
-    Groups proven small are solved exactly: some optimal line passes through a data point, and the
-    best line through a given point is a weighted quantile of the slopes to the others. Larger ones
-    are fitted by iteratively reweighted least squares, one aggregate over all groups per round.
-    """
-    points = cut_lineage(
-        points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    )
-    limit = EXACT_ROWS if exact_rows is None else exact_rows
-    largest = points.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > limit:
-        return _reweighted_lines(points, group, quantiles)
-    fields = [f for f in points.schema.fields if f.name in group]
-    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in ("q", "slope", "intercept", "loss")])
-
-    solve = _solver(group, quantiles, [f.name for f in schema.fields])
-    return points.groupBy(*group).applyInPandas(solve, schema)
-
-
-def _solver(group: list[str], quantiles: list[float], columns: list[str]):
-    """Group function of the exact fit; self-contained, so that it travels to the workers by value."""
-
-    def exact_line(x: np.ndarray, y: np.ndarray, q: float) -> tuple[float, float, float]:
-        best = (np.inf, 0.0, 0.0)
-        for x0, y0 in zip(x, y):
-            dx, dy = x - x0, y - y0
-            away = dx != 0
-            slope = 0.0
-            if away.any():
-                ratio, weight = dy[away] / dx[away], np.abs(dx[away])
-                order = np.argsort(ratio)
-                need = np.where(dx[away] > 0, q, 1 - q) @ weight
-                slope = float(ratio[order][np.searchsorted(np.cumsum(weight[order]), need - 1e-12 * weight.sum())])
-            intercept = y0 - slope * x0
-            delta = y - (slope * x + intercept)
-            candidate = (float(np.maximum(q * delta, (q - 1) * delta).sum()), slope, float(intercept))
-            if candidate < best:
-                best = candidate
-        loss, slope, intercept = best
-        return slope, intercept, loss
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        px, py = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
-        out = [[*[pdf[g].iloc[0] for g in group], q, *exact_line(px, py, q)] for q in quantiles]
-        return pd.DataFrame(out, columns=columns)
 
-    return solve
+def quantile_curves(
+    points: DataFrame, group: list[str], columns: list[str], y: str, quantiles: list[float], near_rows: int = NEAR_ROWS
+) -> DataFrame:
+    """Exact quantile regression of y on `columns` per group: (group..., q, beta, loss). Groups are not null.
 
+    The optimum depends on far points only by the side of the curve they lie on. So each round splits the
+    points of every group and quantile at the current curve: those far above and far below are summed up, those
+    near it go to one task that solves for the best vertex with the sums as a linear term. If no summed point
+    has changed sides, that vertex is the optimum of all points; else the round is repeated from it with twice
+    as many near points. Every group goes its own way, whatever the size of others, and nothing is collected.
+    """
+    known = F.lit(True)
+    for c in [*columns, y]:
+        known = known & F.col(c).isNotNull()
+    width = len(columns)
+    rows = points.where(known).select(*group, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"), F.col(y).cast("double").alias("_y"))
+    numbered = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles)])
+    rows, total = cut_and_count(rows.withColumn("_q", F.explode(numbered)).select("*", F.col("_q.q").alias("q"), F.col("_q.i").alias("_i")).drop("_q"))
+    keys = [*group, "q"]
+    fields = [f for f in rows.schema.fields if f.name in keys]
+    state_schema = T.StructType([*fields, T.StructField("beta", T.ArrayType(T.DoubleType()))])
+
+    def fitted(beta: str) -> Column:
+        return sum((F.get("_x", i) * F.get(beta, i) for i in range(width)), F.lit(0.0))
+
+    state = _least_squares(rows, keys, width, state_schema)
+    solve = _vertex_solver(keys, width, [f.name for f in state_schema.fields])
+    done, active, near_rows_now = [], rows, near_rows
+    for _ in range(_ROUNDS):
+        placed = cut_lineage(spread_join(active, state, keys, total=total).withColumn("_r", F.col("_y") - fitted("beta")).drop("beta"))
+        middle = placed.groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_r", [float(q) for q in quantiles]).alias("_m"))
+        middle = middle.select(*keys, "_n", F.get("_m", F.col("_i")).alias("_mid"))
+        offset = spread_join(placed, middle, keys, total=total).withColumn("_d", F.abs(F.col("_r") - F.col("_mid")))
+        steps = [2.0**-k for k in range(40)]
+        share = F.greatest(F.lit(near_rows_now) / F.col("_n"), F.pow(F.col("_n").cast("double"), -1 / 3))
+        widths = offset.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_mid").alias("_mid"), F.percentile_approx("_d", steps).alias("_w"))
+        at = F.floor(-F.log2(F.least(share, F.lit(1.0)))).cast("int")
+        widths = cut_lineage(widths.select(*keys, "_mid", F.when(F.col("_n") <= near_rows_now, F.lit(float("inf"))).otherwise(F.get("_w", at)).alias("_w")))
+        offset = spread_join(placed, widths, keys, total=total).withColumn("_side", F.when(F.col("_r") > F.col("_mid") + F.col("_w"), 1).when(F.col("_r") < F.col("_mid") - F.col("_w"), -1).otherwise(0))
+        offset = cut_lineage(offset.drop("_mid", "_w", "_r"))
+        weight = F.when(F.col("_side") > 0, F.col("q")).otherwise(F.col("q") - 1)
+        far = offset.where("_side <> 0").groupBy(*keys).agg(F.array(*[F.sum(weight * F.get("_x", i)) for i in range(width)]).alias("_far"))
+        start = state.join(far, keys, "left")
+        near = offset.where("_side = 0").groupBy(*keys).cogroup(start.groupBy(*keys))
+        state = cut_lineage(near.applyInPandas(solve, state_schema))
+        moved = spread_join(offset, state, keys, total=total).withColumn("_r", F.col("_y") - fitted("beta"))
+        wrong = F.count_if(F.col("_r") * F.col("_side") < 0)
+        verdict = cut_lineage(moved.groupBy(*keys).agg(wrong.alias("_wrong"), F.sum(pinball(F.col("_r"), F.lit(0.0), F.col("q"))).alias("loss")))
+        done.append(state.join(verdict.where("_wrong = 0").drop("_wrong"), keys))
+        open_keys = verdict.where("_wrong > 0").select(*keys)
+        if open_keys.isEmpty():
+            break
+        active = cut_lineage(spread_join(active, open_keys, keys, "left_semi", total=total))
+        state = state.join(open_keys, keys, "left_semi")
+        near_rows_now *= 2
+    else:
+        raise RuntimeError("a quantile fit did not reach its optimum")
+    result = done[0]
+    for part in done[1:]:
+        result = result.unionByName(part)
+    return result
 
-def _reweighted_lines(points: DataFrame, group: list[str], quantiles: list[float]) -> DataFrame:
-    design = points.withColumn("_one", F.lit(1.0))
-    curves = _reweighted(design, group, ["_one", "_x"], quantiles)
-    lines = curves.select(*group, "q", F.get("beta", 1).alias("slope"), F.get("beta", 0).alias("intercept"))
-    delta = pinball(F.col("_y"), F.col("slope") * F.col("_x") + F.col("intercept"), F.col("q"))
-    expanded = points.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
-    joined = expanded.join(F.broadcast(lines), [*group, "q"])
-    return joined.groupBy(*group, "q", "slope", "intercept").agg(F.sum(delta).alias("loss"))
 
+def _least_squares(rows: DataFrame, keys: list[str], width: int, schema: T.StructType) -> DataFrame:
+    """(keys..., beta) by least squares: where the search for the quantile curve starts."""
+    pairs = [(i, j) for i in range(width) for j in range(width)]
+    sums = rows.groupBy(*keys).agg(
+        F.array(*[F.sum(F.get("_x", i) * F.get("_x", j)) for i, j in pairs]).alias("m"),
+        F.array(*[F.sum(F.get("_x", i) * F.col("_y")) for i in range(width)]).alias("v"),
+    )
 
-def _reweighted(points: DataFrame, group: list[str], columns: list[str], quantiles: list[float]) -> DataFrame:
-    """(group..., q, beta) by iteratively reweighted least squares of `_y` on the columns.
+    def run(batches):
+        for part in batches:
+            beta = [np.linalg.lstsq(np.reshape(m, (width, width)), v, rcond=None)[0].tolist() for m, v in zip(part["m"], part["v"])]
+            yield part[keys].assign(beta=beta)
 
-    Every round is one aggregate over all groups and quantiles; the small systems are solved on the
-    driver, so groups must be few (models times folds).
-    """
-    spark = points.sparkSession
-    p = len(columns)
-    expanded = points.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
-    fields = [f for f in points.schema.fields if f.name in group]
-    schema = T.StructType([*fields, T.StructField("q", T.DoubleType()), T.StructField("beta", T.ArrayType(T.DoubleType()))])
-    curves, previous = None, {}
-    for _ in range(_IRLS_ROUNDS):
-        if curves is None:
-            weighted = expanded.withColumns({"_w": F.lit(1.0), "_loss": F.lit(0.0)})
-        else:
-            fitted = sum((F.get("beta", i) * F.col(c) for i, c in enumerate(columns)), F.lit(0.0))
-            delta = F.col("_y") - fitted
-            side = F.when(delta < 0, 1 - F.col("q")).otherwise(F.col("q"))
-            weighted = expanded.join(F.broadcast(curves), [*group, "q"]).withColumns(
-                {"_w": side / F.greatest(F.abs(delta), F.lit(1e-6)), "_loss": pinball(F.col("_y"), fitted, F.col("q"))}
-            )
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        sums = weighted.groupBy(*group, "q").agg(
-            *[F.sum(F.col("_w") * F.col(columns[i]) * F.col(columns[j])).alias(f"m{i}_{j}") for i, j in pairs],
-            *[F.sum(F.col("_w") * F.col(columns[i]) * F.col("_y")).alias(f"v{i}") for i in range(p)],
-            F.sum("_loss").alias("loss"),
-        ).collect()
-        losses = {(*[r[g] for g in group], r.q): r.loss for r in sums}
-        settled = curves is not None and all(abs(previous.get(k, np.inf) - v) <= 1e-6 * v for k, v in losses.items())
-        if settled:
-            break
-        previous = losses if curves is not None else {}
-        current = {}
-        for r in sums:
-            m = np.empty((p, p))
-            for i, j in pairs:
-                m[i, j] = m[j, i] = r[f"m{i}_{j}"]
-            beta = np.linalg.lstsq(m, np.array([r[f"v{i}"] for i in range(p)]), rcond=None)[0]
-            current[(*[r[g] for g in group], r.q)] = [float(x) for x in beta]
-        curves = spark.createDataFrame([(*k, v) for k, v in current.items()], schema)
-    return curves
+    return cut_lineage(sums.mapInPandas(run, schema))
 
 
-def quantile_curves(
-    points: DataFrame, group: list[str], columns: list[str], y: str, quantiles: list[float], task_rows: int | None = None
-) -> DataFrame:
-    """Quantile regression of y on several columns per group: (group..., q, beta).
+def _vertex_solver(keys: list[str], width: int, columns: list[str]):
+    """Group function of the exact fit of near points; self-contained, so that it travels to the workers by value."""
 
-    Iteratively reweighted least squares: within one task for groups proven small, else one aggregate
-    per round.
-    """
-    points = cut_lineage(points.where(F.col(y).isNotNull()).select(*group, *columns, F.col(y).cast("double").alias("_y")))
-    limit = EXACT_ROWS if task_rows is None else task_rows
-    largest = points.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > limit:
-        return _reweighted(points, group, columns, quantiles)
-    fields = [f for f in points.schema.fields if f.name in group]
-    schema = T.StructType([*fields, T.StructField("q", T.DoubleType()), T.StructField("beta", T.ArrayType(T.DoubleType()))])
-    rounds = _IRLS_ROUNDS
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, actual = pdf[columns].to_numpy(), pdf["_y"].to_numpy()
-        out = []
-        for q in quantiles:
-            beta = np.linalg.lstsq(x, actual, rcond=None)[0]
-            for _ in range(rounds):
-                delta = actual - x @ beta
-                w = np.where(delta < 0, 1 - q, q) / np.maximum(np.abs(delta), 1e-6)
-                step = np.linalg.lstsq((x * w[:, None]).T @ x, (x * w[:, None]).T @ actual, rcond=None)[0]
-                done = np.max(np.abs(step - beta)) < 1e-6
-                beta = step
-                if done:
+    def best_vertex(x: np.ndarray, y: np.ndarray, q: float, far: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        """Moves from vertex to vertex, each time along the edge of steepest descent as far as it descends.
+
+        A vertex is a curve through as many points as it has coefficients. The least bit of fixed noise on y
+        keeps ties from making it turn in circles; the curve is then taken through the points themselves.
+        """
+        scale = max(1e-300, float(np.abs(y).max()))
+        noisy = y + 1e-12 * scale * (np.arange(len(y)) * 0.6180339887498949 % 1 - 0.5)
+        basis: list[int] = []
+        for i in np.argsort(np.abs(noisy - x @ beta), kind="stable"):
+            if np.linalg.matrix_rank(x[[*basis, i]]) == len(basis) + 1:
+                basis.append(int(i))
+                if len(basis) == width:
                     break
-            out.append([*[pdf[g].iloc[0] for g in group], q, [float(b) for b in beta]])
-        return pd.DataFrame(out, columns=[*group, "q", "beta"])
+        if len(basis) < width:
+            return np.linalg.lstsq(x[basis], y[basis], rcond=None)[0]
+        for _ in range(100_000):
+            inverse = np.linalg.inv(x[basis])
+            r = noisy - x @ (inverse @ noisy[basis])
+            r[basis] = 0.0
+            slopes = np.where(r > 0, q, q - 1)
+            slopes[basis] = 0.0
+            u = -(slopes @ x + far) @ inverse
+            gain = np.maximum(u - q, q - 1 - u)
+            j = int(np.argmax(gain))
+            if gain[j] <= 1e-9:
+                break
+            turn = -1.0 if u[j] > q else 1.0
+            z = x @ (turn * inverse[:, j])
+            z[basis] = 0.0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = np.where(r * z > 0, r / z, np.inf)
+            order = np.argsort(t, kind="stable")
+            order = order[: int(np.isfinite(t).sum())]
+            if not len(order):
+                break
+            slope = np.cumsum(np.abs(z[order])) - gain[j]
+            basis[j] = int(order[min(int(np.searchsorted(slope, 0.0)), len(order) - 1)])
+            if slope[-1] < 0:
+                break
+        return np.linalg.solve(x[basis], y[basis])
+
+    def solve(near: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if start.empty:
+            return pd.DataFrame(columns=columns)
+        beta, far = np.array(start["beta"].iat[0], float), start["_far"].iat[0]
+        far = np.zeros(width) if far is None else np.array(far, float)
+        if len(near):
+            near = near.assign(_k=near["_x"].map(tuple)).sort_values(["_k", "_y"])
+            beta = best_vertex(np.array(near["_x"].tolist()), near["_y"].to_numpy(float), float(start["q"].iat[0]), far, beta)
+        return pd.DataFrame([[*[start[k].iat[0] for k in keys], beta.tolist()]], columns=columns)
 
-    return points.groupBy(*group).applyInPandas(solve, schema)
+    return solve
 
 
 def ccs_band(library: DataFrame, low: float = 0.10, high: float = 0.90, bias: float = -5.0) -> DataFrame:
@@ -215,7 +218,7 @@ def _fold_scores(test: DataFrame, y: str, qs: list[float], predicted: list[Colum
 
 
 def cross_validate_spline(
-    library: DataFrame, key: str, y: str, low: float, high: float, folds: int = 5, task_rows: int | None = None
+    library: DataFrame, key: str, y: str, low: float, high: float, folds: int = 5, near_rows: int = NEAR_ROWS
 ) -> DataFrame:
     """The same scores for a cubic spline without inner knots in ln m/z, that is a cubic polynomial."""
     qs = [low, 0.5, high]
@@ -227,7 +230,7 @@ def cross_validate_spline(
         )
     )
     train = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own_fold")
-    curves = quantile_curves(train, ["fold"], list(basis), "y", qs, task_rows)
+    curves = quantile_curves(train, ["fold"], list(basis), "y", qs, near_rows)
     wide = curves.groupBy("fold").agg(
         *[F.max(F.when(F.col("q") == q, F.col("beta"))).alias(n) for q, n in zip(qs, ("lo", "mid", "hi"))]
     )

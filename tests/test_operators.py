@@ -218,40 +218,53 @@ def test_sample_column_resolution(spark):
     assert got == {"S1": "run S10.d", "S10": "S10"}
 
 
-def test_exact_quantile_line_equals_pair_enumeration_and_irls_agrees(spark, monkeypatch):
-    monkeypatch.setattr(regress, "_IRLS_ROUNDS", 40)
+def _pair_loss(x, y, q):
+    return min(
+        float(np.maximum(q * (d := y - (s * x + (y[i] - s * x[i]))), (q - 1) * d).sum())
+        for i, j in itertools.combinations(range(len(x)), 2) if x[i] != x[j] for s in [(y[j] - y[i]) / (x[j] - x[i])]
+    )
+
+
+@pytest.mark.parametrize("near", [4096, 12])
+def test_quantile_lines_equal_pair_enumeration_beside_any_other_group(spark, near):
+    """Also with far points summed up, ties, repeated points, and a much larger group next to it."""
     rng = np.random.default_rng(29)
-    x = rng.uniform(1, 5, 60)
-    y = 3 * x + rng.exponential(1, 60)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    for q in (0.1, 0.9):
-        best = min(
-            float(np.maximum(q * (d := y - (s * x + (y[i] - s * x[i]))), (q - 1) * d).sum())
-            for i, j in itertools.combinations(range(60), 2) for s in [(y[j] - y[i]) / (x[j] - x[i])]
-        )
-        exact = regress.quantile_lines(df, [], "x", "y", [q]).first()
-        assert math.isclose(exact.loss, best, rel_tol=1e-9)
-        loose = regress.quantile_lines(df, [], "x", "y", [q], exact_rows=10).first()
-        assert math.isclose(loose.loss, best, rel_tol=1e-3)
-
-
-def test_spline_scores_agree_between_task_and_aggregate_fits(spark, monkeypatch):
-    monkeypatch.setattr(regress, "_IRLS_ROUNDS", 40)
+    x = np.round(rng.uniform(1, 5, 70), 1)
+    y = 3 * x + np.where(rng.uniform(size=70) < 0.1, 40.0, 1.0) * rng.exponential(1, 70)
+    x[60:], y[60:] = x[:10], y[:10]
+    rows = [("a", float(a), float(b)) for a, b in zip(x, y)]
+    alone = {r.q: r for r in regress.quantile_lines(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y", [0.1, 0.5, 0.9], near).collect()}
+    for q, r in alone.items():
+        assert math.isclose(r.loss, _pair_loss(x, y, q), rel_tol=1e-9)
+        assert math.isclose(r.loss, float(np.maximum(q * (d := y - (r.slope * x + r.intercept)), (q - 1) * d).sum()), rel_tol=1e-9)
+    others = [("b", float(a), float(a + b)) for a, b in zip(rng.uniform(0, 9, 900), rng.normal(0, 1, 900))] + [("c", 1.0, 2.0)]
+    beside = regress.quantile_lines(spark.createDataFrame(rows + others, "g string, x double, y double"), ["g"], "x", "y", [0.1, 0.5, 0.9], near)
+    beside = {(r.g, r.q): r for r in beside.collect()}
+    assert len(beside) == 9
+    assert all((beside["a", q].slope, beside["a", q].intercept) == (r.slope, r.intercept) for q, r in alone.items())
+
+
+@pytest.mark.parametrize("near", [4096, 15])
+def test_quantile_curves_are_optimal(spark, near):
+    """No direction lowers the loss, and a cubic fits better than a line."""
     rng = np.random.default_rng(37)
-    mz = rng.uniform(100, 1500, 80)
+    mz = rng.uniform(100, 1500, 150)
     rows = [(i, float(m), float(40 * np.log(m) ** 2 - 150 + rng.normal(0, 3))) for i, m in enumerate(mz)]
     df = spark.createDataFrame(rows, "id long, mz double, ccs double")
-    inside = regress.cross_validate_spline(df, "id", "ccs", 0.1, 0.9, folds=2).first()
+    spline = regress.cross_validate_spline(df, "id", "ccs", 0.1, 0.9, folds=2, near_rows=near).first()
     lines = {r.model: r for r in regress.cross_validate(df, "id", "ccs", 0.1, 0.9, folds=2).collect()}
-    assert inside.loss_mid < lines["logarithmic"].loss_mid < lines["linear"].loss_mid
+    assert spline.loss_mid < lines["logarithmic"].loss_mid < lines["linear"].loss_mid
     u = F.ln("mz") - 6.0
-    design = df.withColumns({"g": F.lit(1), "a": F.lit(1.0), "b": u, "c": u * u})
-    one = regress.quantile_curves(design, ["g"], ["a", "b", "c"], "ccs", [0.5]).first().beta
-    many = regress.quantile_curves(design, ["g"], ["a", "b", "c"], "ccs", [0.5], task_rows=5).first().beta
-    x = np.column_stack([np.ones(80), np.log(mz) - 6, (np.log(mz) - 6) ** 2])
-    y = np.array([r[2] for r in rows])
-    losses = [np.abs(y - x @ np.array(beta)).sum() for beta in (one, many)]
-    assert math.isclose(*losses, rel_tol=1e-4)
+    design = df.withColumns({"a": F.lit(1.0), "b": u, "c": u * u})
+    fit = regress.quantile_curves(design, [], ["a", "b", "c"], "ccs", [0.3], near).first()
+    x, y = np.column_stack([np.ones(150), np.log(mz) - 6, (np.log(mz) - 6) ** 2]), np.array([r[2] for r in rows])
+
+    def loss(beta):
+        d = y - x @ beta
+        return np.maximum(0.3 * d, -0.7 * d).sum()
+
+    assert math.isclose(fit.loss, loss(np.array(fit.beta)), rel_tol=1e-9)
+    assert all(loss(np.array(fit.beta) + 1e-3 * rng.normal(size=3)) >= fit.loss for _ in range(200))
 
 
 def test_group_trends_match_a_sequential_search(spark):
