@@ -8,11 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one key that a task may receive before the key is dealt over several tasks.
-BLOCK_ROWS = 1_000_000
-
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
+#: Rows of one key that a task may receive before the key is dealt over several tasks: a two-hundredth of all
+#: rows, at least LEAST_ROWS and at most BLOCK_ROWS; beyond HEAVY_KEYS such keys the blocks get larger.
+LEAST_ROWS, BLOCK_ROWS, HEAVY_KEYS = 10_000, 1_000_000, 100_000
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -42,11 +40,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def heavy_keys(counts: DataFrame, key: str, total: int, block: int = BLOCK_ROWS) -> DataFrame | None:
-    """(key, _parts) of the keys with more than a block of rows; at most `total / block` of them.
+def heavy_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key, _parts) of the keys with more than a block of rows, HEAVY_KEYS at most.
 
     `counts` has the key and its row count `n`. None when no key can be that heavy.
     """
+    block = max(total // HEAVY_KEYS, min(BLOCK_ROWS, max(LEAST_ROWS, total // 200)))
     if total <= block:
         return None
     return counts.where(F.col("n") > block).select(key, F.ceil(F.col("n") / F.lit(block)).cast("int").alias("_parts"))

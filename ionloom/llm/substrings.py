@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import documents, sealed, text_or_empty, written
+from ionloom.llm.common import documents, heavy_keys, salted_join, sealed, text_or_empty, written
 from ionloom.llm.shingles import run_hashes, word_hashes
 
 WINDOW = 50
@@ -167,8 +167,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
     A span is its first window (lo) and the number of windows.
     """
     runs = written(_doc_runs(docs, window, minimiser), "runs")
-    shared = runs.groupBy("minimiser").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("minimiser")
-    held = runs.join(shared.hint("shuffle_hash"), "minimiser", "left_semi")
+    shared = runs.groupBy("minimiser").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = written(shared.select("minimiser", "n"), "shared")
+    heavy = heavy_keys(shared, "minimiser", runs.count())
+    held = salted_join(runs, shared.select("minimiser"), "minimiser", "left_semi", heavy, F.xxhash64("id", "first"))
     held = held.groupBy("id", "row_key").agg(F.collect_list(F.struct("minimiser", "first", "windows")).alias("runs"))
     suspects = written(docs.select("id", "row_key", "text").join(held.hint("shuffle_hash"), ["id", "row_key"]), "suspects")
 
