@@ -703,39 +703,45 @@ def isotope_summary(fx):
 
 # --- regression ---------------------------------------------------------------------------------
 
-def _pair_fit(points: str, qs: list[float], group: str = "") -> str:
-    """CTEs that find the quantile line per group by trying the line through every two points."""
-    g = f"{group}, " if group else ""
-    same = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in group.split(",")) if group else "true"
-    fit_same = " AND ".join(f"l.{c.strip()} = p.{c.strip()}" for c in group.split(",")) if group else "true"
-    lg = ", ".join(f"l.{c.strip()}" for c in group.split(",")) + ", " if group else ""
-    ag = ", ".join(f"a.{c.strip()}" for c in group.split(",")) + ", " if group else ""
+def _line_fit(points: str, qs: list[float], group: str = "") -> str:
+    """CTEs that find the quantile line per group: the best line through a point has a weighted quantile of the
+    slopes to the others, and one of these lines is the best of all. Ties go to the smaller loss, slope, intercept."""
+    names = [c.strip() for c in group.split(",")] if group else []
+    of = lambda t: "".join(f"{t}.{c}, " for c in names)
+    same = lambda t, u: " AND ".join(f"{t}.{c} = {u}.{c}" for c in names) or "true"
+    g = of("t")
     quant = ", ".join(f"({q!r}E0)" for q in qs)
-    by = f"GROUP BY {g}q"
     return f"""
-pts_fit AS (SELECT * FROM {points}),
-line AS (SELECT DISTINCT {ag}(b.y - a.y) / (b.x - a.x) AS slope, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS intercept
-  FROM pts_fit a JOIN pts_fit b ON {same} AND a.x < b.x),
-trial AS (SELECT {lg}q, slope, intercept, sum(greatest(q * (p.y - (slope*p.x + intercept)), (q - 1E0) * (p.y - (slope*p.x + intercept)))) AS loss
-  FROM line l JOIN pts_fit p ON {fit_same}, (VALUES {quant}) v(q) GROUP BY {lg}q, slope, intercept),
-fit AS (SELECT {g}q, min(loss) AS loss, arg_min(slope, loss) AS slope, arg_min(intercept, loss) AS intercept FROM trial {by})"""
+pts_fit AS (SELECT *, row_number() OVER () AS n FROM {points}),
+away AS (SELECT {of("a")}a.n, a.x AS x0, a.y AS y0, (b.y - a.y) / (b.x - a.x) AS ratio, abs(b.x - a.x) AS w, b.x > a.x AS up
+  FROM pts_fit a JOIN pts_fit b ON {same("a", "b")} AND a.x <> b.x),
+run AS (SELECT *, sum(w) OVER (PARTITION BY n ORDER BY ratio ROWS UNBOUNDED PRECEDING) AS acc, sum(w) OVER (PARTITION BY n) AS w_all,
+  sum(CASE WHEN up THEN w ELSE 0E0 END) OVER (PARTITION BY n) AS w_up FROM away),
+line AS (SELECT DISTINCT {g}q, min(ratio) AS slope, y0 - min(ratio) * x0 AS intercept FROM run t, (VALUES {quant}) v(q)
+  WHERE acc >= q * w_up + (1E0 - q) * (w_all - w_up) - 1E-12 * w_all GROUP BY {g}q, n, x0, y0),
+trial AS (SELECT {of("l")}q, slope, intercept, sum(greatest(q * (p.y - (slope*p.x + intercept)), (q - 1E0) * (p.y - (slope*p.x + intercept)))) AS loss
+  FROM line l JOIN pts_fit p ON {same("l", "p")} GROUP BY {of("l")}q, slope, intercept),
+least AS (SELECT {g}q, min(loss) AS loss FROM trial t GROUP BY {g}q),
+fit AS (SELECT {g}t.q, l.loss, min((slope, intercept))[1] AS slope, min((slope, intercept))[2] AS intercept
+  FROM trial t JOIN least l ON t.q = l.q AND {same("t", "l")} AND t.loss <= l.loss * (1 + 1E-11) GROUP BY {g}t.q, l.loss)"""
 
 
 @query(
     f"SELECT {s('q', 'q')}, {s('slope', 'slope')}, {s('intercept - 5E0', 'intercept', '1E3')}, {s('loss', 'loss')} FROM fit",
-    _pair_fit("(SELECT ln(mz) AS x, ccs AS y FROM seed WHERE fam % 4 = 0)", [0.1, 0.9]),
+    _line_fit("(SELECT ln(mz) AS x, ccs AS y FROM seed)", [0.1, 0.9]),
 )
 def qreg_ccs(fx):
-    lines = regress.ccs_band(fx.seed.where("fam % 4 = 0"))
+    lines = regress.ccs_band(fx.seed)
     return lines.select(scaled("q", "q"), scaled("slope", "slope"), scaled("intercept", "intercept", 1e3), scaled("loss", "loss"))
 
 
 @query(
-    f"SELECT {s('q', 'q')}, {s('loss', 'loss')} FROM fit",
-    _pair_fit("(SELECT ln(mz) AS x, rt AS y FROM seed WHERE fam % 4 = 0)", [0.05, 0.95]),
+    f"SELECT {s('q', 'q')}, {s('slope', 'slope')}, {s('intercept', 'intercept', '1E3')}, {s('loss', 'loss')} FROM fit",
+    _line_fit("(SELECT ln(mz) AS x, rt AS y FROM seed)", [0.05, 0.95]),
 )
 def qreg_rt(fx):
-    return regress.rt_band(fx.seed.where("fam % 4 = 0")).select(scaled("q", "q"), scaled("loss", "loss"))
+    lines = regress.rt_band(fx.seed)
+    return lines.select(scaled("q", "q"), scaled("slope", "slope"), scaled("intercept", "intercept", 1e3), scaled("loss", "loss"))
 
 
 @query(
@@ -743,34 +749,45 @@ def qreg_rt(fx):
       (SELECT max(slope) FILTER (q = 0.1E0) AS s0, max(intercept) FILTER (q = 0.1E0) - 5E0 AS i0, max(slope) FILTER (q = 0.9E0) AS s1,
               max(intercept) FILTER (q = 0.9E0) - 5E0 AS i1 FROM fit) b
       WHERE f.ccs >= s0 * ln(f.mz) + i0 AND f.ccs <= s1 * ln(f.mz) + i1""",
-    _pair_fit("(SELECT ln(mz) AS x, ccs AS y FROM library_l2)", [0.1, 0.9]),
+    _line_fit("(SELECT ln(mz) AS x, ccs AS y FROM library_l2)", [0.1, 0.9]),
 )
 def band_filter(fx):
     low, high = [(r.slope, r.intercept) for r in regress.ccs_band(fx.library_l2).orderBy("q").collect()]
     return filters.regression_band(fx.feature, "ccs", low, high).select("feature_id")
 
 
-@query(
-    f"""SELECT model, {s('avg(loss_lo)', 'loss_lo')}, {s('avg(loss_mid)', 'loss_mid')}, {s('avg(loss_hi)', 'loss_hi')}, {s('avg(coverage)', 'coverage')},
-      {s('avg(width)', 'width', '1E3')} FROM per_fold GROUP BY model""",
-    """lib_row AS (SELECT model, id % 5 AS own, CASE model WHEN 'linear' THEN mz ELSE ln(mz) END AS x, ccs AS y
-  FROM seed, (VALUES ('linear'), ('logarithmic')) m(model) WHERE fam % 4 = 0),"""
-    + _pair_fit("(SELECT model, f.fold, x, y FROM lib_row, range(5) f(fold) WHERE f.fold <> own)", [0.1, 0.5, 0.9], "model, fold")
-    + """,
-w AS (SELECT model, fold, max(slope) FILTER (q=0.1E0) AS s0, max(intercept) FILTER (q=0.1E0) AS i0, max(slope) FILTER (q=0.5E0) AS s1,
-  max(intercept) FILTER (q=0.5E0) AS i1, max(slope) FILTER (q=0.9E0) AS s2, max(intercept) FILTER (q=0.9E0) AS i2 FROM fit GROUP BY 1, 2),
-per_fold AS (SELECT w.model, w.fold, avg(greatest(0.1E0*(y-s0*x-i0), -0.9E0*(y-s0*x-i0))) AS loss_lo, avg(greatest(0.5E0*(y-s1*x-i1), -0.5E0*(y-s1*x-i1))) AS loss_mid,
-  avg(greatest(0.9E0*(y-s2*x-i2), -0.1E0*(y-s2*x-i2))) AS loss_hi, avg(CASE WHEN y >= s0*x+i0 - 1E-9*abs(y) AND y <= s2*x+i2 + 1E-9*abs(y) THEN 1E0 ELSE 0E0 END) AS coverage,
-  avg(s2*x+i2-s0*x-i0) AS width FROM w JOIN lib_row l ON l.model = w.model AND l.own = w.fold GROUP BY 1, 2)""",
-)
+def _cv_sql(y: str, lo: str, hi: str) -> tuple[str, str]:
+    """SELECT and CTEs of the cross-validated scores of the two linear models of `y`."""
+    loss = lambda q, n: f"avg(greatest({q}*(y-s{n}*x-i{n}), ({q}-1E0)*(y-s{n}*x-i{n})))"
+    coefs = ", ".join(f"max(slope) FILTER (q={q}) AS s{n}, max(intercept) FILTER (q={q}) AS i{n}" for n, q in enumerate((lo, "0.5E0", hi)))
+    select = f"""SELECT model, {s('avg(loss_lo)', 'loss_lo')}, {s('avg(loss_mid)', 'loss_mid')}, {s('avg(loss_hi)', 'loss_hi')}, {s('avg(coverage)', 'coverage')},
+      {s('avg(width)', 'width', '1E3')} FROM per_fold GROUP BY model"""
+    rows = f"""lib_row AS (SELECT model, id % 5 AS own, CASE model WHEN 'linear' THEN mz ELSE ln(mz) END AS x, {y} AS y
+  FROM seed, (VALUES ('linear'), ('logarithmic')) m(model)),"""
+    fits = _line_fit("(SELECT model, f.fold, x, y FROM lib_row, range(5) f(fold) WHERE f.fold <> own)", [float(lo[:-2]), 0.5, float(hi[:-2])], "model, fold")
+    scores = f""",
+w AS (SELECT model, fold, {coefs} FROM fit GROUP BY 1, 2),
+per_fold AS (SELECT w.model, w.fold, {loss(lo, 0)} AS loss_lo, {loss("0.5E0", 1)} AS loss_mid, {loss(hi, 2)} AS loss_hi,
+  avg(CASE WHEN y >= s0*x+i0 - 1E-9*abs(y) AND y <= s2*x+i2 + 1E-9*abs(y) THEN 1E0 ELSE 0E0 END) AS coverage,
+  avg(s2*x+i2-s0*x-i0) AS width FROM w JOIN lib_row l ON l.model = w.model AND l.own = w.fold GROUP BY 1, 2)"""
+    return select, rows + fits + scores
+
+
+@query(*_cv_sql("ccs", "0.1E0", "0.9E0"))
 def pinball_cv(fx):
-    rows = regress.cross_validate(fx.seed.where("fam % 4 = 0"), "id", "ccs", 0.1, 0.9)
+    rows = regress.cross_validate(fx.seed, "id", "ccs", 0.1, 0.9)
+    return rows.select("model", *[scaled(c, c) for c in ("loss_lo", "loss_mid", "loss_hi", "coverage")], scaled("width", "width", 1e3))
+
+
+@query(*_cv_sql("rt", "0.05E0", "0.95E0"))
+def pinball_cv_rt(fx):
+    rows = regress.cross_validate(fx.seed, "id", "rt", 0.05, 0.95)
     return rows.select("model", *[scaled(c, c) for c in ("loss_lo", "loss_mid", "loss_hi", "coverage")], scaled("width", "width", 1e3))
 
 
 @query()
 def pinball_cv_spline(fx):
-    rows = regress.cross_validate_spline(fx.seed.where("fam % 4 = 0"), "id", "ccs", 0.1, 0.9)
+    rows = regress.cross_validate_spline(fx.seed, "id", "ccs", 0.1, 0.9)
     return rows.select("model", *[scaled(c, c, 1e2) for c in ("loss_lo", "loss_mid", "loss_hi", "coverage", "width")])
 
 
