@@ -82,22 +82,22 @@ def annotated(fx: Fixtures) -> DataFrame:
 # --- row filters, projections, statistics -------------------------------------------------------
 
 @query(
-    f"SELECT e.feature_id, e.sample, {s('greatest(0E0, e.value - b.level)', 'value', '1E2')} FROM exp_i e "
+    f"SELECT e.feature_id, e.sample, {s('CASE WHEN e.value < b.level THEN 0E0 ELSE e.value - b.level END', 'value', '1E2')} FROM exp_i e "
     "LEFT JOIN (SELECT feature_id, max(value) AS level FROM intensity WHERE role='blank' GROUP BY 1) b "
-    "ON b.feature_id = e.feature_id WHERE b.level IS NOT NULL"
+    "ON b.feature_id = e.feature_id"
 )
 def blank_max(fx):
-    left = blanks.subtract_blanks(fx.intensity, "1").where("value IS NOT NULL")
+    left = blanks.subtract_blanks(fx.intensity, "1")
     return left.select("feature_id", "sample", scaled("value", "value", 1e2))
 
 
 @query(
-    f"SELECT e.feature_id, e.sample, {s('greatest(0E0, e.value - b.level)', 'value', '1E2')} FROM exp_i e "
+    f"SELECT e.feature_id, e.sample, {s('CASE WHEN e.value < b.level THEN 0E0 ELSE e.value - b.level END', 'value', '1E2')} FROM exp_i e "
     "LEFT JOIN (SELECT feature_id, avg(value) + 3E0 * coalesce(stddev_samp(value), 0E0) AS level FROM intensity "
-    "WHERE role='blank' GROUP BY 1) b ON b.feature_id = e.feature_id WHERE b.level IS NOT NULL"
+    "WHERE role='blank' GROUP BY 1) b ON b.feature_id = e.feature_id"
 )
 def blank_mean_sd(fx):
-    left = blanks.subtract_blanks(fx.intensity, "2", 3.0).where("value IS NOT NULL")
+    left = blanks.subtract_blanks(fx.intensity, "2", 3.0)
     return left.select("feature_id", "sample", scaled("value", "value", 1e2))
 
 
@@ -552,7 +552,7 @@ first3 AS (
   FROM ranked GROUP BY source_file, compound HAVING count(*) >= 2),
 carbon AS (
   SELECT *, regexp_extract(source_file, '^(.*)[.]cef$', 1) AS sample, (i2 / i1) * {1 / isotope.NATURAL_C13!r}E0 AS c, m1 - round_even(m1, 0) AS md
-  FROM first3 WHERE i1 <> 0 AND i2 <> 0),
+  FROM first3 WHERE NOT coalesce(i1 = 0, false) AND NOT coalesce(i2 / i1 = 0, false)),
 anchor AS (
   SELECT DISTINCT e.sample, p.compound, f.feature_id, f.class, f.mz, f.rt, f.dt, f.ccs, e.value AS intensity
   FROM exp_i e JOIN annotated f ON f.feature_id = e.feature_id AND e.value > 0

@@ -122,7 +122,7 @@ class Fixtures:
             "dt",
             "ccs",
             F.expr("mz + 1.00335D * n").alias("peak_mz"),
-            F.expr("value * power(0.011145D * (5 + src % 20), n)").alias("peak_intensity"),
+            F.expr("CASE WHEN n = 1 AND src % 13 = 0 THEN NULL ELSE value * power(0.011145D * (5 + src % 20), n) END").alias("peak_intensity"),
         )
 
     @cached_property
@@ -171,7 +171,7 @@ standard AS (
   SELECT DISTINCT fam*100+k AS std_id, m0 + (k%2) AS mz, 94E0+0.185E0*m0 AS ccs FROM base WHERE fam%4=2),
 peak AS (
   SELECT concat(i.sample,'.cef') AS source_file, i.feature_id AS compound, f.rt, f.dt, f.ccs,
-         f.mz + 1.00335E0*n.n AS peak_mz, i.value * power(0.011145E0*(5+f.src%20), n.n) AS peak_intensity
+         f.mz + 1.00335E0*n.n AS peak_mz, CASE WHEN n.n = 1 AND f.src % 13 = 0 THEN NULL ELSE i.value * power(0.011145E0*(5+f.src%20), n.n) END AS peak_intensity
   FROM exp_i i JOIN feature f ON f.feature_id=i.feature_id
   JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) n ON n.n <= f.src % 4)
 """

@@ -10,8 +10,8 @@ def subtract_blanks(intensity: DataFrame, method: str = "2", sds: float = 3.0) -
     """Experimental intensities less the blank level of their feature, never below 0.
 
     Method 1 takes the highest blank, method 2 the mean plus `sds` sample standard deviations (0 for
-    a single blank). Without any blank value the result is missing. One shuffle: the level is an
-    aggregate over the feature's rows, then put back on them.
+    a single blank). Without any blank value the result is missing. Two scans: the blanks are
+    aggregated by feature, before and after the shuffle, and the levels joined to the experimental rows.
     """
     if method == "1":
         level = F.max("_blank")

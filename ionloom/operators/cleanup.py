@@ -41,7 +41,12 @@ def smearing(
     been settled before, so a handful of existence joins reproduces the sequential walk.
     """
     coordinates = features.select("feature_id", "mz", "rt", "ccs").where("mz IS NOT NULL AND rt IS NOT NULL AND ccs > 0")
-    level = F.floor(F.ln("value") / F.lit(float(np.log(SMEAR_FACTOR)))).cast("int")
+    ends = intensity.where("value > 0").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    # Each border is the product that the rule compares with, so rounding cannot put both sides into one decade.
+    borders = [ends["lo"]] if ends["lo"] is not None else []
+    while borders and borders[-1] * SMEAR_FACTOR <= ends["hi"]:
+        borders.append(borders[-1] * SMEAR_FACTOR)
+    level = sum((F.when(F.col("value") >= F.lit(b), 1).otherwise(0) for b in borders), F.lit(0))
     rows = cut_lineage(
         intensity.where("value > 0").join(coordinates, "feature_id").select(
             "feature_id", "sample", "value", "mz", "rt", "ccs", level.alias("level")
@@ -79,7 +84,7 @@ def smearing(
             )
             hits = cut_lineage(hits.distinct())
             smeared = hits if smeared is None else smeared.unionByName(hits)
-            current = current.join(hits, ["feature_id", "sample"], "left_anti")
+            current = cut_lineage(current.join(hits, ["feature_id", "sample"], "left_anti"))
         settled = current if settled is None else settled.unionByName(current)
     if smeared is None:
         return intensity

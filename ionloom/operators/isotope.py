@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from ionloom.functions.numeric import half_even, ppm_of
 from ionloom.operators.bands import Band, band_join, ppm_band
 from ionloom.operators.components import box_components
+from ionloom.operators.ordered import neighbours
 from ionloom.operators.skew import spread_join
 from ionloom.session import cut_lineage
 
+# Share of C-13, and the M+2 ratio above which chlorine or bromine is assumed.
 NATURAL_C13 = 0.011145
 RATIO_CL_BR = 0.28
-GRID_NODES = 4_096
 
 
 def with_sample(peaks: DataFrame) -> DataFrame:
@@ -46,14 +47,17 @@ def first_peaks(peaks: DataFrame) -> DataFrame:
 
 
 def carbon_estimate(peaks: DataFrame) -> DataFrame:
-    """Carbon number from the M+1 ratio, and mass and mass defect per carbon, per compound."""
+    """Carbon number from the M+1 ratio, and mass and mass defect per carbon, per compound.
+
+    Compounds whose ratio is zero or has no denominator go; one with a missing intensity stays without a number.
+    """
     c = (F.col("intensity_2") / F.col("intensity_1")) * F.lit(1 / NATURAL_C13)
     defect = F.col("peak_mz_1") - F.rint("peak_mz_1")
     return (
         first_peaks(peaks)
-        .where("intensity_1 <> 0")
+        .where("NOT (intensity_1 <=> 0D)")
         .withColumn("carbon_estimate", c)
-        .where("carbon_estimate <> 0")
+        .where("NOT (carbon_estimate <=> 0D)")
         .withColumns({
             "m_over_c": F.col("peak_mz_1") / F.col("carbon_estimate"),
             "mass_defect": defect,
@@ -65,6 +69,7 @@ def carbon_estimate(peaks: DataFrame) -> DataFrame:
 def halogen_class(metrics: DataFrame) -> DataFrame:
     """Ratio of the M+2 to the M peak and what it says about chlorine or bromine."""
     ratio = F.when(F.col("intensity_1") > 0, F.col("intensity_3") / F.col("intensity_1"))
+    # The three texts.
     label = (
         F.when(ratio > RATIO_CL_BR, "Potential Cl, Br present")
         .when((F.col("intensity_3") == 0) | F.col("intensity_3").isNull(), "No M+2 peak detected - insufficient signal")
@@ -206,22 +211,29 @@ def alignment_summary(aligned: DataFrame, samples: list[str] | None = None) -> D
     return result
 
 
+def _brackets(grid: DataFrame, axis: str, rows: DataFrame, value: str) -> DataFrame:
+    """(v, lo, hi): for each distinct value on the grid's axis the nodes around it; the last node belongs to the interval before it."""
+    nodes = cut_lineage(grid.select(F.col(axis).alias("node")).where("node IS NOT NULL").distinct())
+    following = neighbours(nodes, nodes.withColumnRenamed("node", "v"), [], "node", "v", strict=True)
+    following = cut_lineage(following.select(F.col("v").alias("node"), F.col("above").alias("next")))
+    inner = following.where("next IS NOT NULL").select("node", F.col("node").alias("lo"), F.col("next").alias("hi"))
+    last = following.where("next IS NULL").select(F.col("node").alias("end"))
+    outer = inner.join(last, inner["hi"] == last["end"]).select(F.col("end").alias("node"), "lo", "hi")
+    values = rows.select(F.col(value).alias("v")).where("v IS NOT NULL").distinct()
+    found = neighbours(nodes, values, [], "node", "v", strict=False).where("below IS NOT NULL AND above IS NOT NULL")
+    return found.select("v", F.col("below").alias("node")).join(inner.unionByName(outer), "node").select("v", "lo", "hi")
+
+
 def grid_ratio(rows: DataFrame, grid: DataFrame) -> DataFrame:
     """Bilinear value of grid(y, x, z) at (md_over_c, m_over_c), classified.
 
     NULL outside the grid or next to an empty node. `ratio` is rounded to one place and NULL when out
     of bounds (no value, or below 0.8); `ratio_status` says which.
     """
-    largest = grid.agg(F.greatest(F.count_distinct("y"), F.count_distinct("x"))).first()[0]
-    if largest > GRID_NODES:
-        raise ValueError(f"grid axis with {largest} nodes; at most {GRID_NODES} are looked up in place")
-    axes = {"_ys": "y", "_xs": "x"}
-    placed = rows.withColumns({n: grid.agg(F.array_sort(F.collect_set(c))).scalar() for n, c in axes.items()})
-    for value, axis, lo, hi in (("md_over_c", "_ys", "_y0", "_y1"), ("m_over_c", "_xs", "_x0", "_x1")):
-        v, a = F.col(value), F.col(axis)
-        inside = (v >= F.get(a, 0)) & (v <= F.element_at(a, -1))
-        at = F.least(F.size(F.filter(a, lambda node: node <= v)), F.size(a) - 1)
-        placed = placed.withColumn(lo, F.when(inside, F.get(a, at - 1))).withColumn(hi, F.when(inside, F.get(a, at)))
+    placed = rows
+    for value, axis, lo, hi in (("md_over_c", "y", "_y0", "_y1"), ("m_over_c", "x", "_x0", "_x1")):
+        brackets = _brackets(grid, axis, rows, value).select(F.col("v").alias(value), F.col("lo").alias(lo), F.col("hi").alias(hi))
+        placed = placed.join(brackets, value, "left")
     for y in ("0", "1"):
         for x in ("0", "1"):
             corner = grid.select(F.col("y").alias(f"_y{y}"), F.col("x").alias(f"_x{x}"), F.col("z").alias(f"_z{y}{x}"))

@@ -29,9 +29,14 @@ def spread_join(
     heavy = cut_lineage(counts.select(*keys, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_parts")))
     if heavy.isEmpty():
         return rows.join(table, keys, how)
+    some_null = F.lit(False)
+    for key in keys:
+        some_null = some_null | F.col(key).isNull()
+    missing, rows = rows.where(some_null), rows.where(~some_null)  # they match nothing, and would all go to one task
     parts = F.coalesce("_parts", F.lit(1))
     salted = rows.join(F.broadcast(heavy), keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")
     )
     repeated = table.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return salted.drop("_parts").join(repeated.drop("_parts"), [*keys, "_salt"], how).drop("_salt")
+    joined = salted.drop("_parts").join(repeated.drop("_parts"), [*keys, "_salt"], how).drop("_salt")
+    return joined.unionByName(missing, allowMissingColumns=True) if how in ("left", "left_anti") else joined

@@ -24,6 +24,7 @@ def build_session(app: str = "ionloom", master: str | None = None, **conf) -> Sp
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
         "spark.ui.enabled": "false",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
@@ -38,7 +39,7 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder every executor can reach"
             )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,7 +141,8 @@ def to_long(
     """
     canonical = [id_column, "mz", "rt", "dt", "ccs"]
     other = [c for c in df.columns if c not in set(canonical) | set(blank) | set(experimental) | {"source_file"}]
-    identity = F.col(id_column).try_cast("double").cast("long").alias("feature_id")
+    whole = F.col(id_column).try_cast("bigint")  # the double form is only for texts like 1.0: it cannot hold every id
+    identity = F.coalesce(whole, F.col(id_column).try_cast("double").cast("long")).alias("feature_id")
     coords = [(to_double(c) if c in df.columns else F.lit(None).cast("double")).alias(c) for c in canonical[1:]]
     meta = F.map_from_arrays(
         F.array(*[F.lit(c) for c in other]).cast("array<string>"),
@@ -154,6 +156,14 @@ def to_long(
     return features, long.select("feature_id", "sample", role.alias("role"), "value")
 
 
+def require_unique_ids(features: DataFrame, id_column: str = "feature_id") -> DataFrame:
+    """`features` unchanged, or an error if an id is missing or occurs twice, as in stacked files; joins would multiply such rows."""
+    twice = features.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_column).isNull() | (F.col("n") > 1)).first()
+    if twice:
+        raise ValueError(f"{id_column} {twice[0]} occurs {twice[1]} times" if twice[0] is not None else f"{twice[1]} rows without {id_column}")
+    return features
+
+
 def to_wide(features: DataFrame, intensity: DataFrame, samples: list[str]) -> DataFrame:
     """One column per sample next to the features; for report sinks."""
     wide = intensity.groupBy("feature_id").pivot("sample", samples).agg(F.max("value"))
@@ -185,10 +195,11 @@ def read_standards(spark: SparkSession, path: str | None, mapping: dict[str, str
     if ignore or not path:
         return empty
     try:
-        return read_library(spark, path, mapping, "std_id")
-    except Exception as error:  # noqa: BLE001 - an unreadable optional file is the same as none
+        read_delimited(spark, path)
+    except (AnalysisException, ValueError) as error:  # an unreadable optional file is the same as none; a wrong mapping is not
         print(f"standards not read: {error}")
         return empty
+    return read_library(spark, path, mapping, "std_id")
 
 
 def read_repeat_units(spark: SparkSession, path: str | None) -> dict[str, float]:
@@ -197,7 +208,9 @@ def read_repeat_units(spark: SparkSession, path: str | None) -> dict[str, float]
         return dict(DEFAULT_REPEAT_UNITS)
     try:
         text = spark.read.text(path, wholetext=True).first()[0]
-    except Exception:  # noqa: BLE001 - missing file means defaults
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return dict(DEFAULT_REPEAT_UNITS)
     return {k: float(v) for k, v in json.loads(text).get("repeating_units", DEFAULT_REPEAT_UNITS).items()}
 
@@ -211,8 +224,8 @@ def harmonise(df: DataFrame, library: bool) -> DataFrame:
     return df if "rt" in df.columns else df.withColumn("rt", F.lit(None).cast("double"))
 
 
-def write_report(df: DataFrame, path: str, single_file: bool = True) -> None:
-    """Overwrites a CSV folder with a header; a single file keeps the row order of a sorted report."""
+def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """Overwrites a CSV folder with a header; a single file, for reports that fit in one task, keeps the order of a sorted one."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 

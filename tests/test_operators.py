@@ -334,3 +334,44 @@ def test_report_texts(spark):
     assert [(r.level, r.x) for r in report.contour_labels(segs).collect()] == [(1.0, 2.0)]
     table = report.display_table(spark.createDataFrame([("x", "likely", 1234567.8)], "match string, class string, S1 double"), ["S1"]).first()
     assert table["Name"] == "x" and table["S1"] == "1,234,568"
+
+
+def test_missing_intensities_keep_their_compound(spark):
+    rows = [("a.cef", 1, 300.4, 100.0), ("a.cef", 1, 301.4, None), ("a.cef", 1, 302.4, 50.0), ("a.cef", 2, 400.0, None), ("a.cef", 2, 401.0, 3.0),
+            ("a.cef", 3, 500.0, 5.0), ("a.cef", 3, 501.0, 0.0)]
+    peaks = spark.createDataFrame(rows, "source_file string, compound int, peak_mz double, peak_intensity double")
+    got = {r.compound: r for r in isotope.halogen_class(isotope.carbon_estimate(peaks)).collect()}
+    assert set(got) == {1, 2} and got[1].carbon_estimate is None and got[1].isotope_status == "Potential Cl, Br present"
+
+
+def test_grid_of_any_size(spark):
+    ys, xs = [-0.1, 0.0, 0.1], [float(i) for i in range(5000)]
+    grid = spark.createDataFrame([(y, x, 1.0 + x / 100 + y) for y in ys for x in xs], "y double, x double, z double")
+    probes = [(1, 0.05, 4321.25), (2, 0.1, 4999.0), (3, -0.1, 0.0), (4, 0.05, 4999.5), (5, None, 3.0), (6, -0.2, 3.0), (7, 0.05, 4321.25)]
+    df = spark.createDataFrame(probes, "id int, md_over_c double, m_over_c double")
+    got = {r.id: r.ratio for r in isotope.grid_ratio(df, grid).collect()}
+    want = {i: half_even_py(1.0 + x / 100 + y) if y is not None and -0.1 <= y and x <= 4999 else None for i, y, x in probes}
+    assert got == want
+
+
+def half_even_py(v):
+    return round(v * 10) / 10
+
+
+def test_smearing_at_the_edge_of_a_decade(spark):
+    """124999.99999999981 and 6249999.999999992 fall into one decade of logarithms, though the ratio is above 50."""
+    features = spark.createDataFrame([(1, 300.0, 5.0, 200.0), (2, 300.5, 5.0, 200.0)], "feature_id long, mz double, rt double, ccs double")
+    values = spark.createDataFrame([(1, "s", 6249999.999999992), (2, "s", 124999.99999999981)], "feature_id long, sample string, value double")
+    assert 6249999.999999992 > 50 * 124999.99999999981
+    got = {r.feature_id: r.value for r in cleanup.smearing(features, values).collect()}
+    assert got == {1: 6249999.999999992, 2: 0.0}
+
+
+def test_null_keys_pass_a_spread_join(spark):
+    from ionloom.operators.skew import spread_join
+
+    rows = spark.createDataFrame([(None, i) for i in range(40)] + [(1, 100 + i) for i in range(40)] + [(2, 200)], "k long, v long")
+    table = spark.createDataFrame([(1, "a"), (None, "b")], "k long, t string")
+    for how, n in (("inner", 40), ("left", 81), ("left_anti", 41), ("left_semi", 40)):
+        assert sorted(map(tuple, spread_join(rows, table, ["k"], how, block=5).collect()), key=repr) == sorted(map(tuple, rows.join(table, ["k"], how).collect()), key=repr)
+        assert spread_join(rows, table, ["k"], how, block=5).count() == n

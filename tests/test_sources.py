@@ -96,3 +96,25 @@ def test_big_cef_is_numbered_in_document_order(spark, tmp_path):
         assert peaks.where(F.col("compound") != F.col("rt") + 1).count() == 0 and peaks.count() == 2000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ids_beyond_double_precision(spark):
+    df = spark.createDataFrame([("9007199254740993", "1.0"), ("9007199254740992", "2.0"), ("7.0", "3.0")], "feature_id string, mz string")
+    features, _ = delimited.to_long(df.withColumn("S", F.lit("1")), [], ["S"])
+    assert sorted(r.feature_id for r in features.collect()) == [7, 9007199254740992, 9007199254740993]
+    assert delimited.require_unique_ids(features).count() == 3
+    with pytest.raises(ValueError):
+        delimited.require_unique_ids(features.unionByName(features))
+
+
+def test_optional_files_forgive_absence_only(spark, tmp_path):
+    assert delimited.read_repeat_units(spark, str(tmp_path / "none.json")) == delimited.read_repeat_units(spark, None)
+    (tmp_path / "bad.json").write_text("{not json")
+    with pytest.raises(ValueError):
+        delimited.read_repeat_units(spark, str(tmp_path / "bad.json"))
+    mapping = {"name": "A", "mz": "B", "ccs": "C"}
+    assert delimited.read_standards(spark, str(tmp_path / "none.csv"), mapping).count() == 0
+    (tmp_path / "std.csv").write_text("n,m,c\nx,1.5,2.5\n")
+    assert delimited.read_standards(spark, str(tmp_path / "std.csv"), mapping).count() == 1
+    with pytest.raises(ValueError):
+        delimited.read_standards(spark, str(tmp_path / "std.csv"), {"name": "A", "mz": "1", "ccs": "C"})
