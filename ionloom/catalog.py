@@ -530,13 +530,59 @@ def series_refined(fx):
     return series.refine_groups(groups, 3).select("row_id", "class", "group_id")
 
 
-@query()
+def _peeled(rounds: int) -> str:
+    """CTEs of `rounds` rounds in which the best line of each group takes its points."""
+    out = []
+    for k in range(rounds):
+        out.append(f"""t_best{k} AS MATERIALIZED (SELECT group_id, arg_max((slope, intercept), (n, -loss, -slope, -intercept)) AS line
+  FROM (SELECT group_id, slope, intercept, count(*) AS n, sum(miss) AS loss FROM t_near{k} GROUP BY ALL) GROUP BY group_id),
+t_won{k} AS MATERIALIZED (SELECT n.* FROM t_near{k} n JOIN t_best{k} b ON n.group_id = b.group_id AND n.slope = b.line[1] AND n.intercept = b.line[2]),
+t_near{k + 1} AS MATERIALIZED (SELECT * FROM t_near{k} n WHERE NOT EXISTS (FROM t_won{k} w WHERE w.group_id = n.group_id AND w.row_id = n.row_id))""")
+    return ",\n".join(out)
+
+
+TREND_ROUNDS = 24
+TRENDS = SERIES + f""",
+t_point AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY mz, row_id, class) - 1 AS rn, count(*) OVER (PARTITION BY group_id) AS n
+  FROM s_kept WHERE group_id IN (SELECT group_id FROM s_fine)),
+t_draw AS (
+  SELECT DISTINCT group_id, least(a, b) AS i, greatest(a, b) AS j
+  FROM (SELECT group_id, i AS a, (i + 1 + CAST(floor(((t * 0.6180339887498949E0) % 1) * (n - 1)) AS BIGINT)) % n AS b
+    FROM (SELECT g.group_id, g.n, t, CAST(floor(t * g.n / 200E0) AS BIGINT) AS i
+      FROM (SELECT DISTINCT group_id, n FROM t_point WHERE n >= 2) g, range(200) r(t)))),
+t_line AS MATERIALIZED (
+  SELECT DISTINCT group_id, slope, y0 - slope * x0 AS intercept FROM (
+    SELECT d.group_id, p.mz AS x0, p.ccs AS y0, (q.ccs - p.ccs) / (q.mz - p.mz) AS slope
+    FROM t_draw d JOIN t_point p ON p.group_id = d.group_id AND p.rn = d.i JOIN t_point q ON q.group_id = d.group_id AND q.rn = d.j WHERE p.mz <> q.mz)
+  WHERE slope BETWEEN 0.05E0 AND 0.25E0),
+t_near0 AS MATERIALIZED (
+  SELECT p.group_id, p.row_id, p.mz, p.ccs, l.slope, l.intercept, round_even(abs(p.ccs - (l.slope * p.mz + l.intercept)) * 1E6, 0) AS miss
+  FROM t_point p JOIN t_line l ON l.group_id = p.group_id
+  WHERE abs(p.ccs - (l.slope * p.mz + l.intercept)) <= (SELECT avg(ccs) FROM t_point) * 0.02E0),
+{_peeled(TREND_ROUNDS)},
+t_fit AS (""" + " UNION ALL ".join(
+    f"SELECT group_id, {k} AS trend, coalesce(regr_r2(ccs, mz), 0E0) AS r_squared FROM t_won{k} GROUP BY group_id" for k in range(TREND_ROUNDS)
+) + "),\nt_taken AS (" + " UNION ALL ".join(f"SELECT DISTINCT group_id, row_id, {k} AS trend FROM t_won{k}" for k in range(TREND_ROUNDS)) + """),
+t_out AS MATERIALIZED (
+  SELECT p.row_id, p.class, p.group_id, p.mz, p.ccs, t.trend, f.r_squared FROM t_point p
+  LEFT JOIN t_taken t ON t.group_id = p.group_id AND t.row_id = p.row_id LEFT JOIN t_fit f ON f.group_id = t.group_id AND f.trend = t.trend),
+t_step AS (SELECT group_id, mz - lag(mz) OVER (PARTITION BY group_id ORDER BY mz, row_id) AS step FROM t_out WHERE trend IS NOT NULL),
+t_good AS (SELECT group_id FROM t_step GROUP BY group_id HAVING count(*) FILTER (coalesce(step >= 10E0, true)) >= 3),
+t_done AS MATERIALIZED (SELECT *, trend IS NULL OR group_id NOT IN (SELECT group_id FROM t_good) AS is_outlier FROM t_out)"""
+
+
+@query(f"SELECT row_id, class, group_id, trend, is_outlier, {s('r_squared', 'r_squared')} FROM t_done", ANNOTATED, TRENDS)
 def trend_outliers(fx):
     outcome = series_plan.find_series(annotated(fx), fx.library_l2, UNITS)
     return outcome.select("row_id", "class", "group_id", "trend", "is_outlier", scaled("r_squared", "r_squared"))
 
 
-@query()
+@query(
+    f"""SELECT group_id, count(*) AS points, {s('regr_slope(ccs, mz)', 'slope', '1E6')}, {s('regr_intercept(ccs, mz)', 'intercept')}
+    FROM t_done WHERE NOT is_outlier GROUP BY group_id HAVING count(*) >= 2""",
+    ANNOTATED, TRENDS,
+)
 def trend_lines(fx):
     outcome = cut_lineage(series_plan.find_series(annotated(fx), fx.library_l2, UNITS))
     return regress.trend_lines(outcome).select("group_id", "points", scaled("slope", "slope", 1e6), scaled("intercept", "intercept"))

@@ -137,6 +137,7 @@ class Params:
     series_min_points: int = 3
     series_min_library: int = 0
     trend_residual_fraction: float = 0.02
+    trend_trials: int = 200
     slope_lo: float = 0.05
     slope_hi: float = 0.25
     isotope_ppm: float = 10.0

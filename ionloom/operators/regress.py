@@ -241,83 +241,63 @@ def cross_validate_spline(
 
 def group_trends(
     points: DataFrame, threshold: float | Column, slope_lo: float = 0.05, slope_hi: float = 0.25, min_inliers: int = 0,
-    min_r2: float = 0.0, trials: int = 100,
+    min_r2: float = 0.0, trials: int = 200,
 ) -> DataFrame:
     """Robust lines of ccs on mz per group_id: points with trend (NULL for none), r_squared, is_outlier.
 
-    Rounds over all groups at once. In each, a group tries lines through pairs of its remaining points:
-    all pairs when there are at most `trials`, else `trials` pairs spread evenly over its mass order
-    (the method is a random-sample consensus; the draw is made repeatable). The valid line with the
-    most points within `threshold` wins, then the one with the smaller residuals. The winner's points
-    form a trend if they are enough and their refit is good enough, and leave the pool either way;
-    too few end the search in their group.
+    Every group draws `trials` pairs of its points, spread evenly over its mass order (the method is a
+    random-sample consensus; the draw is made repeatable), and keeps the lines through them whose slope is
+    valid. Which points lie within `threshold` of which line is worked out once. Then, in rounds over all groups,
+    the line with the most remaining points wins; of equal ones that with the smaller sum of residuals (in
+    millionths), the smaller slope, the smaller intercept. Its points form a trend if they are enough and their
+    refit is good enough, and leave the pool either way; too few end the search in their group. A line wins once
+    at most, so there are no more rounds than trials. What no line takes is an outlier.
+    Rows that share group and row_id share their coordinates, and their fate.
     """
     level = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    pool, left = cut_and_count(points.withColumn("_limit", level))
-    columns = points.columns
-    done = []
-    number = 0
+    pool = cut_lineage(with_rank(points.withColumn("_limit", level), ["group_id"], ["mz", "row_id"], "_rn"))
+    sizes = pool.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    ends = {
+        e: pool.select("group_id", F.col("_rn").alias(e), F.col("mz").alias(f"x_{e}"), F.col("ccs").alias(f"y_{e}")) for e in "ij"
+    }
+    slope = (F.col("y_j") - F.col("y_i")) / (F.col("x_j") - F.col("x_i"))
+    lines = (
+        _pair_numbers(sizes, trials).join(ends["i"], ["group_id", "i"]).join(ends["j"], ["group_id", "j"]).where("x_i <> x_j")
+        .withColumn("slope", slope).where(F.col("slope").between(slope_lo, slope_hi))
+        .select("group_id", "slope", (F.col("y_i") - F.col("slope") * F.col("x_i")).alias("intercept"))
+    )
+    trial = lines.groupBy("group_id").agg(F.collect_set(F.struct("slope", "intercept")).alias("lines"))
+    miss = F.abs(F.col("ccs") - (F.col("line.slope") * F.col("mz") + F.col("line.intercept")))
+    near = pool.join(trial, "group_id").withColumn("line", F.explode("lines")).withColumn("miss", miss).where(F.col("miss") <= F.col("_limit"))
+    near, left = cut_and_count(near.select("group_id", "row_id", "mz", "ccs", "line", F.rint(F.col("miss") * 1e6).alias("miss")))
+    taken, number = None, 0
     while left:
-        ranked = with_rank(pool, ["group_id"], ["mz", "row_id"], "_rn")
-        sizes = ranked.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-        pairs = _pair_numbers(sizes, trials)
-        point = ranked.select("group_id", F.col("_rn"), "mz", "ccs")
-        a = point.select("group_id", F.col("_rn").alias("i"), F.col("mz").alias("x1"), F.col("ccs").alias("y1"))
-        b = point.select("group_id", F.col("_rn").alias("j"), F.col("mz").alias("x2"), F.col("ccs").alias("y2"))
-        slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
-        lines = (
-            pairs.join(a, ["group_id", "i"]).join(b, ["group_id", "j"]).where("x1 <> x2")
-            .withColumn("slope", slope).where(F.col("slope").between(slope_lo, slope_hi))
-            .select("group_id", F.struct("slope", (F.col("y1") - F.col("slope") * F.col("x1")).alias("intercept")).alias("line"))
-        )
-        trial = lines.groupBy("group_id").agg(F.collect_set("line").alias("lines"))
-        miss = F.abs(F.col("ccs") - (F.col("line.slope") * F.col("mz") + F.col("line.intercept")))
-        scored = (
-            spread_join(pool, trial, ["group_id"], total=left).withColumn("line", F.explode("lines")).withColumn("miss", miss)
-            .where(F.col("miss") <= F.col("_limit"))
-            .groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n_in"), F.sum(F.rint(F.col("miss") * 1e6)).alias("loss"))
-        )
-        score = F.struct("n_in", -F.col("loss"), -F.col("line.slope"))
-        best = scored.groupBy("group_id").agg(F.max_by("line", score).alias("line"))
-        tagged = cut_lineage(
-            spread_join(pool, best, ["group_id"], "left", total=left)
-            .withColumn("_in", F.coalesce(miss <= F.col("_limit"), F.lit(False)))
-            .withColumn("_stop", F.col("line").isNull())
-        )
-        fit = tagged.where("_in").groupBy("group_id").agg(
-            F.count(F.lit(1)).alias("n_in"), F.coalesce(F.regr_r2("ccs", "mz"), F.lit(0.0)).alias("r_squared")
-        )
-        enough = (F.col("n_in") >= min_inliers) & (F.col("n_in") > 0)
-        judged = spread_join(tagged, fit, ["group_id"], "left", total=left).withColumn("_stop", F.col("_stop") | ~F.coalesce(enough, F.lit(False)))
-        good = F.col("_in") & ~F.col("_stop") & (F.col("r_squared") >= min_r2)
-        leaving = judged.where(F.col("_stop") | F.col("_in")).select(
-            *columns,
-            F.when(good, F.lit(number)).alias("trend"),
-            F.when(good, F.col("r_squared")).alias("r_squared"),
-            (~good).alias("is_outlier"),
-        )
-        done.append(cut_lineage(leaving))
-        pool, left = cut_and_count(judged.where(~F.col("_stop") & ~F.col("_in")).select(*columns, "_limit"))
+        scored = near.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("miss").alias("loss"))
+        order = F.struct("n", -F.col("loss"), -F.col("line.slope"), -F.col("line.intercept"))
+        best = scored.groupBy("group_id").agg(F.max_by("line", order).alias("line"))
+        won = cut_lineage(spread_join(near, best, ["group_id", "line"], "left_semi", total=left).select("group_id", "row_id", "mz", "ccs"))
+        fit = won.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_r2("ccs", "mz"), F.lit(0.0)).alias("r_squared"))
+        fit = cut_lineage(fit.withColumn("enough", F.col("n") >= min_inliers))
+        good = fit.where("enough").where(F.col("r_squared") >= min_r2).select("group_id", "r_squared")
+        own = won.join(good, "group_id").select("group_id", "row_id", F.lit(number).alias("trend"), "r_squared").distinct()
+        taken = own if taken is None else taken.unionByName(own)
+        near = spread_join(near, won.select("group_id", "row_id").distinct(), ["group_id", "row_id"], "left_anti", total=left)
+        near, left = cut_and_count(near.join(fit.where("enough").select("group_id"), "group_id", "left_semi"))
         number += 1
-    if not done:
-        return points.select("*", F.lit(None).cast("int").alias("trend"), F.lit(None).cast("double").alias("r_squared"),
-                             F.lit(True).alias("is_outlier"))
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result
+    if taken is None:
+        outcome = points.withColumns({"trend": F.lit(None).cast("int"), "r_squared": F.lit(None).cast("double")})
+    else:
+        outcome = points.join(taken, ["group_id", "row_id"], "left").select(*points.columns, "trend", "r_squared")
+    return outcome.withColumn("is_outlier", F.col("trend").isNull())
 
 
 def _pair_numbers(sizes: DataFrame, trials: int) -> DataFrame:
-    """(group_id, i, j): the pairs of row numbers a group tries."""
-    few = sizes.where(F.col("n") * (F.col("n") - 1) / 2 <= trials).where("n >= 2")
-    every = few.withColumn("i", F.explode(F.expr("sequence(1L, n - 1)"))).withColumn("j", F.explode(F.expr("sequence(i + 1, n)")))
-    many = sizes.where(F.col("n") * (F.col("n") - 1) / 2 > trials).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    """(group_id, i, j): the row numbers of the pairs that a group draws, each once. Golden-ratio steps spread the partners."""
+    drawn = sizes.where("n >= 2").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     i = F.floor(F.col("t") * F.col("n") / F.lit(trials)).cast("long")
-    # Golden-ratio steps spread the partners over the whole group.
     step = 1 + F.floor((F.col("t") * F.lit(0.6180339887498949) % 1) * (F.col("n") - 1)).cast("long")
-    spread = many.select("group_id", (i + 1).alias("i"), ((i + step) % F.col("n") + 1).alias("j"))
-    return every.select("group_id", "i", "j").unionByName(spread).where("i <> j")
+    pairs = drawn.select("group_id", i.alias("a"), ((i + step) % F.col("n")).alias("b"))
+    return pairs.select("group_id", (F.least("a", "b") + 1).alias("i"), (F.greatest("a", "b") + 1).alias("j")).distinct()
 
 
 def trend_lines(outcome: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def find_series(
     refined = cut_lineage(series.refine_groups(cut_lineage(groups), p.series_min_points))
     mean = refined.agg(F.avg("ccs")).first()[0]
     outcome = regress.group_trends(
-        refined, (mean or 0.0) * p.trend_residual_fraction, p.slope_lo, p.slope_hi, min_inliers=0, min_r2=0.0
+        refined, (mean or 0.0) * p.trend_residual_fraction, p.slope_lo, p.slope_hi, min_inliers=0, min_r2=0.0, trials=p.trend_trials
     )
     return series.validate_trends(cut_lineage(outcome), p.series_min_points, p.series_min_library)
 

@@ -267,39 +267,40 @@ def test_quantile_curves_are_optimal(spark, near):
     assert all(loss(np.array(fit.beta) + 1e-3 * rng.normal(size=3)) >= fit.loss for _ in range(200))
 
 
-def test_group_trends_match_a_sequential_search(spark):
+@pytest.mark.parametrize("sizes,trials", [((8, 11, 14), 200), ((60, 2, 1), 50)])
+def test_group_trends_match_a_sequential_search(spark, sizes, trials):
     rng = np.random.default_rng(31)
     rows = []
-    for g in range(3):
-        for i in range(8 + 3 * g):
-            mz = 200.0 + 50 * i + rng.uniform(0, 1)
+    for g, n in enumerate(sizes):
+        for i in range(n):
+            mz = 200.0 + 20 * i + rng.uniform(0, 1)
             rows.append((g * 100 + i, g, float(mz), float(100 + 0.15 * mz + (25 if i % 4 == 3 else 0) + rng.uniform(-1, 1))))
     df = spark.createDataFrame(rows, "row_id long, group_id long, mz double, ccs double")
-    got = {r.row_id: (r.trend, r.is_outlier) for r in regress.group_trends(df, 3.0, min_inliers=3, trials=200).collect()}
+    got = {r.row_id: (r.trend, r.is_outlier) for r in regress.group_trends(df, 3.0, min_inliers=3, trials=trials).collect()}
     want = {}
-    for g in range(3):
+    for g, n in enumerate(sizes):
         pool = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        lines = set()
+        for t in range(trials if n > 1 else 0):
+            i = t * n // trials
+            j = (i + 1 + math.floor(t * 0.6180339887498949 % 1 * (n - 1))) % n
+            a, b = pool[min(i, j)], pool[max(i, j)]
+            if 0.05 <= (s := (b[3] - a[3]) / (b[2] - a[2])) <= 0.25:
+                lines.add((s, a[3] - s * a[2]))
         number = 0
         while True:
-            lines = set()
-            for a, b in itertools.combinations(pool, 2):
-                if a[2] != b[2] and 0.05 <= (s := (b[3] - a[3]) / (b[2] - a[2])) <= 0.25:
-                    lines.add((s, a[3] - s * a[2]))
             scored = []
             for s, c in lines:
-                miss = [abs(p[3] - (s * p[2] + c)) for p in pool]
-                inside = [m for m in miss if m <= 3.0]
-                scored.append((len(inside), -sum(round(m * 1e6) for m in inside), -s, c))
+                inside = [m for p in pool if (m := abs(p[3] - (s * p[2] + c))) <= 3.0]
+                scored.append((len(inside), -sum(round(m * 1e6) for m in inside), -s, -c))
             if not scored or max(scored)[0] < 3:
                 want |= {p[0]: (None, True) for p in pool}
                 break
-            n, _, s, c = max(scored)
-            inside = [p for p in pool if abs(p[3] - (-s * p[2] + c)) <= 3.0]
+            n_in, _, s, c = max(scored)
+            inside = [p for p in pool if abs(p[3] - (-s * p[2] - c)) <= 3.0]
             want |= {p[0]: (number, False) for p in inside}
             pool = [p for p in pool if p not in inside]
             number += 1
-            if not pool:
-                break
     assert got == want and any(v[1] for v in want.values())
 
 
