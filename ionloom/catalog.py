@@ -705,18 +705,23 @@ def mesh(spark: SparkSession) -> DataFrame:
     return placed.select("y", "x", (F.lit(0.5) + F.col("x") / 40 + F.col("y") * 20).alias("z"))
 
 
-GRID = """
+def _grid_sql(keys: str, points: str) -> str:
+    """CTEs pts (keys, v, u) and zed (keys, z): the mesh's bilinear value at each point that has one."""
+    return f"""
 gy AS (SELECT i, i * 0.002E0 - 0.06E0 AS y FROM range(62) r(i)),
 gx AS (SELECT j, j * 2E0 + 2E0 AS x FROM range(64) r(j)),
-pts AS (SELECT source_file, compound, md/c AS v, m1/c AS u FROM carbon),
+pts AS ({points}),
 cell AS (
   SELECT p.*, a.y AS y0, b.y AS y1, k.x AS x0, l.x AS x1, greatest(a.i, b.i) + greatest(k.j, l.j) < 110 AS filled
   FROM pts p JOIN gy a ON a.y <= p.v JOIN gy b ON b.i = a.i + 1 AND (p.v < b.y OR (b.i = 61 AND p.v <= b.y))
   JOIN gx k ON k.x <= p.u JOIN gx l ON l.j = k.j + 1 AND (p.u < l.x OR (l.j = 63 AND p.u <= l.x))),
 val AS (
-  SELECT source_file, compound, (v-y0)/(y1-y0) AS ty, (u-x0)/(x1-x0) AS tx, 0.5E0 + x0/40 + y0*20 AS z00, 0.5E0 + x1/40 + y0*20 AS z01,
+  SELECT {keys}, (v-y0)/(y1-y0) AS ty, (u-x0)/(x1-x0) AS tx, 0.5E0 + x0/40 + y0*20 AS z00, 0.5E0 + x1/40 + y0*20 AS z01,
          0.5E0 + x0/40 + y1*20 AS z10, 0.5E0 + x1/40 + y1*20 AS z11 FROM cell WHERE filled),
-zed AS (SELECT source_file, compound, z00*(1-ty)*(1-tx) + z01*(1-ty)*tx + z10*ty*(1-tx) + z11*ty*tx AS z FROM val)"""
+zed AS (SELECT {keys}, z00*(1-ty)*(1-tx) + z01*(1-ty)*tx + z10*ty*(1-tx) + z11*ty*tx AS z FROM val)"""
+
+
+GRID = _grid_sql("source_file, compound", "SELECT source_file, compound, md/c AS v, m1/c AS u FROM carbon")
 
 
 @query(
@@ -739,7 +744,23 @@ def reference_lines(fx):
     return rows.select("line", F.col("n").cast("long").alias("n"), scaled("x", "x"), scaled("y", "y", 1e6))
 
 
-@query()
+SUMMARY = """
+row_of AS (SELECT DISTINCT al.alignment_id, an.sample, an.compound, f.match, an.class, an.mz, an.rt, an.dt, an.ccs, an.intensity, c.i1, c.i3, c.m1/c.c AS u, c.md/c.c AS v
+  FROM an JOIN al USING (k) JOIN annotated f USING (feature_id, class) LEFT JOIN carbon c ON c.sample = an.sample AND c.compound = an.compound),
+per_total AS (
+  SELECT alignment_id, sum(m) / (SELECT count(DISTINCT sample) FROM anchor) AS mean_intensity, count(m) AS detection_count
+  FROM (SELECT alignment_id, sample, avg(intensity) AS m FROM row_of GROUP BY 1, 2) GROUP BY 1),
+per_al AS (
+  SELECT alignment_id, arg_min(class, (sample, compound, mz, class)) AS class, avg(mz) AS mz, avg(i1) AS i1, avg(i3) AS i3, avg(u) AS u, avg(v) AS v FROM row_of GROUP BY 1),"""
+
+
+@query(
+    f"""SELECT alignment_id, class, CASE WHEN i1 > 0 AND i3/i1 > 0.28E0 THEN 'Potential Cl, Br present' WHEN i3 = 0 OR i3 IS NULL THEN 'No M+2 peak detected - insufficient signal'
+      ELSE 'No Cl or Br isotopic pattern detected' END AS isotope_status, {s('mz', 'mz')}, {s('mean_intensity', 'mean_intensity', '1E1')}, detection_count,
+      CASE WHEN z >= 0.8E0 THEN 'predicted' ELSE 'out of bounds' END AS ratio_status, {s('CASE WHEN z >= 0.8E0 THEN round_even(z*10E0, 0)/10E0 END', 'ratio', '1E1')}
+    FROM per_al JOIN per_total USING (alignment_id) LEFT JOIN zed USING (alignment_id)""",
+    ANNOTATED, PEAKS + "," + ALIGN + "," + SUMMARY + _grid_sql("alignment_id", "SELECT alignment_id, u, v FROM per_al"),
+)
 def isotope_summary(fx):
     features = annotated(fx)
     rows = isotope_plan.isotope_summary(features, fx.exp_intensity, fx.peak, mesh(fx.spark))

@@ -194,8 +194,9 @@ def alignment_summary(aligned: DataFrame, samples: list[str] | None = None) -> D
     The mean intensity counts 0 for samples without a value. With a list of samples, one column per
     sample holds its mean intensity (0 where there is none).
     """
-    first = F.struct("sample", "compound", "mz")
-    texts = [F.min_by(c, first).alias(c) for c in ("match", "class") if c in aligned.columns]
+    texts_there = [c for c in ("class", "match") if c in aligned.columns]
+    first = F.struct("sample", "compound", "mz", *texts_there)  # a feature can have several annotations
+    texts = [F.min_by(c, first).alias(c) for c in reversed(texts_there)]
     means = [F.avg(c).alias(c) for c in _MEANS if c in aligned.columns]
     spread = [F.stddev_samp(c).alias(f"{c}_sd") for c in ("carbon_estimate", "m_over_c", "mass_defect") if c in aligned.columns]
     summary = aligned.groupBy("alignment_id").agg(*texts, *means, *spread)
