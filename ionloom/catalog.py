@@ -297,6 +297,18 @@ def m2_removal(fx):
     return match.remove_halogen_isotopes(annotated(fx), 15.0, 0.02, 0.5, order_result=False).select("feature_id", "class")
 
 
+@query(
+    """SELECT a.feature_id, a.class FROM annotated a WHERE a.feature_id NOT IN (
+      SELECT j.feature_id FROM feature i, (VALUES (2E0), (4E0)) o(off), feature j
+      WHERE j.mz BETWEEN i.mz + off - i.mz*15E0*1E-6 AND i.mz + off + i.mz*15E0*1E-6
+        AND abs(i.ccs - j.ccs) <= greatest(i.ccs*2E0, j.ccs*2E0) AND abs(i.rt - j.rt) <= 0.5E0)""",
+    ANNOTATED,
+)
+def m2_removal_any_ccs(fx):
+    p = Params()
+    return match.remove_halogen_isotopes(annotated(fx), p.ppm, p.m2_ccs_fraction, p.rt_tol).select("feature_id", "class")
+
+
 @query(
     """SELECT feature_id FROM feature f WHERE NOT EXISTS (
       SELECT 1 FROM (SELECT 12E0*n + 18.9984032E0*(2E0*n-1E0) AS m FROM range(1, 40) r(n)) c
@@ -430,6 +442,20 @@ anchor_r(ma, ca, x) AS (SELECT ma, ca, min(rt) FROM g2 GROUP BY ma, ca UNION ALL
 g3 AS (SELECT f.feature_id, f.mz, f.rt, f.dt, f.ccs, f.ma, f.ca, max(a.x) AS ra FROM g2 f JOIN anchor_r a ON a.ma = f.ma AND a.ca = f.ca AND a.x <= f.rt GROUP BY ALL)"""
 
 
+@query(
+    """SELECT feature_id, class FROM pre f
+    WHERE (class = 'likely' OR mz NOT IN (SELECT mz FROM window_of WHERE anchor IN (SELECT anchor FROM crowd))) AND NOT EXISTS (
+      SELECT 1 FROM (SELECT 12E0*n + 18.9984032E0*(2E0*n-1E0) AS m FROM range(1, 40) r(n)) c
+      WHERE f.mz >= m - m*50E0*1E-6 AND f.mz <= m + m*50E0*1E-6)""",
+    ANNOTATED,
+    """pre AS MATERIALIZED (SELECT a.* FROM annotated a WHERE a.class = 'likely' OR a.feature_id NOT IN (
+      SELECT f.feature_id FROM feature f JOIN library_l2 l ON l.mz >= f.mz - f.mz*15E0*1E-6 AND l.mz <= f.mz + f.mz*15E0*1E-6
+      GROUP BY f.feature_id, f.ccs HAVING f.ccs > 1.03E0 * max(l.ccs))),""" + CROWD.replace("FROM annotated", "FROM pre"),
+)
+def combined_filter(fx):
+    return screen_plan.combined_filter(annotated(fx), fx.library_l2).select("feature_id", "class")
+
+
 @query(
     f"SELECT feature_id, {s('ma', 'mz_anchor')}, {s('ca', 'ccs_anchor')}, {s('ra', 'rt_anchor')} FROM g3", NESTED
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ionloom.model import Params
@@ -18,17 +18,18 @@ class Screening:
     intensity: DataFrame
     samples: DataFrame
     stages: dict[str, DataFrame] = field(default_factory=dict)
+    counts: dict[str, Observation] = field(default_factory=dict)
 
     def funnel(self) -> DataFrame:
-        """(step, stage, rows) after every stage."""
-        counts = [
-            df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("step"), F.lit(name).alias("stage"), "rows")
-            for i, (name, df) in enumerate(self.stages.items(), 1)
-        ]
-        table = counts[0]
-        for c in counts[1:]:
-            table = table.unionByName(c)
-        return table
+        """(step, stage, rows) after every stage, as counted while the stages ran."""
+        rows = [(i, name, seen.get["rows"]) for i, (name, seen) in enumerate(self.counts.items(), 1)]
+        return self.report.sparkSession.createDataFrame(rows, "step int, stage string, rows long")
+
+
+def combined_filter(rows: DataFrame, level2: DataFrame, ppm: float = 15.0) -> DataFrame:
+    """The three chromatographic filters in their order: cross-section prescreen, crowds, unsaturated chains."""
+    rows = cut_lineage(match.ccs_prescreen(rows, level2, ppm))
+    return filters.drop_unsaturated_chains(cleanup.crowd_elimination(rows))
 
 
 def screen(
@@ -44,57 +45,51 @@ def screen(
     Lineage is cut where a stage feeds more than one consumer; everything between is one plan.
     """
     p = params
-    stages: dict[str, DataFrame] = {"loaded": features}
+    stages: dict[str, DataFrame] = {}
+    counts: dict[str, Observation] = {}
+
+    def seen(name: str, rows: DataFrame) -> DataFrame:
+        """`rows`, to be counted by whatever action reads them first."""
+        counts[name] = Observation()
+        stages[name] = rows.observe(counts[name], F.count(F.lit(1)).alias("rows"))
+        return stages[name]
+
+    features = seen("loaded", features)
     intensity = cut_lineage(intensity)
     samples = cut_lineage(intensity.where("role = 'exp'").select("sample").distinct())
 
     values = blanks.subtract_blanks(intensity, p.blank_method, p.blank_sds)
     values = cut_lineage(filters.mask_low_intensity(values, p.min_intensity))
-    kept = filters.rt_range(features, p.rt_min, p.rt_max)
-    stages["rt_range"] = kept
-    kept = cut_lineage(filters.mz_range(kept, p.mz_min, p.mz_max).select("feature_id", "mz", "rt", "dt", "ccs"))
-    stages["mz_range"] = kept
+    kept = seen("rt_range", filters.rt_range(features, p.rt_min, p.rt_max))
+    kept = cut_lineage(seen("mz_range", filters.mz_range(kept, p.mz_min, p.mz_max).select("feature_id", "mz", "rt", "dt", "ccs")))
     values = values.join(kept.select("feature_id"), "feature_id", "left_semi")
     values = cut_lineage(cleanup.smearing(kept, values, p.ccs_pct, p.rt_tol))
     groups = cut_lineage(cleanup.duplicate_groups(kept, p.ppm, p.ccs_pct, p.rt_tol, p.duplicate_cap_ppm))
     kept, values = cleanup.merge_duplicates(kept, values, groups)
-    kept, values = cut_lineage(kept), cut_lineage(values)
-    stages["duplicates_merged"] = kept
-    kept = filters.density_line(kept)
-    stages["density_line"] = kept
-    kept = filters.mass_defect_range(kept, p.mass_defect_lo, p.mass_defect_hi)
-    stages["mass_defect"] = kept
-    kept = cut_lineage(blanks.filter_by_frequency(kept, values, samples, p.frequency_pct))
-    stages["detection_frequency"] = kept
+    kept, values = cut_lineage(seen("duplicates_merged", kept)), cut_lineage(values)
+    kept = seen("density_line", filters.density_line(kept))
+    kept = seen("mass_defect", filters.mass_defect_range(kept, p.mass_defect_lo, p.mass_defect_hi))
+    kept = cut_lineage(seen("detection_frequency", blanks.filter_by_frequency(kept, values, samples, p.frequency_pct)))
 
     rows = match.annotate(kept, level2, level5, p.ppm, p.ccs_pct, p.rt_tol, p.rt_scoring)
-    rows = cut_lineage(rows)
-    stages["annotated"] = rows
+    rows = cut_lineage(seen("annotated", rows))
     if p.remove_standards and standards is not None:
-        rows = cut_lineage(match.remove_standards(rows, standards, p.ppm, p.ccs_pct))
-        stages["standards_removed"] = rows
-    rows = match.remove_source_decay(rows)
-    stages["source_decay"] = rows
+        rows = cut_lineage(seen("standards_removed", match.remove_standards(rows, standards, p.ppm, p.ccs_pct)))
+    rows = seen("source_decay", match.remove_source_decay(rows))
     if p.rt_band:
         rows = _band(rows, "rt", regress.rt_band(level2))
     if p.ccs_band:
         rows = _band(rows, "ccs", regress.ccs_band(level2))
-    rows = cut_lineage(rows)
-    stages["regression_band"] = rows
-    rows = cut_lineage(match.ccs_prescreen(rows, level2, p.ppm))
-    rows = cleanup.crowd_elimination(rows)
-    rows = cut_lineage(filters.drop_unsaturated_chains(rows))
-    stages["combined_filter"] = rows
-    rows = cut_lineage(cleanup.remove_adducts(rows))
-    stages["adducts"] = rows
-    rows = cut_lineage(match.remove_neutral_losses(rows))
-    stages["neutral_losses"] = rows
+    rows = cut_lineage(seen("regression_band", rows))
+    rows = cut_lineage(seen("combined_filter", combined_filter(rows, level2, p.ppm)))
+    rows = cut_lineage(seen("adducts", cleanup.remove_adducts(rows)))
+    rows = seen("neutral_losses", match.remove_neutral_losses(rows))
     rows = rows.join(blanks.detection(values, samples), "feature_id", "left")
     rows = cut_lineage(report.round_report(rows))
     rows = match.remove_halogen_isotopes(rows, p.ppm, p.m2_ccs_fraction, p.rt_tol)
-    stages["halogen_isotopes"] = rows
+    rows = cut_lineage(seen("halogen_isotopes", rows))
     final = values.join(rows.select("feature_id"), "feature_id", "left_semi")
-    return Screening(rows, final, samples, stages)
+    return Screening(rows, final, samples, stages, counts)
 
 
 def _band(rows: DataFrame, value: str, lines: DataFrame) -> DataFrame:
