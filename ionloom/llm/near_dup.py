@@ -36,9 +36,9 @@ from ionloom.llm.common import documents, sealed, text_or_empty, unsealed, writt
 from ionloom.llm.shingles import min_hashes, permutations, shingle_set
 from ionloom.operators.components import connected_components
 
-COORDINATES = 48
-MATCHES = 20
-#: Coordinates of the whole signature: the posted ones in 32 bits, the others in 16.
+COORDINATES = 40
+MATCHES = 15
+#: Coordinates of the whole signature: the posted ones in 32 bits, the others in 8.
 SIGNATURE = 128
 #: Of the whole signature, at a similarity of 0.8 fewer agree with a probability below 1e-8.
 AGREEING = 74
@@ -59,7 +59,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 if len(shingles):
                     sig = min_hashes(shingles, factors, offsets)
                     keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                    sigs.append(sig[:COORDINATES].tobytes() + sig[COORDINATES:].astype(np.uint16).tobytes())
+                    sigs.append(sig[:COORDINATES].tobytes() + sig[COORDINATES:].astype(np.uint8).tobytes())
                 else:
                     keys.append(None)
                     sigs.append(None)
@@ -102,26 +102,10 @@ def _agree(a: list[bytes], b: list[bytes]) -> np.ndarray:
     x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
     cut = 4 * COORDINATES
     head = (np.ascontiguousarray(x[:, :cut]).view(np.uint32) == np.ascontiguousarray(y[:, :cut]).view(np.uint32)).sum(1)
-    tail = (np.ascontiguousarray(x[:, cut:]).view(np.uint16) == np.ascontiguousarray(y[:, cut:]).view(np.uint16)).sum(1)
+    tail = (x[:, cut:] == y[:, cut:]).sum(1)
     return (head >= MATCHES) & (head + tail >= AGREEING)
 
 
-def _promising(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of `pairs` whose set sizes and signatures allow the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keep = pa.array(_agree(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-                yield batch.select(["a", "b"]).filter(keep)
-
-    size = {x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}")).hint("shuffle_hash") for x in "ab"}
-    sig = {x: classes.select(F.col("cid").alias(x), F.col("sig").alias(f"sig{x}")).hint("shuffle_hash") for x in "ab"}
-    fits = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
-    fitting = pairs.join(size["a"], "a").join(size["b"], "b").where(fits).select("a", "b")
-    return fitting.join(sig["b"], "b").join(sig["a"], "a").select("a", "b", "siga", "sigb").mapInArrow(run, "a long, b long")
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The (a, b) of `pairs` that reach the similarity on their full sets."""
     percent = round(similarity * 100)
@@ -149,26 +133,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(hub, i, j, a, b): pairs around a hub from different components that pass, compared block by block.
+def _in_blocks(members: DataFrame, classes: DataFrame, similarity: float, crossing: bool) -> DataFrame:
+    """(hub, i, j, a, b): pairs around a hub whose set sizes and signatures allow the similarity, compared block by block.
 
     `members` (hub, n, cid, comp): everything that shares a list with the hub, n of them. Every pair of blocks
-    of a hub is compared in one task and read as a stream, whatever the number of hubs.
+    of a hub is compared in one task and read as a stream, whatever the number of hubs. With `crossing`, pairs from
+    different components without the hub. Otherwise, pairs with the hub, and for every other member that
+    passes with anything one row with itself: never more rows than members in blocks.
     """
 
     def settle(key: tuple, cids, comps, sizes, blocks, sigs) -> list[tuple]:
-        out = []
+        out, partnered = [], set()
         cids, comps, sizes, blocks = (np.array(x) for x in (cids, comps, sizes, blocks))
         right = np.flatnonzero(blocks == key[2])
         for at in np.flatnonzero(blocks == key[1]):
-            near = right[(comps[right] != comps[at]) & (cids[right] != key[0])]
+            if crossing and cids[at] == key[0]:
+                continue
+            near = right[(comps[right] != comps[at]) & (cids[right] != key[0])] if crossing else right
             if key[1] == key[2]:
                 near = near[cids[near] > cids[at]]
             near = near[np.minimum(sizes[near], sizes[at]) >= similarity * np.maximum(sizes[near], sizes[at]) - 1e-9]
-            if len(near) and cids[at] != key[0]:  # the hub itself has been tested with all of them
-                near = near[_agree([sigs[at]] * len(near), [sigs[i] for i in near])]
-                out += [(*key, int(cids[at]), int(c)) for c in cids[near]]
-        return out
+            if not len(near):
+                continue
+            near = near[_agree([sigs[at]] * len(near), [sigs[i] for i in near])]
+            a, passed = int(cids[at]), cids[near].tolist()
+            if crossing:
+                out += [(*key, a, b) for b in passed]
+            else:
+                partnered.update(passed, [a] if passed else [])
+                out += [(*key, b if a == key[0] else a, key[0]) for b in passed if key[0] in (a, b)]
+        return out + [(*key, c, c) for c in partnered]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["hub", "i", "j", "a", "b"]
@@ -228,23 +222,31 @@ def _confirmed_in_blocks(crossing: DataFrame, texts: DataFrame, words: int, simi
     return crossing.groupBy("hub", "i", "j").cogroup(held.groupBy("hub", "i", "j")).applyInPandas(run, "a long, b long")
 
 
-def links(classes: DataFrame, lists: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(cid, component) of classes linked with others, by tests against hubs and then between components.
+def candidates(classes: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
+    """(hub, a, b) written: the members of each hub that pass with any other, and as b the hub itself where they pass with it.
 
     The hub of a list is its member with the highest score: of a text and its near copies, the text.
     """
     top = F.max(F.struct("score", F.xxhash64("cid").alias("h"), "cid")).alias("hub")
     hubs = lists.groupBy("token").agg(top, F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.col("hub.cid").alias("hub"))
     stars = written(lists.join(hubs.hint("shuffle_hash"), "token").select("hub", "cid").distinct(), "stars")
-    tested = _promising(stars.where("hub <> cid").select(F.col("cid").alias("a"), F.col("hub").alias("b")), classes, similarity)
-    first = written(_confirmed(written(tested, "tested"), texts, words, similarity), "links")
+    sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    around = stars.join(sizes.hint("shuffle_hash"), "hub").withColumn("comp", F.col("cid"))
+    return written(_in_blocks(around, classes, similarity, False).select("hub", "a", "b").distinct(), "candidates")
+
+
+def links(classes: DataFrame, found: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(cid, component) of classes linked with others: first by tests against hubs, then between what these left apart."""
+    tested = found.where("a <> b").select("a", "b").distinct()
+    first = written(_confirmed(tested, texts, words, similarity), "links")
     parts = connected_components(first, "a", "b")
 
-    members = stars.join(parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
+    members = found.where("a = b").select("hub", F.col("a").alias("cid"))
+    members = members.join(parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
     members = written(members.select("hub", "cid", F.coalesce("component", "cid").alias("comp")), "members")
     mixed = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and n > 2")
     around = members.join(mixed.select("hub", "n").hint("shuffle_hash"), "hub")
-    crossing = written(_in_blocks(around, classes, similarity), "crossing")
+    crossing = written(_in_blocks(around, classes, similarity, True), "crossing")
     more = _confirmed_in_blocks(crossing, texts, words, similarity)
     return connected_components(first.unionByName(more), "a", "b")
 
@@ -255,12 +257,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key", "n_shingles", "sig"))
     classes = rows.where("set_key is not null").groupBy("set_key").agg(best.alias("best"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "set_key", "best.doc_id", "best.row_key", "best.n_shingles", "best.sig"), "classes")
-    lists = written(postings(classes), "postings")
-    posted = classes.join(lists.select("cid").distinct().hint("shuffle_hash"), "cid", "left_semi").select("cid", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    found = candidates(classes, written(postings(classes), "postings"), similarity)
+    needed = found.select(F.col("a").alias("cid")).distinct()
+    needed = classes.join(needed.hint("shuffle_hash"), "cid", "left_semi").select("cid", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
     whole = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("row_key"), "text")
     same = whole["doc_id"].eqNullSafe(F.col("_id")) & (whole["row_key"] == F.col("_key"))
-    texts = written(whole.join(posted.hint("shuffle_hash"), same).select("cid", "text").dropDuplicates(["cid"]), "texts")
-    linked = links(classes, lists, texts, words, similarity)
+    # A repeated row gives its class the same text twice, which only repeats a test.
+    texts = written(whole.join(needed.hint("shuffle_hash"), same).select("cid", "text"), "texts")
+    linked = links(classes, found, texts, words, similarity)
 
     parts = classes.select("cid", "set_key", "doc_id").join(linked.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
     parts = parts.withColumn("component", F.coalesce("component", "cid"))
