@@ -211,6 +211,22 @@ def duplicate_members(groups: DataFrame) -> DataFrame:
     return spread_join(groups, kept, ["component"]).select("feature_id", "kept_id")
 
 
+def merge_metadata(features: DataFrame, members: DataFrame) -> DataFrame:
+    """(feature_id, meta) after merging: `features` has feature_id, mz and the map `meta`, `members` (feature_id, kept_id).
+
+    Of a merged group, a key whose values are all numbers takes the largest; any other the first text by m/z.
+    """
+    rows = features.select("feature_id", "mz", F.explode_outer("meta").alias("key", "value"))
+    rows = spread_join(rows, members, ["feature_id"], "left").withColumn("kept", F.coalesce("kept_id", "feature_id"))
+    number = F.expr("try_cast(value AS DOUBLE)")
+    first = F.min_by("value", F.when(F.col("value").isNotNull(), F.struct("mz", "feature_id")))
+    largest = F.max_by("value", number)
+    numeric = F.count(number) == F.count("value")
+    merged = rows.groupBy("kept", "key").agg(F.when(numeric, largest).otherwise(first).alias("value"))
+    entries = F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))))
+    return merged.groupBy(F.col("kept").alias("feature_id")).agg(F.map_from_entries(entries).alias("meta"))
+
+
 def crowd_elimination(report: DataFrame, ppm: float = 50.0, crowd: int = 3) -> DataFrame:
     """Drops non-likely rows in greedy mass windows holding at least `crowd` of them."""
     others = report.where((F.col("class") != CLASS_LIKELY) & F.col("mz").isNotNull())

@@ -19,6 +19,7 @@ TABLE_LABELS = {
     "match": "Name", "class": "Class", "isotope_status": "Isotope Status", "peak_mz_1": "m/z", "ccs": "CCS", "dt": "DT",
     "rt": "RT", "intensity_1": "Average Abundance", "ratio": "Pred. F/C Ratio",
 }
+# The levels that get a label, and the texts of the functions below.
 MAJOR_LEVELS = [0.8, 1.0, 1.5, 2.0, 2.5, 3.0]
 # Slope and intercept of the CF2 and CHF reference lines over m/C.
 REFERENCE_LINES = {"CF2": (-8.40596e-05, 0.0010087), "CHF": (-0.0005237, 0.0229902)}

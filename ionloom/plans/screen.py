@@ -19,6 +19,7 @@ class Screening:
     samples: DataFrame
     stages: dict[str, DataFrame] = field(default_factory=dict)
     counts: dict[str, Observation] = field(default_factory=dict)
+    members: DataFrame | None = None
 
     def funnel(self) -> DataFrame:
         """(step, stage, rows) after every stage, as counted while the stages ran."""
@@ -89,7 +90,7 @@ def screen(
     rows = match.remove_halogen_isotopes(rows, p.ppm, p.m2_ccs_fraction, p.rt_tol)
     rows = cut_lineage(seen("halogen_isotopes", rows))
     final = values.join(rows.select("feature_id"), "feature_id", "left_semi")
-    return Screening(rows, final, samples, stages, counts)
+    return Screening(rows, final, samples, stages, counts, cleanup.duplicate_members(groups))
 
 
 def _band(rows: DataFrame, value: str, lines: DataFrame) -> DataFrame:

@@ -53,3 +53,36 @@ def test_stream_takes_the_stateless_filters(spark, fx, tmp_path):
     run = prefilter(stream).writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.table("kept").count() == prefilter(fx.feature).count()
+
+
+def test_files_to_report_and_isotopes(spark, tmp_path):
+
+    from ionloom.plans.files import run_isotopes, run_screening
+    from ionloom.operators import cleanup
+
+    head = "ID,m/z,RT,DT,CCS,Note,Score,B1,run S1.d\n"
+    (tmp_path / "a.csv").write_text(head + "1,412.9664,5.0,20,150.0,first,3,10,5000\n2,412.9665,5.01,20,150.1,second,7,10,6000\n")
+    (tmp_path / "b.csv").write_text(head + "3,512.9600,7.0,21,168.0,other,1,10,7000\n")
+    level2 = spark.createDataFrame([(1, "acid", "M-H", 412.9664, 150.0, 5.0)], "lib_id long, name string, adduct string, mz double, ccs double, rt double")
+    columns = {"feature_id": "A", "mz": "B", "rt": "C", "dt": "D", "ccs": "E"}
+    params = Params(ccs_band=False, mass_defect_lo=-10.0, mass_defect_hi=10.0)
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    out = run_screening(spark, paths, columns, ("H", "H"), ("I", "I"), level2, report_path=str(tmp_path / "out"), params=params)
+    rows = {r.feature_id: r for r in out.report.collect()}
+    assert rows[2]["class"] == "likely" and rows[2].meta == {"Note": "first", "Score": "7"} and rows[2]["run S1.d"] == 5990.0
+    assert rows[2].mass_error_text == str(rows[2].mass_error_ppm)
+    written = spark.read.csv(str(tmp_path / "out"), header=True)
+    assert written.count() == len(rows) and "run S1.d" in written.columns
+    (tmp_path / "cef").mkdir()
+    peaks = "".join(f'<p x="{m}" y="{y}"/>' for m, y in ((412.96645, 5990.0), (413.9698, 500.0)))
+    (tmp_path / "cef" / "S1.cef").write_text(
+        f'<CEF><CompoundList><Compound><Location rt="5.0" ccs="150.05" dt="20"/><Spectrum><MSPeaks>{peaks}</MSPeaks></Spectrum></Compound></CompoundList></CEF>'
+    )
+    summary = run_isotopes(spark, out, str(tmp_path / "cef")).collect()
+    assert len(summary) == 1 and summary[0]["class"] == "likely" and summary[0].detection_count == 1
+    with pytest.raises(ValueError):
+        run_screening(spark, [paths[0], paths[0]], columns, ("H", "H"), ("I", "I"), level2, params=params)
+    features = spark.createDataFrame([(1, 1.0, {"a": "2", "b": "x"}), (2, 0.5, {"a": "10", "b": "y"}), (3, 1.0, {"a": None})], "feature_id long, mz double, meta map<string,string>")
+    members = spark.createDataFrame([(1, 2), (2, 2)], "feature_id long, kept_id long")
+    got = {r.feature_id: r.meta for r in cleanup.merge_metadata(features, members).collect()}
+    assert got == {2: {"a": "10", "b": "y"}, 3: {"a": None}}
