@@ -12,8 +12,8 @@ MATCHES pairs agree in one of the others. What is left are short lists, but for
 Every list first tests its members against one of them, its hub: the member whose pairs are shared most, which
 is the text that others are copies of. Then only members of a hub that are not yet connected are tested with
 each other, so that a group of near copies costs about as many tests as it has members. That is done block by
-block on signatures and emits survivors only. A candidate must agree in enough coordinates of the whole
-signature before its texts are compared.
+block, and only links leave a task. A candidate must agree in enough coordinates of the whole signature before
+its texts are compared.
 
 Null and empty texts have no shingles and are linked with nothing. Rows with a null doc_id take part; they
 never name a component that has another doc_id. An empty table gives no rows; columns other than doc_id and
@@ -26,7 +26,6 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -133,33 +132,54 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(members: DataFrame, classes: DataFrame, similarity: float, crossing: bool) -> DataFrame:
-    """(hub, i, j, a, b): pairs around a hub whose set sizes and signatures allow the similarity, compared block by block.
+def _in_blocks(members: DataFrame, classes: DataFrame, similarity: float, texts: DataFrame | None = None, words: int = 0) -> DataFrame:
+    """(hub, i, j, a, b): classes around a hub whose set sizes and signatures allow the similarity, compared block by block.
 
     `members` (hub, n, cid, comp): everything that shares a list with the hub, n of them. Every pair of blocks
-    of a hub is compared in one task and read as a stream, whatever the number of hubs. With `crossing`, pairs from
-    different components without the hub. Otherwise, pairs with the hub, and for every other member that
-    passes with anything one row with itself: never more rows than members in blocks.
+    of a hub is compared in one task and read as a stream, whatever the number of hubs. Without `texts`: the pairs with
+    the hub, and for every member that passes with any other one row with itself. With `texts`: links between
+    different components, confirmed on the full sets, as many as connect what is linked in the blocks. Either way
+    no more rows than members.
     """
+    percent = round(similarity * 100)
 
-    def settle(key: tuple, cids, comps, sizes, blocks, sigs) -> list[tuple]:
-        out, partnered = [], set()
+    def settle(key: tuple, cids, comps, sizes, blocks, sigs, held=()) -> list[tuple]:
+        out, partnered, sets = [], set(), {}
         cids, comps, sizes, blocks = (np.array(x) for x in (cids, comps, sizes, blocks))
+        parent = {c: c for c in comps.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        def shingles(at: int) -> np.ndarray:
+            if at not in sets:
+                sets[at] = shingle_set(held[at], words)
+            return sets[at]
+
         right = np.flatnonzero(blocks == key[2])
-        for at in np.flatnonzero(blocks == key[1]):
-            if crossing and cids[at] == key[0]:
+        for at in np.flatnonzero(blocks == key[1]).tolist():
+            if held and cids[at] == key[0]:  # the hub has been tested with all of them
                 continue
-            near = right[(comps[right] != comps[at]) & (cids[right] != key[0])] if crossing else right
+            near = right[(comps[right] != comps[at]) & (cids[right] != key[0])] if held else right
             if key[1] == key[2]:
                 near = near[cids[near] > cids[at]]
             near = near[np.minimum(sizes[near], sizes[at]) >= similarity * np.maximum(sizes[near], sizes[at]) - 1e-9]
             if not len(near):
                 continue
-            near = near[_agree([sigs[at]] * len(near), [sigs[i] for i in near])]
-            a, passed = int(cids[at]), cids[near].tolist()
-            if crossing:
-                out += [(*key, a, b) for b in passed]
-            else:
+            near = near[_agree([sigs[at]] * len(near), [sigs[i] for i in near])].tolist()
+            a = int(cids[at])
+            for other in near if held else ():
+                own, theirs = root(int(comps[at])), root(int(comps[other]))
+                if own != theirs:
+                    x, y = shingles(at), shingles(other)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        parent[own] = theirs
+                        out.append((*key, a, int(cids[other])))
+            if not held:
+                passed = cids[near].tolist()
                 partnered.update(passed, [a] if passed else [])
                 out += [(*key, b if a == key[0] else a, key[0]) for b in passed if key[0] in (a, b)]
         return out + [(*key, c, c) for c in partnered]
@@ -186,42 +206,13 @@ def _in_blocks(members: DataFrame, classes: DataFrame, similarity: float, crossi
     sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
     dealt = placed.select("hub", "cid", "comp", "block", F.explode(sides).alias("p"))
     dealt = dealt.join(classes.select("cid", "n_shingles", "sig").hint("shuffle_hash"), "cid")
-    dealt = dealt.select("hub", "p.i", "p.j", "cid", "comp", "n_shingles", "block", "sig")
+    columns = ["hub", "p.i", "p.j", "cid", "comp", "n_shingles", "block", "sig"]
+    if texts is not None:
+        dealt, columns = dealt.join(texts.hint("shuffle_hash"), "cid"), [*columns, "text"]
+    dealt = dealt.select(*columns)
     return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "hub long, i int, j int, a long, b long")
 
 
-def _confirmed_in_blocks(crossing: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of `crossing` (hub, i, j, a, b) that reach the similarity; a block's texts travel once, not once per pair.
-
-    Pairs that confirmed links of the block already connect are left out.
-    """
-    percent = round(similarity * 100)
-
-    def run(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        sets = {c: shingle_set(t, words) for c, t in zip(held["cid"], held["text"])}
-        parent = {c: c for c in sets}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        out = []
-        for a, b in zip(pairs["a"], pairs["b"]):
-            if root(a) != root(b):
-                x, y = sets[a], sets[b]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    parent[root(a)] = root(b)
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    block = [F.col(c).alias(c) for c in ("hub", "i", "j")]  # columns of their own, as both sides come from one table
-    involved = crossing.select(*block, F.explode(F.array("a", "b")).alias("cid")).distinct()
-    held = involved.join(texts.hint("shuffle_hash"), "cid")
-    return crossing.groupBy("hub", "i", "j").cogroup(held.groupBy("hub", "i", "j")).applyInPandas(run, "a long, b long")
-
-
 def candidates(classes: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
     """(hub, a, b) written: the members of each hub that pass with any other, and as b the hub itself where they pass with it.
 
@@ -232,7 +223,7 @@ def candidates(classes: DataFrame, lists: DataFrame, similarity: float) -> DataF
     stars = written(lists.join(hubs.hint("shuffle_hash"), "token").select("hub", "cid").distinct(), "stars")
     sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
     around = stars.join(sizes.hint("shuffle_hash"), "hub").withColumn("comp", F.col("cid"))
-    return written(_in_blocks(around, classes, similarity, False).select("hub", "a", "b").distinct(), "candidates")
+    return written(_in_blocks(around, classes, similarity).select("hub", "a", "b").distinct(), "candidates")
 
 
 def links(classes: DataFrame, found: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -246,8 +237,7 @@ def links(classes: DataFrame, found: DataFrame, texts: DataFrame, words: int, si
     members = written(members.select("hub", "cid", F.coalesce("component", "cid").alias("comp")), "members")
     mixed = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and n > 2")
     around = members.join(mixed.select("hub", "n").hint("shuffle_hash"), "hub")
-    crossing = written(_in_blocks(around, classes, similarity, True), "crossing")
-    more = _confirmed_in_blocks(crossing, texts, words, similarity)
+    more = written(_in_blocks(around, classes, similarity, texts, words).select("a", "b"), "more-links")
     return connected_components(first.unionByName(more), "a", "b")
 
 
