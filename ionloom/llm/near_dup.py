@@ -235,7 +235,10 @@ def links(classes: DataFrame, found: DataFrame, texts: DataFrame, words: int, si
     members = found.where("a = b").select("hub", F.col("a").alias("cid"))
     members = members.join(parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
     members = written(members.select("hub", "cid", F.coalesce("component", "cid").alias("comp")), "members")
-    mixed = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and n > 2")
+    # Two members are settled only if one is the hub, which passed with the other and was tested with it.
+    held = F.max(F.col("cid") == F.col("hub")).alias("held")
+    mixed = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), held)
+    mixed = mixed.where("lo < hi and (n > 2 or not held)")
     around = members.join(mixed.select("hub", "n").hint("shuffle_hash"), "hub")
     more = written(_in_blocks(around, classes, similarity, texts, words).select("a", "b"), "more-links")
     return connected_components(first.unionByName(more), "a", "b")

@@ -141,6 +141,21 @@ def test_near_duplicates_in_crowds(spark, monkeypatch):
     _check_near(near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect(), rows, 2)
 
 
+def test_near_copies_among_half_alike_texts(spark):
+    """One pair of near copies in each family of texts that share most passages, so that their hubs are other texts."""
+    rows = []
+    for seed in (1, 8, 11, 14):
+        draw = random.Random(seed)
+        passages = [[f"f{seed}p{p}w{i}" for i in range(5)] for p in range(120)]
+        texts = [[w for p in sorted(draw.sample(range(120), 66)) for w in passages[p]] for _ in range(100)]
+        near = texts[50].copy()
+        for at in draw.sample(range(len(near)), 14):
+            near[at] = f"changed{at}"
+        rows += [(seed * 1000 + i, " ".join(t), "en", "s", 1) for i, t in enumerate([*texts, near])]
+    assert sum(c != d for d, _, c in _components(rows, 2)) == 4
+    _check_near(near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect(), rows, 2)
+
+
 def test_near_dedup_stage(docs, empty):
     kept = near_dup.near_dedup_documents(docs)
     assert kept.columns == docs.columns
