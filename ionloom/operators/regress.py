@@ -251,14 +251,50 @@ def group_trends(
     the line with the most remaining points wins; of equal ones that with the smaller sum of residuals (in
     millionths), the smaller slope, the smaller intercept. Its points form a trend if they are enough and their
     refit is good enough, and leave the pool either way; too few end the search in their group. A line wins once
-    at most, so there are no more rounds than trials. What no line takes is an outlier.
+    at most, so there are no more rounds than trials. Groups whose lines are used up draw again from the points
+    that are left, until a draw gives no valid line. What no line takes is an outlier.
     Rows that share group and row_id share their coordinates, and their fate.
     """
     level = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    pool = cut_lineage(with_rank(points.withColumn("_limit", level), ["group_id"], ["mz", "row_id"], "_rn"))
-    sizes = pool.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    pool = cut_lineage(points.select("group_id", "row_id", "mz", "ccs", level.alias("_limit"), F.lit(0).alias("_first")))
+    taken = None
+    while True:
+        near, left = cut_and_count(_near_lines(pool, slope_lo, slope_hi, trials))
+        if not left:
+            break
+        gone, rounds, number = None, None, 0
+        while left:
+            scored = near.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("miss").alias("loss"))
+            order = F.struct("n", -F.col("loss"), -F.col("line.slope"), -F.col("line.intercept"))
+            best = scored.groupBy("group_id").agg(F.max_by("line", order).alias("line"))
+            won = cut_lineage(spread_join(near, best, ["group_id", "line"], "left_semi", total=left).drop("line", "miss"))
+            fit = won.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_r2("ccs", "mz"), F.lit(0.0)).alias("r_squared"))
+            fit = cut_lineage(fit.withColumn("enough", F.col("n") >= min_inliers))
+            good = fit.where("enough").where(F.col("r_squared") >= min_r2).select("group_id", "r_squared")
+            trend = (F.col("_first") + number).alias("trend")
+            own = won.join(good, "group_id").select("group_id", "row_id", trend, "r_squared").distinct()
+            taken = own if taken is None else taken.unionByName(own)
+            out, ended = won.select("group_id", "row_id").distinct(), fit.select("group_id", "enough")
+            gone, rounds = (out, ended) if gone is None else (gone.unionByName(out), rounds.unionByName(ended))
+            near = spread_join(near, out, ["group_id", "row_id"], "left_anti", total=left)
+            near, left = cut_and_count(near.join(fit.where("enough").select("group_id"), "group_id", "left_semi"))
+            number += 1
+        going = rounds.groupBy("group_id").agg(F.min("enough").alias("enough"), F.count(F.lit(1)).cast("int").alias("_rounds")).where("enough")
+        rest = spread_join(pool, gone, ["group_id", "row_id"], "left_anti").join(going.drop("enough"), "group_id")
+        pool = cut_lineage(rest.withColumn("_first", F.col("_first") + F.col("_rounds")).drop("_rounds"))
+    if taken is None:
+        outcome = points.withColumns({"trend": F.lit(None).cast("int"), "r_squared": F.lit(None).cast("double")})
+    else:
+        outcome = points.join(taken, ["group_id", "row_id"], "left").select(*points.columns, "trend", "r_squared")
+    return outcome.withColumn("is_outlier", F.col("trend").isNull())
+
+
+def _near_lines(pool: DataFrame, slope_lo: float, slope_hi: float, trials: int) -> DataFrame:
+    """(group_id, row_id, mz, ccs, _first, line, miss): the points within _limit of each valid line that one draw gives their group."""
+    ranked = cut_lineage(with_rank(pool, ["group_id"], ["mz", "row_id"], "_rn"))
+    sizes = ranked.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     ends = {
-        e: pool.select("group_id", F.col("_rn").alias(e), F.col("mz").alias(f"x_{e}"), F.col("ccs").alias(f"y_{e}")) for e in "ij"
+        e: ranked.select("group_id", F.col("_rn").alias(e), F.col("mz").alias(f"x_{e}"), F.col("ccs").alias(f"y_{e}")) for e in "ij"
     }
     slope = (F.col("y_j") - F.col("y_i")) / (F.col("x_j") - F.col("x_i"))
     lines = (
@@ -268,27 +304,8 @@ def group_trends(
     )
     trial = lines.groupBy("group_id").agg(F.collect_set(F.struct("slope", "intercept")).alias("lines"))
     miss = F.abs(F.col("ccs") - (F.col("line.slope") * F.col("mz") + F.col("line.intercept")))
-    near = pool.join(trial, "group_id").withColumn("line", F.explode("lines")).withColumn("miss", miss).where(F.col("miss") <= F.col("_limit"))
-    near, left = cut_and_count(near.select("group_id", "row_id", "mz", "ccs", "line", F.rint(F.col("miss") * 1e6).alias("miss")))
-    taken, number = None, 0
-    while left:
-        scored = near.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("miss").alias("loss"))
-        order = F.struct("n", -F.col("loss"), -F.col("line.slope"), -F.col("line.intercept"))
-        best = scored.groupBy("group_id").agg(F.max_by("line", order).alias("line"))
-        won = cut_lineage(spread_join(near, best, ["group_id", "line"], "left_semi", total=left).select("group_id", "row_id", "mz", "ccs"))
-        fit = won.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_r2("ccs", "mz"), F.lit(0.0)).alias("r_squared"))
-        fit = cut_lineage(fit.withColumn("enough", F.col("n") >= min_inliers))
-        good = fit.where("enough").where(F.col("r_squared") >= min_r2).select("group_id", "r_squared")
-        own = won.join(good, "group_id").select("group_id", "row_id", F.lit(number).alias("trend"), "r_squared").distinct()
-        taken = own if taken is None else taken.unionByName(own)
-        near = spread_join(near, won.select("group_id", "row_id").distinct(), ["group_id", "row_id"], "left_anti", total=left)
-        near, left = cut_and_count(near.join(fit.where("enough").select("group_id"), "group_id", "left_semi"))
-        number += 1
-    if taken is None:
-        outcome = points.withColumns({"trend": F.lit(None).cast("int"), "r_squared": F.lit(None).cast("double")})
-    else:
-        outcome = points.join(taken, ["group_id", "row_id"], "left").select(*points.columns, "trend", "r_squared")
-    return outcome.withColumn("is_outlier", F.col("trend").isNull())
+    near = ranked.join(trial, "group_id").withColumn("line", F.explode("lines")).withColumn("miss", miss).where(F.col("miss") <= F.col("_limit"))
+    return near.select("group_id", "row_id", "mz", "ccs", "_first", "line", F.rint(F.col("miss") * 1e6).alias("miss"))
 
 
 def _pair_numbers(sizes: DataFrame, trials: int) -> DataFrame:

@@ -304,6 +304,34 @@ def test_group_trends_match_a_sequential_search(spark, sizes, trials):
     assert got == want and any(v[1] for v in want.values())
 
 
+def test_many_parallel_trends_are_drawn_until_none_is_left(spark):
+    """40 equal trends in one group are more than one draw of 200 pairs can meet; each takes its own points."""
+    rows = [(t * 10 + i, 1, 200.0 + 20 * i + t * 0.1, 100 + 15.0 * t + 0.15 * (200 + 20 * i + t * 0.1)) for t in range(40) for i in range(10)]
+    rows += [(900, 2, 300.0, 150.0), (901, 2, 320.0, 140.0), (902, 3, 300.0, 150.0)]
+    df = spark.createDataFrame(rows, "row_id long, group_id long, mz double, ccs double")
+    got = {r.row_id: (r.trend, r.is_outlier) for r in regress.group_trends(df, 3.0).collect()}
+    pool, number, want = sorted((r for r in rows if r[1] == 1), key=lambda r: (r[2], r[0])), 0, {r[0]: (None, True) for r in rows}
+    while True:
+        n, lines = len(pool), set()
+        for t in range(200 if n > 1 else 0):
+            i = t * n // 200
+            j = (i + 1 + math.floor(t * 0.6180339887498949 % 1 * (n - 1))) % n
+            a, b = pool[min(i, j)], pool[max(i, j)]
+            if a[2] != b[2] and 0.05 <= (s := (b[3] - a[3]) / (b[2] - a[2])) <= 0.25:
+                lines.add((s, a[3] - s * a[2]))
+        if not lines:
+            break
+        while lines:
+            near = {(s, c): [(p, m) for p in pool if (m := abs(p[3] - (s * p[2] + c))) <= 3.0] for s, c in lines}
+            lines = {x for x in lines if near[x]}
+            if lines:
+                best = max(lines, key=lambda x: (len(near[x]), -sum(round(m * 1e6) for _, m in near[x]), -x[0], -x[1]))
+                want |= {p[0]: (number, False) for p, _ in near[best]}
+                pool, number = [p for p in pool if p not in [q for q, _ in near[best]]], number + 1
+    assert got == want
+    assert sum(v[1] for v in got.values()) < 10
+
+
 def test_series_keeps_first_row_of_a_terminal_mass_and_skips_missing_time(spark):
     rows = [(i, "n", "unmatched", 100.0 + 10 * i, None if i == 2 else 1.0 + i, 200.0 + 49.9968 * i) for i in range(4)]
     rows += [(9, "n", "unmatched", 140.0, 5.0, 200.0 + 49.9968 * 3)]
