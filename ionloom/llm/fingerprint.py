@@ -5,7 +5,7 @@ paragraphs: the order of paragraphs does not matter, and paragraphs can be inser
 fingerprint without the rest of the text.
 
 A vector has two parts. EQUAL lanes modulo 2**64 are independent hashes of the paragraph's bytes; they tell
-multisets of paragraphs apart. LIKE lanes modulo 2**16 hold, for each run of SHINGLE words of the paragraph,
+multisets of paragraphs apart. LIKE lanes modulo 2**64 (written modulo 2**16) hold, for each run of SHINGLE words of the paragraph,
 +1 or -1 by a hash; the likeness of two documents is one less the squared distance of these lanes over the
 sum of their squared lengths, an estimate of the share of runs they have in common.
 
@@ -57,7 +57,7 @@ class Fingerprint:
 
     def __init__(self, equal: np.ndarray | None = None, like: np.ndarray | None = None):
         self.equal = np.zeros(EQUAL, np.uint64) if equal is None else equal
-        self.like = np.zeros(LIKE, np.int16) if like is None else like
+        self.like = np.zeros(LIKE, np.int64) if like is None else like
 
     def _change(self, lines: list[str], sign: int) -> Fingerprint:
         equal, like = self.equal.copy(), self.like.copy()
@@ -82,7 +82,7 @@ class Fingerprint:
                 for low in range(0, len(own), 4096):
                     bits = mix(own[low : low + 4096, None] ^ _places())
                     ones += np.unpackbits(bits.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-                like += (sign * (2 * ones - len(own))).astype(np.int16)
+                like += sign * (2 * ones - len(own))
         return Fingerprint(equal, like)
 
     def insert(self, lines: list[str]) -> Fingerprint:
@@ -96,7 +96,7 @@ class Fingerprint:
         return cls().insert(paragraphs(text))
 
     def hex(self) -> str:
-        return self.equal.tobytes().hex() + self.like.tobytes().hex()
+        return self.equal.tobytes().hex() + self.like.astype(np.int16).tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         a, b = self.like.astype(np.float64), other.like.astype(np.float64)

@@ -304,6 +304,12 @@ def test_fingerprints(docs, empty, chunk_rows):
     assert fingerprint.fingerprint_report(empty).count() == 0
 
 
+def test_likeness_of_a_word_repeated_often():
+    half, often = (fingerprint.Fingerprint.of("again " * n) for n in (35_000, 70_000))
+    assert abs(half.likeness(often) - (1 - 1 / 5)) < 1e-3
+    assert often.delete(["again " * 70_000]).hex() == fingerprint.Fingerprint().hex()
+
+
 def test_fingerprint_algebra():
     a, b, c = ["x y z\n"], ["p q\n", "p q\n"], ["tail"]
     whole = fingerprint.Fingerprint().insert(a + b + c)
