@@ -48,30 +48,40 @@ def query(sql: str | None = None, ctes: str = "", recursive: str = ""):
     return register
 
 
-L2_PAIRS = """
+# SQL of operators as functions of the names of their input tables, so that whole plans can chain them.
+
+
+def l2_pairs_sql(feature: str = "feature") -> str:
+    return f"""
 l2p AS (
   SELECT f.feature_id, f.mz, f.rt, f.dt, f.ccs, concat(l.name, ' (', l.adduct, ')') AS match,
          round_even((f.mz - l.mz) / l.mz * 1E6 * 100E0, 0) / 100E0 AS mass_error,
          round_even((f.ccs - l.ccs) / l.ccs * 100E0 * 100E0, 0) / 100E0 AS ccs_error,
          abs(f.rt - l.rt) AS rt_error
-  FROM feature f JOIN library_l2 l
+  FROM {feature} f JOIN library_l2 l
     ON l.mz >= f.mz - f.mz*15E0*1E-6 AND l.mz <= f.mz + f.mz*15E0*1E-6
    AND (f.ccs - l.ccs) / l.ccs * 100E0 BETWEEN -2E0 AND 2E0)"""
-ANNOTATED = L2_PAIRS + """,
+
+
+def annotated_sql(feature: str = "feature") -> str:
+    return l2_pairs_sql(feature) + f""",
 l5p AS (
   SELECT DISTINCT f.mz, l.name, round_even((f.mz - l.mz) / l.mz * 1E6 * 100E0, 0) / 100E0 AS mass_error
-  FROM (SELECT DISTINCT mz FROM feature) f JOIN library_l5 l
+  FROM (SELECT DISTINCT mz FROM {feature}) f JOIN library_l5 l
     ON l.mz >= f.mz - f.mz*15E0*1E-6 AND l.mz <= f.mz + f.mz*15E0*1E-6),
 annotated AS (
   SELECT feature_id, mz, rt, dt, ccs, match, 'likely' AS class FROM l2p
   UNION ALL
   SELECT f.feature_id, f.mz, f.rt, f.dt, f.ccs, coalesce(n.names, 'No Match'),
          CASE WHEN n.names IS NULL THEN 'unmatched' ELSE 'tentative' END
-  FROM feature f LEFT JOIN (SELECT mz, string_agg(DISTINCT name, ' or ' ORDER BY name) AS names FROM l5p GROUP BY mz) n
+  FROM {feature} f LEFT JOIN (SELECT mz, string_agg(DISTINCT name, ' or ' ORDER BY name) AS names FROM l5p GROUP BY mz) n
     ON n.mz = f.mz
   WHERE f.feature_id NOT IN (SELECT feature_id FROM l2p))"""
 
 
+L2_PAIRS, ANNOTATED = l2_pairs_sql(), annotated_sql()
+
+
 def annotated(fx: Fixtures) -> DataFrame:
     p = Params()
     rows = match.annotate(fx.feature.select("feature_id", "mz", "rt", "dt", "ccs"), fx.library_l2, fx.library_l5,
@@ -231,97 +241,114 @@ def class_counts(fx):
     return annotated(fx).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("feature_id").alias("features"))
 
 
-@query(
-    """SELECT a.feature_id, a.class FROM annotated a WHERE a.class = 'likely' OR NOT EXISTS (
+def without_standards_sql(rows: str = "annotated") -> str:
+    return f"""SELECT a.* FROM {rows} a WHERE a.class = 'likely' OR NOT EXISTS (
       SELECT 1 FROM standard t WHERE a.ccs BETWEEN t.ccs - t.ccs*2E0/100E0 AND t.ccs + t.ccs*2E0/100E0
         AND (a.mz BETWEEN t.mz - t.mz*15E0*1E-6 AND t.mz + t.mz*15E0*1E-6
-          OR a.mz BETWEEN t.mz - 1E0 - t.mz*15E0*1E-6 AND t.mz - 1E0 + t.mz*15E0*1E-6))""",
-    ANNOTATED,
-)
+          OR a.mz BETWEEN t.mz - 1E0 - t.mz*15E0*1E-6 AND t.mz - 1E0 + t.mz*15E0*1E-6))"""
+
+
+def without_decay_sql(rows: str = "annotated") -> str:
+    return f"""SELECT a.* FROM {rows} a WHERE a.feature_id NOT IN (
+      SELECT o.feature_id FROM {rows} o JOIN {rows} l ON l.class = 'likely' AND o.class <> 'likely'
+        AND o.mz >= l.mz - l.mz*10E0*1E-6 AND o.mz <= l.mz + l.mz*10E0*1E-6
+        AND abs(l.rt - o.rt) < 1E0 AND o.ccs >= l.ccs * 1.03E0)"""
+
+
+def prescreened_sql(rows: str = "annotated") -> str:
+    return f"""SELECT a.* FROM {rows} a WHERE a.class = 'likely' OR a.feature_id NOT IN (
+      SELECT f.feature_id FROM {rows} f JOIN library_l2 l ON l.mz >= f.mz - f.mz*15E0*1E-6 AND l.mz <= f.mz + f.mz*15E0*1E-6
+      GROUP BY f.feature_id, f.ccs HAVING f.ccs > 1.03E0 * max(l.ccs))"""
+
+
+@query(f"SELECT feature_id, class FROM ({without_standards_sql()})", ANNOTATED)
 def standards_removal(fx):
     return match.remove_standards(annotated(fx), fx.standard, 15.0, 2.0).select("feature_id", "class")
 
 
-@query(
-    """SELECT a.feature_id, a.class FROM annotated a WHERE a.feature_id NOT IN (
-      SELECT o.feature_id FROM annotated o JOIN annotated l ON l.class = 'likely' AND o.class <> 'likely'
-        AND o.mz >= l.mz - l.mz*10E0*1E-6 AND o.mz <= l.mz + l.mz*10E0*1E-6
-        AND abs(l.rt - o.rt) < 1E0 AND o.ccs >= l.ccs * 1.03E0)""",
-    ANNOTATED,
-)
+@query(f"SELECT feature_id, class FROM ({without_decay_sql()})", ANNOTATED)
 def post_source_decay(fx):
     return match.remove_source_decay(annotated(fx)).select("feature_id", "class")
 
 
-@query(
-    """SELECT a.feature_id, a.class FROM annotated a WHERE a.class = 'likely' OR a.feature_id NOT IN (
-      SELECT f.feature_id FROM feature f JOIN library_l2 l ON l.mz >= f.mz - f.mz*15E0*1E-6 AND l.mz <= f.mz + f.mz*15E0*1E-6
-      GROUP BY f.feature_id, f.ccs HAVING f.ccs > 1.03E0 * max(l.ccs))""",
-    ANNOTATED,
-)
+@query(f"SELECT feature_id, class FROM ({prescreened_sql()})", ANNOTATED)
 def ccs_prescreen(fx):
     return match.ccs_prescreen(annotated(fx), fx.library_l2, 15.0).select("feature_id", "class")
 
 
-LOSSES = "loss(label, mass) AS (VALUES " + ", ".join(f"('{n}', {m!r}E0)" for n, m in NEUTRAL_LOSSES) + "),\n" + """
-masses AS (SELECT DISTINCT mz FROM feature),
+def losses_sql(feature: str = "feature") -> str:
+    return "loss(label, mass) AS (VALUES " + ", ".join(f"('{n}', {m!r}E0)" for n, m in NEUTRAL_LOSSES) + "),\n" + f"""
+masses AS (SELECT DISTINCT mz FROM {feature}),
 loss_pairs AS (
   SELECT t.mz AS mz1, m.mz AS mz2, t.label FROM (SELECT mz, label, mz - mass AS target FROM masses, loss WHERE mz - mass > 0) t
   JOIN masses m ON m.mz >= target - target*15E0*1E-6 AND m.mz <= target + target*15E0*1E-6)"""
 
 
+def without_losses_sql(rows: str = "annotated") -> str:
+    return f"""SELECT * FROM {rows} WHERE mz NOT IN (
+      SELECT mz2 FROM loss_pairs JOIN (SELECT mz, arg_min(class, feature_id) AS class FROM {rows} GROUP BY mz) f ON f.mz = mz2
+      WHERE f.class <> 'likely')"""
+
+
+def without_isotopes_sql(rows: str = "annotated", feature: str = "feature", fraction: str = "0.02E0") -> str:
+    return f"""SELECT a.* FROM {rows} a WHERE a.feature_id NOT IN (
+      SELECT j.feature_id FROM {feature} i, (VALUES (2E0), (4E0)) o(off), {feature} j
+      WHERE j.mz BETWEEN i.mz + off - i.mz*15E0*1E-6 AND i.mz + off + i.mz*15E0*1E-6
+        AND abs(i.ccs - j.ccs) <= greatest(i.ccs*{fraction}, j.ccs*{fraction}) AND abs(i.rt - j.rt) <= 0.5E0)"""
+
+
+def without_chains_sql(rows: str = "feature") -> str:
+    return f"""SELECT f.* FROM {rows} f WHERE NOT EXISTS (
+      SELECT 1 FROM (SELECT 12E0*n + 18.9984032E0*(2E0*n-1E0) AS m FROM range(1, 40) r(n)) c
+      WHERE f.mz >= m - m*50E0*1E-6 AND f.mz <= m + m*50E0*1E-6)"""
+
+
+LOSSES = losses_sql()
+
+
 @query(f"SELECT {s('mz1', 'mz1', '1E6')}, {s('mz2', 'mz2', '1E6')}, label FROM loss_pairs", LOSSES)
 def neutral_loss_pairs(fx):
     rows = match.neutral_loss_pairs(fx.feature, 15.0)
     return rows.select(scaled("mz1", "mz1", 1e6), scaled("mz2", "mz2", 1e6), "label")
 
 
+RANKS = "ranked_mass AS (SELECT mz, row_number() OVER (ORDER BY mz) AS rank FROM (SELECT DISTINCT mz FROM feature))"
+
+
 @query(
-    """SELECT feature_id, class FROM annotated WHERE mz NOT IN (
-      SELECT mz2 FROM loss_pairs JOIN (SELECT mz, arg_min(class, feature_id) AS class FROM annotated GROUP BY mz) f ON f.mz = mz2
-      WHERE f.class <> 'likely')""",
-    ANNOTATED, LOSSES,
+    f"SELECT {s('mz1', 'mz1', '1E6')}, label, min(rank) AS first_rank, max(rank) AS last_rank FROM loss_pairs JOIN ranked_mass ON mz = mz2 GROUP BY mz1, label",
+    LOSSES, RANKS,
 )
+def neutral_loss_runs(fx):
+    return match.neutral_loss_runs(fx.feature, 15.0).select(scaled("mz1", "mz1", 1e6), "label", "first_rank", "last_rank")
+
+
+@query(f"SELECT feature_id, class FROM ({without_losses_sql()})", ANNOTATED, LOSSES)
 def neutral_loss_removal(fx):
     return match.remove_neutral_losses(annotated(fx), 15.0).select("feature_id", "class")
 
 
-@query(
-    """SELECT a.feature_id, a.class FROM annotated a WHERE a.feature_id NOT IN (
-      SELECT j.feature_id FROM feature i, (VALUES (2E0), (4E0)) o(off), feature j
-      WHERE j.mz BETWEEN i.mz + off - i.mz*15E0*1E-6 AND i.mz + off + i.mz*15E0*1E-6
-        AND abs(i.ccs - j.ccs) <= greatest(i.ccs*0.02E0, j.ccs*0.02E0) AND abs(i.rt - j.rt) <= 0.5E0)""",
-    ANNOTATED,
-)
+@query(f"SELECT feature_id, class FROM ({without_isotopes_sql()})", ANNOTATED)
 def m2_removal(fx):
     return match.remove_halogen_isotopes(annotated(fx), 15.0, 0.02, 0.5, order_result=False).select("feature_id", "class")
 
 
-@query(
-    """SELECT a.feature_id, a.class FROM annotated a WHERE a.feature_id NOT IN (
-      SELECT j.feature_id FROM feature i, (VALUES (2E0), (4E0)) o(off), feature j
-      WHERE j.mz BETWEEN i.mz + off - i.mz*15E0*1E-6 AND i.mz + off + i.mz*15E0*1E-6
-        AND abs(i.ccs - j.ccs) <= greatest(i.ccs*2E0, j.ccs*2E0) AND abs(i.rt - j.rt) <= 0.5E0)""",
-    ANNOTATED,
-)
+@query(f"SELECT feature_id, class FROM ({without_isotopes_sql(fraction='2E0')})", ANNOTATED)
 def m2_removal_any_ccs(fx):
     p = Params()
     return match.remove_halogen_isotopes(annotated(fx), p.ppm, p.m2_ccs_fraction, p.rt_tol).select("feature_id", "class")
 
 
-@query(
-    """SELECT feature_id FROM feature f WHERE NOT EXISTS (
-      SELECT 1 FROM (SELECT 12E0*n + 18.9984032E0*(2E0*n-1E0) AS m FROM range(1, 40) r(n)) c
-      WHERE f.mz >= m - m*50E0*1E-6 AND f.mz <= m + m*50E0*1E-6)"""
-)
+@query(f"SELECT feature_id FROM ({without_chains_sql()})")
 def unsat_chain(fx):
     return filters.drop_unsaturated_chains(fx.feature).select("feature_id")
 
 
 # --- order-dependent removal --------------------------------------------------------------------
 
-ADDUCT_CTES = "rule(label, a, b) AS (VALUES " + ", ".join(f"('{n}', {a!r}E0, {b!r}E0)" for n, a, b in ADDUCT_RULES) + "),\n" + """
-mass AS (SELECT mz, row_number() OVER (ORDER BY mz) AS i FROM (SELECT DISTINCT mz FROM feature)),
+def adducts_sql(feature: str = "feature") -> str:
+    return "rule(label, a, b) AS (VALUES " + ", ".join(f"('{n}', {a!r}E0, {b!r}E0)" for n, a, b in ADDUCT_RULES) + "),\n" + f"""
+mass AS (SELECT mz, row_number() OVER (ORDER BY mz) AS i FROM (SELECT DISTINCT mz FROM {feature})),
 adduct_edge AS (
   SELECT t.i, t.mz AS mz1, m.i AS i2, m.mz AS mz2, t.label
   FROM (SELECT i, mz, label, a*mz + b AS target FROM mass, rule) t
@@ -335,6 +362,13 @@ walk(k, matched) AS (
 matched AS (SELECT DISTINCT unnest(matched) AS i FROM walk WHERE k = (SELECT max(k) FROM walk))"""
 
 
+def without_adducts_sql(rows: str = "annotated") -> str:
+    return f"SELECT * FROM {rows} WHERE class = 'likely' OR mz NOT IN (SELECT mz FROM mass WHERE i IN (SELECT i FROM matched))"
+
+
+ADDUCT_CTES = adducts_sql()
+
+
 @query(
     f"SELECT {s('mz1', 'mz1', '1E6')}, {s('mz2', 'mz2', '1E6')}, label FROM adduct_edge WHERE i NOT IN (SELECT i FROM matched)",
     ADDUCT_CTES,
@@ -345,17 +379,21 @@ def adduct_pairs(fx):
 
 
 @query(
-    "SELECT feature_id, class FROM annotated WHERE class = 'likely' OR mz NOT IN (SELECT mz FROM mass WHERE i IN (SELECT i FROM matched))",
-    ANNOTATED, ADDUCT_CTES,
+    f"SELECT {s('mz1', 'mz1', '1E6')}, label, min(rank) AS first_rank, max(rank) AS last_rank FROM adduct_edge JOIN ranked_mass ON mz = mz2 "
+    "WHERE i NOT IN (SELECT i FROM matched) GROUP BY mz1, label",
+    ADDUCT_CTES, RANKS,
 )
+def adduct_runs(fx):
+    return cleanup.adduct_runs(fx.feature, 10.0).select(scaled("mz1", "mz1", 1e6), "label", "first_rank", "last_rank")
+
+
+@query(f"SELECT feature_id, class FROM ({without_adducts_sql()})", ANNOTATED, ADDUCT_CTES)
 def adduct_removal(fx):
     return cleanup.remove_adducts(annotated(fx), 10.0).select("feature_id", "class")
 
 
-@query(
-    f"SELECT e.feature_id, e.sample, {s('CASE WHEN z.i IS NULL THEN e.value ELSE 0E0 END', 'value', '1E2')} FROM exp_i e "
-    "LEFT JOIN zeroed z ON z.i = e.feature_id AND z.sample = e.sample",
-    """v AS (SELECT e.sample, e.feature_id AS id, e.value, f.mz, f.rt, f.ccs FROM exp_i e JOIN feature f USING (feature_id)),
+def smear_sql(values: str = "exp_i", feature: str = "feature") -> str:
+    return f"""v AS (SELECT e.sample, e.feature_id AS id, e.value, f.mz, f.rt, f.ccs FROM {values} e JOIN {feature} f USING (feature_id) WHERE e.value > 0),
 smear_edge AS (
   SELECT i.sample, i.id AS i, i.mz, j.id AS j FROM v i JOIN v j ON i.sample = j.sample AND j.mz >= i.mz - 2E0
    AND (j.mz < i.mz OR (j.mz = i.mz AND j.id < i.id)) AND abs(j.ccs - i.ccs) / i.ccs * 100E0 < 2E0 AND abs(j.rt - i.rt) <= 0.5E0
@@ -367,8 +405,15 @@ steps(sample, k, gone) AS (
   SELECT t.sample, t.k, CASE WHEN len(list_filter(t.js, lambda x: NOT list_contains(p.gone, x))) > 0 THEN list_append(p.gone, t.i) ELSE p.gone END
   FROM steps p JOIN target t ON t.sample = p.sample AND t.k = p.k + 1),
 last_step AS (SELECT sample, arg_max(gone, k) AS gone FROM steps GROUP BY sample),
-zeroed AS (SELECT sample, unnest(gone) AS i FROM last_step)""",
-)
+zeroed AS (SELECT sample, unnest(gone) AS i FROM last_step)"""
+
+
+def unsmeared_sql(values: str = "exp_i") -> str:
+    return f"""SELECT e.feature_id, e.sample, CASE WHEN z.i IS NULL THEN e.value ELSE 0E0 END AS value FROM {values} e
+    LEFT JOIN zeroed z ON z.i = e.feature_id AND z.sample = e.sample"""
+
+
+@query(f"SELECT feature_id, sample, {s('value', 'value', '1E2')} FROM ({unsmeared_sql()})", smear_sql())
 def smearing(fx):
     rows = cleanup.smearing(fx.feature, fx.exp_intensity)
     return rows.select("feature_id", "sample", scaled("value", "value", 1e2))
@@ -376,15 +421,19 @@ def smearing(fx):
 
 # --- grouping -----------------------------------------------------------------------------------
 
-DUPLICATES = """
+def duplicates_sql(feature: str = "feature") -> str:
+    return f"""
 dup_edge AS MATERIALIZED (
-  SELECT a.feature_id AS x, b.feature_id AS y FROM feature a JOIN feature b ON a.feature_id <> b.feature_id
+  SELECT a.feature_id AS x, b.feature_id AS y FROM {feature} a JOIN {feature} b ON a.feature_id <> b.feature_id
    AND abs(a.mz-b.mz) <= greatest(a.mz, b.mz)*15E0*1E-6 AND abs(a.mz-b.mz) <= least(a.mz, b.mz)*2E-5
    AND abs(a.ccs-b.ccs) <= greatest(a.ccs, b.ccs)*2E0/100E0 AND abs(a.rt-b.rt) <= 0.5E0),
 reach(node, r) AS (SELECT DISTINCT x, x FROM dup_edge UNION SELECT e.y, r FROM reach JOIN dup_edge e ON e.x = node),
 dup_group AS (SELECT node AS feature_id, min(r) AS component FROM reach GROUP BY node)"""
 
 
+DUPLICATES = duplicates_sql()
+
+
 @query("SELECT feature_id, component FROM dup_group", DUPLICATES)
 def dup_components(fx):
     return cleanup.duplicate_groups(fx.feature, 15.0, 2.0, 0.5)
@@ -413,18 +462,23 @@ def dup_merge_intensity(fx):
     return moved.select("feature_id", "sample", scaled("value", "value", 1e2))
 
 
-CROWD = """
-open_mass AS MATERIALIZED (SELECT mz, count(*) AS n FROM annotated WHERE class <> 'likely' GROUP BY mz),
+def crowd_sql(rows: str = "annotated") -> str:
+    return f"""
+open_mass AS MATERIALIZED (SELECT mz, count(*) AS n FROM {rows} WHERE class <> 'likely' GROUP BY mz),
 hop AS MATERIALIZED (SELECT a.mz AS x, min(b.mz) AS y FROM open_mass a JOIN open_mass b ON b.mz > a.mz + a.mz*50E0*1E-6 GROUP BY a.mz),
 anchors(x) AS (SELECT min(mz) FROM open_mass UNION ALL SELECT h.y FROM anchors a JOIN hop h ON h.x = a.x),
 window_of AS (SELECT m.mz, m.n, max(a.x) AS anchor FROM open_mass m JOIN anchors a ON a.x <= m.mz GROUP BY m.mz, m.n),
 crowd AS (SELECT anchor FROM window_of GROUP BY anchor HAVING sum(n) >= 3)"""
 
 
-@query(
-    "SELECT feature_id, class FROM annotated WHERE class = 'likely' OR mz NOT IN (SELECT mz FROM window_of WHERE anchor IN (SELECT anchor FROM crowd))",
-    ANNOTATED, CROWD,
-)
+def without_crowds_sql(rows: str = "annotated") -> str:
+    return f"SELECT * FROM {rows} WHERE class = 'likely' OR mz NOT IN (SELECT mz FROM window_of WHERE anchor IN (SELECT anchor FROM crowd))"
+
+
+CROWD = crowd_sql()
+
+
+@query(f"SELECT feature_id, class FROM ({without_crowds_sql()})", ANNOTATED, CROWD)
 def crowd_elimination(fx):
     return cleanup.crowd_elimination(annotated(fx)).select("feature_id", "class")
 
@@ -443,14 +497,9 @@ g3 AS (SELECT f.feature_id, f.mz, f.rt, f.dt, f.ccs, f.ma, f.ca, max(a.x) AS ra
 
 
 @query(
-    """SELECT feature_id, class FROM pre f
-    WHERE (class = 'likely' OR mz NOT IN (SELECT mz FROM window_of WHERE anchor IN (SELECT anchor FROM crowd))) AND NOT EXISTS (
-      SELECT 1 FROM (SELECT 12E0*n + 18.9984032E0*(2E0*n-1E0) AS m FROM range(1, 40) r(n)) c
-      WHERE f.mz >= m - m*50E0*1E-6 AND f.mz <= m + m*50E0*1E-6)""",
+    f"SELECT feature_id, class FROM ({without_chains_sql('open_row')})",
     ANNOTATED,
-    """pre AS MATERIALIZED (SELECT a.* FROM annotated a WHERE a.class = 'likely' OR a.feature_id NOT IN (
-      SELECT f.feature_id FROM feature f JOIN library_l2 l ON l.mz >= f.mz - f.mz*15E0*1E-6 AND l.mz <= f.mz + f.mz*15E0*1E-6
-      GROUP BY f.feature_id, f.ccs HAVING f.ccs > 1.03E0 * max(l.ccs))),""" + CROWD.replace("FROM annotated", "FROM pre"),
+    f"pre AS MATERIALIZED ({prescreened_sql()})," + crowd_sql("pre") + f",\nopen_row AS ({without_crowds_sql('pre')})",
 )
 def combined_filter(fx):
     return screen_plan.combined_filter(annotated(fx), fx.library_l2).select("feature_id", "class")
@@ -556,40 +605,43 @@ def series_refined(fx):
     return series.refine_groups(groups, 3).select("row_id", "class", "group_id")
 
 
-def _peeled(rounds: int) -> str:
-    """CTEs of `rounds` rounds in which the best line of each group takes its points."""
-    out = []
-    for k in range(rounds):
-        out.append(f"""t_best{k} AS MATERIALIZED (SELECT group_id, arg_max((slope, intercept), (n, -loss, -slope, -intercept)) AS line
-  FROM (SELECT group_id, slope, intercept, count(*) AS n, sum(miss) AS loss FROM t_near{k} GROUP BY ALL) GROUP BY group_id),
-t_won{k} AS MATERIALIZED (SELECT n.* FROM t_near{k} n JOIN t_best{k} b ON n.group_id = b.group_id AND n.slope = b.line[1] AND n.intercept = b.line[2]),
-t_near{k + 1} AS MATERIALIZED (SELECT * FROM t_near{k} n WHERE NOT EXISTS (FROM t_won{k} w WHERE w.group_id = n.group_id AND w.row_id = n.row_id))""")
-    return ",\n".join(out)
-
-
-TREND_ROUNDS = 24
-TRENDS = SERIES + f""",
-t_point AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY mz, row_id, class) - 1 AS rn, count(*) OVER (PARTITION BY group_id) AS n
-  FROM s_kept WHERE group_id IN (SELECT group_id FROM s_fine)),
-t_draw AS (
-  SELECT DISTINCT group_id, least(a, b) AS i, greatest(a, b) AS j
-  FROM (SELECT group_id, i AS a, (i + 1 + CAST(floor(((t * 0.6180339887498949E0) % 1) * (n - 1)) AS BIGINT)) % n AS b
-    FROM (SELECT g.group_id, g.n, t, CAST(floor(t * g.n / 200E0) AS BIGINT) AS i
-      FROM (SELECT DISTINCT group_id, n FROM t_point WHERE n >= 2) g, range(200) r(t)))),
-t_line AS MATERIALIZED (
-  SELECT DISTINCT group_id, slope, y0 - slope * x0 AS intercept FROM (
-    SELECT d.group_id, p.mz AS x0, p.ccs AS y0, (q.ccs - p.ccs) / (q.mz - p.mz) AS slope
-    FROM t_draw d JOIN t_point p ON p.group_id = d.group_id AND p.rn = d.i JOIN t_point q ON q.group_id = d.group_id AND q.rn = d.j WHERE p.mz <> q.mz)
-  WHERE slope BETWEEN 0.05E0 AND 0.25E0),
-t_near0 AS MATERIALIZED (
-  SELECT p.group_id, p.row_id, p.mz, p.ccs, l.slope, l.intercept, round_even(abs(p.ccs - (l.slope * p.mz + l.intercept)) * 1E6, 0) AS miss
-  FROM t_point p JOIN t_line l ON l.group_id = p.group_id
-  WHERE abs(p.ccs - (l.slope * p.mz + l.intercept)) <= (SELECT avg(ccs) FROM t_point) * 0.02E0),
-{_peeled(TREND_ROUNDS)},
-t_fit AS (""" + " UNION ALL ".join(
-    f"SELECT group_id, {k} AS trend, coalesce(regr_r2(ccs, mz), 0E0) AS r_squared FROM t_won{k} GROUP BY group_id" for k in range(TREND_ROUNDS)
-) + "),\nt_taken AS (" + " UNION ALL ".join(f"SELECT DISTINCT group_id, row_id, {k} AS trend FROM t_won{k}" for k in range(TREND_ROUNDS)) + """),
+TRENDS = SERIES + """,
+t_point AS MATERIALIZED (SELECT * FROM s_kept WHERE group_id IN (SELECT group_id FROM s_fine)),
+t_limit AS MATERIALIZED (SELECT avg(ccs) * 0.02E0 AS lim FROM t_point),
+t_round(r, group_id, row_id, mz, ccs, win) AS (
+  SELECT 0, group_id, row_id, mz, ccs, NULL::BIGINT FROM t_point
+  UNION ALL
+  SELECT r + 1, group_id, row_id, mz, ccs, win FROM (
+    WITH free AS (
+      SELECT r, group_id, row_id, mz, ccs, row_number() OVER (PARTITION BY group_id ORDER BY mz, row_id) - 1 AS rn, count(*) OVER (PARTITION BY group_id) AS n
+      FROM t_round WHERE win IS NULL),
+    pairs AS (
+      SELECT DISTINCT group_id, least(a, b) AS i, greatest(a, b) AS j FROM (
+        SELECT group_id, i AS a, (i + 1 + CAST(floor(((t * 0.6180339887498949E0) % 1) * (n - 1)) AS BIGINT)) % n AS b
+        FROM (SELECT g.group_id, g.n, t, t * g.n // 200 AS i FROM (SELECT DISTINCT group_id, n FROM free WHERE n >= 2) g, range(200) d(t)))),
+    line AS (
+      SELECT DISTINCT group_id, slope, y0 - slope * x0 AS intercept FROM (
+        SELECT d.group_id, p.mz AS x0, p.ccs AS y0, (q.ccs - p.ccs) / (q.mz - p.mz) AS slope
+        FROM pairs d JOIN free p ON p.group_id = d.group_id AND p.rn = d.i JOIN free q ON q.group_id = d.group_id AND q.rn = d.j WHERE p.mz <> q.mz)
+      WHERE slope BETWEEN 0.05E0 AND 0.25E0),
+    near AS (
+      SELECT p.group_id, p.row_id, l.slope, l.intercept, round_even(abs(p.ccs - (l.slope * p.mz + l.intercept)) * 1E6, 0) AS miss
+      FROM free p JOIN line l ON l.group_id = p.group_id, t_limit WHERE abs(p.ccs - (l.slope * p.mz + l.intercept)) <= lim),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, loss, slope, intercept) AS place, max(n) OVER (PARTITION BY group_id) AS most
+      FROM (SELECT group_id, slope, intercept, count(*) AS n, sum(miss) AS loss FROM near GROUP BY ALL HAVING count(*) >= 2)),
+    seen AS (
+      SELECT n.group_id, n.row_id, k.place, k.n, k.most, min(k.place) OVER (PARTITION BY n.group_id, n.row_id) AS first
+      FROM near n JOIN ranked k ON k.group_id = n.group_id AND k.slope = n.slope AND k.intercept = n.intercept),
+    winner AS (SELECT group_id, place FROM seen GROUP BY group_id, place HAVING min(first) = place AND max(first) = place AND 2 * any_value(n) >= any_value(most)),
+    won AS (SELECT DISTINCT s.group_id, s.row_id, s.place FROM seen s JOIN winner w ON w.group_id = s.group_id AND w.place = s.place)
+    SELECT f.r, f.group_id, f.row_id, f.mz, f.ccs, f.r * 1000 + w.place AS win
+    FROM free f LEFT JOIN won w ON w.group_id = f.group_id AND w.row_id = f.row_id WHERE f.group_id IN (SELECT group_id FROM ranked))),
+t_won AS MATERIALIZED (SELECT * FROM t_round WHERE win IS NOT NULL),
+t_fit AS (
+  SELECT group_id, win, row_number() OVER (PARTITION BY group_id ORDER BY win) - 1 AS trend, coalesce(regr_r2(ccs, mz), 0E0) AS r_squared
+  FROM t_won GROUP BY group_id, win),
+t_taken AS (SELECT DISTINCT w.group_id, w.row_id, CAST(f.trend AS INTEGER) AS trend FROM t_won w JOIN t_fit f ON f.group_id = w.group_id AND f.win = w.win),
 t_out AS MATERIALIZED (
   SELECT p.row_id, p.class, p.group_id, p.mz, p.ccs, t.trend, f.r_squared FROM t_point p
   LEFT JOIN t_taken t ON t.group_id = p.group_id AND t.row_id = p.row_id LEFT JOIN t_fit f ON f.group_id = t.group_id AND f.trend = t.trend),
@@ -704,26 +756,54 @@ def align_components(fx):
     return rows.select("sample", "compound", "alignment_id").distinct()
 
 
+ROW_OF = ALIGN + """,
+row_of AS (SELECT DISTINCT al.alignment_id, an.sample, an.compound, f.match, an.class, an.mz, an.rt, an.dt, an.ccs, an.intensity, c.c, c.md, c.m1, c.i1, c.i2, c.i3
+  FROM an JOIN al USING (k) JOIN annotated f USING (feature_id, class) LEFT JOIN carbon c ON c.sample = an.sample AND c.compound = an.compound)"""
+#: Column of the summary, its SQL over `row_of`, the scale it is compared at.
+SUMMARY_MEANS = [
+    ("mz", "mz", 1e4), ("ccs", "ccs", 1e4), ("dt", "dt", 1e4), ("rt", "rt", 1e4), ("carbon_estimate", "c", 1e4), ("m_over_c", "m1/c", 1e4),
+    ("mass_defect", "md", 1e6), ("md_over_c", "md/c", 1e6), ("peak_mz_1", "m1", 1e4), ("intensity_1", "i1", 1e1), ("intensity_2", "i2", 1e1),
+    ("intensity_3", "i3", 1e1),
+]
+SUMMARY_SDS = [("carbon_estimate_sd", "c", 1e2), ("m_over_c_sd", "m1/c", 1e2), ("mass_defect_sd", "md", 1e4)]
+_SUMMARY = ", ".join([s(f"avg({x})", n, f"{k:.0E}") for n, x, k in SUMMARY_MEANS] + [s(f"stddev_samp({x})", n, f"{k:.0E}") for n, x, k in SUMMARY_SDS])
+
+
+def _aligned(fx: Fixtures) -> DataFrame:
+    return cut_lineage(isotope.align(isotope.anchors_with_metrics(_anchors(fx), fx.peak)))
+
+
 @query(
-    f"""SELECT t.alignment_id, t.n_rows, t.mz, t.ccs, t.carbon, t.carbon_sd, {s('v.total / (SELECT count(DISTINCT sample) FROM anchor)', 'mean_intensity', '1E1')}, v.detection_count
-    FROM (SELECT alignment_id, count(*) AS n_rows, {s('avg(mz)', 'mz')}, {s('avg(ccs)', 'ccs')}, {s('avg(c)', 'carbon')}, {s('stddev_samp(c)', 'carbon_sd', '1E2')} FROM row_of GROUP BY 1) t
+    f"""SELECT t.*, {s('v.total / (SELECT count(DISTINCT sample) FROM anchor)', 'mean_intensity', '1E1')}, v.detection_count
+    FROM (SELECT alignment_id, count(*) AS n_rows, arg_min(match, (sample, compound, mz, class, match)) AS match, arg_min(class, (sample, compound, mz, class, match)) AS class,
+      {_SUMMARY} FROM row_of GROUP BY 1) t
     JOIN (SELECT alignment_id, sum(m) AS total, count(m) AS detection_count FROM (SELECT alignment_id, sample, avg(intensity) AS m FROM row_of GROUP BY 1, 2) GROUP BY 1) v
       ON v.alignment_id = t.alignment_id""",
-    ANNOTATED, PEAKS + "," + ALIGN + """,
-row_of AS (SELECT DISTINCT al.alignment_id, an.sample, an.compound, f.match, an.class, an.mz, an.rt, an.dt, an.ccs, an.intensity, c.c
-  FROM an JOIN al USING (k) JOIN annotated f USING (feature_id, class) LEFT JOIN carbon c ON c.sample = an.sample AND c.compound = an.compound)""",
+    ANNOTATED, PEAKS + "," + ROW_OF,
 )
 def align_summary(fx):
-    rows = isotope.anchors_with_metrics(_anchors(fx), fx.peak)
-    aligned = cut_lineage(isotope.align(rows))
+    aligned = _aligned(fx)
     counts = aligned.groupBy("alignment_id").agg(F.count(F.lit(1)).alias("n_rows"))
     summary = isotope.alignment_summary(aligned).join(counts, "alignment_id")
     return summary.select(
-        "alignment_id", "n_rows", scaled("mz", "mz"), scaled("ccs", "ccs"), scaled("carbon_estimate", "carbon"),
-        scaled("carbon_estimate_sd", "carbon_sd", 1e2), scaled("mean_intensity", "mean_intensity", 1e1), "detection_count",
+        "alignment_id", "n_rows", "match", "class", *[scaled(n, n, k) for n, _, k in SUMMARY_MEANS + SUMMARY_SDS],
+        scaled("mean_intensity", "mean_intensity", 1e1), "detection_count",
     )
 
 
+@query(
+    f"""SELECT a.alignment_id, p.sample, {s('coalesce(v.m, 0E0)', 'value', '1E1')}
+    FROM (SELECT DISTINCT alignment_id FROM row_of) a, (SELECT DISTINCT sample FROM exp_i) p
+    LEFT JOIN (SELECT alignment_id, sample, avg(intensity) AS m FROM row_of GROUP BY 1, 2) v ON v.alignment_id = a.alignment_id AND v.sample = p.sample""",
+    ANNOTATED, PEAKS + "," + ROW_OF,
+)
+def align_samples(fx):
+    names = sorted(r[0] for r in fx.exp_intensity.select("sample").distinct().collect())
+    summary = isotope.alignment_summary(_aligned(fx), names)
+    rows = summary.select("alignment_id", F.posexplode("sample_values").alias("_at", "_value"))
+    return rows.select("alignment_id", F.get(F.array(*[F.lit(n) for n in names]), F.col("_at")).alias("sample"), scaled("_value", "value", 1e1))
+
+
 def mesh(spark: SparkSession) -> DataFrame:
     """A plane on a regular mesh with one corner left empty, in place of a measured ratio grid."""
     nodes = spark.range(62 * 64).select(F.expr("id div 64").alias("i"), F.expr("id % 64").alias("j")).where("i + j < 110")

@@ -1,12 +1,20 @@
 """Tolerance joins.
 
 A `Band` says that a column of the build side must lie between two expressions of the probe
-side. Both sides get cell numbers on every banded axis, the join is an equi-join on the cells, and
-the exact predicate is checked on the candidates. A build row has exactly one cell, so no pair can
+side. Both sides get tile numbers on every banded axis, the join is an equi-join on the tiles, and
+the exact predicate is checked on the candidates. A build row has exactly one tile, so no pair can
 come out twice.
 
-`band_join` returns pairs. `band_semi` only asks whether a partner exists, and does so without
-comparing everything in a crowded cell with everything around it: cells holding more than
+Tiles come from grids of several resolutions. The finest one has cells no wider than the band, so a
+probe looks into up to three of them per axis: 27 copies on three axes. Each coarser grid doubles the
+edges, until a probe mostly stays inside one tile. A build row is in the coarsest tile with no more than
+`FULL_TILE` build rows; fuller ones are split in halves on every axis, where the rows are and nowhere else, and
+probes follow the splits (see `Tiling`). So sparse data is copied once or twice and dense data is cut as
+finely as its own density asks.
+
+`band_join` returns pairs; build rows of a finest cell that is still crowded are dealt over blocks, which
+probes visit in turn. `band_semi` only asks whether a partner exists, and does so without
+comparing everything in a crowded cell with everything around it: finest cells holding more than
 `HOT_CELL` build rows are first reduced to the rows that can decide the question (see
 `_reduce_hot`), in chunks of bounded size.
 """
@@ -27,6 +35,12 @@ from ionloom.session import cut_lineage
 
 HOT_CELL = 256
 CHUNK_ROWS = 4096
+#: Doublings from the finest grid to the coarsest, and build rows of a tile that is not split.
+LEVELS, FULL_TILE = 3, 64
+#: Build rows of one finest cell that a task joins with the probes of that cell.
+PAIR_ROWS = 4096
+#: Split tiles that are broadcast; more of them are joined by a shuffle that splits hot keys.
+SPLITS_SENT = 100_000
 _SLACK = 1e-9
 _INSIDE, _ABOVE_LO, _BELOW_HI = 0, 1, 2
 
@@ -67,21 +81,6 @@ def abs_band(point: str, centre: Column, tol: float) -> Band:
     return Band(point, centre - F.lit(tol), centre + F.lit(tol), 2.0 * tol)
 
 
-def _probe_cells(probe: DataFrame, bands: list[Band], with_modes: bool) -> DataFrame:
-    for i, b in enumerate(bands):
-        probe = probe.withColumn(
-            f"_k{i}", F.explode(F.sequence(b.cell(b.lo, -_SLACK), b.cell(b.hi, _SLACK)))
-        )
-        if with_modes:
-            mode = (
-                F.when(F.col(f"_k{i}") <= b.cell(b.lo, _SLACK), _ABOVE_LO)
-                .when(F.col(f"_k{i}") >= b.cell(b.hi, -_SLACK), _BELOW_HI)
-                .otherwise(_INSIDE)
-            )
-            probe = probe.withColumn(f"_m{i}", mode)
-    return probe
-
-
 def _build_cells(build: DataFrame, bands: list[Band]) -> DataFrame:
     present = [F.col(b.point).isNotNull() for b in bands]
     for p in present:
@@ -89,17 +88,107 @@ def _build_cells(build: DataFrame, bands: list[Band]) -> DataFrame:
     return build.withColumns({f"_k{i}": b.cell(F.col(b.point)) for i, b in enumerate(bands)})
 
 
-def band_join(
-    probe: DataFrame, build: DataFrame, bands: list[Band], residual: Column, on: tuple[str, ...] = (), how: str = "inner"
-) -> DataFrame:
-    """All pairs that satisfy `residual`; column names of the two sides must differ (but for `on`).
+def _shifted(c: Column, by: int) -> Column:
+    return F.shiftright(c, by) if by else c
 
-    `how` is inner or left_semi. A left_semi result has a probe row once per cell with a partner.
+
+@dataclass(frozen=True)
+class Tiling:
+    """The tiles that are split, by level 0 (coarsest) to LEVELS (finest), where split means crowded.
+
+    `splits` has _lvl, the `on` columns, the tile numbers _k0, _k1, ... and the number of build rows _n;
+    `levels` says how many there are on each level. A tiling made from more rows than are joined stays right.
     """
-    keys = [*on, *[f"_k{i}" for i in range(len(bands))]]
-    left = _probe_cells(probe, bands, with_modes=False)
-    right = _build_cells(build, bands)
-    return _keyed_join(left, right, keys, residual, how)
+
+    on: tuple[str, ...]
+    axes: int
+    splits: DataFrame
+    levels: dict[int, int]
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.on, "_lvl", *[f"_k{i}" for i in range(self.axes)]]
+
+    @property
+    def crowded(self) -> bool:
+        return LEVELS in self.levels
+
+    def split(self, rows: DataFrame, level: int) -> DataFrame:
+        """`rows` with _split, whether their tile of this level is split."""
+        table = self.splits.where(F.col("_lvl") == level).select(*self.keys, F.lit(True).alias("_split"))
+        if self.levels[level] <= SPLITS_SENT:
+            return rows.join(F.broadcast(table), self.keys, "left")
+        return spread_join(rows, table, self.keys, "left")
+
+    def place_build(self, cells: DataFrame) -> DataFrame:
+        """Rows of `_build_cells` with their tile: _lvl and _k0, _k1, ... on that level."""
+        numbers = [f"_k{i}" for i in range(self.axes)]
+        rows = cells.withColumns({f"_f{i}": F.col(k) for i, k in enumerate(numbers)})
+        rows = rows.withColumns({"_lvl": F.lit(0), **{k: _shifted(F.col(k), LEVELS) for k in numbers}})
+        for level in range(LEVELS):
+            if level not in self.levels:
+                break
+            rows = self.split(rows, level)
+            finer = {k: F.when(F.col("_split"), _shifted(F.col(f"_f{i}"), LEVELS - level - 1)).otherwise(F.col(k)) for i, k in enumerate(numbers)}
+            rows = rows.withColumns({"_lvl": F.when(F.col("_split"), level + 1).otherwise(F.col("_lvl")), **finer}).drop("_split")
+        return rows.drop(*[f"_f{i}" for i in range(self.axes)])
+
+    def place_probe(self, probe: DataFrame, bands: list[Band], with_modes: bool = False) -> DataFrame:
+        """Probe rows, one for each tile that their box meets; modes are those of `_reduce_hot`, for finest cells."""
+        rows = probe.withColumns({f"_lo{i}": b.cell(b.lo, -_SLACK) for i, b in enumerate(bands)} | {f"_hi{i}": b.cell(b.hi, _SLACK) for i, b in enumerate(bands)})
+        for i in range(self.axes):
+            rows = rows.withColumn(f"_k{i}", F.explode(F.sequence(_shifted(F.col(f"_lo{i}"), LEVELS), _shifted(F.col(f"_hi{i}"), LEVELS))))
+        rows = rows.withColumn("_lvl", F.lit(0))
+        for level in range(LEVELS):
+            if level not in self.levels:
+                break
+            rows = self.split(rows, level)
+            by = LEVELS - level - 1
+            for i in range(self.axes):
+                k = F.col(f"_k{i}")
+                halves = F.sequence(F.greatest(_shifted(F.col(f"_lo{i}"), by), 2 * k), F.least(_shifted(F.col(f"_hi{i}"), by), 2 * k + 1))
+                rows = rows.withColumn(f"_k{i}", F.explode(F.when(F.col("_split"), halves).otherwise(F.array(k))))
+            rows = rows.withColumn("_lvl", F.when(F.col("_split"), level + 1).otherwise(F.col("_lvl"))).drop("_split")
+        if with_modes:
+            for i, b in enumerate(bands):
+                k = F.col(f"_k{i}")
+                mode = F.when(k <= b.cell(b.lo, _SLACK), _ABOVE_LO).when(k >= b.cell(b.hi, -_SLACK), _BELOW_HI).otherwise(_INSIDE)
+                rows = rows.withColumn(f"_m{i}", mode)
+        return rows.drop(*[f"_{end}{i}" for i in range(self.axes) for end in ("lo", "hi")])
+
+    def hot(self, more_than: int = 0) -> DataFrame:
+        """The crowded finest cells, with _n."""
+        return self.splits.where((F.col("_lvl") == LEVELS) & (F.col("_n") > more_than)).select(*self.keys, "_n")
+
+
+def tiling(build: DataFrame, bands: list[Band], on: tuple[str, ...] = (), hot_cell: int | None = None) -> Tiling:
+    """Counts the finest cells of `build` once, and adds them up to the coarser ones."""
+    limit = HOT_CELL if hot_cell is None else hot_cell
+    numbers = [f"_k{i}" for i in range(len(bands))]
+    fine = _build_cells(build, bands).groupBy(*on, *numbers).agg(F.count(F.lit(1)).alias("_n"))
+    up = F.explode(F.array(*[F.struct(F.lit(lvl).alias("_lvl"), *[_shifted(F.col(k), LEVELS - lvl).alias(k) for k in numbers]) for lvl in range(LEVELS + 1)]))
+    rolled = fine.select(*on, "_n", up.alias("_t")).select(*on, "_t._lvl", *[f"_t.{k}" for k in numbers], "_n")
+    sums = rolled.groupBy(*on, "_lvl", *numbers).agg(F.sum("_n").alias("_n"))
+    splits = cut_lineage(sums.where(F.col("_n") > F.when(F.col("_lvl") == LEVELS, limit).otherwise(min(FULL_TILE, limit))))
+    return Tiling(on, len(bands), splits, {r[0]: r[1] for r in splits.groupBy("_lvl").count().collect()})
+
+
+def band_join(
+    probe: DataFrame, build: DataFrame, bands: list[Band], residual: Column, on: tuple[str, ...] = (), pair_rows: int | None = None
+) -> DataFrame:
+    """All pairs that satisfy `residual`; column names of the two sides must differ (but for `on`)."""
+    limit = PAIR_ROWS if pair_rows is None else pair_rows
+    tiles = tiling(build, bands, on, limit)
+    left, right = tiles.place_probe(probe, bands), tiles.place_build(_build_cells(build, bands))
+    if not tiles.crowded:
+        return _keyed_join(left, right, tiles.keys, residual, "inner")
+    blocks = tiles.hot().select(*tiles.keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_blocks"))
+    blocks = F.broadcast(blocks) if tiles.levels[LEVELS] <= SPLITS_SENT else blocks
+    count = F.coalesce("_blocks", F.lit(1))
+    dealt = F.pmod(F.xxhash64(*build.columns), count).cast("int")
+    right = right.join(blocks, tiles.keys, "left").withColumn("_kb", dealt).drop("_blocks")
+    left = left.join(blocks, tiles.keys, "left").withColumn("_kb", F.explode(F.sequence(F.lit(0), count - 1))).drop("_blocks")
+    return _keyed_join(left, right, [*tiles.keys, "_kb"], residual, "inner")
 
 
 def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], residual: Column, how: str) -> DataFrame:
@@ -108,8 +197,8 @@ def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], residual: Co
     for k in keys:
         condition = (F.col(k) == F.col(f"_r{k}")) & condition
     joined = left.join(renamed, condition, how)
-    technical = [c for c in joined.columns if c.startswith(("_k", "_r", "_m")) and c not in keys]
-    return joined.drop(*technical, *[k for k in keys if k.startswith(("_k", "_m"))])
+    technical = [c for c in joined.columns if c.startswith(("_k", "_r", "_m", "_lvl")) and c not in keys]
+    return joined.drop(*technical, *[k for k in keys if k.startswith(("_k", "_m", "_lvl"))])
 
 
 def band_semi(
@@ -121,38 +210,29 @@ def band_semi(
     on: tuple[str, ...] = (),
     prefer: dict[str, str] | None = None,
     hot_cell: int | None = None,
-    may_be_hot: bool = True,
+    tiles: Tiling | None = None,
 ) -> DataFrame:
-    """`ids` of the probe rows that have at least one partner (an id may repeat, once per cell).
+    """`ids` of the probe rows that have at least one partner (an id may repeat, once per tile).
 
     `residual` must be the conjunction of the bands and of conditions in which only the build
     columns named by `prefer` ('high' or 'low': which end makes a match likelier) take part.
+    `tiles` may be those of more rows than `build`.
     """
-    keys = [*on, *[f"_k{i}" for i in range(len(bands))]]
     prefer = prefer or {}
-    cells = _build_cells(build, bands)
-    hot = _hot_cells(cells, keys, HOT_CELL if hot_cell is None else hot_cell) if may_be_hot else None
-    left = _probe_cells(probe, bands, with_modes=hot is not None)
-    if hot is None:
-        return _keyed_join(left, cells, keys, residual, "left_semi").select(*ids)
-    cold = cells.join(hot, keys, "left_anti")
-    kept = _reduce_hot(cells.join(hot, keys), keys, bands, prefer)
-    from_cold = _keyed_join(left, cold, keys, residual, "left_semi").select(*ids)
+    tiles = tiling(build, bands, on, hot_cell) if tiles is None else tiles
+    right = tiles.place_build(_build_cells(build, bands))
+    left = tiles.place_probe(probe, bands, with_modes=tiles.crowded)
+    if not tiles.crowded:
+        return _keyed_join(left, right, tiles.keys, residual, "left_semi").select(*ids)
+    hot = tiles.hot()
+    cold = spread_join(right, hot.drop("_n"), tiles.keys, "left_anti")
+    kept = _reduce_hot(spread_join(right, hot, tiles.keys), tiles.keys, bands, prefer)
+    from_cold = _keyed_join(left, cold, tiles.keys, residual, "left_semi").select(*ids)
     modes = [f"_m{i}" for i in range(len(bands))]
-    from_hot = _keyed_join(left, kept, keys + modes, residual, "left_semi").select(*ids)
+    from_hot = _keyed_join(left, kept, tiles.keys + modes, residual, "left_semi").select(*ids)
     return from_cold.unionByName(from_hot)
 
 
-def has_hot_cells(build: DataFrame, bands: list[Band], on: tuple[str, ...] = (), hot_cell: int | None = None) -> bool:
-    keys = [*on, *[f"_k{i}" for i in range(len(bands))]]
-    return _hot_cells(_build_cells(build, bands), keys, HOT_CELL if hot_cell is None else hot_cell) is not None
-
-
-def _hot_cells(cells: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    hot = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    return None if hot.isEmpty() else cut_lineage(hot)
-
-
 def _reduce_hot(hot_rows: DataFrame, keys: list[str], bands: list[Band], prefer: dict[str, str]) -> DataFrame:
     """Undominated rows of every crowded cell, once per way a probe can look into it.
 
@@ -264,7 +344,9 @@ def band_exists_1d(
         .groupBy(*on, "_k0")
         .agg(*aggs)
     )
-    left = _probe_cells(probe, [band], with_modes=True)
+    left = probe.withColumn("_k0", F.explode(F.sequence(band.cell(band.lo, -_SLACK), band.cell(band.hi, _SLACK))))
+    below = F.col("_k0") >= band.cell(band.hi, -_SLACK)
+    left = left.withColumn("_m0", F.when(F.col("_k0") <= band.cell(band.lo, _SLACK), _ABOVE_LO).when(below, _BELOW_HI).otherwise(_INSIDE))
     joined = spread_join(left, summary, [*on, "_k0"], "left", total)
     hits = {}
     for name in flags:

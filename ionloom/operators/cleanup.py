@@ -12,14 +12,13 @@ from ionloom.operators.bands import (
     Band,
     abs_band,
     band_exists_1d,
-    band_join,
     band_semi,
-    has_hot_cells,
-    ppm_band,
     ppm_band_of_build,
+    tiling,
 )
 from ionloom.operators.components import box_components
 from ionloom.operators.ordered import anchored_windows, with_previous, with_running_sum
+from ionloom.operators.runs import expand_runs, mass_runs, ranked_masses
 from ionloom.operators.skew import spread_join
 from ionloom.session import cut_and_count, cut_lineage
 
@@ -66,9 +65,9 @@ def smearing(
         Band("j_ccs", F.col("ccs") * F.lit(1 - f), F.col("ccs") * F.lit(1 + f), float(np.log1p(f) - np.log1p(-f)), log=True),
         abs_band("j_rt", F.col("rt"), rt_tol),
     ]
-    # A level's cells hold a part of all rows' cells: if none of those is crowded, none ever is.
+    # The rows of a level are a part of all rows: tiles that suit all of them suit each level.
     everywhere = rows.select("sample", F.col("mz").alias("j_mz"), F.col("ccs").alias("j_ccs"), F.col("rt").alias("j_rt"))
-    crowded = has_hot_cells(everywhere, bands, ("sample",), hot_cell)
+    tiles = tiling(everywhere, bands, ("sample",), hot_cell)
     settled = None
     smeared = None
     for value in levels:
@@ -80,7 +79,7 @@ def smearing(
             )
             hits = band_semi(
                 current, strong, bands, ok, ["feature_id", "sample"], on=("sample",), prefer={"j_value": "high"},
-                hot_cell=hot_cell, may_be_hot=crowded,
+                hot_cell=hot_cell, tiles=tiles,
             )
             hits = cut_lineage(hits.distinct())
             smeared = hits if smeared is None else smeared.unionByName(hits)
@@ -133,12 +132,15 @@ def adduct_status(features: DataFrame, ppm: float = 10.0) -> DataFrame:
     return matched.withColumn("matched", F.lit(True)).unionByName(free.withColumn("matched", F.lit(False)))
 
 
+def adduct_runs(features: DataFrame, ppm: float = 10.0) -> DataFrame:
+    """(mz1, label, first_rank, last_rank): the masses that each unmatched one has as adducts, as ranks of `ranked_masses`."""
+    status = cut_lineage(adduct_status(features, ppm))
+    return mass_runs(_adduct_targets(status.where("NOT matched").select("mz")), status.select("mz"), ppm)
+
+
 def adduct_pairs(features: DataFrame, ppm: float = 10.0) -> DataFrame:
     """Mass pairs the walk records: mz1 (unmatched), mz2, delta and the rule's label."""
-    status = cut_lineage(adduct_status(features, ppm))
-    targets = _adduct_targets(status.where("NOT matched").select("mz"))
-    ok = (F.col("mz2") >= F.col("target") - ppm_of("target", ppm)) & (F.col("mz2") <= F.col("target") + ppm_of("target", ppm))
-    pairs = band_join(targets, status.select(F.col("mz").alias("mz2")), [ppm_band("mz2", F.col("target"), ppm)], ok)
+    pairs = expand_runs(adduct_runs(features, ppm), ranked_masses(features))
     return pairs.select("mz1", "mz2", (F.col("mz2") - F.col("mz1")).alias("delta"), "label")
 
 

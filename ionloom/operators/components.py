@@ -89,29 +89,28 @@ def box_components(
     located = B.cut_lineage(
         spread_join(cells, summary, keys).withColumn("node", F.when(F.col("clique"), F.col("cell_id")).otherwise(F.col("id")))
     )
-    any_hot = not located.where(F.col("_n") > limit).isEmpty()
+    tiles = B.tiling(points, bands, (), limit)
+    any_hot = tiles.crowded
     probe = located.select(
-        *[F.col(f"q_{a}").alias(a) for a in axes], F.col("node").alias("own"), F.struct(*keys).alias("own_cell"),
+        *[F.col(f"q_{a}").alias(a) for a in axes], F.col("node").alias("own"),
         *[F.col(c).alias("own_sample") for c in extra],
     )
-    build = located.drop("id", "cell_id", "clique")
+    build = tiles.place_build(located.drop("id", "cell_id", "clique"))
     links = []
     for number, (pass_bands, ok) in enumerate(passes):
         if number and not any_hot:
             break
-        test = ok & (F.col("own") != F.col("node"))
+        # Without samples the predicate is symmetric and nodes are whole cells: look at each pair of nodes once.
+        test = ok & (F.col("own") < F.col("node") if sample is None else F.col("own") != F.col("node"))
         if sample:
             test = test & (F.col("own_sample") != F.col(sample))
-        left = B._probe_cells(probe, pass_bands, with_modes=any_hot)
-        if sample is None:
-            # The predicate is symmetric and all cells are single nodes: look at each pair of cells once.
-            left = left.where(F.struct(*keys) > F.col("own_cell"))
-        links.append(B._keyed_join(left, build.where(F.col("_n") <= limit).drop("_n"), keys, test, "inner"))
+        left = tiles.place_probe(probe, pass_bands, with_modes=any_hot)
+        links.append(B._keyed_join(left, build.where(F.col("_n") <= limit).drop("_n"), tiles.keys, test, "inner"))
         if any_hot:
             crowded = build.where(F.col("_n") > limit)
-            kept = B._reduce_hot(crowded, keys + extra, pass_bands, {})
+            kept = B._reduce_hot(crowded, tiles.keys + extra, pass_bands, {})
             modes = [f"_m{i}" for i in range(len(bands))]
-            links.append(B._keyed_join(left, kept, keys + modes, test, "inner"))
+            links.append(B._keyed_join(left, kept, tiles.keys + modes, test, "inner"))
     edges = reduce(DataFrame.unionByName, [x.select(F.col("own").alias("src"), F.col("node").alias("dst")) for x in links])
     if sample:
         # Points may share a key across cells; the key itself then holds their nodes together.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ionloom.functions.numeric import half_even, ppm_of
 from ionloom.operators.bands import Band, band_join, ppm_band
 from ionloom.operators.components import box_components
-from ionloom.operators.ordered import neighbours
+from ionloom.operators.ordered import neighbours, with_rank
 from ionloom.operators.skew import spread_join
 from ionloom.session import cut_lineage
 
@@ -191,8 +191,9 @@ _MEANS = [
 def alignment_summary(aligned: DataFrame, samples: list[str] | None = None) -> DataFrame:
     """Per alignment: first name and class, means, deviations, mean intensity and detection count.
 
-    The mean intensity counts 0 for samples without a value. With a list of samples, one column per
-    sample holds its mean intensity (0 where there is none).
+    The mean intensity counts 0 for samples without a value. With a list of samples, `sample_values` holds the mean intensity
+    of each of them in that order, 0 where there is none: one array per alignment, filled by position, whatever the number of
+    samples. `widen_samples` makes columns of it where a sink needs them.
     """
     texts_there = [c for c in ("class", "match") if c in aligned.columns]
     first = F.struct("sample", "compound", "mz", *texts_there)  # a feature can have several annotations
@@ -202,14 +203,25 @@ def alignment_summary(aligned: DataFrame, samples: list[str] | None = None) -> D
     summary = aligned.groupBy("alignment_id").agg(*texts, *means, *spread)
     per_sample = aligned.groupBy("alignment_id", "sample").agg(F.avg("intensity").alias("value"))
     n = aligned.agg(F.count_distinct("sample").cast("double")).scalar()
-    totals = per_sample.groupBy("alignment_id").agg(
-        F.sum("value").alias("_sum"), F.count("value").alias("detection_count")
-    ).select("alignment_id", (F.coalesce("_sum", F.lit(0.0)) / n).alias("mean_intensity"), "detection_count")
-    result = summary.join(totals, "alignment_id", "left")
+    totals = [F.sum("value").alias("_sum"), F.count("value").alias("detection_count")]
     if samples:
-        wide = per_sample.groupBy("alignment_id").pivot("sample", samples).agg(F.avg("value")).na.fill(0.0)
-        result = result.join(wide, "alignment_id", "full")
-    return result
+        places = aligned.sparkSession.createDataFrame([(name, i) for i, name in enumerate(samples)], "sample string, _place int")
+        per_sample = per_sample.join(F.broadcast(places), "sample", "left")  # as long as the list given
+        there = F.when(F.col("_place").isNotNull() & F.col("value").isNotNull(), F.struct("_place", "value"))
+        totals.append(F.map_from_entries(F.collect_list(there)).alias("_by_place"))
+    merged = per_sample.groupBy("alignment_id").agg(*totals)
+    columns = ["alignment_id", (F.coalesce("_sum", F.lit(0.0)) / n).alias("mean_intensity"), "detection_count"]
+    if samples:
+        at = F.sequence(F.lit(0), F.lit(len(samples) - 1))
+        columns.append(F.transform(at, lambda i: F.coalesce(F.element_at("_by_place", i), F.lit(0.0))).alias("sample_values"))
+    return summary.join(merged.select(*columns), "alignment_id", "left")
+
+
+def widen_samples(summary: DataFrame, samples: list[str]) -> DataFrame:
+    """`sample_values` as one column per sample, for a sink that wants them."""
+    return summary.select(
+        *[c for c in summary.columns if c != "sample_values"], *[F.get("sample_values", i).alias(name) for i, name in enumerate(samples)]
+    )
 
 
 def _brackets(grid: DataFrame, axis: str, rows: DataFrame, value: str) -> DataFrame:
@@ -225,6 +237,27 @@ def _brackets(grid: DataFrame, axis: str, rows: DataFrame, value: str) -> DataFr
     return found.select("v", F.col("below").alias("node")).join(inner.unionByName(outer), "node").select("v", "lo", "hi")
 
 
+def _cells(grid: DataFrame) -> DataFrame:
+    """(_y0, _x0, _z00, _z01, _z10, _z11): the values at the corners of each cell, by its lower corner.
+
+    Each node gives its value to the up to four cells it is a corner of; the cells are found by the numbers of nodes on
+    each axis, not by comparing nodes.
+    """
+    numbered = cut_lineage(grid.select("y", "x", "z"))
+    for axis in ("y", "x"):
+        nodes = with_rank(cut_lineage(numbered.select(axis).where(F.col(axis).isNotNull()).distinct()), [], [axis], f"_n{axis}")
+        numbered = numbered.join(nodes, axis)
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    shared = numbered.select("y", "x", "z", (F.col("_ny")).alias("_ny"), F.col("_nx").alias("_nx"), corners.alias("_c"))
+    cell = shared.groupBy((F.col("_ny") - F.col("_c.i")).alias("_cy"), (F.col("_nx") - F.col("_c.j")).alias("_cx"))
+
+    def at(i: int, j: int, what: str):
+        return F.max(F.when((F.col("_c.i") == i) & (F.col("_c.j") == j), F.col(what)))
+
+    values = [at(i, j, "z").alias(f"_z{i}{j}") for i in (0, 1) for j in (0, 1)]
+    return cell.agg(at(0, 0, "y").alias("_y0"), at(0, 0, "x").alias("_x0"), *values).drop("_cy", "_cx").where("_y0 IS NOT NULL AND _x0 IS NOT NULL")
+
+
 def grid_ratio(rows: DataFrame, grid: DataFrame) -> DataFrame:
     """Bilinear value of grid(y, x, z) at (md_over_c, m_over_c), classified.
 
@@ -235,10 +268,7 @@ def grid_ratio(rows: DataFrame, grid: DataFrame) -> DataFrame:
     for value, axis, lo, hi in (("md_over_c", "y", "_y0", "_y1"), ("m_over_c", "x", "_x0", "_x1")):
         brackets = _brackets(grid, axis, rows, value).select(F.col("v").alias(value), F.col("lo").alias(lo), F.col("hi").alias(hi))
         placed = placed.join(brackets, value, "left")
-    for y in ("0", "1"):
-        for x in ("0", "1"):
-            corner = grid.select(F.col("y").alias(f"_y{y}"), F.col("x").alias(f"_x{x}"), F.col("z").alias(f"_z{y}{x}"))
-            placed = placed.join(corner, [f"_y{y}", f"_x{x}"], "left")
+    placed = placed.join(_cells(grid), ["_y0", "_x0"], "left")
     ty = (F.col("md_over_c") - F.col("_y0")) / (F.col("_y1") - F.col("_y0"))
     tx = (F.col("m_over_c") - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
     z = (

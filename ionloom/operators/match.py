@@ -17,7 +17,9 @@ from ionloom.operators.bands import (
     ppm_band,
     ppm_band_of_build,
 )
+from ionloom.operators.runs import expand_runs, mass_runs, ranked_masses
 from ionloom.operators.skew import spread_join
+from ionloom.session import cut_lineage
 
 
 def _pct_band_of_build(point: str, value, pct: float) -> Band:
@@ -51,7 +53,8 @@ def match_level2(
     rt_error = F.abs(F.col("rt") - F.col("l_rt")) if rt_scoring else F.lit(None).cast("double")
     if rt_scoring:
         ok = ok & F.coalesce(rt_error <= rt_tol, F.lit(True))
-    pairs = band_join(features, lib, [ppm_band("l_mz", F.col("mz"), ppm)], ok)
+    bands = [ppm_band("l_mz", F.col("mz"), ppm), _pct_band_of_build("l_ccs", F.col("ccs"), ccs_pct)]
+    pairs = band_join(features, lib, bands, ok)
     return pairs.select(
         *features.columns,
         "match",
@@ -195,12 +198,15 @@ def _loss_targets(masses: DataFrame) -> DataFrame:
     )
 
 
+def neutral_loss_runs(features: DataFrame, ppm: float = 15.0) -> DataFrame:
+    """(mz1, label, first_rank, last_rank): which distinct masses are mz1 less a neutral loss, as ranks of `ranked_masses`."""
+    masses = cut_lineage(features.select("mz").where("mz IS NOT NULL").distinct())
+    return mass_runs(_loss_targets(masses), masses, ppm)
+
+
 def neutral_loss_pairs(features: DataFrame, ppm: float = 15.0) -> DataFrame:
     """Pairs of distinct masses that differ by a neutral loss: mz1, mz2, delta, label."""
-    masses = features.select("mz").where("mz IS NOT NULL").distinct()
-    targets = _loss_targets(masses)
-    ok = _within_ppm(F.col("mz2"), F.col("target"), ppm)
-    pairs = band_join(targets, masses.select(F.col("mz").alias("mz2")), [ppm_band("mz2", F.col("target"), ppm)], ok)
+    pairs = expand_runs(neutral_loss_runs(features, ppm), ranked_masses(features))
     return pairs.select("mz1", "mz2", (F.col("mz1") - F.col("mz2")).alias("delta"), "label")
 
 

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionloom.functions.numeric import pinball
 from ionloom.operators.ordered import with_rank
 from ionloom.operators.skew import spread_join
-from ionloom.session import cut_and_count, cut_lineage
+from ionloom.session import cut_and_count, cut_lineage, scratch_folder
 
 #: Points near a line that one task solves for; grows with the two-thirds power of a group.
 NEAR_ROWS = 4_096
 _ROUNDS = 40
+#: Points of a group whose trends one task settles.
+TREND_ROWS = 20_000
 
 
 def quantile_lines(
@@ -36,7 +38,8 @@ def quantile_curves(
     points of every group and quantile at the current curve: those far above and far below are summed up, those
     near it go to one task that solves for the best vertex with the sums as a linear term. If no summed point
     has changed sides, that vertex is the optimum of all points; else the round is repeated from it with twice
-    as many near points. Every group goes its own way, whatever the size of others, and nothing is collected.
+    as many near points. Groups of up to `near_rows` points are all near and need no round: one task solves each.
+    Every group goes its own way, whatever the size of others, and nothing is collected.
     """
     known = F.lit(True)
     for c in [*columns, y]:
@@ -52,9 +55,16 @@ def quantile_curves(
     def fitted(beta: str) -> Column:
         return sum((F.get("_x", i) * F.get(beta, i) for i in range(width)), F.lit(0.0))
 
-    state = _least_squares(rows, keys, width, state_schema)
     solve = _vertex_solver(keys, width, [f.name for f in state_schema.fields])
-    done, active, near_rows_now = [], rows, near_rows
+    sizes, large = cut_and_count(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), f"_n > {near_rows}")
+    small = rows if not large else spread_join(rows, sizes.where(F.col("_n") <= near_rows).select(*keys), keys, "left_semi", total=total)
+    full_schema = T.StructType([*state_schema.fields, T.StructField("loss", T.DoubleType())])
+    result = cut_lineage(small.groupBy(*keys).applyInPandas(_direct_fit(solve, keys, width), full_schema))
+    if not large:
+        return result
+    rows = cut_lineage(spread_join(rows, sizes.where(F.col("_n") > near_rows).select(*keys), keys, "left_semi", total=total))
+    state = _least_squares(rows, keys, width, state_schema)
+    active, near_rows_now = rows, near_rows
     for _ in range(_ROUNDS):
         placed = cut_lineage(spread_join(active, state, keys, total=total).withColumn("_r", F.col("_y") - fitted("beta")).drop("beta"))
         middle = placed.groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_r", [float(q) for q in quantiles]).alias("_m"))
@@ -75,7 +85,7 @@ def quantile_curves(
         moved = spread_join(offset, state, keys, total=total).withColumn("_r", F.col("_y") - fitted("beta"))
         wrong = F.count_if(F.col("_r") * F.col("_side") < 0)
         verdict = cut_lineage(moved.groupBy(*keys).agg(wrong.alias("_wrong"), F.sum(pinball(F.col("_r"), F.lit(0.0), F.col("q"))).alias("loss")))
-        done.append(state.join(verdict.where("_wrong = 0").drop("_wrong"), keys))
+        result = result.unionByName(state.join(verdict.where("_wrong = 0").drop("_wrong"), keys))
         open_keys = verdict.where("_wrong > 0").select(*keys)
         if open_keys.isEmpty():
             break
@@ -84,12 +94,23 @@ def quantile_curves(
         near_rows_now *= 2
     else:
         raise RuntimeError("a quantile fit did not reach its optimum")
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
     return result
 
 
+def _direct_fit(solve, keys: list[str], width: int):
+    """Group function that fits all points of a group at once, from their least-squares curve."""
+
+    def fit(points: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.array(points["_x"].tolist()), points["_y"].to_numpy(float)
+        start = points.iloc[:1][keys].assign(beta=[np.linalg.lstsq(x, y, rcond=None)[0].tolist()], _far=[None])
+        found = solve(points, start)
+        r = y - x @ np.array(found["beta"].iat[0])
+        q = float(start["q"].iat[0])
+        return found.assign(loss=float(np.maximum(q * r, (q - 1) * r).sum()))
+
+    return fit
+
+
 def _least_squares(rows: DataFrame, keys: list[str], width: int, schema: T.StructType) -> DataFrame:
     """(keys..., beta) by least squares: where the search for the quantile curve starts."""
     pairs = [(i, j) for i in range(width) for j in range(width)]
@@ -149,6 +170,8 @@ def _vertex_solver(keys: list[str], width: int, columns: list[str]):
             basis[j] = int(order[min(int(np.searchsorted(slope, 0.0)), len(order) - 1)])
             if slope[-1] < 0:
                 break
+        else:
+            raise RuntimeError("a quantile fit did not reach its optimum")
         return np.linalg.solve(x[basis], y[basis])
 
     def solve(near: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
@@ -241,56 +264,117 @@ def cross_validate_spline(
 
 def group_trends(
     points: DataFrame, threshold: float | Column, slope_lo: float = 0.05, slope_hi: float = 0.25, min_inliers: int = 0,
-    min_r2: float = 0.0, trials: int = 200,
+    min_r2: float = 0.0, trials: int = 200, group_rows: int = TREND_ROWS,
 ) -> DataFrame:
     """Robust lines of ccs on mz per group_id: points with trend (NULL for none), r_squared, is_outlier.
 
-    Every group draws `trials` pairs of its points, spread evenly over its mass order (the method is a
-    random-sample consensus; the draw is made repeatable), and keeps the lines through them whose slope is
-    valid. Which points lie within `threshold` of which line is worked out once. Then, in rounds over all groups,
-    the line with the most remaining points wins; of equal ones that with the smaller sum of residuals (in
-    millionths), the smaller slope, the smaller intercept. Its points form a trend if they are enough and their
-    refit is good enough, and leave the pool either way; too few end the search in their group. A line wins once
-    at most, so there are no more rounds than trials. Groups whose lines are used up draw again from the points
-    that are left, until a draw gives no valid line. What no line takes is an outlier.
-    Rows that share group and row_id share their coordinates, and their fate.
+    In rounds, every group draws `trials` pairs of the points that are still free, spread evenly over its mass order
+    (the method is a random-sample consensus; the draw is made repeatable), and takes the lines through them whose
+    slope is valid. A line's order is the number of free points within `threshold`, then the smaller sum of residuals (in
+    millionths), the smaller slope, the smaller intercept. A line wins if it comes before every other line that shares a
+    point with it and has at least half as many points as the first line of its group. Its points leave the pool: as a
+    trend if their refit reaches `min_r2`. Winners of one round share no points, so all are settled at once, in any order;
+    taking them one by one, best first, from the same draw would settle the same points. A line has two points at
+    least, as both it was drawn through are free. A group ends with the first draw without a valid line or with fewer than
+    `min_inliers` points on its best one; what no line has taken is an outlier.
+
+    Groups of up to `group_rows` points are each settled by one task, all rounds at once; larger ones by joins.
+    Rows that share group and row_id share their coordinates, and their fate. Points without mz or ccs are outliers.
     """
     level = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    pool = cut_lineage(points.select("group_id", "row_id", "mz", "ccs", level.alias("_limit"), F.lit(0).alias("_first")))
-    taken = None
-    while True:
-        near, left = cut_and_count(_near_lines(pool, slope_lo, slope_hi, trials))
-        if not left:
-            break
-        gone, rounds, number = None, None, 0
-        while left:
-            scored = near.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("miss").alias("loss"))
-            order = F.struct("n", -F.col("loss"), -F.col("line.slope"), -F.col("line.intercept"))
-            best = scored.groupBy("group_id").agg(F.max_by("line", order).alias("line"))
-            won = cut_lineage(spread_join(near, best, ["group_id", "line"], "left_semi", total=left).drop("line", "miss"))
-            fit = won.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_r2("ccs", "mz"), F.lit(0.0)).alias("r_squared"))
-            fit = cut_lineage(fit.withColumn("enough", F.col("n") >= min_inliers))
-            good = fit.where("enough").where(F.col("r_squared") >= min_r2).select("group_id", "r_squared")
-            trend = (F.col("_first") + number).alias("trend")
-            own = won.join(good, "group_id").select("group_id", "row_id", trend, "r_squared").distinct()
-            taken = own if taken is None else taken.unionByName(own)
-            out, ended = won.select("group_id", "row_id").distinct(), fit.select("group_id", "enough")
-            gone, rounds = (out, ended) if gone is None else (gone.unionByName(out), rounds.unionByName(ended))
-            near = spread_join(near, out, ["group_id", "row_id"], "left_anti", total=left)
-            near, left = cut_and_count(near.join(fit.where("enough").select("group_id"), "group_id", "left_semi"))
-            number += 1
-        going = rounds.groupBy("group_id").agg(F.min("enough").alias("enough"), F.count(F.lit(1)).cast("int").alias("_rounds")).where("enough")
-        rest = spread_join(pool, gone, ["group_id", "row_id"], "left_anti").join(going.drop("enough"), "group_id")
-        pool = cut_lineage(rest.withColumn("_first", F.col("_first") + F.col("_rounds")).drop("_rounds"))
-    if taken is None:
-        outcome = points.withColumns({"trend": F.lit(None).cast("int"), "r_squared": F.lit(None).cast("double")})
-    else:
-        outcome = points.join(taken, ["group_id", "row_id"], "left").select(*points.columns, "trend", "r_squared")
+    known = points.where(F.col("mz").isNotNull() & F.col("ccs").isNotNull())
+    pool = cut_lineage(known.select("group_id", "row_id", F.col("mz").cast("double").alias("mz"), F.col("ccs").cast("double").alias("ccs"), level.alias("_limit")))
+    sizes, large = cut_and_count(pool.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")), f"n > {group_rows}")
+    rule = (slope_lo, slope_hi, max(min_inliers, 2), trials)
+    small = pool if not large else pool.join(sizes.where(F.col("n") <= group_rows).select("group_id"), "group_id", "left_semi")
+    kind = pool.schema["group_id"].dataType.simpleString(), pool.schema["row_id"].dataType.simpleString()
+    won = small.groupBy("group_id").applyInPandas(_settled_group(*rule), f"group_id {kind[0]}, row_id {kind[1]}, win long, mz double, ccs double")
+    if large:
+        won = won.unionByName(_settled_rounds(spread_join(pool, sizes.where(F.col("n") > group_rows).select("group_id"), ["group_id"], "left_semi"), *rule))
+    won = cut_lineage(won)
+    fits = won.groupBy("group_id", "win").agg(F.coalesce(F.regr_r2("ccs", "mz"), F.lit(0.0)).alias("r_squared")).where(F.col("r_squared") >= min_r2)
+    fits = with_rank(cut_lineage(fits), ["group_id"], ["win"], "_rn").select("group_id", "win", (F.col("_rn") - 1).cast("int").alias("trend"), "r_squared")
+    taken = spread_join(won, fits, ["group_id", "win"]).select("group_id", "row_id", "trend", "r_squared").distinct()
+    outcome = spread_join(points, taken, ["group_id", "row_id"], "left").select(*points.columns, "trend", "r_squared")
     return outcome.withColumn("is_outlier", F.col("trend").isNull())
 
 
+def _settled_group(slope_lo: float, slope_hi: float, least: int, trials: int):
+    """Group function that settles all rounds of one group of bounded size."""
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["mz", "row_id"], kind="stable").reset_index(drop=True)
+        win = np.full(len(group), -1, np.int64)
+        number = 0
+        while True:
+            free = np.flatnonzero(win < 0)
+            x, y = group["mz"].to_numpy()[free], group["ccs"].to_numpy()[free]
+            i, j = drawn_pairs(len(free), trials)
+            some = x[i] != x[j]
+            i, j = i[some], j[some]
+            slope = (y[j] - y[i]) / (x[j] - x[i])
+            valid = (slope >= slope_lo) & (slope <= slope_hi)
+            lines = np.unique(np.column_stack([slope, y[i] - slope * x[i]])[valid], axis=0)  # by slope, then intercept
+            miss = np.abs(y[:, None] - (lines[:, 0] * x[:, None] + lines[:, 1]))
+            near = miss <= group["_limit"].to_numpy()[free][:, None]
+            counts = near.sum(0)
+            if counts.max(initial=0) < least:
+                break
+            loss = np.where(near, np.rint(miss * 1e6), 0.0).sum(0)
+            order = np.lexsort((lines[:, 1], lines[:, 0], loss, -counts))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            first = np.where(near, place, len(order)).min(1)  # the first line of each point
+            beaten = np.unique(np.where(near & (place > first[:, None]), place, -1))
+            wins = np.setdiff1d(place[(counts >= least) & (2 * counts >= counts.max())], beaten)
+            for line in order[wins]:
+                win[free[near[:, line]]] = number
+                number += 1
+        taken = win >= 0
+        return group.loc[taken, ["group_id", "row_id"]].assign(win=win[taken], mz=group["mz"][taken], ccs=group["ccs"][taken])
+
+    def drawn_pairs(n: int, trials: int) -> tuple[np.ndarray, np.ndarray]:
+        """Golden-ratio steps spread the partners of evenly spread points; each pair once."""
+        if n < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        t = np.arange(trials)
+        a = t * n // trials
+        b = (a + 1 + np.floor((t * 0.6180339887498949 % 1) * (n - 1)).astype(np.int64)) % n
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    return settle
+
+
+def _settled_rounds(pool: DataFrame, slope_lo: float, slope_hi: float, least: int, trials: int) -> DataFrame:
+    """(group_id, row_id, win, mz, ccs) by joins, one round over all groups at a time; rounds are written side by side."""
+    folder, number, left = scratch_folder(pool.sparkSession, "trends"), 0, None
+    schema = pool.select("group_id", "row_id", F.lit(0).cast("long").alias("win"), "mz", "ccs").schema
+    while left is None or left:
+        near = _near_lines(pool, slope_lo, slope_hi, trials)
+        lines = near.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("miss").alias("loss"))
+        order = F.struct("n", -F.col("loss"), -F.col("line.slope"), -F.col("line.intercept"))
+        lines = cut_lineage(lines.where(F.col("n") >= least).withColumn("order", order))
+        best = lines.groupBy("group_id").agg(F.max("n").alias("most"))
+        seen = spread_join(near.drop("miss"), lines.select("group_id", "line", "order"), ["group_id", "line"])
+        first = F.max("order").over(Window.partitionBy("group_id", "row_id"))  # a point has at most `trials` lines
+        seen = cut_lineage(seen.withColumn("beaten", F.col("order") < first))
+        wins = seen.groupBy("group_id", "line", "order").agg(F.bool_or("beaten").alias("beaten")).where("NOT beaten")
+        wins = wins.join(best, "group_id").where(2 * F.col("order.n") >= F.col("most"))
+        # winners of a round are at most `trials` lines a group
+        wins = wins.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("order"))))
+        wins = cut_lineage(wins.select("group_id", "line", (F.col("place") + F.lit(number * (trials + 1))).alias("win")))
+        won = spread_join(seen, wins, ["group_id", "line"]).select("group_id", "row_id", F.col("win").cast("long").alias("win"), "mz", "ccs")
+        won.write.parquet(f"{folder}/round={number}")
+        out = pool.sparkSession.read.schema(schema).parquet(f"{folder}/round={number}")
+        rest = pool.join(best.select("group_id"), "group_id", "left_semi")
+        pool, left = cut_and_count(spread_join(rest, out.select("group_id", "row_id").distinct(), ["group_id", "row_id"], "left_anti"))
+        number += 1
+    return pool.sparkSession.read.schema(schema).parquet(*[f"{folder}/round={k}" for k in range(number)])
+
+
 def _near_lines(pool: DataFrame, slope_lo: float, slope_hi: float, trials: int) -> DataFrame:
-    """(group_id, row_id, mz, ccs, _first, line, miss): the points within _limit of each valid line that one draw gives their group."""
+    """(group_id, row_id, mz, ccs, line, miss): the points within _limit of each valid line that one draw gives their group."""
     ranked = cut_lineage(with_rank(pool, ["group_id"], ["mz", "row_id"], "_rn"))
     sizes = ranked.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     ends = {
@@ -302,10 +386,10 @@ def _near_lines(pool: DataFrame, slope_lo: float, slope_hi: float, trials: int)
         .withColumn("slope", slope).where(F.col("slope").between(slope_lo, slope_hi))
         .select("group_id", "slope", (F.col("y_i") - F.col("slope") * F.col("x_i")).alias("intercept"))
     )
-    trial = lines.groupBy("group_id").agg(F.collect_set(F.struct("slope", "intercept")).alias("lines"))
+    trial = lines.groupBy("group_id").agg(F.collect_set(F.struct("slope", "intercept")).alias("lines"))  # at most `trials`
     miss = F.abs(F.col("ccs") - (F.col("line.slope") * F.col("mz") + F.col("line.intercept")))
-    near = ranked.join(trial, "group_id").withColumn("line", F.explode("lines")).withColumn("miss", miss).where(F.col("miss") <= F.col("_limit"))
-    return near.select("group_id", "row_id", "mz", "ccs", "_first", "line", F.rint(F.col("miss") * 1e6).alias("miss"))
+    near = spread_join(ranked, trial, ["group_id"]).withColumn("line", F.explode("lines")).withColumn("miss", miss).where(F.col("miss") <= F.col("_limit"))
+    return cut_lineage(near.select("group_id", "row_id", "mz", "ccs", "line", F.rint(F.col("miss") * 1e6).alias("miss")))
 
 
 def _pair_numbers(sizes: DataFrame, trials: int) -> DataFrame:

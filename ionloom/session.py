@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +34,29 @@ def build_session(app: str = "ionloom", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach; only a purely local session may have one made for it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if context.master != "local" and not context.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder every executor can reach"
             )
-        folder = tempfile.mkdtemp(prefix="ionloom-checkpoint-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="ionloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new name for tables in the shared folder."""
+    return f"{shared_folder(spark)}/ionloom-{name}-{uuid.uuid4().hex}"
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,11 +20,32 @@ from ionloom.functions.numeric import to_double
 from ionloom.model import DEFAULT_REPEAT_UNITS, LIBRARY_L5, STANDARD
 
 
-def _header(spark: SparkSession, path: str) -> str:
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        raise ValueError(f"no header line in {path}")
-    return first[0][0].lstrip("﻿")
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of every file under `paths`, by file, in one job.
+
+    Files are not split and not put together for this scan, so each is a task of its own that stops after its first batch of lines.
+    """
+    whole = {"spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.openCostInBytes": str(1 << 60), "spark.sql.files.minPartitionNum": "1"}
+    before = {key: spark.conf.get(key, None) for key in whole}
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    try:
+        for key, value in whole.items():
+            spark.conf.set(key, value)
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+        found = lines.mapInArrow(first, "file string, value string").collect()
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+    return {unquote(file): line.lstrip("\ufeff") for file, line in found}
 
 
 def detect_separator(header: str) -> str:
@@ -25,27 +53,53 @@ def detect_separator(header: str) -> str:
     return "\t" if header.count("\t") > header.count(",") else ","
 
 
+def _layouts(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """One scan per distinct header, in the order in which the paths bring them, with `source_file`."""
+    if not paths:
+        raise ValueError("no input files")
+
+    def place(file: str) -> tuple[int, str]:
+        return next((i for i, p in enumerate(paths) if p.split("://")[-1].rstrip("/") in file), len(paths)), file
+
+    headers = _headers(spark, paths)
+    layouts: dict[tuple[str, str], list[str]] = {}
+    for file in sorted(headers, key=place):
+        layouts.setdefault((detect_separator(headers[file]), headers[file]), []).append(file)
+    if not layouts:
+        raise ValueError(f"no header line in {', '.join(paths)}")
+    frames = []
+    for (sep, header), files in layouts.items():
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in _column_names(header, sep)])
+        own = paths if len(layouts) == 1 else [_literal(file) for file in files]
+        frame = spark.read.schema(schema).csv(own, header=True, sep=sep, enforceSchema=True)
+        frames.append(frame.withColumn("source_file", F.input_file_name()))
+    return frames
+
+
 def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All rows of the files by column name, text typed, with `source_file`.
 
-    The separator is taken from each header line. Files that share header and separator are one scan.
+    The separator is taken from each header line; the headers of all files are read in one job. Files that share header and
+    separator are one scan, in which the header is the schema, so Spark does not look into them again before it runs.
     Repeated header names get their position appended, as positions are what columns are mapped by.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if not paths:
-        raise ValueError("no input files")
-    layouts: dict[tuple[str, str], list[str]] = {}
-    for path in paths:
-        header = _header(spark, path)
-        layouts.setdefault((detect_separator(header), header), []).append(path)
-    frames = []
-    for (sep, _), files in layouts.items():
-        frame = spark.read.csv(files, header=True, sep=sep)
-        frames.append(frame.toDF(*[c.strip() for c in frame.columns]).withColumn("source_file", F.input_file_name()))
-    stacked = frames[0]
-    for frame in frames[1:]:
-        stacked = stacked.unionByName(frame, allowMissingColumns=True)
-    return stacked
+    return _stacked(_layouts(spark, [paths] if isinstance(paths, str) else list(paths)))
+
+
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _column_names(header: str, sep: str) -> list[str]:
+    """Trimmed names of a header line; an empty one is named by its position, repeated ones get it appended."""
+    names = [name.strip() for name in next(csv.reader([header], delimiter=sep))]
+    seen = Counter(name.lower() for name in names)
+    return [f"_c{i}" if not name else f"{name}{i}" if seen[name.lower()] > 1 else name for i, name in enumerate(names)]
+
+
+def _literal(path: str) -> str:
+    """A path whose special characters are no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def select_dotted(df: DataFrame, marker: str = ".d", lead: int = 5) -> DataFrame:
@@ -56,11 +110,7 @@ def select_dotted(df: DataFrame, marker: str = ".d", lead: int = 5) -> DataFrame
 
 
 def combine_dotted(spark: SparkSession, paths: list[str]) -> DataFrame:
-    frames = [select_dotted(read_delimited(spark, p)) for p in paths]
-    stacked = frames[0]
-    for frame in frames[1:]:
-        stacked = stacked.unionByName(frame, allowMissingColumns=True)
-    return stacked
+    return _stacked([select_dotted(frame) for frame in _layouts(spark, list(paths))])
 
 
 def column_index(letters: str) -> int:
@@ -224,9 +274,32 @@ def harmonise(df: DataFrame, library: bool) -> DataFrame:
     return df if "rt" in df.columns else df.withColumn("rt", F.lit(None).cast("double"))
 
 
-def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Overwrites a CSV folder with a header; a single file, for reports that fit in one task, keeps the order of a sorted one."""
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
+def write_report(df: DataFrame, path: str, single_file: bool = False, order: list[str] | None = None) -> None:
+    """Overwrites a CSV folder with a header.
+
+    With `order` the report is sorted without passing through one task: rows are range-partitioned on these columns, each
+    partition is sorted and written as a file, and `<path>.manifest` (JSON) lists the files in order with their numbers of rows. Read one
+    after the other they are the sorted report; `read_report` does so. `single_file` is for reports that fit in one task.
+    """
+    if order is None:
+        (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
+        return
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
+    spark = df.sparkSession
+    parts = spark.read.schema(T.StructType([T.StructField("first", T.StringType())])).csv(path, header=True)
+    # Spark names part files by the number of their partition, which is their place in the order.
+    files = parts.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    files.coalesce(1).sortWithinPartitions("file").write.mode("overwrite").json(f"{path}.manifest")
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a report written with `order`, all texts, with _part and _row: their place in the sorted report."""
+    manifest = spark.read.schema("file string, rows long").json(f"{path}.manifest")
+    places = manifest.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("_part"))  # one row per file
+    rows = spark.read.csv(path, header=True)
+    # A file is read from its start when it is one split; splits of a larger one follow each other by their offset.
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    return rows.join(F.broadcast(places), "file").withColumn("_row", F.struct("_start", "_id")).drop("file", "_start", "_id")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:

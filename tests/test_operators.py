@@ -1,6 +1,7 @@
 """Edges of the operators on hand-made frames: bounds, ties, missing values, empty sides."""
 
 import itertools
+import collections
 import math
 
 import numpy as np
@@ -267,69 +268,81 @@ def test_quantile_curves_are_optimal(spark, near):
     assert all(loss(np.array(fit.beta) + 1e-3 * rng.normal(size=3)) >= fit.loss for _ in range(200))
 
 
-@pytest.mark.parametrize("sizes,trials", [((8, 11, 14), 200), ((60, 2, 1), 50)])
-def test_group_trends_match_a_sequential_search(spark, sizes, trials):
+def _trends_one_by_one(rows, limit, least=0, trials=200):
+    """What the rule says, line by line: {row_id: trend or None} for rows of (row_id, group_id, mz, ccs)."""
+    want, rounds = {r[0]: None for r in rows}, {}
+    for g in {r[1] for r in rows}:
+        pool, number, rounds[g] = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])), 0, 0
+        while True:
+            n, lines = len(pool), set()
+            for t in range(trials if n > 1 else 0):
+                i = t * n // trials
+                j = (i + 1 + math.floor(t * 0.6180339887498949 % 1 * (n - 1))) % n
+                a, b = pool[min(i, j)], pool[max(i, j)]
+                if a[2] != b[2] and 0.05 <= (s := (b[3] - a[3]) / (b[2] - a[2])) <= 0.25:
+                    lines.add((s, a[3] - s * a[2]))
+            near = {x: {p[0]: m for p in pool if (m := abs(p[3] - (x[0] * p[2] + x[1]))) <= limit} for x in lines}
+            order = {x: (-len(near[x]), sum(round(m * 1e6) for m in near[x].values()), *x) for x in lines if len(near[x]) >= max(2, least)}
+            if not order:
+                break
+            most, taken = -min(order.values())[0], set()
+            wins = [x for x in order if 2 * len(near[x]) >= most and not any(order[o] < order[x] and near[o].keys() & near[x].keys() for o in order)]
+            for x in sorted(wins, key=order.get):
+                want |= dict.fromkeys(near[x], number)
+                number += 1
+                taken |= near[x].keys()
+            pool, rounds[g] = [p for p in pool if p[0] not in taken], rounds[g] + 1
+    return want, max(rounds.values())
+
+
+@pytest.mark.parametrize("group_rows", [10_000, 10, 0])
+@pytest.mark.parametrize("sizes,trials,least", [((8, 11, 14), 200, 3), ((60, 2, 1), 50, 0), ((30, 5, 40), 200, 6)])
+def test_group_trends_match_a_plain_search(spark, sizes, trials, least, group_rows):
     rng = np.random.default_rng(31)
     rows = []
     for g, n in enumerate(sizes):
         for i in range(n):
             mz = 200.0 + 20 * i + rng.uniform(0, 1)
             rows.append((g * 100 + i, g, float(mz), float(100 + 0.15 * mz + (25 if i % 4 == 3 else 0) + rng.uniform(-1, 1))))
+    df = spark.createDataFrame([*rows, (990, 0, None, 5.0), (991, 77, 300.0, None)], "row_id long, group_id long, mz double, ccs double")
+    outcome = regress.group_trends(df, 3.0, min_inliers=least, trials=trials, group_rows=group_rows).collect()
+    want, _ = _trends_one_by_one(rows, 3.0, least, trials)
+    assert {r.row_id: r.trend for r in outcome} == want | {990: None, 991: None}
+    assert all(r.is_outlier == (r.trend is None) for r in outcome)
+    sizes_of = collections.Counter((r.group_id, r.trend) for r in outcome if r.trend is not None)
+    assert min(sizes_of.values()) >= max(2, least)
+
+
+@pytest.mark.parametrize("group_rows", [10_000, 0])
+def test_a_last_free_point_is_an_outlier(spark, group_rows):
+    rows = [(i, 1, 200.0 + 20 * i, c) for i, c in enumerate([130.0, 133.0, 136.0, 139.0, 149.0])]
     df = spark.createDataFrame(rows, "row_id long, group_id long, mz double, ccs double")
-    got = {r.row_id: (r.trend, r.is_outlier) for r in regress.group_trends(df, 3.0, min_inliers=3, trials=trials).collect()}
-    want = {}
-    for g, n in enumerate(sizes):
-        pool = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
-        lines = set()
-        for t in range(trials if n > 1 else 0):
-            i = t * n // trials
-            j = (i + 1 + math.floor(t * 0.6180339887498949 % 1 * (n - 1))) % n
-            a, b = pool[min(i, j)], pool[max(i, j)]
-            if 0.05 <= (s := (b[3] - a[3]) / (b[2] - a[2])) <= 0.25:
-                lines.add((s, a[3] - s * a[2]))
-        number = 0
-        while True:
-            scored = []
-            for s, c in lines:
-                inside = [m for p in pool if (m := abs(p[3] - (s * p[2] + c))) <= 3.0]
-                scored.append((len(inside), -sum(round(m * 1e6) for m in inside), -s, -c))
-            if not scored or max(scored)[0] < 3:
-                want |= {p[0]: (None, True) for p in pool}
-                break
-            n_in, _, s, c = max(scored)
-            inside = [p for p in pool if abs(p[3] - (-s * p[2] - c)) <= 3.0]
-            want |= {p[0]: (number, False) for p in inside}
-            pool = [p for p in pool if p not in inside]
-            number += 1
-    assert got == want and any(v[1] for v in want.values())
+    got = {r.row_id: (r.trend, r.is_outlier) for r in regress.group_trends(df, 3.0, group_rows=group_rows).collect()}
+    assert got == {0: (0, False), 1: (0, False), 2: (0, False), 3: (0, False), 4: (None, True)}
 
 
-def test_many_parallel_trends_are_drawn_until_none_is_left(spark):
-    """40 equal trends in one group are more than one draw of 200 pairs can meet; each takes its own points."""
+def test_repeated_rows_and_poor_fits(spark):
+    """Rows of one row_id share their fate; a line whose refit is poor takes its points, but is no trend."""
+    rows = [(i, 1, 200.0 + 20 * i, 130.0 + 3 * i) for i in range(4)] * 2 + [(10 + i, 2, 200.0 + i, 100.0 + 0.1 * i + (2.9 if i % 2 else -2.9)) for i in range(20)]
+    df = spark.createDataFrame(rows, "row_id long, group_id long, mz double, ccs double")
+    for group_rows in (1000, 0):
+        got = regress.group_trends(df, 6.0, min_r2=0.9, group_rows=group_rows).collect()
+        assert len(got) == len(rows)
+        assert {r.trend for r in got if r.group_id == 1} == {0}
+        assert all(r.is_outlier for r in got if r.group_id == 2 and r.trend is None) and any(r.trend is None for r in got if r.group_id == 2)
+        assert all(r.r_squared >= 0.9 for r in got if r.trend is not None)
+
+
+@pytest.mark.parametrize("group_rows", [10_000, 0])
+def test_many_parallel_trends_are_drawn_until_none_is_left(spark, group_rows):
+    """40 equal trends in one group are more than one draw of 200 pairs can meet; each takes its own points, several a round."""
     rows = [(t * 10 + i, 1, 200.0 + 20 * i + t * 0.1, 100 + 15.0 * t + 0.15 * (200 + 20 * i + t * 0.1)) for t in range(40) for i in range(10)]
     rows += [(900, 2, 300.0, 150.0), (901, 2, 320.0, 140.0), (902, 3, 300.0, 150.0)]
     df = spark.createDataFrame(rows, "row_id long, group_id long, mz double, ccs double")
-    got = {r.row_id: (r.trend, r.is_outlier) for r in regress.group_trends(df, 3.0).collect()}
-    pool, number, want = sorted((r for r in rows if r[1] == 1), key=lambda r: (r[2], r[0])), 0, {r[0]: (None, True) for r in rows}
-    while True:
-        n, lines = len(pool), set()
-        for t in range(200 if n > 1 else 0):
-            i = t * n // 200
-            j = (i + 1 + math.floor(t * 0.6180339887498949 % 1 * (n - 1))) % n
-            a, b = pool[min(i, j)], pool[max(i, j)]
-            if a[2] != b[2] and 0.05 <= (s := (b[3] - a[3]) / (b[2] - a[2])) <= 0.25:
-                lines.add((s, a[3] - s * a[2]))
-        if not lines:
-            break
-        while lines:
-            near = {(s, c): [(p, m) for p in pool if (m := abs(p[3] - (s * p[2] + c))) <= 3.0] for s, c in lines}
-            lines = {x for x in lines if near[x]}
-            if lines:
-                best = max(lines, key=lambda x: (len(near[x]), -sum(round(m * 1e6) for _, m in near[x]), -x[0], -x[1]))
-                want |= {p[0]: (number, False) for p, _ in near[best]}
-                pool, number = [p for p in pool if p not in [q for q, _ in near[best]]], number + 1
-    assert got == want
-    assert sum(v[1] for v in got.values()) < 10
+    got = {r.row_id: r.trend for r in regress.group_trends(df, 3.0, group_rows=group_rows).collect()}
+    want, rounds = _trends_one_by_one(rows, 3.0)
+    assert got == want and rounds < 30
+    assert sum(t is None for t in got.values()) < 10
 
 
 def test_series_keeps_first_row_of_a_terminal_mass_and_skips_missing_time(spark):
