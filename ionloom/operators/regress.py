@@ -97,6 +97,51 @@ def quantile_curves(
     return result
 
 
+def curve_certificates(points: DataFrame, group: list[str], columns: list[str], y: str, curves: DataFrame) -> DataFrame:
+    """Proof by duality that `curves` (group..., q, beta) are the best ones: group, q, n, below, above, on_curve, gap, feasible.
+
+    The dual of quantile regression weighs each point by q above the curve and by q - 1 below it; points on the curve take weights
+    between, such that the weighted columns add up to zero. If such weights exist (`feasible`), the weighted sum of y is a
+    lower bound of every curve's loss, and a curve whose loss exceeds it by no `gap` is optimal. Sums run over all points;
+    only the distinct points on a curve, as many as it has coefficients unless there are ties, are looked at one by one.
+    """
+    width = len(columns)
+    keys = [*group, "q"]
+    rows = points.select(*group, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = spread_join(rows, curves.groupBy(*group).agg(F.collect_list(F.struct("q", "beta")).alias("_curves")), group).withColumn("_c", F.explode("_curves"))
+    fitted = sum((F.get("_x", i) * F.get("_c.beta", i) for i in range(width)), F.lit(0.0))
+    rows = rows.select(*group, F.col("_c.q").alias("q"), "_x", "_y", (F.col("_y") - fitted).alias("_r"))
+    on = F.abs("_r") <= 1e-9 * (1 + F.abs("_y"))
+    rows = cut_lineage(rows.withColumn("_w", F.when(on, None).when(F.col("_r") > 0, F.col("q")).otherwise(F.col("q") - 1)))
+    sums = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_w") < 0).alias("below"), F.count_if(F.col("_w") > 0).alias("above"),
+        F.sum(pinball(F.col("_r"), F.lit(0.0), F.col("q"))).alias("_loss"), F.sum(F.col("_w") * F.col("_y")).alias("_dual"),
+        F.array(*[F.coalesce(F.sum(F.col("_w") * F.get("_x", i)), F.lit(0.0)) for i in range(width)]).alias("_g"),
+    )
+    touching = rows.where("_w IS NULL").groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_m"))
+    touching = touching.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_x", "_y", "_m"))).alias("_on"))
+    joined = sums.join(touching, keys, "left")
+    fields = [f for f in joined.schema.fields if f.name in keys]
+    names = ["n", "below", "above", "on_curve"]
+    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in names], T.StructField("gap", T.DoubleType()), T.StructField("feasible", T.BooleanType())])
+
+    def weigh(batches):
+        for part in batches:
+            out = []
+            for row in part.to_dict("records"):
+                touch = row["_on"] if row["_on"] is not None else []
+                x = np.array([t["_x"] for t in touch], float).reshape(-1, width)
+                y_, m = np.array([t["_y"] for t in touch], float), np.array([t["_m"] for t in touch], float)
+                d = np.linalg.lstsq(x.T, -np.array(row["_g"], float), rcond=None)[0] if len(touch) else np.zeros(0)
+                balanced = np.allclose(x.T @ d, -np.array(row["_g"], float), atol=1e-6 * max(1, row["n"]))
+                inside = bool(np.all((d >= (row["q"] - 1) * m - 1e-6) & (d <= row["q"] * m + 1e-6)))
+                dual = (row["_dual"] or 0.0) + float(d @ y_)
+                out.append([*[row[k] for k in keys], row["n"], row["below"], row["above"], len(touch), row["_loss"] - dual, balanced and inside])
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return joined.mapInPandas(weigh, schema)
+
+
 def _direct_fit(solve, keys: list[str], width: int):
     """Group function that fits all points of a group at once, from their least-squares curve."""
 
@@ -240,25 +285,45 @@ def _fold_scores(test: DataFrame, y: str, qs: list[float], predicted: list[Colum
     return per_fold.groupBy("model").agg(*[F.avg(n).alias(n) for n in [*names, "coverage", "width"]])
 
 
+def _spline_rows(library: DataFrame, key: str, y: str, folds: int) -> DataFrame:
+    """own_fold, y and the columns of a cubic polynomial in ln m/z, that is a cubic spline without inner knots."""
+    u = F.ln("mz") - F.lit(6.0)
+    basis = [F.lit(1.0), u, u * u, u * u * u]
+    return cut_lineage(
+        library.where(F.col(y).isNotNull() & (F.col("mz") > 0)).select(
+            F.pmod(F.col(key), F.lit(folds)).cast("int").alias("own_fold"), F.col(y).alias("y"), *[c.alias(n) for n, c in zip(_BASIS, basis)]
+        )
+    )
+
+
+_BASIS = ["_b0", "_b1", "_b2", "_b3"]
+
+
+def _training(rows: DataFrame, folds: int) -> DataFrame:
+    return rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own_fold")
+
+
+def spline_certificates(
+    library: DataFrame, key: str, y: str, low: float, high: float, folds: int = 5, near_rows: int = NEAR_ROWS
+) -> DataFrame:
+    """`curve_certificates` of the curves that `cross_validate_spline` scores, per fold and quantile."""
+    train = _training(_spline_rows(library, key, y, folds), folds)
+    curves = quantile_curves(train, ["fold"], _BASIS, "y", [low, 0.5, high], near_rows)
+    return curve_certificates(train, ["fold"], _BASIS, "y", curves)
+
+
 def cross_validate_spline(
     library: DataFrame, key: str, y: str, low: float, high: float, folds: int = 5, near_rows: int = NEAR_ROWS
 ) -> DataFrame:
     """The same scores for a cubic spline without inner knots in ln m/z, that is a cubic polynomial."""
     qs = [low, 0.5, high]
-    u = F.ln("mz") - F.lit(6.0)
-    basis = {"_b0": F.lit(1.0), "_b1": u, "_b2": u * u, "_b3": u * u * u}
-    rows = cut_lineage(
-        library.where(F.col(y).isNotNull() & (F.col("mz") > 0)).select(
-            F.pmod(F.col(key), F.lit(folds)).cast("int").alias("own_fold"), F.col(y).alias("y"), *[c.alias(n) for n, c in basis.items()]
-        )
-    )
-    train = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> own_fold")
-    curves = quantile_curves(train, ["fold"], list(basis), "y", qs, near_rows)
+    rows = _spline_rows(library, key, y, folds)
+    curves = quantile_curves(_training(rows, folds), ["fold"], _BASIS, "y", qs, near_rows)
     wide = curves.groupBy("fold").agg(
         *[F.max(F.when(F.col("q") == q, F.col("beta"))).alias(n) for q, n in zip(qs, ("lo", "mid", "hi"))]
     )
     test = rows.withColumnRenamed("own_fold", "fold").join(wide, "fold").withColumn("model", F.lit("spline"))
-    predicted = [sum((F.get(n, i) * F.col(c) for i, c in enumerate(basis)), F.lit(0.0)) for n in ("lo", "mid", "hi")]
+    predicted = [sum((F.get(n, i) * F.col(c) for i, c in enumerate(_BASIS)), F.lit(0.0)) for n in ("lo", "mid", "hi")]
     return _fold_scores(test, "y", qs, predicted)
 
 

@@ -100,5 +100,5 @@ def class_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def max_of(df: DataFrame, column: str) -> Column:
+def max_of(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(column).alias(f"max_{column}"))
