@@ -13,7 +13,7 @@ from ionloom.session import build_session
 HEADLINE = [
     "blank_mean_sd", "freq_and_abundance", "l2_match", "l5_match", "standards_removal", "m2_removal", "neutral_loss_removal",
     "adduct_removal", "smearing", "dup_merge", "crowd_elimination", "carbon_estimate", "sample_match", "align_summary",
-    "series_refined", "band_filter", "screen_report",
+    "series_refined", "trend_outliers", "band_filter", "screen_report",
 ]
 
 

@@ -1,7 +1,7 @@
 """Edges of the operators on hand-made frames: bounds, ties, missing values, empty sides."""
 
-import itertools
 import collections
+import itertools
 import math
 
 import numpy as np
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionloom.functions.numeric import half_even, no_nan, ppm_of, shorten
-from ionloom.operators import blanks, cleanup, filters, isotope, match, regress, report, series
+from ionloom.operators import blanks, cleanup, filters, isotope, match, ordered, regress, report, runs, series
 
 COLS = "feature_id long, mz double, rt double, dt double, ccs double"
 
@@ -417,3 +417,61 @@ def test_null_keys_pass_a_spread_join(spark):
     for how, n in (("inner", 40), ("left", 81), ("left_anti", 41), ("left_semi", 40)):
         assert sorted(map(tuple, spread_join(rows, table, ["k"], how, block=5).collect()), key=repr) == sorted(map(tuple, rows.join(table, ["k"], how).collect()), key=repr)
         assert spread_join(rows, table, ["k"], how, block=5).count() == n
+
+
+@pytest.mark.parametrize("group_rows", [100_000, 20])
+def test_mass_runs_hold_all_partners_in_a_row_per_target(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(ordered, "GROUP_ROWS", group_rows)
+    rng = np.random.default_rng(4)
+    masses = sorted({float(m) for m in [*rng.uniform(300, 300.02, 60), *rng.uniform(200, 900, 40), 400.0, 400.0 * (1 + 5e-6)]})
+    targets = [(float(i), "x" if i % 2 else "y", float(t)) for i, t in enumerate([*rng.uniform(300, 300.02, 30), *rng.uniform(200, 900, 20), 400.0, 50.0, 950.0])]
+    m = spark.createDataFrame([(x,) for x in [*masses, masses[3]]] + [(None,)], "mz double")
+    found = runs.mass_runs(spark.createDataFrame(targets, "mz1 double, label string, target double"), m.where("mz IS NOT NULL").distinct(), 5.0)
+    got = {r.mz1: (r.label, r.first_rank, r.last_rank) for r in found.collect()}
+    want = {}
+    for i, label, t in targets:
+        tol = t * 5.0 * 1e-6
+        near = [k for k, x in enumerate(masses, 1) if t - tol <= x <= t + tol]
+        if near:
+            want[i] = (label, near[0], near[-1])
+    assert got == want and len(want) > 20
+    pairs = {(r.mz1, r.mz2) for r in runs.expand_runs(found, runs.ranked_masses(m)).collect()}
+    assert pairs == {(i, masses[k - 1]) for i, (_, a, b) in want.items() for k in range(a, b + 1)}
+
+
+def test_sample_values_are_arrays_until_they_are_widened(spark):
+    rows = [("A", "s1", 1, 300.0, 10.0), ("A", "s1", 2, 302.0, 20.0), ("A", "s3", 3, 301.0, None), ("B", "s2", 4, 400.0, 7.0), ("B", "other", 5, 400.0, 9.0)]
+    aligned = spark.createDataFrame(rows, "alignment_id string, sample string, compound int, mz double, intensity double")
+    names = ["s3", "s1", "s2", *[f"t{i}" for i in range(2000)]]
+    summary = isotope.alignment_summary(aligned, names)
+    got = {r.alignment_id: r for r in summary.collect()}
+    assert len(summary.columns) < 10 and got["A"].sample_values[:4] == [0.0, 15.0, 0.0, 0.0] and len(got["A"].sample_values) == 2003
+    assert got["B"].sample_values[:3] == [0.0, 0.0, 7.0] and got["B"].detection_count == 2 and got["A"].detection_count == 1
+    wide = isotope.widen_samples(isotope.alignment_summary(aligned, names[:3]), names[:3])
+    assert {(r.alignment_id, r.s3, r.s1, r.s2) for r in wide.collect()} == {("A", 0.0, 15.0, 0.0), ("B", 0.0, 0.0, 7.0)}
+    assert "sample_values" not in isotope.alignment_summary(aligned).columns
+
+
+def test_certificates_tell_the_best_curve_from_others(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, 1.0, float(x), float(2 * x + rng.normal())) for g in range(2) for x in rng.uniform(0, 10, 60)]
+    points = spark.createDataFrame(rows, "g int, one double, x double, y double")
+    best = regress.quantile_curves(points, ["g"], ["one", "x"], "y", [0.2, 0.5])
+    for r in regress.curve_certificates(points, ["g"], ["one", "x"], "y", best).collect():
+        assert r.feasible and abs(r.gap) < 1e-6 and r.below + r.above + r.on_curve == r.n == 60
+    off = best.withColumn("beta", F.array(F.get("beta", 0) + 0.3, F.get("beta", 1)))
+    assert not any(r.feasible for r in regress.curve_certificates(points, ["g"], ["one", "x"], "y", off).collect())
+
+
+@pytest.mark.parametrize("near_rows", [1000, 30])
+def test_quantile_curves_of_small_and_large_groups_agree(spark, near_rows):
+    rng = np.random.default_rng(12)
+    rows = [(g, float(x), float(3 * x + rng.normal())) for g, n in enumerate([5, 25, 200]) for x in rng.uniform(0, 10, n)]
+    points = spark.createDataFrame(rows, "g int, x double, y double")
+    got = {(r.g, r.q): r.loss for r in regress.quantile_lines(points, ["g"], "x", "y", [0.25, 0.9], near_rows).collect()}
+    for (g, q), loss in got.items():
+        own = [(x, y) for k, x, y in rows if k == g]
+        lines = [((b[1] - a[1]) / (b[0] - a[0]), a) for a, b in itertools.combinations(own[:60], 2)] if g == 2 else [((b[1] - a[1]) / (b[0] - a[0]), a) for a, b in itertools.combinations(own, 2)]
+        least = min(sum(max(q * r, (q - 1) * r) for r in (y - a[1] - s * (x - a[0]) for x, y in own)) for s, a in lines)
+        assert loss <= least + 1e-9 and (g == 2 or abs(loss - least) < 1e-9)
+    assert len(got) == 6

@@ -27,23 +27,56 @@ def _near():
     return (F.abs(F.col("qm") - F.col("pm")) <= F.col("pm") * 5e-6) & (F.abs(F.col("qc") - F.col("pc")) <= 0.5)
 
 
-def test_band_join_equals_filtered_product_without_duplicates(cloud):
+@pytest.mark.parametrize("full,pair_rows,sent", [(64, 4096, 100_000), (3, 4096, 100_000), (3, 5, 100_000), (3, 5, 0), (10**9, 2, 100_000)])
+def test_band_join_equals_filtered_product_without_duplicates(cloud, monkeypatch, full, pair_rows, sent):
+    """Tiles that are not split, split on some or all levels, and crowded finest cells dealt over blocks."""
+    monkeypatch.setattr(B, "FULL_TILE", full)
+    monkeypatch.setattr(B, "SPLITS_SENT", sent)
     p, q = cloud
     bands = [B.ppm_band("qm", F.col("pm"), 5.0), B.abs_band("qc", F.col("pc"), 0.5)]
-    got = [(r.pid, r.qid) for r in B.band_join(p, q, bands, _near()).collect()]
+    got = [(r.pid, r.qid) for r in B.band_join(p, q, bands, _near(), pair_rows=pair_rows).collect()]
     want = {(r.pid, r.qid) for r in p.crossJoin(q).where(_near()).collect()}
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_sparse_rows_are_copied_less_than_by_finest_cells(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), float(c)) for a, b, c in zip(rng.uniform(100, 900, 2000), rng.uniform(100, 300, 2000), rng.uniform(0, 20, 2000))]
+    p = spark.createDataFrame(rows, "pm double, pc double, pt double")
+    q = p.toDF("qm", "qc", "qt")
+    bands = [B.ppm_band("qm", F.col("pm"), 10.0), B.abs_band("qc", F.col("pc"), 1.0), B.abs_band("qt", F.col("pt"), 0.5)]
+    wide = B.tiling(q, bands).place_probe(p, bands).count() / 2000
+    monkeypatch.setattr(B, "LEVELS", 0)
+    fine = B.tiling(q, bands).place_probe(p, bands).count() / 2000
+    assert wide < 2 < 6 < fine
+
+
+def test_a_crowded_mass_is_split_by_the_next_axis(spark):
+    """100,000 rows of one mass cell: the tiles of the second axis hold a few thousand at most, and so do blocks of equal rows."""
+    build = spark.range(100_000).select((F.lit(300.0) + F.col("id") * 1e-9).alias("qm"), (F.lit(100.0) + F.col("id") % 5000 * 0.04).alias("qc"), F.col("id").alias("qid"))
+    probe = spark.createDataFrame([(i, 300.00005, 100.0 + 7 * i) for i in range(25)], "pid int, pm double, pc double")
+    bands = [B.ppm_band("qm", F.col("pm"), 5.0), B.abs_band("qc", F.col("pc"), 0.5)]
+    tiles = B.tiling(build, bands, (), B.PAIR_ROWS)
+    assert tiles.place_build(B._build_cells(build, bands)).groupBy(*tiles.keys).count().agg(F.max("count")).first()[0] <= 4096
+    got = B.band_join(probe, build, bands, _near()).groupBy("pid").count().collect()
+    want = {i: sum(abs(100.0 + k * 0.04 - (100.0 + 7 * i)) <= 0.5 for k in range(5000)) * 20 for i in range(25)}
+    assert {r.pid: r["count"] for r in got} == want
+    same = build.withColumn("qc", F.lit(107.0))
+    joined = B.band_join(probe.where("pid = 1"), same, bands, _near())
+    assert joined.count() == 100_000
+    assert [r["_n"] for r in B.tiling(same, bands, (), B.PAIR_ROWS).hot().collect()] == [100_000]  # dealt over 25 blocks
+
+
 def test_band_join_plans_an_equi_join(cloud):
     p, q = cloud
     plan = B.band_join(p, q, [B.ppm_band("qm", F.col("pm"), 5.0)], _near())._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("hot,chunk", [(10**9, 4096), (4, 4096), (4, 8)])
-def test_band_semi_is_exact_with_and_without_crowded_cells(cloud, monkeypatch, hot, chunk):
+@pytest.mark.parametrize("hot,chunk,full", [(10**9, 4096, 64), (10**9, 4096, 2), (4, 4096, 64), (4, 8, 64)])
+def test_band_semi_is_exact_with_and_without_crowded_cells(cloud, monkeypatch, hot, chunk, full):
     monkeypatch.setattr(B, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(B, "FULL_TILE", full)
     p, q = cloud
     ok = _near() & (F.col("qv") > F.col("pv") * 1.5)
     bands = [B.ppm_band("qm", F.col("pm"), 5.0), B.abs_band("qc", F.col("pc"), 0.5)]

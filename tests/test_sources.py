@@ -118,3 +118,44 @@ def test_optional_files_forgive_absence_only(spark, tmp_path):
     assert delimited.read_standards(spark, str(tmp_path / "std.csv"), mapping).count() == 1
     with pytest.raises(ValueError):
         delimited.read_standards(spark, str(tmp_path / "std.csv"), {"name": "A", "mz": "1", "ccs": "C"})
+
+
+def test_many_small_files_cost_two_jobs(spark, tmp_path):
+    for i in range(120):
+        sep = "\t" if i % 3 == 0 else ","
+        (tmp_path / f"f {i:03d} [x].csv").write_text(sep.join(["ID", "m/z", "S.d"]) + "\n" + sep.join([str(i), f"{300 + i}.5", "1"]) + "\n")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        raw = delimited.read_delimited(spark, [str(tmp_path)])
+        rows = raw.collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert sorted(int(r.ID) for r in rows) == list(range(120)) and {r["m/z"] for r in rows} == {f"{300 + i}.5" for i in range(120)}
+    assert len(jobs) == 2
+    assert delimited.combine_dotted(spark, [str(tmp_path)]).count() == 120
+
+
+def test_layouts_keep_the_order_of_the_paths(spark, tmp_path):
+    (tmp_path / "z.csv").write_text("\ufeffID,a.d\n1,5\n")
+    (tmp_path / "a.csv").write_text("ID,b.d,b.d, ,\n2,6,7,8,9\n")
+    (tmp_path / "empty.csv").write_text("")
+    raw = delimited.read_delimited(spark, [str(tmp_path / "z.csv"), str(tmp_path / "a.csv"), str(tmp_path / "empty.csv")])
+    assert [c for c in raw.columns if c != "source_file"] == ["ID", "a.d", "b.d1", "b.d2", "_c3", "_c4"]
+    assert sorted(r.ID for r in raw.collect()) == ["1", "2"]
+    with pytest.raises(ValueError):
+        delimited.read_delimited(spark, [str(tmp_path / "empty.csv")])
+
+
+def test_sorted_report_in_parts(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("mz"), F.concat(F.lit("line\n"), F.col("id").cast("string")).alias("text")).repartition(7)
+    path = str(tmp_path / "report")
+    delimited.write_report(rows.drop("text"), path, order=["mz"])
+    parts = sorted(p for p in (tmp_path / "report").iterdir() if p.name.startswith("part-"))
+    assert len(parts) > 1  # no single task writes it all
+    manifest = [json.loads(line) for p in (tmp_path / "report.manifest").iterdir() if p.name.startswith("part-") for line in p.read_text().splitlines()]
+    assert sum(m["rows"] for m in manifest) == 5000
+    text = [line for m in manifest for line in (tmp_path / "report" / m["file"]).read_text().splitlines()[1:]]
+    assert [int(x) for x in text] == list(range(5000))
+    back = delimited.read_report(spark, path).orderBy("_part", "_row").collect()
+    assert [int(r.mz) for r in back] == list(range(5000))
