@@ -12,7 +12,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -289,13 +289,17 @@ def write_report(df: DataFrame, path: str, single_file: bool = False, order: lis
     parts = spark.read.schema(T.StructType([T.StructField("first", T.StringType())])).csv(path, header=True)
     # Spark names part files by the number of their partition, which is their place in the order.
     files = parts.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
-    files.coalesce(1).sortWithinPartitions("file").write.mode("overwrite").json(f"{path}.manifest")
+    files.coalesce(1).sortWithinPartitions(_part_number("file")).write.mode("overwrite").json(f"{path}.manifest")
+
+
+def _part_number(file: str) -> Column:
+    return F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a report written with `order`, all texts, with _part and _row: their place in the sorted report."""
     manifest = spark.read.schema("file string, rows long").json(f"{path}.manifest")
-    places = manifest.select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("_part"))  # one row per file
+    places = manifest.select("file", (F.row_number().over(Window.orderBy(_part_number("file"))) - 1).alias("_part"))  # one row per file
     rows = spark.read.csv(path, header=True)
     # A file is read from its start when it is one split; splits of a larger one follow each other by their offset.
     rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
