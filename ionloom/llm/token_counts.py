@@ -4,9 +4,9 @@ A byte-pair tokenization is right exactly when every two neighbouring tokens are
 their two strings alone: no merge crosses their border, and what goes on inside them does not depend on the rest.
 So the last token of a prefix decides how the prefix can go on, and a state needs only
 
-* the longest end of the text read that begins some piece (no piece reaches further back),
-* the last token of the prefix at each border in that end where a piece may begin, and how many tokens fewer that
-  prefix has than the text read.
+* the longest end of the text read that begins some longer piece (no piece to come reaches further back),
+* the last token of the prefix at each border in that end where a piece may begin (tokens that let the same pieces
+  follow stand for each other), and how many tokens fewer that prefix has than the text read.
 
 These states are finite in number. Reading a character leads to one next state, and the transition is annotated with
 the tokens it emits: how many more (or fewer, when it joins some) the longer prefix has. Transitions are compiled when
@@ -27,6 +27,8 @@ gives no rows. Columns other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,10 @@ LIMIT = 4096
 SEGMENT, CHUNK = 1 << 18, 128
 #: Beyond so many states the table is begun anew after the segment; bounds memory, not results.
 STATES = 200_000
+#: Tokens are told apart by the pieces they let follow where at most so many come into question, else by how they are merged.
+ASKED = 8
+#: Pairs of tokens whose test is remembered.
+PAIRS = 200_000
 #: Places of the hash table, as a power of two; a segment adds at most SEGMENT transitions to the 2 ** 20 it may begin with.
 PLACES = 21
 _SPREAD = 0x9E3779B97F4A7C15 - (1 << 64)  # a fixed odd number that spreads keys over places
@@ -60,7 +66,9 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.pieces = {p for p, (number, _) in vocabulary.pieces.items() if vocabulary.merge(p) == [number]}
-        self.begins = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        self.sorted = sorted(self.pieces)
+        self.heads = {p[:n] for p in self.pieces for n in range(1, len(p))}
+        self.begins = self.heads | self.pieces
         self.chars = sorted({c for p in vocabulary.pieces if len(p) > 1 for c in p} | {MARK})
         self.width = _FIRST + len(self.chars)
         classes = np.full(0x110000, _MISSING + 4, np.int16)
@@ -81,6 +89,9 @@ class Transducer:
     def clear(self) -> None:
         """Forget all states but the root, and all pairs of tokens looked at."""
         self.pairs.clear()
+        self.edges: dict[str, tuple] = {}
+        self.classes_of: dict[tuple[str, str], str | None] = {}
+        self.representatives: dict[tuple, str] = {}
         self.keys: list[State] = []
         self.numbers: dict[State, int] = {}
         self.stored = 0
@@ -101,19 +112,62 @@ class Transducer:
         if token is None:
             return True
         found = self.pairs.get((token, piece))
+        if found is None and not any(symbol + piece[:n] in self.pieces for symbol, _, _ in self.edge(token) for n in range(1, len(piece) + 1)):
+            return True
         if found is None:
             ids = self.vocabulary.pieces
             found = self.vocabulary.merge(token + piece) == [*self.single(token), ids[piece][0]]
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
             self.pairs[token, piece] = found
         return found
 
-    def crossed(self, token: str | None, known: str) -> bool:
-        """Whether some piece spans the border between `token` and a piece that begins with `known`."""
-        for size in range(1, len(token or "") + 1):
-            tail = token[-size:]
-            if tail + known in self.begins or any(tail + known[:n] in self.pieces for n in range(1, len(known))):
-                return True
-        return False
+    def edge(self, token: str) -> tuple[tuple[str, float, float], ...]:
+        """The symbols that stand at the right end of `token` while it is merged, each with its time of coming and going.
+
+        Merges go by descending score; one that only becomes possible after a worse one follows it at once, so the
+        time of a merge is the worst score up to it.
+        """
+        found = self.edges.get(token)
+        if found is None:
+            scores, symbols, time = self.vocabulary.pieces, list(token), math.inf
+            out, since = [], math.inf
+            while len(symbols) > 1:
+                joined = [symbols[i] + symbols[i + 1] for i in range(len(symbols) - 1)]
+                best = max(range(len(joined)), key=lambda i: (scores[joined[i]][1] if joined[i] in scores else -math.inf, -i))
+                if joined[best] not in scores:
+                    break
+                time = min(time, scores[joined[best]][1])
+                if best == len(joined) - 1:
+                    out.append((symbols[-1], since, time))
+                    since = time
+                symbols[best : best + 2] = [joined[best]]
+            found = self.edges[token] = (*out, (symbols[-1], since, -math.inf))
+        return found
+
+    def canonical(self, token: str | None, known: str) -> str | None:
+        """A token that stands for all that bear alike on pieces that begin with `known`; None if no merge can cross the border.
+
+        A merge crosses the border only from a symbol at the end of `token` that some piece continues with `known`. Tokens
+        with the same such symbols at the same times let the same pieces follow; where few pieces begin with `known`, each is asked.
+        """
+        if token is None:
+            return None
+        found = self.classes_of.get((token, known), "")
+        if found == "":
+            bears = tuple(
+                x for x in self.edge(token)
+                if (x[0] + known in (self.begins if known else self.heads)) or any(x[0] + known[:n] in self.pieces for n in range(1, len(known)))
+            )
+            if bears and len(known) > 1 and len(pieces := self.longer(known)) <= ASKED:
+                bears = tuple(piece for piece in pieces if not self.follows(token, piece))
+            found = self.classes_of[token, known] = self.representatives.setdefault((known, bears), token) if bears else None
+        return found
+
+    def longer(self, known: str) -> list[str]:
+        """The pieces that begin with `known` and go on."""
+        low = bisect_right(self.sorted, known)
+        return self.sorted[low : bisect_left(self.sorted, known + chr(0x10FFFF), low)]
 
     def single(self, token: str) -> list[int]:
         return [self.vocabulary.pieces[token][0]] if token in self.vocabulary.pieces else self.vocabulary.fallback(token)
@@ -130,17 +184,16 @@ class Transducer:
         if last is None:  # a character that only occurs inside pieces
             ids = self.vocabulary.fallback(char)
             last, emitted = char, len(ids)
-            if char not in self.begins:
+            if char not in self.heads:
                 return ("", (None,), (0,)), emitted
-        begin = next((i for i in range(len(text)) if text[i:] in self.begins), len(text))
+        begin = next((i for i in range(len(text)) if text[i:] in self.heads), len(text))
         kept_tokens, kept_counts = [*tokens, last][begin:], [n - emitted for n in [*counts, emitted][begin:]]
-        rest = len(text) - begin
-        for i in range(rest):
+        for i in range(len(kept_tokens)):
             known = text[begin + i :]
-            if i and known not in self.begins:  # no piece that is still open begins here
+            if known and known not in self.heads:  # no piece that is still open begins here
                 kept_tokens[i], kept_counts[i] = "", 0
-            elif not self.crossed(kept_tokens[i], known):
-                kept_tokens[i] = None
+            else:
+                kept_tokens[i] = self.canonical(kept_tokens[i], known)
         return (text[begin:], tuple(kept_tokens), tuple(kept_counts)), emitted
 
     def compile(self, state: int, kind: int) -> None:
