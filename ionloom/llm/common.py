@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +77,28 @@ def sealed(docs: DataFrame) -> DataFrame:
 def unsealed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The `columns` that `sealed` put away, in their order."""
     return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim_caches(owner: str, clear: Callable[[], None]) -> None:
+    """Says in a task which operator uses this Python worker's caches; those of others are emptied.
+
+    Workers are kept from stage to stage, so without this they would hold what every operator of a pipeline remembers.
+    """
+    for other, empty in _CACHES.items():
+        if other != owner:
+            empty()
+    _CACHES[owner] = clear
+
+
+def text_slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `size` bytes of text each; a longer text is a part of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(low, high - low)
+        low = high

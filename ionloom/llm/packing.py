@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,16 +24,21 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import documents, text_or_empty, written
+from ionloom.llm.common import claim_caches, documents, text_or_empty, text_slices, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker keeps; only the memory and speed of the cache depend on it.
-CACHED_WORDS = 700_000
-_MARKS = ".,;:!?*$%&#"
+#: Words of one of the two generations whose ids a worker keeps, some 20 MB; only memory and speed depend on it.
+CACHED_WORDS = 100_000
+#: Bytes of text that are split together.
+SLICE = 4 << 20
+#: A letter, a run of marks after it, and the blank or end behind.
+_MARKED = r"(\pL)([.,;:!?*$%&#]+)( |$)"
+_WORD_END = "</w>"
 #: Pieces of one length that are ranked in one task.
 RANK_ROWS = 500_000
 
@@ -41,55 +47,78 @@ RANK_ROWS = 500_000
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes, word by word; the first CACHED_WORDS words are kept for later texts.
+    """Ids of texts, word by word.
 
     The vocabulary's tokens never cross blanks or line ends and drop them, so the ids of a text are those of
-    its blank-separated words one after the other, and each distinct word is tokenised once per worker.
+    its blank-separated words one after the other. The words of many texts are dictionary-encoded, looked up once each, and
+    put together by position. Words are remembered in two generations of CACHED_WORDS: a full young one becomes
+    the old one, and words met again are taken over from there, so frequent words stay and memory is bounded.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        parts = {word: self._parts(word) for word in {word for words in split for word in words}}
-        here = self.known
-        fresh = list({part for own in parts.values() for part in own} - here.keys())
-        if fresh:
-            made = dict(zip(fresh, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
-            if len(here) < CACHED_WORDS:
-                here.update(made)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the 32-bit ids of all texts, and where each text's begin and end."""
+        # The vocabulary puts all in lower case; doing it first for plain ASCII makes more words alike. Texts that may hold
+        # special strings, which have a case, stay as they are. Marks after a letter have ids of their own.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _MARKED, r"\1 \2\3"), " ")
+        encoded = words.flatten().dictionary_encode()
+        names, at = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        young = self.young
+        self._learn([name for name in names if name not in young])
+        known = [young[name] for name in names]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        count = sizes[at]
+        ends = np.cumsum(count)
+        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - (ends - count), count)]
+        return ids, np.r_[0, ends][words.offsets.to_numpy() - words.offsets[0].as_py()]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Puts the ids of these words into the young generation."""
+        young, old, unknown = self.young, self.old, []
+        for word in fresh:
+            ids = old.get(word)
+            if ids is None:
+                unknown.append(word)
             else:
-                here = _Both(made, here)
-        ids = {word: b"".join([here[part] for part in own]) for word, own in parts.items()}
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """A word without the marks at its end, and these: a run of marks after a letter has ids of its own.
-
-        The vocabulary puts all in lower case; doing it here for plain ASCII makes more words alike.
-        """
-        bare = word.rstrip(_MARKS)
-        if bare.isascii() and "<|" not in bare:
-            bare = bare.lower()
-        if len(bare) < len(word) and bare[-1:].isalpha():
-            return bare, word[len(bare) :]
-        return (bare if len(bare) == len(word) else word,)
-
-
-class _Both(dict):
-    """Some words of its own, and others for the rest."""
-
-    def __init__(self, own: dict, others: dict):
-        super().__init__(own)
-        self.others = others
-
-    def __missing__(self, word: str) -> bytes:
-        return self.others[word]
+                young[word] = ids
+        self._encode(unknown)
+
+    def _encode(self, words: list[str]) -> None:
+        """Tokenises words. Those of letters alone have one token that ends a word, their last, so many go through as one text."""
+        young, plain, others = self.young, [], []
+        for word in words:
+            alike = word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and word.lower().isalpha()))
+            (plain if alike else others).append(word)
+        joined = [plain[low : low + 256] for low in range(0, len(plain), 256)]
+        for own, made in zip(joined, self.tokenizer.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False) if joined else ()):
+            ids = np.array(made.ids, "<u4")
+            borders = np.flatnonzero(self.ends[ids]) + 1
+            if len(borders) != len(own) or borders[-1] != len(ids):
+                others += own
+                continue
+            raw, low = ids.tobytes(), 0
+            for word, high in zip(own, (4 * borders).tolist()):
+                young[word] = raw[low:high]
+                low = high
+        for word, made in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ()):
+            young[word] = np.array(made.ids, "<u4").tobytes()
 
 
 @cache
@@ -110,11 +139,12 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
+        claim_caches("word ids", encoder.clear)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(low, 512), []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.of(part.column(1).to_pylist())):
-                    ids += end
+            for part in text_slices(batch, 1, SLICE):
+                rows, (flat, offsets) = [], encoder.of(part.column(1))
+                for doc_id, low, high in zip(part.column(0).to_pylist(), offsets, offsets[1:]):
+                    ids = flat[low:high].tobytes() + end
                     for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append((doc_id, number, at // 4, len(own) // 4, zlib.crc32(own), own)[: len(fields)])

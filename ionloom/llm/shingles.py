@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker keeps; memory of the cache only.
-CACHED_WORDS = 500_000
+from ionloom.llm.common import claim_caches
+
+#: Words whose hashes a worker keeps, about 15 MB; memory of the cache only.
+CACHED_WORDS = 100_000
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -21,6 +23,11 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def claim_hashes() -> None:
+    """For tasks that hash words: lets go of what other operators remember."""
+    claim_caches("word hashes", _HASHES.clear)
+
+
 def mix(z: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.llm.common import documents, heavy_keys, salted_join, sealed, text_or_empty, written
-from ionloom.llm.shingles import run_hashes, word_hashes
+from ionloom.llm.shingles import claim_hashes, run_hashes, word_hashes
 
 WINDOW = 50
 MINIMISER = 8
@@ -66,6 +66,7 @@ def _doc_runs(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
     """(minimiser, id, row_key, first, windows) of every run; and one row per document with minimiser null for its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_hashes()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)

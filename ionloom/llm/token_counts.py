@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import documents, text_or_empty
+from ionloom.llm.common import claim_caches, documents, text_or_empty, text_slices
 from ionloom.llm.pieces import MARK, Vocabulary, default_model
 
 #: Texts of more tokens than this are marked.
@@ -359,25 +359,15 @@ def counts_of(machine: Transducer, texts: list[str]) -> np.ndarray:
     return out
 
 
-def _slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about `chars` characters each; a longer text is a part of its own."""
-    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
-    low = 0
-    while low < batch.num_rows:
-        done = sizes[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(sizes, done + chars, "right")))
-        yield batch.slice(low, high - low)
-        low = high
-
-
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of `docs`, by the byte-pair model at `path`."""
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_caches("token counts", _COMPILED.clear)
         machine = transducer(path)
         for batch in batches:
-            for part in _slices(batch, 4 * SEGMENT):
+            for part in text_slices(batch, 1, 4 * SEGMENT):
                 texts = part.column(1)
                 tokens = counts_of(machine, texts.to_pylist())
                 size = pc.cast(pc.binary_length(texts), pa.int64())
