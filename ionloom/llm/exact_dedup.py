@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ionloom.llm.common import documents, heavy_keys, salted_join, sealed, text_or_empty, unsealed, written
@@ -245,13 +245,17 @@ def _by_text(docs: DataFrame, rows: DataFrame, alike: DataFrame, clashes: DataFr
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows that an equal text displaces, columns as given; the pipeline's stage."""
+    """`docs` without the rows that an equal text displaces, columns as given; the pipeline's stage.
+
+    One row of each group of equal texts stays, also if several have the same doc_id or none.
+    """
     gone = written(exact_dedup(docs).where("not kept").select("doc_id", F.col("digest").alias("_digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same")), "gone")
     marked = sealed(docs).withColumn("_digest", F.unhex(F.sha2(normalised(), 256)))
     losers = gone.where("not same").select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d")).distinct()
     left = marked.join(losers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_anti")
-    if gone.where("same").head(1):  # whole rows that are repeated, with one doc_id
-        left = left.dropDuplicates(["doc_id", "_digest"])
+    if gone.where("same").head(1):  # several rows of one doc_id: the longest original stays, by a rule that a rerun task repeats
+        first = Window.partitionBy("doc_id", "_digest").orderBy(F.desc(F.char_length(text_or_empty())), F.xxhash64("text"), F.xxhash64("_rest"))
+        left = left.withColumn("_place", F.row_number().over(first)).where("_place = 1")
     return unsealed(left, docs.columns)
 
 

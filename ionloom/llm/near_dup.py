@@ -10,10 +10,12 @@ by how many classes share them, its MATCHES - 1 most frequent pairs can be skipp
 MATCHES pairs agree in one of the others. What is left are short lists, but for the lists of real near copies.
 
 Every list first tests its members against one of them, its hub: the member whose pairs are shared most, which
-is the text that others are copies of. Then only members of a hub that are not yet connected are tested with
-each other, so that a group of near copies costs about as many tests as it has members. That is done block by
-block, and only links leave a task. A candidate must agree in enough coordinates of the whole signature before
-its texts are compared.
+is the text that others are copies of. What these tests link is one component, and members of one component need no test
+with each other. Only around hubs whose members are in several components the test goes on: every member outside the
+largest of these components meets all members of others. A hub's members are dealt over blocks of BLOCK, and a member
+outside the largest component visits each block, so a group of near copies costs about as many rows as it has members. A
+candidate must agree in enough coordinates of the whole signature before its texts are compared; members with such a
+candidate are compared once more with their texts, and only links leave a task.
 
 Null and empty texts have no shingles and are linked with nothing. Rows with a null doc_id take part; they
 never name a component that has another doc_id. An empty table gives no rows; columns other than doc_id and
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import documents, sealed, text_or_empty, unsealed, written
-from ionloom.llm.shingles import min_hashes, permutations, shingle_set
+from ionloom.llm.common import documents, heavy_keys, salted_join, sealed, text_or_empty, unsealed, written
+from ionloom.llm.shingles import claim_hashes, min_hashes, permutations, shingle_set
 from ionloom.operators.components import connected_components
 
 COORDINATES = 40
@@ -41,8 +44,8 @@ MATCHES = 15
 SIGNATURE = 128
 #: Of the whole signature, at a similarity of 0.8 fewer agree with a probability below 1e-8.
 AGREEING = 74
-#: Members of a hub that are compared in one block.
-BLOCK = 256
+#: Members of a hub that a task holds to compare others with them: by signatures, and by texts.
+BLOCK, TEXT_BLOCK = 4096, 512
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -50,6 +53,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     factors, offsets = permutations(SIGNATURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_hashes()
         for batch in batches:
             sizes, keys, sigs = [], [], []
             for text in batch.column(2):
@@ -89,20 +93,30 @@ def _tokens(classes: DataFrame) -> DataFrame:
 def postings(classes: DataFrame) -> DataFrame:
     """(token, cid, score) of the pairs that are not skipped; the score of a class is how often others share its pairs."""
     tokens = _tokens(classes)
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    common = tokens.join(shared.hint("shuffle_hash"), "token")
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-tokens")
+    heavy = heavy_keys(shared, "token", COORDINATES * classes.count())
+    common = salted_join(tokens, shared, "token", "inner", heavy, F.xxhash64("cid"))
     own = F.sort_array(F.collect_list(F.struct("n", "token")), asc=False)  # COORDINATES at most
     kept = common.groupBy("cid").agg(F.slice(own, MATCHES, COORDINATES).alias("own"), F.sum("n").alias("score")).where(F.size("own") > 0)
     return kept.select("cid", "score", F.explode("own.token").alias("token"))
 
 
-def _agree(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Which pairs of signatures agree in enough coordinates."""
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    cut = 4 * COORDINATES
-    head = (np.ascontiguousarray(x[:, :cut]).view(np.uint32) == np.ascontiguousarray(y[:, :cut]).view(np.uint32)).sum(1)
-    tail = (x[:, cut:] == y[:, cut:]).sum(1)
-    return (head >= MATCHES) & (head + tail >= AGREEING)
+class Signatures:
+    """Signatures and set sizes of some classes, to find those that may be similar to one."""
+
+    def __init__(self, sigs: list[bytes], sizes: list[int], similarity: float):
+        whole = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+        cut = 4 * COORDINATES
+        self.head, self.tail = np.ascontiguousarray(whole[:, :cut]).view(np.uint32), np.ascontiguousarray(whole[:, cut:])
+        self.sizes, self.similarity = np.array(sizes, np.int64), similarity
+
+    def like(self, head: np.ndarray, tail: np.ndarray, size: int, among: np.ndarray) -> np.ndarray:
+        """Those of `among` whose sizes and signatures allow the similarity with the given ones."""
+        sizes = self.sizes[among]
+        among = among[np.minimum(sizes, size) >= self.similarity * np.maximum(sizes, size) - 1e-9]
+        agreeing = (self.head[among] == head).sum(1)
+        among, agreeing = among[agreeing >= MATCHES], agreeing[agreeing >= MATCHES]
+        return among[agreeing + (self.tail[among] == tail).sum(1) >= AGREEING]
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -110,6 +124,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_hashes()
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
 
         def shingles(cid: int, text: str) -> np.ndarray:
@@ -127,153 +142,207 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = {x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}")).hint("shuffle_hash") for x in "ab"}
-    both = pairs.join(side["b"], "b").join(side["a"], "a")
+    side = {x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"}
+    sizes = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "pairs-of-hubs")
+    both = salted_join(pairs, side["b"], "b", "inner", heavy_keys(sizes, "b", pairs.count()), F.xxhash64("a")).join(side["a"].hint("shuffle_hash"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(members: DataFrame, classes: DataFrame, similarity: float, texts: DataFrame | None = None, words: int = 0) -> DataFrame:
-    """(hub, i, j, a, b): classes around a hub whose set sizes and signatures allow the similarity, compared block by block.
+def candidates(classes: DataFrame, lists: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(hub, cid): the members of each hub; (a, b): members whose size and signature allow the similarity with their hub b.
 
-    `members` (hub, n, cid, comp): everything that shares a list with the hub, n of them. Every pair of blocks
-    of a hub is compared in one task and read as a stream, whatever the number of hubs. Without `texts`: the pairs with
-    the hub, and for every member that passes with any other one row with itself. With `texts`: links between
-    different components, confirmed on the full sets, as many as connect what is linked in the blocks. Either way
-    no more rows than members.
+    The hub of a list is its member with the highest score: of a text and its near copies, the text.
     """
-    percent = round(similarity * 100)
+    total = lists.count()
+    top = F.max(F.struct("score", F.xxhash64("cid").alias("h"), "cid")).alias("hub")
+    hubs = written(lists.groupBy("token").agg(top, F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "n", F.col("hub.cid").alias("hub")), "hubs")
+    stars = salted_join(lists, hubs.select("token", "hub"), "token", "inner", heavy_keys(hubs, "token", total), F.xxhash64("cid"))
+    stars = written(stars.select("hub", "cid").distinct(), "stars")
+    sizes = written(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "star-sizes")
+    side = classes.select(F.col("cid").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sig").alias("hub_sig"))
+    both = salted_join(stars.where("hub <> cid"), side, "hub", "inner", heavy_keys(sizes, "hub", total), F.xxhash64("cid"))
+    both = both.join(classes.select("cid", "n_shingles", "sig").hint("shuffle_hash"), "cid")
 
-    def settle(key: tuple, cids, comps, sizes, blocks, sigs, held=()) -> list[tuple]:
-        out, partnered, sets = [], set(), {}
-        cids, comps, sizes, blocks = (np.array(x) for x in (cids, comps, sizes, blocks))
-        parent = {c: c for c in comps.tolist()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, hub = (Signatures(batch.column(f"{x}sig").to_pylist(), batch.column(f"{x}n" if x else "n_shingles").to_pylist(), similarity) for x in ("", "hub_"))
+                agreeing = (own.head == hub.head).sum(1)
+                good = (agreeing >= MATCHES) & (agreeing + (own.tail == hub.tail).sum(1) >= AGREEING)
+                good &= np.minimum(own.sizes, hub.sizes) >= similarity * np.maximum(own.sizes, hub.sizes) - 1e-9
+                yield batch.select(["cid", "hub"]).rename_columns(["a", "b"]).filter(pa.array(good))
 
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
+    tested = both.select("cid", "hub", "n_shingles", "sig", "hub_n", "hub_sig").mapInArrow(run, "a long, b long")
+    return stars, written(tested, "candidates")
 
-        def shingles(at: int) -> np.ndarray:
-            if at not in sets:
-                sets[at] = shingle_set(held[at], words)
-            return sets[at]
-
-        right = np.flatnonzero(blocks == key[2])
-        for at in np.flatnonzero(blocks == key[1]).tolist():
-            if held and cids[at] == key[0]:  # the hub has been tested with all of them
-                continue
-            near = right[(comps[right] != comps[at]) & (cids[right] != key[0])] if held else right
-            if key[1] == key[2]:
-                near = near[cids[near] > cids[at]]
-            near = near[np.minimum(sizes[near], sizes[at]) >= similarity * np.maximum(sizes[near], sizes[at]) - 1e-9]
-            if not len(near):
-                continue
-            near = near[_agree([sigs[at]] * len(near), [sigs[i] for i in near])].tolist()
-            a = int(cids[at])
-            for other in near if held else ():
-                own, theirs = root(int(comps[at])), root(int(comps[other]))
-                if own != theirs:
-                    x, y = shingles(at), shingles(other)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        parent[own] = theirs
-                        out.append((*key, a, int(cids[other])))
-            if not held:
-                passed = cids[near].tolist()
-                partnered.update(passed, [a] if passed else [])
-                out += [(*key, b if a == key[0] else a, key[0]) for b in passed if key[0] in (a, b)]
-        return out + [(*key, c, c) for c in partnered]
+
+def _unsettled(stars: DataFrame, parts: DataFrame) -> DataFrame:
+    """(hub, n, cid, comp, minor): members of hubs that have several components; not those that are their hub.
+
+    All pairs with a hub are tested, so a hub meets nobody again. `minor`: outside the largest component of the hub's members.
+    """
+    members = stars.where("hub <> cid").join(parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
+    members = written(members.select("hub", "cid", F.coalesce("component", "cid").alias("comp")), "members")
+    counts = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n"))
+    by_hub = counts.groupBy("hub").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most"))
+    mixed = written(by_hub.where("comps > 1").select("hub", "n", F.col("most.comp").alias("largest")), "mixed")
+    around = salted_join(members, mixed, "hub", "inner", heavy_keys(mixed, "hub", members.count()), F.xxhash64("cid"))
+    return around.select("hub", "n", "cid", "comp", (F.col("comp") != F.col("largest")).alias("minor"))
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """(hub, block, visits, cid, comp): every member in its block, and the minor ones as visitors in each block of their hub."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    home = F.struct(F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), F.lit(False).alias("visits"))
+    visits = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("visits")))
+    places = F.explode(F.when(F.col("minor"), F.concat(F.array(home), visits)).otherwise(F.array(home))).alias("p")
+    return members.select("hub", "cid", "comp", places).select("hub", "p.block", "p.visits", "cid", "comp")
+
+
+def _partnered(members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(hub, cid): the members that have a candidate in another component, found block by block; no more rows than were dealt."""
+
+    def settle(hub: int, home: list[tuple], visitors: Iterator[tuple]) -> Iterator[tuple]:
+        cids, comps, sizes, sigs = zip(*home)
+        own, comps, seen = Signatures(sigs, sizes, similarity), np.array(comps), np.zeros(len(cids), bool)
+        for cid, comp, size, sig in visitors:
+            one = Signatures([sig], [size], similarity)
+            near = own.like(one.head[0], one.tail[0], size, np.flatnonzero(comps != comp))
+            if len(near):
+                seen[near] = True
+                yield hub, cid
+        for at in np.flatnonzero(seen).tolist():
+            yield hub, cids[at]
+
+    dealt = _dealt(members, BLOCK).join(classes.select("cid", "n_shingles", "sig").hint("shuffle_hash"), "cid")
+    dealt = dealt.select("hub", "block", "visits", "cid", "comp", "n_shingles", "sig").repartition("hub", "block").sortWithinPartitions("hub", "block", "visits")
+    return dealt.mapInArrow(_by_block(settle, ["hub", "cid"]), "hub long, cid long").distinct()
+
+
+def _by_block(settle, names: list[str]):
+    """A task that reads sorted rows (hub, block, visits, ...): it holds the home rows of a block while the visitors pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hub", "i", "j", "a", "b"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        key, rows = None, []
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    out += settle(key, *zip(*rows)) if len(rows) > 1 else []
-                    key, rows = row[:3], []
-                rows.append(row[3:])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
-        out = settle(key, *zip(*rows)) if len(rows) > 1 else []
+        claim_hashes()
+        rows = (row for batch in batches for low in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns)))
+        out = []
+        for (hub, _), block in groupby(rows, lambda r: r[:2]):
+            home = []
+            for row in block:
+                if row[2]:
+                    if home:
+                        out += settle(hub, home, (r[3:] for r in chain([row], block)))
+                    break
+                home.append(row[3:])
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
+                out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
-    dealt = placed.select("hub", "cid", "comp", "block", F.explode(sides).alias("p"))
-    dealt = dealt.join(classes.select("cid", "n_shingles", "sig").hint("shuffle_hash"), "cid")
-    columns = ["hub", "p.i", "p.j", "cid", "comp", "n_shingles", "block", "sig"]
-    if texts is not None:
-        dealt, columns = dealt.join(texts.hint("shuffle_hash"), "cid"), [*columns, "text"]
-    dealt = dealt.select(*columns)
-    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "hub long, i int, j int, a long, b long")
+    return run
 
 
-def candidates(classes: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
-    """(hub, a, b) written: the members of each hub that pass with any other, and as b the hub itself where they pass with it.
+def _linked(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between different components, confirmed on the full sets, as many as connect what is linked in a block."""
+    percent = round(similarity * 100)
 
-    The hub of a list is its member with the highest score: of a text and its near copies, the text.
-    """
-    top = F.max(F.struct("score", F.xxhash64("cid").alias("h"), "cid")).alias("hub")
-    hubs = lists.groupBy("token").agg(top, F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.col("hub.cid").alias("hub"))
-    stars = written(lists.join(hubs.hint("shuffle_hash"), "token").select("hub", "cid").distinct(), "stars")
-    sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    around = stars.join(sizes.hint("shuffle_hash"), "hub").withColumn("comp", F.col("cid"))
-    return written(_in_blocks(around, classes, similarity).select("hub", "a", "b").distinct(), "candidates")
+    def settle(hub: int, home: list[tuple], visitors: Iterator[tuple]) -> Iterator[tuple]:
+        cids, comps, sizes, sigs, held = zip(*home)
+        own, comps, sets = Signatures(sigs, sizes, similarity), np.array(comps), {}
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
+        for cid, comp, size, sig, text in visitors:
+            one, mine = Signatures([sig], [size], similarity), None
+            for at in own.like(one.head[0], one.tail[0], size, np.flatnonzero(comps != comp)).tolist():
+                a, b = root(comp), root(int(comps[at]))
+                if a == b:
+                    continue
+                mine = shingle_set(text, words) if mine is None else mine
+                if at not in sets:
+                    sets[at] = shingle_set(held[at], words)
+                common = len(np.intersect1d(mine, sets[at], assume_unique=True))
+                if 100 * common >= percent * (len(mine) + len(sets[at]) - common):
+                    parent[a] = b
+                    yield cid, cids[at]
+
+    dealt = _dealt(members, TEXT_BLOCK).join(classes.select("cid", "n_shingles", "sig").hint("shuffle_hash"), "cid").join(texts.hint("shuffle_hash"), "cid")
+    dealt = dealt.select("hub", "block", "visits", "cid", "comp", "n_shingles", "sig", "text").repartition("hub", "block").sortWithinPartitions("hub", "block", "visits")
+    return dealt.mapInArrow(_by_block(settle, ["a", "b"]), "a long, b long")
+
+
+def _texts(docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
+    """(cid, text) written, for the classes of `cids`."""
+    needed = classes.join(cids.distinct().hint("shuffle_hash"), "cid", "left_semi").select("cid", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+    whole = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("row_key"), "text")
+    same = whole["doc_id"].eqNullSafe(F.col("_id")) & (whole["row_key"] == F.col("_key"))
+    # A repeated row gives its class the same text twice, which only repeats a test.
+    return written(whole.join(needed.hint("shuffle_hash"), same).select("cid", "text"), "texts")
 
 
-def links(classes: DataFrame, found: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, stars: DataFrame, tested: DataFrame, words: int, similarity: float) -> DataFrame:
     """(cid, component) of classes linked with others: first by tests against hubs, then between what these left apart."""
-    tested = found.where("a <> b").select("a", "b").distinct()
+    texts = _texts(docs, classes, tested.select(F.explode(F.array("a", "b")).alias("cid")))
     first = written(_confirmed(tested, texts, words, similarity), "links")
     parts = connected_components(first, "a", "b")
-
-    members = found.where("a = b").select("hub", F.col("a").alias("cid"))
-    members = members.join(parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
-    members = written(members.select("hub", "cid", F.coalesce("component", "cid").alias("comp")), "members")
-    # Two members are settled only if one is the hub, which passed with the other and was tested with it.
-    held = F.max(F.col("cid") == F.col("hub")).alias("held")
-    mixed = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), held)
-    mixed = mixed.where("lo < hi and (n > 2 or not held)")
-    around = members.join(mixed.select("hub", "n").hint("shuffle_hash"), "hub")
-    more = written(_in_blocks(around, classes, similarity, texts, words).select("a", "b"), "more-links")
+    apart = written(_unsettled(stars, parts), "apart")
+    found = _partnered(apart, classes, similarity)
+    left = written(apart.join(found, ["hub", "cid"], "left_semi"), "partnered")
+    # Among those left the largest component is another one, and the blocks are fewer.
+    sizes = left.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("m"))
+    most = sizes.groupBy("hub").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("most")).select("hub", "n", F.col("most.comp").alias("largest"))
+    left = left.select("hub", "cid", "comp").join(most.hint("shuffle_hash"), "hub").select("hub", "n", "cid", "comp", (F.col("comp") != F.col("largest")).alias("minor"))
+    more = written(_linked(left, classes, _texts(docs, classes, left.select("cid")), words, similarity), "more-links")
     return connected_components(first.unionByName(more), "a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, row_key, n_shingles, component_id, kept), one row per row of `docs`."""
+def _labelled(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, row_key, n_shingles, component, component_id, best): component is null for a text without words.
+
+    `best` is the row of the component that stays: the smallest (doc_id is null, doc_id, row_key).
+    """
     rows = written(signatures(docs, words), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key", "n_shingles", "sig"))
     classes = rows.where("set_key is not null").groupBy("set_key").agg(best.alias("best"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "set_key", "best.doc_id", "best.row_key", "best.n_shingles", "best.sig"), "classes")
-    found = candidates(classes, written(postings(classes), "postings"), similarity)
-    needed = found.select(F.col("a").alias("cid")).distinct()
-    needed = classes.join(needed.hint("shuffle_hash"), "cid", "left_semi").select("cid", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-    whole = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("row_key"), "text")
-    same = whole["doc_id"].eqNullSafe(F.col("_id")) & (whole["row_key"] == F.col("_key"))
-    # A repeated row gives its class the same text twice, which only repeats a test.
-    texts = written(whole.join(needed.hint("shuffle_hash"), same).select("cid", "text"), "texts")
-    linked = links(classes, found, texts, words, similarity)
+    stars, tested = candidates(classes, written(postings(classes), "postings"), similarity)
+    linked = links(docs, classes, stars, tested, words, similarity)
 
-    parts = classes.select("cid", "set_key", "doc_id").join(linked.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
+    parts = classes.select("cid", "set_key", "doc_id", "row_key").join(linked.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
     parts = parts.withColumn("component", F.coalesce("component", "cid"))
-    names = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = parts.join(names.hint("shuffle_hash"), "component").select("set_key", "component_id")
-    out = rows.select("doc_id", "row_key", "n_shingles", "set_key").join(labels.hint("shuffle_hash"), "set_key", "left")
-    name = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "row_key", "n_shingles", name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
+    names = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"), first)
+    labels = parts.join(names.hint("shuffle_hash"), "component").select("set_key", "component", "component_id", "best")
+    return rows.select("doc_id", "row_key", "n_shingles", "set_key").join(labels.hint("shuffle_hash"), "set_key", "left").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, row_key, n_shingles, component_id, kept), one row per row of `docs`."""
+    found = _labelled(docs, words, similarity)
+    name = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", "row_key", "n_shingles", name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
 
 
 def near_dedup_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`docs` with one document of each component, columns as given; the pipeline's stage."""
-    losers = written(near_duplicates(docs, words, similarity).where("not kept").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct(), "losers")
+    """`docs` with one document of each component, columns as given; the pipeline's stage.
+
+    One row stays, the smallest by doc_id (null last) and then by a hash of the text and of its other columns, also if all rows
+    of a component have no doc_id or several have its smallest one. Texts without words are linked with nothing and all stay.
+    """
+    found = _labelled(docs, words, similarity).where("component is not null")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
+    losers = written(found.where(~stays).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct(), "losers")
     marked = sealed(docs).withColumn("_row", F.xxhash64(text_or_empty()))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
-    return unsealed(marked.join(losers.hint("shuffle_hash"), same, "left_anti"), docs.columns)
+    left = marked.join(losers.hint("shuffle_hash"), same, "left_anti")
+    copies = Window.partitionBy("doc_id", "_row").orderBy(F.xxhash64("_rest"))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return unsealed(left.withColumn("_place", F.row_number().over(copies)).where((F.col("_place") == 1) | wordless), docs.columns)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,7 @@ def test_near_duplicates(docs, words):
 def test_near_duplicates_in_crowds(spark, monkeypatch):
     """Hundreds of near copies around several texts, chains at the threshold, compared in small blocks."""
     monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "TEXT_BLOCK", 3)
     draw, rows = random.Random(5), []
     for base in range(4):
         words = _words(60, 100 + base)
@@ -161,10 +162,28 @@ def test_near_dedup_stage(docs, empty):
     assert kept.columns == docs.columns
     want = {repr(c) for d, n, c in _components(_rows(), 5) if n}
     got = [r for r in kept.collect() if shingle_set(r.text, 5).size]
-    assert {repr(r.doc_id) for r in got} == want
+    assert {repr(r.doc_id) for r in got} == want and len(got) == len(want)
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_dedup_stages_leave_one_row_of_null_and_repeated_ids(spark):
+    """Components whose rows have no id, or share the smallest one; equal texts of one id that differ in white space."""
+    base = _words(60, 77)
+    near = [" ".join([*base[:-1], w]) for w in ("x", "y", "z")]
+    rows = [(None, near[0], "en", "a", 1), (None, near[1], "en", "b", 1), (None, near[1], "en", "c", 1)]
+    other = _words(60, 78)
+    rows += [(5, " ".join([*other[:-1], "x"]), "en", "a", 1), (5, " ".join([*other[:-1], "y"]), "en", "a", 1), (9, " ".join(other), "en", "a", 1)]
+    rows += [(7, None, "en", "a", 1), (7, "", "en", "a", 1), (8, " ", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    left = near_dup.near_dedup_documents(docs).collect()
+    assert sorted(repr(r.doc_id) for r in left) == sorted(map(repr, [None, 5, 7, 7, 8]))
+    again = near_dup.near_dedup_documents(docs.repartition(2)).collect()
+    assert sorted(map(repr, left)) == sorted(map(repr, again))
+    spaced = spark.createDataFrame([(3, "a b", "en", "s", 1), (3, "a  b ", "en", "t", 1), (3, "a  b ", "en", "u", 1), (4, "ab", "en", "s", 1), (None, "c", "en", "s", 1), (None, "c ", "en", "s", 1)], DOCS)
+    kept = exact_dedup.dedup_documents(spaced).collect()
+    assert sorted(repr((r.doc_id, r.text)) for r in kept) == ["(3, 'a  b ')", "(None, 'c ')"]
+
+
 def test_shingles():
     assert len(shingle_set("a b a b a", 2)) == 2
     assert len(shingle_set("one", 2)) == 1 and len(shingle_set(" \n", 2)) == 0 and len(shingle_set(None, 2)) == 0
