@@ -12,9 +12,10 @@ the matches (edges) grouped by unit. A fold with Spark's `aggregate` then picks
 
 Characters without a piece become the pieces of their bytes.
 
-The DICTIONARY most frequent units are encoded this way and sent to all tasks, a table of bounded size. Rarer
-units are encoded where they occur by the same rule; joining every occurrence of a word back to its text would
-shuffle one row per word of the corpus, several times the text.
+The most frequent units, DICTIONARY at most and of LATTICE_CHARS at most, are encoded this way and sent to all tasks, a
+table of bounded size. Rarer units are encoded where they occur by the same rule; joining every occurrence of a word back to its
+text would shuffle one row per word of the corpus, several times the text. In the tasks the units of many texts are
+dictionary-encoded, looked up once each, and put together by position; decoding gathers the bytes of the pieces.
 
 A null text counts as empty and has no ids. Repeated rows are encoded alike. An empty table gives no rows;
 columns other than doc_id and text are not looked at.
@@ -27,19 +28,24 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import documents, text_or_empty, written
+from ionloom.llm.common import claim_caches, documents, text_or_empty, text_slices, written
 
 #: Units that the lattice encodes for all texts.
 DICTIONARY = 100_000
 #: Units longer than this are left to the tasks; no lattice is made of them.
 LATTICE_CHARS = 48
+#: Units of one of the two generations that a worker remembers, and bytes of text that are split together.
+RECENT, SLICE = 100_000, 4 << 20
 MARK = "▁"
+_CUT = "\x01"
 _RUNS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -51,6 +57,7 @@ class Vocabulary:
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.longest = max(map(len, pieces), default=1)
         self.marks_cut = not any(pair[1] == MARK and pair[0] != MARK for pair in self.pairs)
+        self.lines_cut = not any("\n" in piece for piece in pieces)
         self.names = {number: piece for piece, (number, _) in pieces.items()}
         self.bytes = {number: value for value, number in enumerate(byte_ids)}
 
@@ -86,7 +93,7 @@ class Vocabulary:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
     def merge(self, unit: str) -> list[int]:
-        """The ids of a unit by merging, with a queue: for units of any length."""
+        """The ids of a unit by merging with a queue: the best pair first, the leftmost of equal ones."""
         symbols: list[str | None] = list(unit)
         after, before = list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
         queue: list[tuple[float, int, str]] = []
@@ -117,6 +124,65 @@ class Vocabulary:
                 ids += [self.pieces[s][0]] if s in self.pieces else self.fallback(s)
         return ids
 
+    @cached_property
+    def joins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, joined, scores), by pair: two pieces as left * 2**32 + right, the piece they make, and its score."""
+        found = {}
+        for piece, (number, score) in self.pieces.items():
+            for at in range(1, len(piece)):
+                if piece[:at] in self.pieces and piece[at:] in self.pieces:
+                    found[self.pieces[piece[:at]][0] << 32 | self.pieces[piece[at:]][0]] = number, score
+        pairs = np.array(sorted(found), np.int64)
+        return pairs, np.array([found[p][0] for p in pairs.tolist()], np.int64), np.array([found[p][1] for p in pairs.tolist()])
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each pair, minus infinity for none, and the piece it makes."""
+        pairs, joined, scores = self.joins
+        keys = left << 32 | np.maximum(right, 0)
+        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        good = (pairs[at] == keys) & (left >= 0) & (right >= 0)
+        return np.where(good, scores[at], -np.inf), joined[at]
+
+    def merge_many(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit as 32-bit bytes: units of like length are merged side by side, each its best pair a round."""
+        out: list[bytes] = [b""] * len(units)
+        letters = {c: self.pieces[c][0] if c in self.pieces else -1 for c in set("".join(units))}
+        plain = [i for i, unit in enumerate(units) if len(unit) <= 24 and -1 not in map(letters.__getitem__, unit)] if len(self.joins[0]) else []
+        for i in sorted(set(range(len(units))) - set(plain)):
+            out[i] = np.array(self.merge(units[i]), np.int32).tobytes()
+        plain.sort(key=lambda i: len(units[i]))
+        for low in range(0, len(plain), 8192):
+            own = plain[low : low + 8192]
+            sizes = np.fromiter((len(units[i]) for i in own), np.int64, len(own))
+            width = int(sizes[-1]) + 1  # the last column stays empty
+            symbols = np.full((len(own), width), -1, np.int64)
+            symbols[np.arange(width) < sizes[:, None]] = [letters[c] for i in own for c in units[i]]
+            scores, pieces = self._joined(symbols[:, :-1], symbols[:, 1:])
+            live = np.arange(len(own))
+            columns = np.arange(width)
+            while len(live):
+                best = scores[live].argmax(1)
+                some = scores[live, best] > -np.inf
+                live, best = live[some], best[some]
+                if not len(live):
+                    break
+                after = columns + (columns > best[:, None])
+                moved = np.take_along_axis(np.pad(symbols[live], ((0, 0), (0, 1)), constant_values=-1), after, 1)
+                moved[np.arange(len(live)), best] = pieces[live, best]
+                symbols[live] = moved
+                inner = (columns + (columns >= best[:, None]))[:, : width - 1]
+                scores[live] = np.take_along_axis(np.pad(scores[live], ((0, 0), (0, 1)), constant_values=-np.inf), inner, 1)
+                pieces[live] = np.take_along_axis(np.pad(pieces[live], ((0, 0), (0, 1))), inner, 1)
+                for at in (best - 1, best):
+                    there = np.flatnonzero((at >= 0) & (at < width - 1))
+                    rows, at = live[there], at[there]
+                    scores[rows, at], pieces[rows, at] = self._joined(symbols[rows, at], symbols[rows, at + 1])
+            kept = symbols >= 0
+            raw, ends = symbols[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+            for i, a, b in zip(own, [0, *ends], ends):
+                out[i] = raw[a:b]
+        return out
+
     def decode(self, ids: list[int]) -> str:
         out = bytearray()
         for number in ids:
@@ -127,11 +193,96 @@ class Vocabulary:
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text.removeprefix(" ")
 
+    def piece_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, first, size): what each id stands for in UTF-8, marks as blanks; ids of no piece stand for nothing."""
+        size = max([*self.names, *self.bytes], default=0) + 1
+        parts = [b""] * size
+        for number, piece in self.names.items():
+            parts[number] = piece.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        for number, value in self.bytes.items():
+            parts[number] = bytes([value])
+        sizes = np.fromiter(map(len, parts), np.int64, size)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score); its size is that of the vocabulary."""
         return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in self.pieces.items()], "piece string, id int, score double")
 
 
+def split_units(texts: pa.Array, lines: bool) -> pa.ListArray:
+    """For each text its units with blanks for marks, and empty ones between; no text may hold _CUT.
+
+    With `lines`, for a vocabulary without pieces that hold line ends, units are cut around these too.
+    """
+    marked = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", " "), pc.replace_substring(texts, MARK, " "), "")
+    if lines:
+        marked = pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}")
+    return pc.split_pattern(pc.replace_substring_regex(marked, "( +)", _CUT + r"\1"), _CUT)
+
+
+def gathered(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The parts of `pool` that begin at `first` and have `count` entries, one after the other."""
+    ends = np.cumsum(count)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)]
+
+
+class UnitIds:
+    """Ids of texts unit by unit: from a given dictionary, from two generations of remembered units, or by merging."""
+
+    def __init__(self, vocabulary: Vocabulary, dictionary: dict[str, bytes]):
+        self.vocabulary, self.dictionary = vocabulary, dictionary
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, units: list[str]) -> None:
+        """Puts the ids of these units, with blanks for marks, into the young generation."""
+        young, pairs, plan, open_ = self.young, self.vocabulary.pairs, [], {}
+
+        def known(unit: str) -> bool:
+            if unit in young or unit in open_:
+                return True
+            found = self.dictionary.get(unit.replace(" ", MARK)) or self.old.get(unit)
+            if found:
+                young[unit] = found
+            return bool(found)
+
+        for unit in units:
+            if not unit or known(unit):
+                continue
+            marked, end = unit.replace(" ", MARK), len(unit)
+            while end > 1 and marked[end - 2 : end] not in pairs:
+                end -= 1  # no piece spans the characters at the end: words with and without a comma share their ids
+            parts = [unit[:end], *unit[end:]] if end < len(unit) else [unit]
+            open_.update(dict.fromkeys(part for part in parts if not known(part)))
+            if len(parts) > 1:
+                plan.append((unit, parts))
+        for unit, ids in zip(open_, self.vocabulary.merge_many([unit.replace(" ", MARK) for unit in open_])):
+            young[unit] = ids
+        for unit, parts in plan:
+            young[unit] = b"".join([young[part] for part in parts])
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all texts, and where each text's begin and end."""
+        if len(self.young) > RECENT:
+            self.young, self.old = {}, self.young
+        if not self.vocabulary.marks_cut or pc.any(pc.match_substring(texts, _CUT)).as_py():
+            split = [[u.replace(MARK, " ") for u in self.vocabulary.units(t)] for t in texts.to_pylist()]
+            self.learn(list({u for units in split for u in units}))
+            own = [b"".join([self.young[u] for u in units]) for units in split]
+            return np.frombuffer(b"".join(own), np.int32), np.r_[0, np.cumsum([len(x) // 4 for x in own])]
+        units = split_units(texts, self.vocabulary.lines_cut)
+        encoded = units.flatten().dictionary_encode()
+        names, at = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+        self.learn(names)
+        known = [self.young[unit] if unit else b"" for unit in names]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = gathered(np.frombuffer(b"".join(known), np.int32), (np.cumsum(sizes) - sizes)[at], sizes[at])
+        return ids, np.r_[0, np.cumsum(sizes[at])][units.offsets.to_numpy() - units.offsets[0].as_py()]
+
+
 # --- the lattice ------------------------------------------------------------------------------------
 
 
@@ -199,15 +350,23 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             pieces: Counter = Counter()
             for unit, times in counts.items():
-                for piece in vocabulary.cut(unit):
+                for piece in vocabulary.cut(unit.replace(" ", MARK)):
                     if len(piece) <= LATTICE_CHARS:
                         pieces[piece] += times
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], ["unit", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(vocabulary.units(text.as_py()))
+            for part in text_slices(batch, 0, SLICE):
+                texts = part.column(0)
+                if not vocabulary.marks_cut or pc.any(pc.match_substring(texts, _CUT)).as_py():
+                    counts.update(u for t in texts.to_pylist() for u in vocabulary.units(t))
+                else:
+                    encoded = split_units(texts, vocabulary.lines_cut).flatten().dictionary_encode()
+                    times = np.bincount(encoded.indices.to_numpy(), minlength=len(encoded.dictionary))
+                    for unit, n in zip(encoded.dictionary.to_pylist(), times.tolist()):
+                        if unit:
+                            counts[unit] += n
                 if len(counts) > 300_000:
                     yield flush()
         if counts:
@@ -217,16 +376,27 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
     return parts.groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY) -> dict[str, list[int]]:
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The units more frequent than a limit that leaves no more than `size` of them; no task sorts them."""
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    left, least = size, None
+    for step_, n in sorted(counts.groupBy(step).count().collect(), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, step_
+    return counts.where(F.floor(F.log2("n") * 16).cast("int") >= least).select("unit") if least is not None else counts.limit(0).select("unit")
+
+
+def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY) -> dict[str, bytes]:
     """The ids of the most frequent units, from the lattice."""
     vocabulary = Vocabulary.load(path)
-    top = unit_counts(docs, path).orderBy(F.desc("n"), "unit").limit(size).select("unit")
+    top = most_frequent(written(unit_counts(docs, path), "unit-counts"), size)
     known = {}
     for row in encode_units(written(top.repartition("unit"), "units"), vocabulary).collect():
         ids: list[int] = []
         for span, number in zip(row["spans"], row["ids"]):
             ids += [number] if number >= 0 else vocabulary.fallback(row["unit"][span["s"] : span["e"]])
-        known[row["unit"]] = ids
+        known[row["unit"]] = np.array(ids, np.int32).tobytes()
     return known
 
 
@@ -236,38 +406,45 @@ def encode(docs: DataFrame, path: str | None = None, size: int = DICTIONARY) ->
     known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, path, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, ids_of, recent = Vocabulary.load(path), known.value, {}
+        encoder = UnitIds(Vocabulary.load(path), known.value)
+        claim_caches("pieces", encoder.clear)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part, out = batch.slice(low, 256), []
-                for text in part.column(1):
-                    ids: list[int] = []
-                    for unit in vocabulary.units(text.as_py()):
-                        own = ids_of.get(unit) or recent.get(unit)
-                        if own is None:
-                            own = []
-                            for piece in vocabulary.cut(unit):
-                                own += ids_of.get(piece) or vocabulary.merge(piece)
-                            if len(recent) >= 100_000:
-                                recent.clear()
-                            recent[unit] = own
-                        ids += own
-                    out.append(ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for part in text_slices(batch, 1, SLICE):
+                ids, offsets = encoder.of(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+class Decoder:
+    """Texts of ids."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.pool, self.first, self.sizes = vocabulary.piece_bytes()
+
+    def of(self, lists: pa.ListArray) -> Iterator[bytes]:
+        """The UTF-8 of each text; bytes that are none become replacement characters."""
+        ids = lists.flatten().to_numpy()
+        ids = np.where((ids >= 0) & (ids < len(self.sizes)), ids, 0)
+        raw = gathered(self.pool, self.first[ids], self.sizes[ids]).tobytes()
+        ends = np.r_[0, np.cumsum(self.sizes[ids])][lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        for low, high in zip(ends, ends[1:]):
+            own = raw[low:high]
+            yield own.decode("utf-8", "replace").encode("utf-8").removeprefix(b" ")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.load(path)
+        decoder = Decoder(Vocabulary.load(path))
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vocabulary.decode(x.as_py()) for x in part.column(1)], pa.string())], ["doc_id", "text"])
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.decode() for x in decoder.of(part.column(1))], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -284,10 +461,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.load(path)
+        decoder = Decoder(Vocabulary.load(path))
         for batch in batches:
-            ids = batch.column(1)
-            digests = [hashlib.sha256(vocabulary.decode(x.as_py()).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), ids, pa.array(digests)], ["doc_id", "n_ids", "ids", "decoded_sha256"])
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                ids = part.column(1)
+                digests = [hashlib.sha256(x).hexdigest() for x in decoder.of(ids)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), ids, pa.array(digests, pa.string())], ["doc_id", "n_ids", "ids", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string")
