@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
-    """(token, cid): the coordinate-value pairs of each class as 64-bit numbers."""
+    """(token, cid, size): the coordinate-value pairs of each class as 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = (np.arange(COORDINATES, dtype=np.int64) + 1) << 32
@@ -85,20 +85,21 @@ def _tokens(classes: DataFrame) -> DataFrame:
                 sigs = batch.column(1).to_pylist()
                 values = np.frombuffer(b"".join(x[: 4 * COORDINATES] for x in sigs), np.uint32).reshape(-1, COORDINATES)
                 tokens = (values.astype(np.int64) + place).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(batch.column(0).to_numpy(), COORDINATES))], ["token", "cid"])
+                own = [pa.array(np.repeat(batch.column(i).to_numpy(), COORDINATES)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *own], ["token", "cid", "size"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "token long, cid long")
+    return classes.select("cid", "sig", "n_shingles").mapInArrow(run, "token long, cid long, size long")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, cid, score) of the pairs that are not skipped; the score of a class is how often others share its pairs."""
+    """(token, cid, size, score) of the pairs that are not skipped; the score of a class is how often others share its pairs."""
     tokens = _tokens(classes)
     shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-tokens")
     heavy = heavy_keys(shared, "token", COORDINATES * classes.count())
     common = salted_join(tokens, shared, "token", "inner", heavy, F.xxhash64("cid"))
     own = F.sort_array(F.collect_list(F.struct("n", "token")), asc=False)  # COORDINATES at most
-    kept = common.groupBy("cid").agg(F.slice(own, MATCHES, COORDINATES).alias("own"), F.sum("n").alias("score")).where(F.size("own") > 0)
-    return kept.select("cid", "score", F.explode("own.token").alias("token"))
+    kept = common.groupBy("cid").agg(F.slice(own, MATCHES, COORDINATES).alias("own"), F.sum("n").alias("score"), F.max("size").alias("size")).where(F.size("own") > 0)
+    return kept.select("cid", "size", "score", F.explode("own.token").alias("token"))
 
 
 class Signatures:
@@ -157,10 +158,12 @@ def candidates(classes: DataFrame, lists: DataFrame, similarity: float) -> tuple
     top = F.max(F.struct("score", F.xxhash64("cid").alias("h"), "cid")).alias("hub")
     hubs = written(lists.groupBy("token").agg(top, F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "n", F.col("hub.cid").alias("hub")), "hubs")
     stars = salted_join(lists, hubs.select("token", "hub"), "token", "inner", heavy_keys(hubs, "token", total), F.xxhash64("cid"))
-    stars = written(stars.select("hub", "cid").distinct(), "stars")
+    stars = written(stars.select("hub", "cid", "size").distinct(), "stars")
     sizes = written(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "star-sizes")
     side = classes.select(F.col("cid").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sig").alias("hub_sig"))
     both = salted_join(stars.where("hub <> cid"), side, "hub", "inner", heavy_keys(sizes, "hub", total), F.xxhash64("cid"))
+    # The sizes of two sets bound their similarity: most rows end here, before signatures are sent.
+    both = both.where(F.least("size", "hub_n") >= F.lit(similarity) * F.greatest("size", "hub_n") - 1e-9)
     both = both.join(classes.select("cid", "n_shingles", "sig").hint("shuffle_hash"), "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +180,19 @@ def candidates(classes: DataFrame, lists: DataFrame, similarity: float) -> tuple
 
 
 def _unsettled(stars: DataFrame, parts: DataFrame) -> DataFrame:
-    """(hub, n, cid, comp, minor): members of hubs that have several components; not those that are their hub.
+    """(hub, n, cid, comp, minor): members around hubs that lie in several components.
 
-    All pairs with a hub are tested, so a hub meets nobody again. `minor`: outside the largest component of the hub's members.
+    Hubs of one component count as one, so a group of near copies, whose lists have many hubs, is one set of members here.
+    `minor`: outside the largest component of the hub's members.
     """
-    members = stars.where("hub <> cid").join(parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash"), "cid", "left")
+    names = parts.select(F.col("node").alias("cid"), "component").hint("shuffle_hash")
+    around = stars.join(names.withColumnRenamed("cid", "hub").withColumnRenamed("component", "hub_comp").hint("shuffle_hash"), "hub", "left")
+    members = around.select(F.coalesce("hub_comp", "hub").alias("hub"), "cid").distinct().join(names, "cid", "left")
     members = written(members.select("hub", "cid", F.coalesce("component", "cid").alias("comp")), "members")
     counts = members.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n"))
     by_hub = counts.groupBy("hub").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most"))
-    mixed = written(by_hub.where("comps > 1").select("hub", "n", F.col("most.comp").alias("largest")), "mixed")
+    # Two members, of which one is the hub, have been tested with each other.
+    mixed = written(by_hub.where("comps > 1 and n > 2").select("hub", "n", F.col("most.comp").alias("largest")), "mixed")
     around = salted_join(members, mixed, "hub", "inner", heavy_keys(mixed, "hub", members.count()), F.xxhash64("cid"))
     return around.select("hub", "n", "cid", "comp", (F.col("comp") != F.col("largest")).alias("minor"))
 
