@@ -6,7 +6,13 @@
 4. substrings: passages of 50 words and more that an earlier document has go.
 5. packing: the tokens of what is left, in sequences of 4096.
 
-A document without an id can stay or go like any other; a table without rows passes through all stages.
+Null texts count as empty. What the first stage does with a text of few or no words is decided by its statistics; equal
+texts are one to the second stage, also empty ones and those that differ in white space only; the next two leave texts
+without words, or shorter than a window, as they are; the last gives an empty text one token. Texts of any length are read
+whole by every stage. Of equal or near rows one stays: the longest original and then the smallest doc_id among equal
+texts, the smallest doc_id (null last) and then a hash of the row among near ones, so repeated rows and ties
+fall out alike on every run. A document without an id can stay or go like any other. Further columns, whatever their names, are
+carried through to the last stage, which returns columns of its own. A table without rows passes through all stages.
 """
 
 from __future__ import annotations

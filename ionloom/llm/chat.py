@@ -12,7 +12,8 @@ markup and reading back gives exactly what was written. The loss mask covers the
 
 Null texts and roles count as empty. Rows of one conversation and turn keep an order by role and text. Events
 without an open message are an error of the log and open one with an empty role. Rows with a null conv_id
-are one conversation. An empty table gives no conversation but those the caller adds.
+are one conversation. An empty table gives no conversation but those the caller adds. Columns other than conv_id,
+turn, role and text are not looked at. A message, however long, is one row.
 """
 
 from __future__ import annotations

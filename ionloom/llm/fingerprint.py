@@ -13,6 +13,7 @@ A paragraph is a line together with its line end, so that no text is left out. A
 an empty text has no paragraph and the zero fingerprint, like another empty text it has likeness 1, unlike
 others 0. The next document follows in the order of doc_id (nulls first), then of a hash of the text; repeated
 rows follow each other. Of a table with one row, the document is its own next one. An empty table gives no rows.
+Columns other than doc_id and text are not looked at. A text of any length is read paragraph by paragraph.
 """
 
 from __future__ import annotations

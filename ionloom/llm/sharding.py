@@ -82,7 +82,7 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, *key: Column |
 
     def settle(c: Column) -> Column:
         found = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.lit(None).cast("long"), lambda s, i: F.when(s.isNotNull(), s).otherwise(trial(c, i)))
-        return F.when((c["m"] == 0) | (c["few"] == 0), F.lit(0).cast("long")).otherwise(F.coalesce(found, c["mode"]))
+        return F.when((c["m"] == 0) | (c["few"] == 0), F.lit(0).cast("long")).otherwise(F.coalesce(found, F.raise_error(F.lit("no draw was accepted")).cast("long")))
 
     z = F.transform(F.array(fixed), settle)[0]
     z = F.when(marked > total - marked, m - z).otherwise(z)  # of the many instead of the few
