@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         else:
             moved = hook.select(F.col("u").alias("root"), "p")
             roots = spread_join(roots, moved, ["root"], "left", total=bound)
-            roots = roots.select("node", F.coalesce("p", "root").alias("root"))
+            roots = cut_lineage(roots.select("node", F.coalesce("p", "root").alias("root")))
         to_u = hook.select("u", F.col("p").alias("pu"))
         to_v = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         live, left = cut_and_count(
