@@ -20,7 +20,7 @@ from ionloom.plans import isotopes as isotope_plan
 from ionloom.plans import screen as screen_plan
 from ionloom.plans import series as series_plan
 from ionloom.session import cut_lineage, scratch_folder
-from ionloom.sources import delimited
+from ionloom.sources import cef, delimited
 
 UNITS = {"CF2": 49.9968, "OCF2": 65.9917}
 
@@ -1071,6 +1071,77 @@ def delimited_intensity(fx):
     return _through_files(fx)[1].select("feature_id", "sample", "role", scaled("value", "value", 1e6))
 
 
+@query(
+    "SELECT f.feature_id, p.sample, p.role, " + s("i.value", "value", "1E6") + """
+    FROM feature f JOIN (SELECT concat('S', CAST(n AS VARCHAR), '.d') AS sample, CASE WHEN n < 3 THEN 'blank' ELSE 'exp' END AS role, n FROM range(8) r(n)) p
+      ON f.feature_id % 2 = 0 OR p.n <> 5
+    LEFT JOIN intensity i ON i.feature_id = f.feature_id AND i.sample = replace(p.sample, '.d', '')
+    UNION ALL SELECT feature_id, 'S5.d', 'exp', NULL FROM feature WHERE feature_id % 2 = 1"""
+)
+def dotted_lists(fx):
+    """Two lists with different headers, of which the first five columns and those with the marker are kept."""
+    names = [f"S{i}" for i in range(8)]
+    wide = delimited.to_wide(fx.feature.select("feature_id", "rt", "dt", "ccs", "mz"), fx.intensity.select("feature_id", "sample", "value"), names)
+    wide = wide.select(F.col("feature_id").alias("ID"), F.col("rt").alias("RT"), F.col("dt").alias("DT"), F.col("ccs").alias("CCS"), F.col("mz").alias("m/z"),
+                       F.lit("kept out").alias("note"), *[F.col(n).alias(f" {n}.d ") for n in names])
+    folder = scratch_folder(fx.spark, "dotted")
+    wide.where("ID % 2 = 0").write.option("header", True).csv(f"{folder}/0")
+    wide.where("ID % 2 = 1").drop(" S5.d ").write.option("header", True).option("sep", "\t").csv(f"{folder}/1")
+    table = delimited.combine_dotted(fx.spark, [f"{folder}/0", f"{folder}/1"])
+    blank, exp, _ = delimited.split_roles_by_name(table.columns, [f"S{i}.d" for i in range(3)], [f"S{i}.d" for i in range(3, 8)])
+    table = delimited.map_columns(table, {"feature_id": "ID", "rt": "RT", "dt": "DT", "ccs": "CCS", "mz": "m/z"}, allow_names=True)
+    return delimited.to_long(table, blank, exp)[1].select("feature_id", "sample", "role", scaled("value", "value", 1e6))
+
+
+@query(
+    f"SELECT 'level 2' AS list, name, {s('mz', 'mz', '1E8')}, {s('ccs', 'ccs', '1E8')}, {s('rt', 'rt', '1E8')} FROM library_l2 "
+    f"UNION ALL SELECT 'level 5', name, {s('mz', 'mz', '1E8')}, NULL, NULL FROM library_l5 "
+    f"UNION ALL SELECT 'standard', NULL, {s('mz', 'mz', '1E8')}, {s('ccs', 'ccs', '1E8')}, NULL FROM standard"
+)
+def library_files(fx):
+    """Libraries and standards through files, with repeated rows and two inputs that are not there."""
+    folder = scratch_folder(fx.spark, "libraries")
+    level2 = fx.library_l2.select("name", "adduct", "ccs", "rt", "mz")
+    level2.unionByName(level2).write.option("header", True).csv(f"{folder}/2")
+    fx.library_l5.select("mz", "name").write.option("header", True).csv(f"{folder}/5")
+    fx.standard.select("std_id", "mz", "ccs").write.option("header", True).csv(f"{folder}/s")
+    found = {
+        "level 2": delimited.read_level2(fx.spark, f"{folder}/2", {"name": "A", "adduct": "B", "ccs": "C", "rt": "D", "mz": "E"}),
+        "level 5": delimited.read_level5(fx.spark, f"{folder}/5", {"mz": "A", "name": "B"}).unionByName(delimited.read_level5(fx.spark, None, {}), allowMissingColumns=True),
+        "standard": delimited.read_standards(fx.spark, f"{folder}/s", {"id": "A", "mz": "B", "ccs": "C"}).unionByName(
+            delimited.read_standards(fx.spark, f"{folder}/absent", {}), allowMissingColumns=True),
+    }
+    parts = []
+    for kind, rows in found.items():
+        there = lambda c, to: F.col(c).cast(to) if c in rows.columns and not (kind == "standard" and c == "name") else F.lit(None).cast(to)  # noqa: B023, E731
+        parts.append(rows.select(F.lit(kind).alias("list"), there("name", "string").alias("name"), *[scaled(there(c, "double"), c, 1e8) for c in ("mz", "ccs", "rt")]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    f"""SELECT replace(source_file, '.cef', '') AS sample, CAST(dense_rank() OVER (PARTITION BY source_file ORDER BY compound) AS INTEGER) AS compound,
+      {s('rt', 'rt', '1E8')}, {s('dt', 'dt', '1E8')}, {s('ccs', 'ccs', '1E8')}, {s('peak_mz', 'peak_mz', '1E8')}, {s('peak_intensity', 'peak_intensity', '1E4')} FROM peak"""
+)
+def cef_peaks(fx):
+    """Peak lists written as CEF files, one per sample, with a compound without a place in each, and read back."""
+    peak = F.concat(F.lit("<p x='"), F.col("peak_mz").cast("string"), F.coalesce(F.concat(F.lit("' y='"), F.col("peak_intensity").cast("string")), F.lit("")), F.lit("'/>"))
+    place = F.concat(*[x for c in ("rt", "dt", "ccs") for x in (F.lit(f" {c}='"), F.col(c).cast("string"), F.lit("'"))])
+    compounds = fx.peak.groupBy("source_file", "compound", place.alias("place")).agg(F.concat_ws("", F.sort_array(F.collect_list(F.struct("peak_mz", peak.alias("p"))))["p"]).alias("peaks"))
+    body = F.concat(F.lit("<Compound><Location"), F.col("place"), F.lit("/><Spectrum><MSPeaks>"), F.col("peaks"), F.lit("</MSPeaks></Spectrum></Compound>"))
+    rows = compounds.select("source_file", F.lit(1).alias("part"), "compound", body.alias("value"))
+    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(v).alias("value")) for i, v in (
+        (0, "<CEF><CompoundList><Compound><Spectrum/></Compound>"), (2, "</CompoundList></CEF>"))])).alias("e")
+    frame = compounds.select("source_file").distinct().select("source_file", ends).select("source_file", "e.part", F.lit(0).cast("long").alias("compound"), "e.value")
+    folder = scratch_folder(fx.spark, "cef")
+    rows.unionByName(frame).repartition("source_file").sortWithinPartitions("source_file", "part", "compound").drop("part", "compound").write.partitionBy("source_file").option(
+        "extension", "cef").option("sep", "\u0001").option("quote", "\u0000").option("escape", "\u0000").csv(folder)
+    found = None
+    for name in [r[0] for r in compounds.select("source_file").distinct().collect()]:
+        peaks = cef.read_cef(fx.spark, f"{folder}/source_file={name}").withColumn("sample", F.lit(name.removesuffix(".cef")))
+        found = peaks if found is None else found.unionByName(peaks)
+    return found.select("sample", "compound", *[scaled(c, c, 1e8) for c in ("rt", "dt", "ccs", "peak_mz")], scaled("peak_intensity", "peak_intensity", 1e4))
+
+
 RANK_SQL = "CASE class WHEN 'likely' THEN 0 WHEN 'tentative' THEN 1 WHEN 'unmatched' THEN 2 ELSE 3 END"
 
 
