@@ -3,11 +3,12 @@
 Documents are linked when the Jaccard similarity of their sets of word shingles is at least `similarity`;
 links are confirmed on the full sets. A component is what links reach, and its smallest doc_id stays.
 
-Documents with equal sets are one class from the start. A class has COORDINATES min-hashes that are posted,
-each as a coordinate-value pair, and as many of those as MATCHES must agree in a pair of similar classes: at
-a similarity of exactly 0.8 fewer agree with a probability below 1e-9. So, with the pairs of a class ordered
+Documents with equal sets are one class from the start. A class has COORDINATES coordinates, each the values of JOINED
+min-hashes together, that are posted, each as a coordinate-value pair, and as many of those as MATCHES must agree in a pair of
+similar classes: at a similarity of exactly 0.8 fewer agree with a probability of about 1e-9. So, with the pairs of a class ordered
 by how many classes share them, its MATCHES - 1 most frequent pairs can be skipped: two classes that agree in
-MATCHES pairs agree in one of the others. What is left are short lists, but for the lists of real near copies.
+MATCHES pairs agree in one of the others. Of unlike texts hardly any share a value of several min-hashes, so what is left
+are short lists, but for the lists of real near copies.
 
 Every list first tests its members against one of them, its hub: the member whose pairs are shared most, which
 is the text that others are copies of. What these tests link is one component, and members of one component need no test
@@ -38,11 +39,12 @@ from ionloom.llm.common import documents, heavy_keys, salted_join, sealed, text_
 from ionloom.llm.shingles import claim_hashes, min_hashes, permutations, shingle_set
 from ionloom.operators.components import connected_components
 
-COORDINATES = 40
-MATCHES = 15
-#: Coordinates of the whole signature: the posted ones in 32 bits, the others in 8.
+#: Min-hashes of a signature, 16 bits of each; the first COORDINATES * JOINED of them make the posted coordinates.
 SIGNATURE = 128
-#: Of the whole signature, at a similarity of 0.8 fewer agree with a probability below 1e-8.
+COORDINATES, JOINED = 42, 3
+#: Posted coordinates that must agree: at a similarity of 0.8 one does with a probability of 0.8 ** 3, fewer with one of about 1e-9.
+MATCHES = 4
+#: Min-hashes of the whole signature that must agree: at a similarity of 0.8 fewer do with a probability below 1e-8.
 AGREEING = 74
 #: Members of a hub that a task holds to compare others with them: by signatures, and by texts.
 BLOCK, TEXT_BLOCK = 4096, 512
@@ -62,7 +64,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 if len(shingles):
                     sig = min_hashes(shingles, factors, offsets)
                     keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                    sigs.append(sig[:COORDINATES].tobytes() + sig[COORDINATES:].astype(np.uint8).tobytes())
+                    sigs.append(sig.astype("<u2").tobytes())
                 else:
                     keys.append(None)
                     sigs.append(None)
@@ -79,12 +81,13 @@ def _tokens(classes: DataFrame) -> DataFrame:
     """(token, cid, size): the coordinate-value pairs of each class as 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = (np.arange(COORDINATES, dtype=np.int64) + 1) << 32
+        place = (np.arange(COORDINATES, dtype=np.int64) + 1) << 48
         for batch in batches:
             if batch.num_rows:
                 sigs = batch.column(1).to_pylist()
-                values = np.frombuffer(b"".join(x[: 4 * COORDINATES] for x in sigs), np.uint32).reshape(-1, COORDINATES)
-                tokens = (values.astype(np.int64) + place).ravel()
+                values = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, SIGNATURE)[:, : COORDINATES * JOINED].astype(np.int64)
+                values = values.reshape(-1, COORDINATES, JOINED) << np.array([32, 16, 0])
+                tokens = (values.sum(2) + place).ravel()
                 own = [pa.array(np.repeat(batch.column(i).to_numpy(), COORDINATES)) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), *own], ["token", "cid", "size"])
 
@@ -106,18 +109,20 @@ class Signatures:
     """Signatures and set sizes of some classes, to find those that may be similar to one."""
 
     def __init__(self, sigs: list[bytes], sizes: list[int], similarity: float):
-        whole = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
-        cut = 4 * COORDINATES
-        self.head, self.tail = np.ascontiguousarray(whole[:, :cut]).view(np.uint32), np.ascontiguousarray(whole[:, cut:])
+        self.values = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), SIGNATURE)
         self.sizes, self.similarity = np.array(sizes, np.int64), similarity
 
-    def like(self, head: np.ndarray, tail: np.ndarray, size: int, among: np.ndarray) -> np.ndarray:
+    def like(self, values: np.ndarray, size: int, among: np.ndarray) -> np.ndarray:
         """Those of `among` whose sizes and signatures allow the similarity with the given ones."""
         sizes = self.sizes[among]
         among = among[np.minimum(sizes, size) >= self.similarity * np.maximum(sizes, size) - 1e-9]
-        agreeing = (self.head[among] == head).sum(1)
-        among, agreeing = among[agreeing >= MATCHES], agreeing[agreeing >= MATCHES]
-        return among[agreeing + (self.tail[among] == tail).sum(1) >= AGREEING]
+        return among[_agree(self.values[among] == values)]
+
+
+def _agree(equal: np.ndarray) -> np.ndarray:
+    """Whether enough min-hashes and enough posted coordinates agree; a row of `equal` per pair."""
+    posted = equal[:, : COORDINATES * JOINED].reshape(-1, COORDINATES, JOINED).all(2).sum(1)
+    return (equal.sum(1) >= AGREEING) & (posted >= MATCHES)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -170,8 +175,7 @@ def candidates(classes: DataFrame, lists: DataFrame, similarity: float) -> tuple
         for batch in batches:
             if batch.num_rows:
                 own, hub = (Signatures(batch.column(f"{x}sig").to_pylist(), batch.column(f"{x}n" if x else "n_shingles").to_pylist(), similarity) for x in ("", "hub_"))
-                agreeing = (own.head == hub.head).sum(1)
-                good = (agreeing >= MATCHES) & (agreeing + (own.tail == hub.tail).sum(1) >= AGREEING)
+                good = _agree(own.values == hub.values)
                 good &= np.minimum(own.sizes, hub.sizes) >= similarity * np.maximum(own.sizes, hub.sizes) - 1e-9
                 yield batch.select(["cid", "hub"]).rename_columns(["a", "b"]).filter(pa.array(good))
 
@@ -214,7 +218,7 @@ def _partnered(members: DataFrame, classes: DataFrame, similarity: float) -> Dat
         own, comps, seen = Signatures(sigs, sizes, similarity), np.array(comps), np.zeros(len(cids), bool)
         for cid, comp, size, sig in visitors:
             one = Signatures([sig], [size], similarity)
-            near = own.like(one.head[0], one.tail[0], size, np.flatnonzero(comps != comp))
+            near = own.like(one.values[0], size, np.flatnonzero(comps != comp))
             if len(near):
                 seen[near] = True
                 yield hub, cid
@@ -266,7 +270,7 @@ def _linked(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int
 
         for cid, comp, size, sig, text in visitors:
             one, mine = Signatures([sig], [size], similarity), None
-            for at in own.like(one.head[0], one.tail[0], size, np.flatnonzero(comps != comp)).tolist():
+            for at in own.like(one.values[0], size, np.flatnonzero(comps != comp)).tolist():
                 a, b = root(comp), root(int(comps[at]))
                 if a == b:
                     continue
