@@ -43,7 +43,7 @@ DICTIONARY = 100_000
 #: Units longer than this are left to the tasks; no lattice is made of them.
 LATTICE_CHARS = 48
 #: Units of one of the two generations that a worker remembers, and bytes of text that are split together.
-RECENT, SLICE = 100_000, 4 << 20
+RECENT, SLICE = 50_000, 1 << 20
 MARK = "▁"
 _CUT = "\x01"
 _RUNS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -367,7 +367,7 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
                     for unit, n in zip(encoded.dictionary.to_pylist(), times.tolist()):
                         if unit:
                             counts[unit] += n
-                if len(counts) > 300_000:
+                if len(counts) > 150_000:
                     yield flush()
         if counts:
             yield flush()
