@@ -89,6 +89,13 @@ class Vocabulary:
                 start = i
         return [*out, run[start:]] if run else out
 
+    def trimmed(self, unit: str) -> list[str]:
+        """A unit without the characters at its end that no piece joins to what is before, and these."""
+        end, pairs = len(unit), self.pairs
+        while end > 1 and unit[end - 2 : end] not in pairs:
+            end -= 1
+        return [unit[:end], *unit[end:]] if end < len(unit) else [unit]
+
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
@@ -239,7 +246,7 @@ class UnitIds:
 
     def learn(self, units: list[str]) -> None:
         """Puts the ids of these units, with blanks for marks, into the young generation."""
-        young, pairs, plan, open_ = self.young, self.vocabulary.pairs, [], {}
+        young, plan, open_ = self.young, [], {}
 
         def known(unit: str) -> bool:
             if unit in young or unit in open_:
@@ -252,10 +259,8 @@ class UnitIds:
         for unit in units:
             if not unit or known(unit):
                 continue
-            marked, end = unit.replace(" ", MARK), len(unit)
-            while end > 1 and marked[end - 2 : end] not in pairs:
-                end -= 1  # no piece spans the characters at the end: words with and without a comma share their ids
-            parts = [unit[:end], *unit[end:]] if end < len(unit) else [unit]
+            # Words with and without a comma share their ids.
+            parts = [part.replace(MARK, " ") for part in self.vocabulary.trimmed(unit.replace(" ", MARK))]
             open_.update(dict.fromkeys(part for part in parts if not known(part)))
             if len(parts) > 1:
                 plan.append((unit, parts))
@@ -350,7 +355,7 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             pieces: Counter = Counter()
             for unit, times in counts.items():
-                for piece in vocabulary.cut(unit.replace(" ", MARK)):
+                for piece in vocabulary.trimmed(unit.replace(" ", MARK)):
                     if len(piece) <= LATTICE_CHARS:
                         pieces[piece] += times
             counts.clear()
