@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.model import Params
-from ionloom.operators import cleanup, isotope, report
+from ionloom.operators import cleanup, isotope, match, report
 from ionloom.plans.isotopes import isotope_summary
 from ionloom.plans.screen import Screening, screen
 from ionloom.session import cut_lineage
@@ -35,8 +35,11 @@ def run_screening(
     standards: DataFrame | None = None,
     report_path: str | None = None,
     params: Params = Params(),
+    table_path: str | None = None,
 ) -> FileScreening:
-    """Reads the files, screens them and, with `report_path`, writes the report as CSV.
+    """Reads the files, screens them and, with `report_path`, writes the report as CSV parts in the order of class, then mass.
+
+    With `table_path` the report is also written as Parquet, in a folder per class.
 
     `columns` maps feature_id, mz, rt, dt and ccs to column letters; `blanks` and `experimental` are inclusive
     letter ranges. Ids must be unique over all files. Other columns are carried along: of merged features,
@@ -56,7 +59,9 @@ def run_screening(
             "mass_errors_ppm": F.array_join(F.transform("mass_errors_ppm", lambda e: e.cast("string")), " or "),
             "meta": F.to_json("meta"),
         })
-        delimited.write_report(texts, report_path)
+        delimited.write_report(texts, report_path, order=[match.class_rank(), "mz", "feature_id"])
+    if table_path:
+        delimited.write_table(full, table_path, ["class"])
     return FileScreening(result, full, exp)
 
 

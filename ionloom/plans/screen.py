@@ -60,15 +60,15 @@ def screen(
     samples = cut_lineage(intensity.where("role = 'exp'").select("sample").distinct())
 
     values = blanks.subtract_blanks(intensity, p.blank_method, p.blank_sds)
-    values = cut_lineage(filters.mask_low_intensity(values, p.min_intensity))
+    values = filters.mask_low_intensity(values, p.min_intensity)
     kept = seen("rt_range", filters.rt_range(features, p.rt_min, p.rt_max))
     kept = cut_lineage(seen("mz_range", filters.mz_range(kept, p.mz_min, p.mz_max).select("feature_id", "mz", "rt", "dt", "ccs")))
-    values = values.join(kept.select("feature_id"), "feature_id", "left_semi")
+    values = cut_lineage(values.join(kept.select("feature_id"), "feature_id", "left_semi"))
     values = cut_lineage(cleanup.smearing(kept, values, p.ccs_pct, p.rt_tol))
     groups = cut_lineage(cleanup.duplicate_groups(kept, p.ppm, p.ccs_pct, p.rt_tol, p.duplicate_cap_ppm))
     kept, values = cleanup.merge_duplicates(kept, values, groups)
-    kept, values = cut_lineage(seen("duplicates_merged", kept)), cut_lineage(values)
-    kept = seen("density_line", filters.density_line(kept))
+    values = cut_lineage(values)
+    kept = seen("density_line", filters.density_line(seen("duplicates_merged", kept)))
     kept = seen("mass_defect", filters.mass_defect_range(kept, p.mass_defect_lo, p.mass_defect_hi))
     kept = cut_lineage(seen("detection_frequency", blanks.filter_by_frequency(kept, values, samples, p.frequency_pct)))
 

@@ -274,7 +274,7 @@ def harmonise(df: DataFrame, library: bool) -> DataFrame:
     return df if "rt" in df.columns else df.withColumn("rt", F.lit(None).cast("double"))
 
 
-def write_report(df: DataFrame, path: str, single_file: bool = False, order: list[str] | None = None) -> None:
+def write_report(df: DataFrame, path: str, single_file: bool = False, order: list[str | Column] | None = None) -> None:
     """Overwrites a CSV folder with a header.
 
     With `order` the report is sorted without passing through one task: rows are range-partitioned on these columns, each

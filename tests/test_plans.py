@@ -8,6 +8,7 @@ from ionloom import catalog
 from ionloom.model import Params
 from ionloom.plans.screen import screen
 from ionloom.plans.series import find_series, group_ids, group_rows
+from ionloom.sources import delimited
 from ionloom.streaming import prefilter
 from tests.conftest import SF
 
@@ -67,10 +68,14 @@ def test_files_to_report_and_isotopes(spark, tmp_path):
     columns = {"feature_id": "A", "mz": "B", "rt": "C", "dt": "D", "ccs": "E"}
     params = Params(ccs_band=False, mass_defect_lo=-10.0, mass_defect_hi=10.0)
     paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
-    out = run_screening(spark, paths, columns, ("H", "H"), ("I", "I"), level2, report_path=str(tmp_path / "out"), params=params)
+    out = run_screening(spark, paths, columns, ("H", "H"), ("I", "I"), level2, report_path=str(tmp_path / "out"), params=params, table_path=str(tmp_path / "table"))
     rows = {r.feature_id: r for r in out.report.collect()}
     assert rows[2]["class"] == "likely" and rows[2].meta == {"Note": "first", "Score": "7"} and rows[2]["run S1.d"] == 5990.0
     assert rows[2].mass_error_text == str(rows[2].mass_error_ppm)
+    table = spark.read.parquet(str(tmp_path / "table")).collect()
+    assert {(r.feature_id, r["class"]) for r in table} == {(i, r["class"]) for i, r in rows.items()} and len(table) == len(rows)
+    ranked = delimited.read_report(spark, str(tmp_path / "out")).orderBy("_part", "_row").collect()
+    assert [r["class"] for r in ranked] == sorted((r["class"] for r in ranked), key=["likely", "tentative", "unmatched"].index)
     written = spark.read.csv(str(tmp_path / "out"), header=True)
     assert written.count() == len(rows) and "run S1.d" in written.columns
     (tmp_path / "cef").mkdir()
