@@ -43,7 +43,7 @@ DICTIONARY = 100_000
 #: Units longer than this are left to the tasks; no lattice is made of them.
 LATTICE_CHARS = 48
 #: Units of one of the two generations that a worker remembers, and bytes of text that are split together.
-RECENT, SLICE = 50_000, 1 << 20
+RECENT, SLICE = 50_000, 2 << 20
 MARK = "▁"
 _CUT = "\x01"
 _RUNS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -238,6 +238,10 @@ class UnitIds:
 
     def __init__(self, vocabulary: Vocabulary, dictionary: dict[str, bytes]):
         self.vocabulary, self.dictionary = vocabulary, dictionary
+        units = [unit for unit in dictionary if unit]
+        self.listed = pa.array([unit.replace(MARK, " ") for unit in units], pa.string())
+        self.sizes = np.fromiter((len(dictionary[unit]) // 4 for unit in units), np.int64, len(units))
+        self.pool = np.frombuffer(b"".join(dictionary[unit] for unit in units), np.int32)
         self.clear()
 
     def clear(self) -> None:
@@ -280,11 +284,15 @@ class UnitIds:
             return np.frombuffer(b"".join(own), np.int32), np.r_[0, np.cumsum([len(x) // 4 for x in own])]
         units = split_units(texts, self.vocabulary.lines_cut)
         encoded = units.flatten().dictionary_encode()
-        names, at = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
-        self.learn(names)
-        known = [self.young[unit] if unit else b"" for unit in names]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids = gathered(np.frombuffer(b"".join(known), np.int32), (np.cumsum(sizes) - sizes)[at], sizes[at])
+        names, at = encoded.dictionary, encoded.indices.to_numpy()
+        place = pc.fill_null(pc.index_in(names, value_set=self.listed), -1).to_numpy().astype(np.int64)
+        rare = names.filter(pa.array(place < 0)).to_pylist()
+        self.learn(rare)
+        known = [self.young[unit] if unit else b"" for unit in rare]
+        both = np.r_[self.sizes, np.fromiter(map(len, known), np.int64, len(known)) // 4]
+        place[place < 0] = len(self.sizes) + np.arange(len(rare))
+        sizes, first = both[place], (np.cumsum(both) - both)[place]
+        ids = gathered(np.concatenate([self.pool, np.frombuffer(b"".join(known), np.int32)]), first[at], sizes[at])
         return ids, np.r_[0, np.cumsum(sizes[at])][units.offsets.to_numpy() - units.offsets[0].as_py()]
 
 
