@@ -43,7 +43,7 @@ DICTIONARY = 100_000
 #: Units longer than this are left to the tasks; no lattice is made of them.
 LATTICE_CHARS = 48
 #: Units of one of the two generations that a worker remembers, and bytes of text that are split together.
-RECENT, SLICE = 50_000, 2 << 20
+RECENT, SLICE = 100_000, 3 << 20
 MARK = "▁"
 _CUT = "\x01"
 _RUNS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -355,7 +355,11 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary, fold: str = "merge")
 
 
 def unit_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(unit, n) over all texts; every task adds up its own before the shuffle."""
+    """(unit, n) over all texts, to choose the dictionary by: every task adds up its own before the shuffle.
+
+    What a task has met once between two flushes is not passed on: such units cannot be among the most frequent, and which units the
+    dictionary holds changes no result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = Vocabulary.load(path), Counter()
@@ -363,9 +367,10 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             pieces: Counter = Counter()
             for unit, times in counts.items():
-                for piece in vocabulary.trimmed(unit.replace(" ", MARK)):
-                    if len(piece) <= LATTICE_CHARS:
-                        pieces[piece] += times
+                if times > 1:
+                    for piece in vocabulary.trimmed(unit.replace(" ", MARK)):
+                        if len(piece) <= LATTICE_CHARS:
+                            pieces[piece] += times
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], ["unit", "n"])
 
