@@ -357,8 +357,8 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary, fold: str = "merge")
 def unit_counts(docs: DataFrame, path: str) -> DataFrame:
     """(unit, n) over all texts, to choose the dictionary by: every task adds up its own before the shuffle.
 
-    What a task has met once between two flushes is not passed on: such units cannot be among the most frequent, and which units the
-    dictionary holds changes no result.
+    What a task has met once between two flushes is not passed on, so counts are lower bounds. Which units the dictionary holds
+    changes no result: all others are encoded by the same rule where they occur.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
