@@ -187,20 +187,26 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
         owners = _first_owners(strings, window)
     owners = written(owners, "owners")
     placed = packed.select("minimiser", "packed_key", "id", "row_key", "first").join(owners.hint("shuffle_hash"), ["minimiser", "packed_key"])
-    spans = placed.select("id", "row_key", "first", "owners").mapInArrow(_spans, "id long, row_key long, lo int, windows int")
-    return suspects, spans.groupBy("id", "row_key").agg(F.collect_list(F.struct("lo", "windows")).alias("spans"))
+    # Runs of a document are met all over the buckets: they are put together before its stretches are sought.
+    gone = F.transform("owners", lambda owner: owner < F.col("id"))
+    hit = placed.select("id", "row_key", "first", gone.alias("gone")).where(F.array_contains("gone", True))
+    hit = hit.groupBy("id", "row_key").agg(F.collect_list(F.struct("first", "gone")).alias("runs"))
+    return suspects, hit.mapInArrow(_spans, "id long, row_key long, spans array<struct<lo: int, windows: int>>")
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of windows whose smallest owner comes before the document."""
+    """The stretches of windows whose smallest owner comes before the document, one row per document."""
+    span = pa.struct([("lo", pa.int32()), ("windows", pa.int32())])
     for batch in batches:
-        rows = []
-        for doc_id, row_key, first, owners in zip(*(c.to_pylist() for c in batch.columns)):
-            edges = np.flatnonzero(np.diff(np.r_[False, np.array(owners) < doc_id, False]))
-            rows += [(doc_id, row_key, first + lo, hi - lo) for lo, hi in edges.reshape(-1, 2).tolist()]
-        if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["id", "row_key", "lo", "windows"])
+        found = []
+        for runs in batch.column(2):
+            runs = runs.as_py()
+            mark = np.zeros(max(run["first"] + len(run["gone"]) for run in runs) + 2, bool)
+            for run in runs:
+                mark[run["first"] + 1 : run["first"] + 1 + len(run["gone"])] |= np.array(run["gone"], bool)
+            edges = np.flatnonzero(mark[1:] != mark[:-1])
+            found.append([{"lo": lo, "windows": hi - lo} for lo, hi in edges.reshape(-1, 2).tolist()])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(span))], ["id", "row_key", "spans"])
 
 
 def covered(n: int, spans: list[dict], window: int) -> np.ndarray:

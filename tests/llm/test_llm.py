@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,15 @@ def test_substrings(docs, window, minimiser, bucket):
     assert got == sorted(map(repr, _removed(_rows(), window)))
 
 
+def test_runs_of_a_document_make_one_row_of_spans():
+    """Each run made rows of its own, hundreds for a document that holds a common passage."""
+    runs = [{"first": 6, "gone": [True, True]}, {"first": 0, "gone": [False, True]}, {"first": 2, "gone": [True]}, {"first": 8, "gone": [True, False]}]
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("gone", pa.list_(pa.bool_()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([9]), pa.array([runs], kind)], ["id", "row_key", "runs"])
+    made = [row for out in substrings._spans([batch]) for row in out.to_pylist()]
+    assert made == [{"id": 7, "row_key": 9, "spans": [{"lo": 1, "windows": 2}, {"lo": 6, "windows": 3}]}]
+
+
 def test_substring_stage(docs, empty):
     cut = substrings.substring_dedup_documents(docs)
     assert cut.columns == docs.columns
