@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionloom.functions.numeric import half_even, no_nan, ppm_of, shorten
-from ionloom.operators import blanks, cleanup, filters, isotope, match, ordered, regress, report, runs, series
+from ionloom.operators import bands, blanks, cleanup, filters, isotope, match, ordered, regress, report, runs, series
 
 COLS = "feature_id long, mz double, rt double, dt double, ccs double"
 
@@ -512,3 +512,20 @@ def test_vertex_search_never_takes_points_that_fix_no_curve(seed):
     start = pd.DataFrame({"q": [0.5], "beta": [[0.0] * 4], "_far": [rng.normal(0, 200, 4).tolist()]})
     beta = regress._vertex_solver(["q"], 4, ["q", "beta"])(near, start)["beta"].iat[0]
     assert np.isfinite(beta).all()
+
+
+def test_crowded_cells_are_sent_to_the_workers_once(spark, monkeypatch):
+    """Each row was copied 27 times before any of them could be dropped."""
+    plans, keep = [], bands.cut_lineage
+    monkeypatch.setattr(bands, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().analyzed().toString()), keep(df))[1])
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, rng.uniform(0, 1, 4))) for i in range(400)]
+    cell = spark.createDataFrame(rows, "id long, q_a double, q_b double, q_c double, v double").withColumns({"_k0": F.lit(0), "_n": F.lit(400)})
+    axes = [bands.abs_band(f"q_{c}", F.col(c), 1.0) for c in "abc"]
+    kept = bands._reduce_hot(cell, ["_k0"], axes, {"v": "high"}).collect()
+    assert not any("Generate" in p for p in plans)
+    for modes in itertools.product(range(3), repeat=3):
+        signs = [(1 if m == 1 else -1, i) for i, m in enumerate(modes) if m]
+        score = {r[0]: (*[s * r[1 + i] for s, i in signs], r[4]) for r in rows}
+        want = {i for i, a in score.items() if not any(b != a and all(x >= y for x, y in zip(b, a)) for b in score.values())}
+        assert want == {r.id for r in kept if (r._m0, r._m1, r._m2) == modes}
