@@ -95,7 +95,7 @@ def sample_anchors(
     `intensity` is keyed by the peak files' sample names. One plan over all samples: sample and
     rounded intensity are equi keys next to the mass band, so candidates are few from the start.
     """
-    seen = intensity.where("value > 0").join(features, "feature_id").withColumn("anchor", F.rint("value"))
+    seen = intensity.where("value > 0").join(features.hint("merge"), "feature_id").withColumn("anchor", F.rint("value"))
     candidates = with_sample(multi_peak_compounds(peaks)).select(
         "sample", "compound", F.col("rt").alias("p_rt"), F.col("ccs").alias("p_ccs"), "peak_mz", "peak_intensity",
         F.rint("peak_intensity").alias("anchor"),

@@ -529,3 +529,10 @@ def test_crowded_cells_are_sent_to_the_workers_once(spark, monkeypatch):
         score = {r[0]: (*[s * r[1 + i] for s, i in signs], r[4]) for r in rows}
         want = {i for i, a in score.items() if not any(b != a and all(x >= y for x, y in zip(b, a)) for b in score.values())}
         assert want == {r.id for r in kept if (r._m0, r._m1, r._m2) == modes}
+
+
+def test_features_are_not_broadcast(fx):
+    """The file of `part` is small, what is made of it is not: the driver got every feature once per use."""
+    for rows in (fx.intensity, fx.peak):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
