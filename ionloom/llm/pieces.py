@@ -27,7 +27,7 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, cached_property
 
 import numpy as np
@@ -44,6 +44,7 @@ DICTIONARY = 100_000
 LATTICE_CHARS = 48
 #: Units of one of the two generations that a worker remembers, and bytes of text that are split together.
 RECENT, SLICE = 100_000, 3 << 20
+ENCODED = "doc_id long, ids array<int>"
 MARK = "▁"
 _CUT = "\x01"
 _RUNS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -418,8 +419,11 @@ def dictionary(docs: DataFrame, path: str, size: int = DICTIONARY) -> dict[str,
     return known
 
 
-def encode(docs: DataFrame, path: str | None = None, size: int = DICTIONARY) -> DataFrame:
-    """(doc_id, ids) of whole texts."""
+def encode(docs: DataFrame, path: str | None = None, size: int = DICTIONARY, then: Callable | None = None, schema: str = ENCODED) -> DataFrame:
+    """(doc_id, ids) of whole texts; or what `then` makes of batches of these rows, of that schema, in the same worker.
+
+    A second Python step of its own would be a second worker per core, with a vocabulary each.
+    """
     path = path or default_model()
     known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, path, size))
 
@@ -432,7 +436,8 @@ def encode(docs: DataFrame, path: str | None = None, size: int = DICTIONARY) ->
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    return rows.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 
 
 class Decoder:
@@ -475,7 +480,6 @@ def default_model() -> str:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the number of ids, the ids, and the SHA-256 of the text decoded from them."""
-    encoded = encode(documents(spark, sf_dir))
     path = default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,4 +491,4 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 digests = [hashlib.sha256(x).hexdigest() for x in decoder.of(ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), ids, pa.array(digests, pa.string())], ["doc_id", "n_ids", "ids", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string")
+    return encode(documents(spark, sf_dir), path, then=run, schema="doc_id long, n_ids long, ids array<int>, decoded_sha256 string")

@@ -387,6 +387,16 @@ def test_chat_log(spark):
 # --- SentencePiece -----------------------------------------------------------------------------------
 
 
+def test_sentencepiece_encodes_and_decodes_in_one_worker(spark, tmp_path):
+    """Two Python steps in a row were two workers per core, with a vocabulary each."""
+    rows = [(i, f"The river rose {i} feet, they said." * (i % 4)) for i in range(40)] + [(40, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = pieces.op4_sentencepiece(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r.doc_id, r.n_ids - len(r.ids), r.decoded_sha256) for r in found.collect())
+    assert got == [(i, 0, hashlib.sha256((text or "").encode()).hexdigest()) for i, text in rows]
+
+
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
 
