@@ -7,7 +7,7 @@ The minimiser of a window is its run of MINIMISER words with the smallest hash (
 Consecutive windows mostly share it, and equal windows always do, so a run of such windows (a super-k-mer)
 travels as one string to the bucket of its minimiser. First only the hashes are sent: a run whose minimiser
 no other document has cannot repeat and stays where it is. The words of the other runs are then packed,
-equal strings of a bucket are merged before the shuffle, and in each bucket the windows are sorted, so that
+equal strings of a document and then of a bucket are merged before the shuffle, and in each bucket the windows are sorted, so that
 each finds the smallest doc_id that has it. Equality is decided on the words themselves.
 
 A bucket with more than BUCKET_STRINGS different strings (a very common passage in ever new surroundings)
@@ -85,8 +85,11 @@ def _doc_runs(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
 
 
 def _packed(suspects: DataFrame, window: int) -> DataFrame:
-    """(minimiser, id, row_key, first, packed): the words of each run of `suspects` (id, row_key, text, runs), joined by blanks."""
-    schema = "minimiser long, id long, row_key long, first int, packed binary"
+    """(minimiser, id, row_key, firsts, packed): the words of each run of `suspects` (id, row_key, text, runs), joined by blanks.
+
+    Equal runs of a row, as of a passage that it repeats, are one row with the first windows of all.
+    """
+    schema = "minimiser long, id long, row_key long, firsts array<int>, packed binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +97,14 @@ def _packed(suspects: DataFrame, window: int) -> DataFrame:
                 rows = []
                 for row in batch.slice(low, 128).to_pylist():
                     words = split_words(row["text"])
+                    met: dict[tuple[int, bytes], list[int]] = {}
                     for piece in row["runs"]:
                         first = piece["first"]
-                        rows.append((piece["minimiser"], row["id"], row["row_key"], first, b" ".join(words[first : first + piece["windows"] + window - 1])))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["minimiser", "id", "row_key", "first", "packed"])
+                        packed = b" ".join(words[first : first + piece["windows"] + window - 1])
+                        met.setdefault((piece["minimiser"], packed), []).append(first)
+                    rows += [(minimiser, row["id"], row["row_key"], firsts, packed) for (minimiser, packed), firsts in met.items()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["minimiser", "id", "row_key", "firsts", "packed"])
 
     return suspects.select("id", "row_key", "text", "runs").mapInArrow(run, schema)
 
@@ -186,12 +192,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
     else:
         owners = _first_owners(strings, window)
     owners = written(owners, "owners")
-    placed = packed.select("minimiser", "packed_key", "id", "row_key", "first").join(owners.hint("shuffle_hash"), ["minimiser", "packed_key"])
+    placed = packed.select("minimiser", "packed_key", "id", "row_key", "firsts").join(owners.hint("shuffle_hash"), ["minimiser", "packed_key"])
     # Runs of a document are met all over the buckets: they are put together before its stretches are sought.
     gone = F.transform("owners", lambda owner: owner < F.col("id"))
-    hit = placed.select("id", "row_key", "first", gone.alias("gone")).where(F.array_contains("gone", True))
-    hit = hit.groupBy("id", "row_key").agg(F.collect_list(F.struct("first", "gone")).alias("runs"))
-    return suspects, hit.mapInArrow(_spans, "id long, row_key long, spans array<struct<lo: int, windows: int>>")
+    hit = placed.select("id", "row_key", "firsts", gone.alias("gone")).where(F.array_contains("gone", True))
+    hit = hit.groupBy("id", "row_key").agg(F.collect_list(F.struct("firsts", "gone")).alias("runs"))
+    runs = F.transform("runs", lambda run: F.transform(run["firsts"], lambda first: F.struct(first.alias("first"), run["gone"].alias("gone"))))
+    return suspects, hit.select("id", "row_key", F.flatten(runs).alias("runs")).mapInArrow(_spans, "id long, row_key long, spans array<struct<lo: int, windows: int>>")
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -230,6 +230,22 @@ def test_runs_of_a_document_make_one_row_of_spans():
     assert made == [{"id": 7, "row_key": 9, "spans": [{"lo": 1, "windows": 2}, {"lo": 6, "windows": 3}]}]
 
 
+def test_equal_runs_of_a_document_travel_as_one_row(spark):
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["x", *passage * 40]))]
+    docs = substrings._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    suspects, _ = substrings.repeated_windows(docs, 50, 8)
+    runs = {r.id: len(r.runs) for r in suspects.collect()}
+    packed = [r for r in substrings._packed(suspects, 50).collect() if r.id == 2]
+    assert len(packed) < 10 < runs[2] == sum(len(r.firsts) for r in packed)
+    words = rows[1][1].encode().split()
+    for r in packed:
+        own = r.packed.split(b" ")
+        assert all(words[first : first + len(own)] == own for first in r.firsts)
+    found = substrings.removal_report(docs.select("doc_id", "text")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == sorted(_removed(rows, 50))
+
+
 def test_substring_stage(docs, empty):
     cut = substrings.substring_dedup_documents(docs)
     assert cut.columns == docs.columns
