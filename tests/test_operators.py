@@ -314,6 +314,28 @@ def test_group_trends_match_a_plain_search(spark, sizes, trials, least, group_ro
     assert min(sizes_of.values()) >= max(2, least)
 
 
+@pytest.mark.parametrize("group_rows", [10_000, 0])
+def test_large_groups_make_no_row_for_each_point_and_line(spark, monkeypatch, group_rows):
+    """Blocks and the end in one task settle what the whole group in one task does; a shuffle meets sums by block and line."""
+    rng = np.random.default_rng(7)
+    rows = [(g * 1000 + i, g, 200.0 + 2 * i, 130.0 + 0.3 * i + float(rng.uniform(-4, 4)) + 20 * (i % 3)) for g in (1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, group_id long, mz double, ccs double")
+    made = []
+
+    def counted(ranked, blocks, lines, step, schema):
+        out = blockwise(ranked, blocks, lines, step, schema)
+        made.append((step.__name__, out.count()))
+        return out
+
+    blockwise = regress._blockwise
+    monkeypatch.setattr(regress, "_blockwise", counted)
+    got = regress.group_trends(df, 2.0, group_rows=min(group_rows, 100), block_rows=64).collect()
+    want = regress.group_trends(df, 2.0).collect()
+    assert sorted((r.row_id, -1 if r.trend is None else r.trend, r.is_outlier) for r in got) == sorted((r.row_id, -1 if r.trend is None else r.trend, r.is_outlier) for r in want)
+    assert {name for name, _ in made} == {"_line_sums", "_beaten_lines", "_taken_points"}
+    assert all(n <= 2 * 5 * 200 for _, n in made)
+
+
 @pytest.mark.parametrize("group_rows", [10_000, 0])
 def test_a_last_free_point_is_an_outlier(spark, group_rows):
     rows = [(i, 1, 200.0 + 20 * i, c) for i, c in enumerate([130.0, 133.0, 136.0, 139.0, 149.0])]
