@@ -86,6 +86,19 @@ def test_cef(spark, tmp_path, monkeypatch, limit):
     assert [r.sample for r in cef.cef_samples(peaks).collect()] == ["S1"]
 
 
+def test_cef_folders_are_read_in_one_pass(spark, tmp_path):
+    """Files of one name in several folders are files of their own; a pass a folder made the jobs grow with the samples."""
+    one = "<CEF><CompoundList><Compound><Location rt='{0}'/><Spectrum><MSPeaks><p x='{0}' y='2'/></MSPeaks></Spectrum></Compound>"
+    for sample, n in (("A", 3), ("B", 2), ("C", 1)):
+        folder = tmp_path / f"source_file={sample}.cef"
+        folder.mkdir()
+        end = "</CompoundList></CEF>" if sample != "C" else "<Compound>"
+        (folder / "part-0.cef").write_text("".join(one.format(100 + i) for i in range(n)) + end)
+    peaks = cef.read_cef(spark, f"{tmp_path}/*", r"/source_file=([^/]+)\.cef/[^/]+$")
+    assert sorted((r.source_file, r.compound, r.peak_mz) for r in peaks.collect()) == [("A", 1, 100.0), ("A", 2, 101.0), ("A", 3, 102.0), ("B", 1, 100.0), ("B", 2, 101.0)]
+
+
+
 def test_big_cef_is_numbered_in_document_order(spark, tmp_path):
     body = "".join(f'<Compound><Location rt="{i}"/><Spectrum><MSPeaks><p x="{i}" y="1"/></MSPeaks></Spectrum></Compound>\n' for i in range(2000))
     (tmp_path / "big.cef").write_text(f"<CEF><CompoundList>{body}</CompoundList></CEF>")
