@@ -246,6 +246,26 @@ def test_equal_runs_of_a_document_travel_as_one_row(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == sorted(_removed(rows, 50))
 
 
+def test_a_repeated_passage_makes_one_row_per_minimiser(spark):
+    """The join of runs and shared minimisers read a row per run, hundreds of them for one passage."""
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["x", *passage * 40])), (2, " ".join(["x", *passage * 40])), (3, "short"), (None, None)]
+    docs = substrings._keyed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    runs = substrings._doc_runs(docs, 50, 8).collect()
+    keys, first, sizes = substrings.super_kmers(rows[1][1].encode().split(), 50, 8)
+    own = [r for r in runs if r.id == 2]
+    assert len(own) == 2 * len(set(keys.tolist())) < len(keys)  # the row is there twice
+    got = sorted((r.minimiser, f, n) for r in own for f, n in zip(r.firsts, r.windows))
+    assert got == sorted(2 * list(zip(keys.tolist(), first.tolist(), sizes.tolist())))
+    assert {r.id for r in runs} == {1, 2}
+    suspects, _ = substrings.repeated_windows(docs, 50, 8)
+    held = [sorted((x.minimiser, x.first, x.windows) for x in r.runs) for r in suspects.collect() if r.id == 2]
+    shared = {r.minimiser for r in runs if r.id == 1}
+    assert held == 2 * [sorted(x for x in zip(keys.tolist(), first.tolist(), sizes.tolist()) if x[0] in shared)]
+    found = substrings.removal_report(docs.select("doc_id", "text")).collect()
+    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in found) == sorted(map(repr, _removed(rows, 50)))
+
+
 def test_substring_stage(docs, empty):
     cut = substrings.substring_dedup_documents(docs)
     assert cut.columns == docs.columns
