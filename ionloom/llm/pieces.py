@@ -13,7 +13,7 @@ the matches (edges) grouped by unit. A fold with Spark's `aggregate` then picks
 Characters without a piece become the pieces of their bytes.
 
 The most frequent units, DICTIONARY at most and of LATTICE_CHARS at most, are encoded this way and sent to all tasks, a
-table of bounded size. Rarer units are encoded where they occur by the same rule; joining every occurrence of a word back to its
+table of bounded size. Rarer units are encoded where they occur by the same rule, many side by side; joining every occurrence of a word back to its
 text would shuffle one row per word of the corpus, several times the text. In the tasks the units of many texts are
 dictionary-encoded, looked up once each, and put together by position; decoding gathers the bytes of the pieces.
 
@@ -25,8 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache, cached_property
 
@@ -42,12 +40,12 @@ from ionloom.llm.common import claim_caches, documents, text_or_empty, text_slic
 DICTIONARY = 100_000
 #: Units longer than this are left to the tasks; no lattice is made of them.
 LATTICE_CHARS = 48
-#: Units of one of the two generations that a worker remembers, and bytes of text that are split together.
+#: Rarer units that a worker remembers, and bytes of text that are split together.
 RECENT, SLICE = 100_000, 3 << 20
+#: Rank of two neighbours that make no piece.
+_NONE = 2**31 - 1
 ENCODED = "doc_id long, ids array<int>"
 MARK = "▁"
-_CUT = "\x01"
-_RUNS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Vocabulary:
@@ -57,8 +55,6 @@ class Vocabulary:
         self.pieces, self.byte_ids, self.unknown = pieces, byte_ids, unknown
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.longest = max(map(len, pieces), default=1)
-        self.marks_cut = not any(pair[1] == MARK and pair[0] != MARK for pair in self.pairs)
-        self.lines_cut = not any("\n" in piece for piece in pieces)
         self.names = {number: piece for piece, (number, _) in pieces.items()}
         self.bytes = {number: value for value, number in enumerate(byte_ids)}
 
@@ -73,29 +69,27 @@ class Vocabulary:
         byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(model.is_byte(i) for i in range(size)) else []
         return cls({model.id_to_piece(i): (i, model.get_score(i)) for i in plain}, byte_ids, model.unk_id())
 
-    def units(self, text: str) -> list[str]:
-        """The text, marks for blanks and one in front, cut where no piece spans."""
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
-        if not self.marks_cut:
-            return self.cut(marked)
-        return _RUNS.findall(marked)
-
-    def cut(self, run: str) -> list[str]:
-        pairs, out, start = self.pairs, [], 0
-        for i in range(1, len(run)):
-            if run[i - 1 : i + 1] not in pairs:
-                out.append(run[start:i])
-                start = i
-        return [*out, run[start:]] if run else out
-
-    def trimmed(self, unit: str) -> list[str]:
-        """A unit without the characters at its end that no piece joins to what is before, and these."""
-        end, pairs = len(unit), self.pairs
-        while end > 1 and unit[end - 2 : end] not in pairs:
-            end -= 1
-        return [unit[:end], *unit[end:]] if end < len(unit) else [unit]
+    @cached_property
+    def borders(self) -> np.ndarray:
+        """Whether a text is cut between two neighbouring bytes, by 256 * first + second, blanks for marks.
+
+        Characters beyond ASCII count as one here: a cut next to them needs that no piece spans any of them and the other one.
+        """
+        spanned = np.zeros((256, 256), bool)
+        spanned[128:, 128:] = True
+        for pair in self.pairs:
+            left, right = (ord(c) if c.isascii() else slice(128, 256) for c in pair.replace(MARK, " "))
+            spanned[left, right] = True
+        return ~spanned.ravel()
+
+    @cached_property
+    def letters(self) -> np.ndarray:
+        """The piece that each code point is, -1 for none."""
+        found = np.full(0x110000, -1, np.int32)
+        for piece, (number, _) in self.pieces.items():
+            if len(piece) == 1:
+                found[ord(piece)] = number
+        return found
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
@@ -134,62 +128,85 @@ class Vocabulary:
 
     @cached_property
     def joins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pairs, joined, scores), by pair: two pieces as left * 2**32 + right, the piece they make, and its score."""
+        """(pairs, joined, ranks), by pair: two pieces as left * 2**32 + right, the piece they make, and the rank of its score, 0 for the best."""
         found = {}
         for piece, (number, score) in self.pieces.items():
             for at in range(1, len(piece)):
                 if piece[:at] in self.pieces and piece[at:] in self.pieces:
-                    found[self.pieces[piece[:at]][0] << 32 | self.pieces[piece[at:]][0]] = number, score
+                    found[self.pieces[piece[:at]][0] << 32 | self.pieces[piece[at:]][0]] = number, -score
         pairs = np.array(sorted(found), np.int64)
-        return pairs, np.array([found[p][0] for p in pairs.tolist()], np.int64), np.array([found[p][1] for p in pairs.tolist()])
+        ranks = np.unique([found[p][1] for p in pairs.tolist()], return_inverse=True)[1]
+        return pairs, np.array([found[p][0] for p in pairs.tolist()], np.int32), ranks.astype(np.int32)
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The score of each pair, minus infinity for none, and the piece it makes."""
-        pairs, joined, scores = self.joins
-        keys = left << 32 | np.maximum(right, 0)
+        """The rank of each pair, _NONE for no piece, and the piece it makes."""
+        pairs, joined, ranks = self.joins
+        keys = left.astype(np.int64) << 32 | np.maximum(right, 0)
         at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
         good = (pairs[at] == keys) & (left >= 0) & (right >= 0)
-        return np.where(good, scores[at], -np.inf), joined[at]
-
-    def merge_many(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit as 32-bit bytes: units of like length are merged side by side, each its best pair a round."""
-        out: list[bytes] = [b""] * len(units)
-        letters = {c: self.pieces[c][0] if c in self.pieces else -1 for c in set("".join(units))}
-        plain = [i for i, unit in enumerate(units) if len(unit) <= 24 and -1 not in map(letters.__getitem__, unit)] if len(self.joins[0]) else []
-        for i in sorted(set(range(len(units))) - set(plain)):
-            out[i] = np.array(self.merge(units[i]), np.int32).tobytes()
-        plain.sort(key=lambda i: len(units[i]))
-        for low in range(0, len(plain), 8192):
-            own = plain[low : low + 8192]
-            sizes = np.fromiter((len(units[i]) for i in own), np.int64, len(own))
-            width = int(sizes[-1]) + 1  # the last column stays empty
-            symbols = np.full((len(own), width), -1, np.int64)
-            symbols[np.arange(width) < sizes[:, None]] = [letters[c] for i in own for c in units[i]]
-            scores, pieces = self._joined(symbols[:, :-1], symbols[:, 1:])
-            live = np.arange(len(own))
-            columns = np.arange(width)
-            while len(live):
-                best = scores[live].argmax(1)
-                some = scores[live, best] > -np.inf
-                live, best = live[some], best[some]
-                if not len(live):
-                    break
-                after = columns + (columns > best[:, None])
-                moved = np.take_along_axis(np.pad(symbols[live], ((0, 0), (0, 1)), constant_values=-1), after, 1)
-                moved[np.arange(len(live)), best] = pieces[live, best]
-                symbols[live] = moved
-                inner = (columns + (columns >= best[:, None]))[:, : width - 1]
-                scores[live] = np.take_along_axis(np.pad(scores[live], ((0, 0), (0, 1)), constant_values=-np.inf), inner, 1)
-                pieces[live] = np.take_along_axis(np.pad(pieces[live], ((0, 0), (0, 1))), inner, 1)
-                for at in (best - 1, best):
-                    there = np.flatnonzero((at >= 0) & (at < width - 1))
-                    rows, at = live[there], at[there]
-                    scores[rows, at], pieces[rows, at] = self._joined(symbols[rows, at], symbols[rows, at + 1])
+        return np.where(good, ranks[at], _NONE), joined[at]
+
+    def merge_many(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of each unit, blanks for marks, one after the other, and how many each has.
+
+        Units of like length are merged side by side, each its best pair a round; long ones and those with characters
+        without a piece are merged one by one.
+        """
+        sizes = pc.utf8_length(units).to_numpy().astype(np.int64)
+        points = np.frombuffer("".join(units.to_pylist()).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters, first = self.letters[points], np.cumsum(sizes) - sizes
+        strange = np.add.reduceat(letters < 0, first) > 0 if len(sizes) else np.empty(0, bool)
+        single = strange | (sizes > 24) | (len(self.joins[0]) == 0)
+        counts, at, made = np.zeros(len(sizes), np.int64), [], []
+        alone = np.flatnonzero(single)
+        for i, unit in zip(alone.tolist(), units.take(pa.array(alone)).to_pylist()):
+            ids = self.merge(unit.replace(" ", MARK))
+            counts[i] = len(ids)
+            at.append(np.full(len(ids), i))
+            made.append(np.array(ids, np.int32))
+        plain = np.flatnonzero(~single)
+        plain = plain[np.argsort(sizes[plain], kind="stable")]
+        for low in range(0, len(plain), 4096):
+            own = plain[low : low + 4096]
+            symbols = self._merged(gathered(letters, first[own], sizes[own]), sizes[own])
             kept = symbols >= 0
-            raw, ends = symbols[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
-            for i, a, b in zip(own, [0, *ends], ends):
-                out[i] = raw[a:b]
-        return out
+            counts[own] = kept.sum(1)
+            at.append(np.repeat(own, counts[own]))
+            made.append(symbols[kept])
+        order = np.argsort(np.concatenate([*at, np.empty(0, np.int64)]), kind="stable")
+        return np.concatenate([*made, np.empty(0, np.int32)])[order], counts
+
+    def _merged(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A row of symbols for each unit, -1 after the last, of the pieces of its characters."""
+        width = int(sizes.max()) + 1  # the last column stays empty
+        columns = np.arange(width)
+        symbols = np.full((len(sizes), width), -1, np.int32)
+        symbols[columns < sizes[:, None]] = letters
+        done = symbols.copy()
+        ranks, pieces = self._joined(symbols[:, :-1], symbols[:, 1:])
+        rows = np.arange(len(sizes))
+        while len(rows):
+            best = ranks.argmin(1)
+            some = ranks[np.arange(len(rows)), best] < _NONE
+            done[rows[~some], :width] = symbols[~some]
+            rows, best, symbols, ranks, pieces = rows[some], best[some], symbols[some], ranks[some], pieces[some]
+            if not len(rows):
+                break
+            # One symbol and one pair fewer: what is right of the best pair moves up.
+            own = np.arange(len(rows))
+            made = pieces[own, best]
+            later = columns[: width - 1] > best[:, None]
+            symbols[:, :-1] = np.where(later, symbols[:, 1:], symbols[:, :-1])
+            symbols[own, best] = made
+            later = columns[: width - 2] >= best[:, None]
+            ranks[:, :-1] = np.where(later, ranks[:, 1:], ranks[:, :-1])
+            pieces[:, :-1] = np.where(later, pieces[:, 1:], pieces[:, :-1])
+            ranks[:, -1] = _NONE
+            for at in (best - 1, best):
+                there = np.flatnonzero((at >= 0) & (at < width - 1))
+                where = at[there]
+                ranks[there, where], pieces[there, where] = self._joined(symbols[there, where], symbols[there, where + 1])
+        return done
 
     def decode(self, ids: list[int]) -> str:
         out = bytearray()
@@ -217,15 +234,17 @@ class Vocabulary:
         return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in self.pieces.items()], "piece string, id int, score double")
 
 
-def split_units(texts: pa.Array, lines: bool) -> pa.ListArray:
-    """For each text its units with blanks for marks, and empty ones between; no text may hold _CUT.
-
-    With `lines`, for a vocabulary without pieces that hold line ends, units are cut around these too.
-    """
+def split_units(texts: pa.Array, borders: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """(units, offsets): the units of all texts with blanks for marks, and where each text's begin and end."""
     marked = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", " "), pc.replace_substring(texts, MARK, " "), "")
-    if lines:
-        marked = pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}")
-    return pc.split_pattern(pc.replace_substring_regex(marked, "( +)", _CUT + r"\1"), _CUT)
+    ends = np.frombuffer(marked.buffers()[1], np.int32, len(marked) + 1, 4 * marked.offset)
+    if not ends[-1]:
+        return pa.array([], pa.string()), np.zeros(len(ends), np.int64)
+    data = np.frombuffer(marked.buffers()[2], np.uint8, ends[-1])
+    begins = np.r_[True, borders[data[:-1].astype(np.uint16) << 8 | data[1:]], True]
+    begins[ends] = True
+    first = np.flatnonzero(begins).astype(np.int32)
+    return pa.StringArray.from_buffers(len(first) - 1, pa.py_buffer(first), marked.buffers()[2]), np.searchsorted(first, ends)
 
 
 def gathered(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -235,66 +254,44 @@ def gathered(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarr
 
 
 class UnitIds:
-    """Ids of texts unit by unit: from a given dictionary, from two generations of remembered units, or by merging."""
+    """Ids of texts unit by unit: from a given dictionary, from units remembered from the texts before, or by merging."""
 
     def __init__(self, vocabulary: Vocabulary, dictionary: dict[str, bytes]):
-        self.vocabulary, self.dictionary = vocabulary, dictionary
-        units = [unit for unit in dictionary if unit]
-        self.listed = pa.array([unit.replace(MARK, " ") for unit in units], pa.string())
-        self.sizes = np.fromiter((len(dictionary[unit]) // 4 for unit in units), np.int64, len(units))
-        self.pool = np.frombuffer(b"".join(dictionary[unit] for unit in units), np.int32)
+        self.vocabulary = vocabulary
+        names = pa.array([unit.replace(MARK, " ") for unit in dictionary], pa.string())
+        sizes = np.fromiter((len(ids) // 4 for ids in dictionary.values()), np.int64, len(dictionary))
+        self.dictionary = names, sizes, np.frombuffer(b"".join(dictionary.values()), np.int32)
         self.clear()
 
     def clear(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, units: list[str]) -> None:
-        """Puts the ids of these units, with blanks for marks, into the young generation."""
-        young, plan, open_ = self.young, [], {}
-
-        def known(unit: str) -> bool:
-            if unit in young or unit in open_:
-                return True
-            found = self.dictionary.get(unit.replace(" ", MARK)) or self.old.get(unit)
-            if found:
-                young[unit] = found
-            return bool(found)
-
-        for unit in units:
-            if not unit or known(unit):
-                continue
-            # Words with and without a comma share their ids.
-            parts = [part.replace(MARK, " ") for part in self.vocabulary.trimmed(unit.replace(" ", MARK))]
-            open_.update(dict.fromkeys(part for part in parts if not known(part)))
-            if len(parts) > 1:
-                plan.append((unit, parts))
-        for unit, ids in zip(open_, self.vocabulary.merge_many([unit.replace(" ", MARK) for unit in open_])):
-            young[unit] = ids
-        for unit, parts in plan:
-            young[unit] = b"".join([young[part] for part in parts])
+        self.recent = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of all texts, and where each text's begin and end."""
-        if len(self.young) > RECENT:
-            self.young, self.old = {}, self.young
-        if not self.vocabulary.marks_cut or pc.any(pc.match_substring(texts, _CUT)).as_py():
-            split = [[u.replace(MARK, " ") for u in self.vocabulary.units(t)] for t in texts.to_pylist()]
-            self.learn(list({u for units in split for u in units}))
-            own = [b"".join([self.young[u] for u in units]) for units in split]
-            return np.frombuffer(b"".join(own), np.int32), np.r_[0, np.cumsum([len(x) // 4 for x in own])]
-        units = split_units(texts, self.vocabulary.lines_cut)
-        encoded = units.flatten().dictionary_encode()
-        names, at = encoded.dictionary, encoded.indices.to_numpy()
-        place = pc.fill_null(pc.index_in(names, value_set=self.listed), -1).to_numpy().astype(np.int64)
-        rare = names.filter(pa.array(place < 0)).to_pylist()
-        self.learn(rare)
-        known = [self.young[unit] if unit else b"" for unit in rare]
-        both = np.r_[self.sizes, np.fromiter(map(len, known), np.int64, len(known)) // 4]
-        place[place < 0] = len(self.sizes) + np.arange(len(rare))
-        sizes, first = both[place], (np.cumsum(both) - both)[place]
-        ids = gathered(np.concatenate([self.pool, np.frombuffer(b"".join(known), np.int32)]), first[at], sizes[at])
-        return ids, np.r_[0, np.cumsum(sizes[at])][units.offsets.to_numpy() - units.offsets[0].as_py()]
+        units, offsets = split_units(texts, self.vocabulary.borders)
+        encoded = units.dictionary_encode()
+        place, tables = np.full(len(encoded.dictionary), -1, np.int64), [self.dictionary, self.recent]
+        base = 0
+        for names, _, _ in tables:
+            open_ = np.flatnonzero(place < 0)
+            found = pc.fill_null(pc.index_in(encoded.dictionary.take(pa.array(open_)), value_set=names), -1).to_numpy()
+            place[open_] = np.where(found < 0, -1, found + base)
+            base += len(names)
+        fresh = np.flatnonzero(place < 0)
+        rare = encoded.dictionary.take(pa.array(fresh))
+        ids, counts = self.vocabulary.merge_many(rare)
+        tables.append((rare, counts, ids))
+        place[fresh] = base + np.arange(len(fresh))
+        sizes = np.concatenate([counts for _, counts, _ in tables])
+        pool = np.concatenate([ids for _, _, ids in tables])
+        first = np.cumsum(sizes) - sizes
+        if len(self.recent[0]) + len(rare) > RECENT:
+            self.recent = tables[2]
+        else:
+            self.recent = pa.concat_arrays([self.recent[0], rare]), np.r_[self.recent[1], counts], np.r_[self.recent[2], ids]
+        at = place[encoded.indices.to_numpy()]
+        own = sizes[at]
+        return gathered(pool, first[at], own), np.r_[0, np.cumsum(own)][offsets]
 
 
 # --- the lattice ------------------------------------------------------------------------------------
@@ -363,32 +360,25 @@ def unit_counts(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = Vocabulary.load(path), Counter()
+        borders = Vocabulary.load(path).borders
+        seen, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            pieces: Counter = Counter()
-            for unit, times in counts.items():
-                if times > 1:
-                    for piece in vocabulary.trimmed(unit.replace(" ", MARK)):
-                        if len(piece) <= LATTICE_CHARS:
-                            pieces[piece] += times
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], ["unit", "n"])
+            total = pa.concat_tables(seen).group_by("unit").aggregate([("n", "sum")]).select(["unit", "n_sum"]).rename_columns(["unit", "n"])
+            seen.clear()
+            kept = total.filter(pc.and_(pc.greater(total["n"], 1), pc.less_equal(pc.utf8_length(total["unit"]), LATTICE_CHARS)))
+            units = pc.replace_substring(kept["unit"], " ", MARK)
+            return pa.RecordBatch.from_arrays([units.combine_chunks(), kept["n"].combine_chunks()], ["unit", "n"])
 
         for batch in batches:
             for part in text_slices(batch, 0, SLICE):
-                texts = part.column(0)
-                if not vocabulary.marks_cut or pc.any(pc.match_substring(texts, _CUT)).as_py():
-                    counts.update(u for t in texts.to_pylist() for u in vocabulary.units(t))
-                else:
-                    encoded = split_units(texts, vocabulary.lines_cut).flatten().dictionary_encode()
-                    times = np.bincount(encoded.indices.to_numpy(), minlength=len(encoded.dictionary))
-                    for unit, n in zip(encoded.dictionary.to_pylist(), times.tolist()):
-                        if unit:
-                            counts[unit] += n
-                if len(counts) > 150_000:
+                met = split_units(part.column(0), borders)[0].value_counts()
+                seen.append(pa.table({"unit": met.field("values"), "n": met.field("counts")}))
+                held += len(met)
+                if held > 150_000:
                     yield flush()
-        if counts:
+                    held = 0
+        if seen:
             yield flush()
 
     parts = docs.select(text_or_empty().alias("text")).mapInArrow(run, "unit string, n long")

@@ -448,6 +448,45 @@ def test_sentencepiece(spark, docs, empty):
     assert pieces.encode(empty, size=10).count() == 0
 
 
+def test_units_are_cut_where_no_piece_spans(monkeypatch):
+    """Each spelling of a word with signs around it was a unit of its own, merged and remembered one by one."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    vocabulary = pieces.Vocabulary.load(pieces.default_model())
+    texts = ["", "thernted!& thernted###, thernted%?\n thernted", "(été) «été»…\x01 é!\x01", "▁a▁▁ b", " ", "🙂zqx. 🙂"]
+    units, offsets = pieces.split_units(pa.array(texts), vocabulary.borders)
+    own = [units[a:b].to_pylist() for a, b in zip(offsets, offsets[1:])]
+    marked = [(" " if t else "") + t.replace("▁", " ") for t in texts]
+    assert ["".join(u) for u in own] == marked and "" not in units.to_pylist()
+    for text in own:
+        assert not any((a[-1] + b[0]).replace(" ", "▁") in vocabulary.pairs for a, b in zip(text, text[1:]))
+    assert sum("thernted" in u for u in set(own[1])) == 1
+    asked = []
+    merge_many = pieces.Vocabulary.merge_many
+    monkeypatch.setattr(pieces.Vocabulary, "merge_many", lambda self, rare: asked.extend(rare.to_pylist()) or merge_many(self, rare))
+    encoder = pieces.UnitIds(vocabulary, {})
+    for part in (texts, texts[::-1]):
+        ids, ends = encoder.of(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == model.encode(part)
+    assert sorted(asked) == sorted(set(units.to_pylist()))
+
+
+def test_ids_of_many_units_with_equal_scores():
+    """Of pairs with equal scores the leftmost is merged, as one by one."""
+    draw = random.Random(5)
+    table = {c: (i, 0.0) for i, c in enumerate("abc")}
+    for _ in range(30):
+        piece = "".join(draw.choice("abc") for _ in range(draw.randrange(2, 5)))
+        table.setdefault(piece, (len(table), -float(draw.randrange(4))))
+    vocabulary = pieces.Vocabulary(table, [], 99)
+    units = ["".join(draw.choice("abcx" if i % 5 == 0 else "abc") for _ in range(draw.randrange(1, 30))) for i in range(400)]
+    ids, counts = vocabulary.merge_many(pa.array(units))
+    ends = np.cumsum(counts)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, counts)] == [vocabulary.merge(u) for u in units]
+    assert [len(x) for x in pieces.Vocabulary({"a": (0, 0.0)}, [], 9).merge_many(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_viterbi(spark):
     """The best sum of scores, against all segmentations."""
     draw = random.Random(3)
