@@ -88,18 +88,22 @@ def resolve_samples(names: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def sample_anchors(
-    features: DataFrame, intensity: DataFrame, peaks: DataFrame, ppm: float = 10.0, ccs_pct: float = 2.0, rt_tol: float = 1.0
+    features: DataFrame, intensity: DataFrame, peaks: DataFrame, ppm: float = 10.0, ccs_pct: float = 2.0, rt_tol: float = 1.0,
+    by_feature: bool = True,
 ) -> DataFrame:
     """Per sample: features and peaks that agree in mass, cross-section, time and rounded intensity.
 
     `intensity` is keyed by the peak files' sample names. One plan over all samples: sample and
-    rounded intensity are equi keys next to the mass band, so candidates are few from the start.
+    rounded intensity are equi keys next to the mass band, so candidates are few from the start. Without `by_feature` features that
+    differ in nothing but their id are matched as one, which `distinct_anchors` would make of them afterwards.
     """
     seen = intensity.where("value > 0").join(features.hint("merge"), "feature_id").withColumn("anchor", F.rint("value"))
-    candidates = with_sample(multi_peak_compounds(peaks)).select(
+    if not by_feature:
+        seen = seen.select("sample", "anchor", "value", *[c for c in ("match", "class", "mz", "rt", "dt", "ccs") if c in features.columns]).distinct()
+    candidates = cut_lineage(with_sample(multi_peak_compounds(peaks)).select(
         "sample", "compound", F.col("rt").alias("p_rt"), F.col("ccs").alias("p_ccs"), "peak_mz", "peak_intensity",
         F.rint("peak_intensity").alias("anchor"),
-    )
+    ))
     near = (F.col("peak_mz") >= F.col("mz") - ppm_of("mz", ppm)) & (F.col("peak_mz") <= F.col("mz") + ppm_of("mz", ppm))
     ccs_diff = F.abs(F.col("ccs") - F.col("p_ccs")) / F.col("ccs") * F.lit(100.0)
     rt_diff = F.abs(F.col("rt") - F.col("p_rt"))
@@ -108,7 +112,7 @@ def sample_anchors(
         on=("sample", "anchor"),
     )
     return found.select(
-        "sample", "compound", "feature_id", *[c for c in ("match", "class") if c in features.columns], "mz", "rt", "dt", "ccs",
+        "sample", "compound", *["feature_id"] * by_feature, *[c for c in ("match", "class") if c in features.columns], "mz", "rt", "dt", "ccs",
         F.col("value").alias("intensity"), "peak_mz", "peak_intensity",
         (F.abs(F.col("mz") - F.col("peak_mz")) / F.col("mz") * F.lit(1e6)).alias("ppm_error"),
         ccs_diff.alias("ccs_diff_pct"), rt_diff.alias("rt_diff"),

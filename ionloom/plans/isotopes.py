@@ -15,8 +15,9 @@ def isotope_summary(
 ) -> DataFrame:
     """Per alignment: means, deviations, halogen class and, with a grid, the predicted ratio."""
     p = params
+    peaks = cut_lineage(peaks)  # read several times, and costly to make
     anchors = cut_lineage(
-        isotope.sample_anchors(features, intensity, peaks, p.isotope_ppm, p.isotope_ccs_pct, p.isotope_rt_tol)
+        isotope.sample_anchors(features, intensity, peaks, p.isotope_ppm, p.isotope_ccs_pct, p.isotope_rt_tol, by_feature=False)
     )
     rows = isotope.anchors_with_metrics(anchors, isotope.multi_peak_compounds(peaks))
     aligned = cut_lineage(isotope.align(rows, p.isotope_ppm, p.isotope_ccs_pct))

@@ -9,8 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ionloom import catalog, session
 from ionloom.functions.numeric import half_even, no_nan, ppm_of, shorten
-from ionloom.operators import bands, blanks, cleanup, filters, isotope, match, ordered, regress, report, runs, series
+from ionloom.operators import bands, blanks, cleanup, components, filters, isotope, match, ordered, regress, report, runs, series, skew
+from ionloom.plans import isotopes
 
 COLS = "feature_id long, mz double, rt double, dt double, ccs double"
 
@@ -558,3 +560,99 @@ def test_features_are_not_broadcast(fx):
     for rows in (fx.intensity, fx.peak):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_crowded_cells_are_linked_through_a_few_points(spark, monkeypatch):
+    """Every point of a crowded cell looked for partners, and each was an edge to its own cell."""
+    edges, search = [], components.connected_components
+    monkeypatch.setattr(components, "connected_components", lambda e: (edges.append(e.count()), search(e))[1])
+    rng = np.random.default_rng(31)
+    rows = [(f"S{i % 2}", i, float(300 * (1 + rng.uniform(-20, 20) * 1e-6)), float(rng.uniform(200, 206))) for i in range(800)]
+    rows += [("S0", 1000 + i, float(400 * (1 + rng.uniform(0, 4) * 1e-6)), 210.0) for i in range(60)]  # one sample: they stay apart
+    rows += [("S1", 2000, 400.0, 207.0), ("S1", 1, rows[1][2], 300.0)]  # a partner of some; a compound at two places
+    df = spark.createDataFrame(rows, "sample string, compound long, mz double, ccs double")
+    got = {(r.sample, r.compound): r.alignment_id for r in isotope.align(df, 10.0, 1.0).collect()}
+    assert len(got) == len(rows) - 1
+    parent = {(r[0], r[1]): f"{r[0]}/{r[1]:019d}" for r in rows}
+    mz, ccs, sample = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[0] for r in rows])
+    near = (np.abs(mz[:, None] - mz) <= mz[:, None] * 1e-5) & (np.abs(ccs[:, None] - ccs) / ccs[:, None] * 100 <= 1) & (sample[:, None] != sample)
+    near |= near.T
+    assert edges[0] < near.sum() / 8
+    changed = True
+    while changed:
+        changed = False
+        for i, r in enumerate(rows):
+            names = [parent[r[0], r[1]], *(parent[rows[j][0], rows[j][1]] for j in np.flatnonzero(near[i]))]
+            if min(names) < names[0]:
+                parent[r[0], r[1]], changed = min(names), True
+    assert got == parent
+
+
+def test_reduction_takes_many_cells_at_once(spark, monkeypatch):
+    """Each chunk of a cell was a call of its own; a missing value counted as the best one."""
+    monkeypatch.setattr(bands, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(bands, "BUCKET_ROWS", 100)
+    calls, make = spark.sparkContext.accumulator(0), bands._undominated
+
+    def counted(*args):
+        reduced = make(*args)
+
+        def call(pdf):
+            calls.add(1)
+            return reduced(pdf)
+
+        return call
+
+    monkeypatch.setattr(bands, "_undominated", counted)
+    rng = np.random.default_rng(12)
+    rows = [(i, i % 40, *map(float, rng.uniform(0, 1, 2)), None if i % 7 == 0 else float(rng.uniform(0, 1))) for i in range(800)]
+    cells = spark.createDataFrame(rows, "id long, _k0 int, q_a double, q_b double, v double").withColumn("_n", F.lit(20))
+    axes = [bands.abs_band(f"q_{c}", F.col(c), 1.0) for c in "ab"]
+    kept = bands._reduce_hot(cells, ["_k0"], axes, {"v": "high"}).collect()
+    assert calls.value < 40
+    for modes in itertools.product(range(3), repeat=2):
+        signs = [(1 if m == 1 else -1, i) for i, m in enumerate(modes) if m]
+        score = {r[0]: (*[s * r[2 + i] for s, i in signs], -math.inf if r[4] is None else r[4]) for r in rows}
+        for cell in range(40):
+            of = {i: a for i, a in score.items() if i % 40 == cell}
+            want = {i for i, a in of.items() if not any(b != a and all(x >= y for x, y in zip(b, a)) for b in of.values())}
+            assert want == {r.id for r in kept if r._k0 == cell and (r._m0, r._m1) == modes}
+
+
+def test_features_that_differ_only_in_their_id_are_matched_once(spark):
+    """Equal features times equal compounds: the pairs grew with the square of the repeats."""
+    f = spark.createDataFrame([(i, 300.0, 1.0, 2.0, 200.0, "a" if i % 2 else None) for i in range(6)], COLS + ", match string")
+    f = f.withColumn("class", F.lit("likely"))
+    values = spark.createDataFrame([(i, "S1", 50.0) for i in range(6)], "feature_id long, sample string, value double")
+    peaks = spark.createDataFrame([("S1.cef", i, 1.0, 2.0, 200.0, 300.0 + n, 50.0 - 40 * n) for i in range(6) for n in (0, 1)],
+                                  "source_file string, compound long, rt double, dt double, ccs double, peak_mz double, peak_intensity double")
+    every, once = isotope.sample_anchors(f, values, peaks), isotope.sample_anchors(f, values, peaks, by_feature=False)
+    assert every.count() == 36 and once.count() == 12
+    assert sorted(map(str, isotope.distinct_anchors(every).collect())) == sorted(map(str, isotope.distinct_anchors(once).collect()))
+
+
+def test_peaks_are_made_once_for_the_summary(fx, monkeypatch):
+    """The peak table was made anew, from its sources, by each of its readers."""
+    plans = []
+    for module in (catalog, isotopes):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: (plans.append(df.columns), session.cut_lineage(df))[1])
+    for name in ("align_components", "isotope_summary"):
+        plans.clear()
+        catalog.QUERIES[name](fx.spark, fx.folder)
+        assert fx.peak.columns in plans
+
+
+def test_only_tables_counted_as_small_are_broadcast(spark, monkeypatch):
+    """Spark guesses sizes from compressed files and sent millions of features, the probes, through the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    probe = spark.createDataFrame([(i, 300.0 + i) for i in range(20)], "i long, mz double")
+    library = spark.createDataFrame([(f"a long name, number {i}" * 9, 300.0 + i / 100) for i in range(500)], "name string, l_mz double")
+    band, near = [bands.ppm_band("l_mz", F.col("mz"), 10.0)], F.abs(F.col("l_mz") - F.col("mz")) <= F.col("mz") * 1e-5
+    joined = bands.band_join(probe, library, band, near)
+    assert "BuildRight" in plan(joined) and "BuildLeft" not in plan(joined) and joined.count() == 5
+    monkeypatch.setattr(bands, "SPLITS_SENT", 100)
+    joined = bands.band_join(probe, library, band, near)
+    assert "BuildLeft" not in plan(joined) and "SortMergeJoin" in plan(joined) and joined.count() == 5
+    monkeypatch.setattr(skew, "MERGE_ROWS", 10, raising=False)
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert "BroadcastHashJoin" not in plan(skew.spread_join(probe, probe.select("i"), ["i"], how))
